@@ -87,7 +87,7 @@ def parse_list_text(c) -> Column:
 def parse_llm_score(c) -> Column:
     """First ``Educational score: <int>`` (case-insensitive); miss/blank -> -1."""
     x = col_of(c)
-    got = F.try_cast(F.nullif(F.regexp_extract(x, LLM_SCORE_RE, 1), F.lit("")), "int")
+    got = F.nullif(F.regexp_extract(x, LLM_SCORE_RE, 1), F.lit("")).try_cast("int")
     blank = x.isNull() | (F.length(F.trim(x)) == 0)
     return F.when(blank, F.lit(LLM_FAILED)).otherwise(F.coalesce(got, F.lit(LLM_FAILED)))
 

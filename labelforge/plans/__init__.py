@@ -2,6 +2,8 @@
 
 from . import registry
 from . import quality_queries  # noqa: F401
+from . import label_queries  # noqa: F401
+from . import agreement_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE

@@ -27,6 +27,7 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     """A local session for tests and the bench (UI off, AQE on)."""
     b = (SparkSession.builder.master(master or "local[*]").appName(app_name)
          .config("spark.ui.enabled", "false")
+         .config("spark.ui.showConsoleProgress", "false")
          .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
          .config("spark.driver.memory", "16g"))
     for k, v in SCALE_CONF.items():
