@@ -17,7 +17,8 @@ from .tables import documents, events
 LABEL_NAMES = ["None", "Minimal", "Basic", "Good", "Excellent"]
 PROBLEMATIC_LABEL = "❗ Problematic Content ❗"
 EVENT_SCORE = {"signup": 0, "view": 1, "click": 2, "purchase": 3, "error": 4}
-MODEL_KEYS = {"m1": 11, "m2": 13, "m3": 17}
+MODEL_KEYS = {"fewshot_250": 11, "fewshot_1000": 13, "full_finetune": 17}
+NO_RAW_MODEL = "zeroshot"
 TEST_LEXICON = ["worthless", "idiot", "license", "licensed"]
 PANEL_RATERS = 6
 OWN_RATERS = 3
@@ -117,7 +118,7 @@ def v_preds_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         cols[f"raw_prediction_{m}"] = raw
     out = d.withColumns(cols)
     more = {f"predicted_label_{m}": S.discretize(f"raw_prediction_{m}") for m in MODEL_KEYS}
-    more["predicted_label_m4"] = ((F.col("doc_id") * 23 + F.col("n_chars")) % 5).cast("int")
+    more[f"predicted_label_{NO_RAW_MODEL}"] = ((F.col("doc_id") * 23 + F.col("n_chars")) % 5).cast("int")
     return out.withColumns(more)
 
 
@@ -185,7 +186,7 @@ SQL_VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
                      + ", ".join(f"raw_prediction_{m}" for m in MODEL_KEYS) + ", "
                      + ", ".join(f"CAST(greatest(0, least(4, round_even(raw_prediction_{m}, 0))) AS INTEGER)"
                                  f" AS predicted_label_{m}" for m in MODEL_KEYS)
-                     + ", CAST((doc_id*23 + n_chars) % 5 AS INTEGER) AS predicted_label_m4 FROM (SELECT *, "
+                     + f", CAST((doc_id*23 + n_chars) % 5 AS INTEGER) AS predicted_label_{NO_RAW_MODEL} FROM (SELECT *, "
                      + ", ".join(f"true_label + ((doc_id*{k} + n_chars) % 21 - 10)/8.0 AS raw_prediction_{m}"
                                  for m, k in MODEL_KEYS.items())
                      + " FROM (SELECT doc_id, text, n_chars, CAST((doc_id*7 + n_chars) % 5 AS INTEGER)"
