@@ -30,12 +30,16 @@ def _sql_list(xs) -> str:
 
 
 # ---------------------------------------------------------------- Spark side
-def v_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir)
+def with_scores(d: DataFrame) -> DataFrame:
+    """The ``v_scored`` derivation; works on batch and streaming frames."""
     raw = ((F.col("doc_id") * 37 + F.col("n_chars")) % 61).cast("double") / 10 - 0.5
     return d.withColumn("raw_score", raw).withColumn("int_score", S.score_to_int("raw_score"))
 
 
+def v_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_scores(documents(spark, sf_dir))
+
+
 def v_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v_scored(spark, sf_dir).withColumns({
         "language_score": ((F.col("doc_id") * 13) % 100) / 100.0,
