@@ -15,3 +15,31 @@ def class_weights(train: DataFrame, label_col: str) -> DataFrame:
     w = Window.partitionBy()  # over <= K aggregated rows
     return c.select(label_col, "n",
                     (F.sum("n").over(w) / (F.count(F.lit(1)).over(w) * F.col("n"))).alias("weight"))
+
+
+def _features(df: DataFrame, array_col: str) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
+    return df.withColumn("features", array_to_vector(F.col(array_col).cast("array<double>")))
+
+
+def fit_regressor(train: DataFrame, array_col: str, label_col: str, reg: float = 0.0):
+    """Least-squares head on fixed embeddings (a frozen encoder's output),
+    fitted distributively by Spark ML."""
+    from pyspark.ml.regression import LinearRegression
+    lr = LinearRegression(featuresCol="features", labelCol=label_col, regParam=reg,
+                          solver="l-bfgs", maxIter=100)
+    return lr.fit(_features(train, array_col).select("features", F.col(label_col).cast("double")))
+
+
+def predict(model, df: DataFrame, array_col: str) -> DataFrame:
+    return model.transform(_features(df, array_col)).drop("features")
+
+
+def fit_weighted_classifier(train: DataFrame, array_col: str, label_col: str, weights: DataFrame):
+    """Multinomial logistic regression with inverse-frequency class weights
+    (broadcast join of the <= K-row weight table)."""
+    from pyspark.ml.classification import LogisticRegression
+    t = _features(train, array_col).join(F.broadcast(weights.select(label_col, "weight")), label_col)
+    lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
+                            family="multinomial", maxIter=100)
+    return lr.fit(t.select("features", F.col(label_col).cast("double").alias(label_col), "weight"))

@@ -8,6 +8,7 @@ from . import sampling_queries  # noqa: F401
 from . import eval_queries  # noqa: F401
 from . import io_queries  # noqa: F401
 from . import stream_queries  # noqa: F401
+from . import model_queries  # noqa: F401
 
 QUERIES = registry.QUERIES
 ORACLE = registry.ORACLE
