@@ -104,9 +104,6 @@ def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give model UDFs every core when the input has fewer partitions than
-    the cluster has slots (small inputs); large inputs keep their splits."""
-    sc = df.sparkSession.sparkContext
-    if df.rdd.getNumPartitions() < sc.defaultParallelism:
-        return df.repartition(sc.defaultParallelism)
-    return df
+    """See :func:`labelforge.sources.tables.spread`."""
+    from ..sources.tables import spread as _spread
+    return _spread(df)

@@ -24,12 +24,14 @@ def score_to_int(spark, sf):
                     S.int_score_fallback(given, "raw_score").alias("int_score_filled"))
 
 
-@register("discretize", """SELECT doc_id, predicted_label_m1, predicted_label_m2, predicted_label_m3,
+_PL = [f"predicted_label_{m}" for m in V.MODEL_KEYS]
+
+
+@register("discretize", f"""SELECT doc_id, {", ".join(_PL)},
     CAST(greatest(0, least(4, round_even(raw_score, 0))) AS INTEGER) AS label_from_score
     FROM v_preds_wide JOIN v_scored USING (doc_id)""", ("v_preds_wide", "v_scored"))
 def discretize(spark, sf):
-    p = V.v_preds_wide(spark, sf).select("doc_id", "predicted_label_m1", "predicted_label_m2",
-                                         "predicted_label_m3")
+    p = V.v_preds_wide(spark, sf).select("doc_id", *_PL)
     s = V.v_scored(spark, sf).select("doc_id", S.discretize("raw_score").alias("label_from_score"))
     return p.join(s, "doc_id")
 

@@ -18,8 +18,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the cluster has
+    task slots (e.g. one large row group), so per-row work uses every core.
+
+    The check is planning-time only (no job). At corpus scale the scan
+    already has thousands of splits and this is a no-op.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
+def documents(spark: SparkSession, sf_dir: str, spread_narrow: bool = False) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return spread(d) if spread_narrow else d
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
