@@ -55,6 +55,14 @@ def _keys(by) -> list[str]:
     return list(by or [])
 
 
+def _with_group(ratings: DataFrame, by):
+    """Statistics are computed per group; an ungrouped call uses one
+    constant group so that every step stays an equi-join on the keys."""
+    if by:
+        return ratings, list(by), []
+    return ratings.withColumn("_all", F.lit(0)), ["_all"], ["_all"]
+
+
 # ----------------------------------------------------------------- per item
 def item_counts(ratings: DataFrame, by=None) -> DataFrame:
     """``(by..., item, score, n)`` — the one data-sized aggregate."""
@@ -123,8 +131,8 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
     alpha = 1 - (N - 1) * sum_ck o_ck d2_ck / sum_ck n_c n_k d2_ck, with the
     coincidences o_ck = sum_u n_uc (n_uk - [c=k]) / (m_u - 1).
     """
-    keys = _keys(by)
-    u = item_counts(ratings, by)
+    ratings, keys, extra = _with_group(ratings, by)
+    u = item_counts(ratings, keys)
     m = u.groupBy(*keys, "item").agg(F.sum("n").alias("m")).filter(F.col("m") >= 2)
     u = u.join(m, keys + ["item"])
     # Pairable marginals n_c and their running sums (K rows per group).
@@ -145,7 +153,7 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
     vb = nv.select(*keys, F.col("score").alias("b"), F.col("nc").alias("nc_b"),
                    F.col("cn").alias("cn_b"))
     # Both sides are K rows per group: K x K pairs.
-    pairs = (va.join(vb, keys) if keys else va.crossJoin(vb)).select(
+    pairs = va.join(vb, keys).select(
         *keys, "a", "b", (F.col("nc_a") * F.col("nc_b")).cast("double").alias("e"), "ntot",
         _delta2(level).alias("d2"))
     joined = pairs.join(o, keys + ["a", "b"], "left").fillna(0.0, ["o"])
@@ -154,48 +162,43 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
         F.sum(F.col("e") * F.col("d2")).alias("de"),
         F.max("ntot").alias("ntot"))
     return agg.select(*keys, (1.0 - (F.col("ntot") - 1) * F.try_divide(F.col("do"), F.col("de")))
-                      .alias("alpha"))
+                      .alias("alpha")).drop(*extra)
 
 
 def interval_alpha_simple(ratings: DataFrame, by=None) -> DataFrame:
     """alpha = 1 - MSD / D_e with D_e = 2 sum_{a<b} n_a n_b (a-b)^2 / (n (n-1))
     over pooled values (equals interval alpha when every item has equal c)."""
-    keys = _keys(by)
-    d_o = msd(ratings, by)
+    ratings, keys, extra = _with_group(ratings, by)
+    d_o = msd(ratings, keys)
     pooled = ratings.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
-    pa, pb = pooled.alias("pa"), pooled.alias("pb")
-    cond = [F.col(f"pa.{k}") == F.col(f"pb.{k}") for k in keys] + [F.col("pa.score") < F.col("pb.score")]
-    cross = pa.join(pb, cond).select(
-        *[F.col(f"pa.{k}").alias(k) for k in keys],
-        (F.col("pa.n") * F.col("pb.n") * F.pow((F.col("pa.score") - F.col("pb.score")).cast("double"), 2))
-        .alias("w"))
+    pa = pooled.select(*keys, F.col("score").alias("a"), F.col("n").alias("na"))
+    pb = pooled.select(*keys, F.col("score").alias("b"), F.col("n").alias("nb"))
+    w = (pa.join(pb, keys).filter(F.col("a") < F.col("b"))
+         .groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb") * F.pow((F.col("a") - F.col("b")).cast("double"), 2))
+                             .alias("w")))
     tot = pooled.groupBy(*keys).agg(F.sum("n").alias("ntot"))
-    de = (tot.join(cross.groupBy(*keys).agg(F.sum("w").alias("w")), keys, "left") if keys
-          else tot.crossJoin(cross.agg(F.sum("w").alias("w"))))
-    de = de.select(*keys, (2.0 * F.col("w") / (F.col("ntot") * (F.col("ntot") - 1))).alias("de"))
-    j = d_o.join(de, keys) if keys else d_o.crossJoin(de)
-    return j.select(*keys, (1.0 - F.try_divide(F.col("msd"), F.col("de"))).alias("alpha"))
+    de = tot.join(w, keys, "left").select(
+        *keys, (2.0 * F.col("w") / (F.col("ntot") * (F.col("ntot") - 1))).alias("de"))
+    return d_o.join(de, keys).select(
+        *keys, (1.0 - F.try_divide(F.col("msd"), F.col("de"))).alias("alpha")).drop(*extra)
 
 
 # ------------------------------------------------------------ Fleiss kappa
 def fleiss_kappa(ratings: DataFrame, categories=range(5), by=None) -> DataFrame:
     """Fleiss' kappa over the items x categories count table (ratings outside
     ``categories`` are ignored); raters per item = the maximum observed."""
-    keys = _keys(by)
+    ratings, keys, extra = _with_group(ratings, by)
     cats = list(categories)
-    c = item_counts(ratings.filter(F.col("score").isin(cats)), by)
+    c = item_counts(ratings.filter(F.col("score").isin(cats)), keys)
     per_item = c.groupBy(*keys, "item").agg(F.sum("n").alias("ni"),
                                              F.sum(F.col("n") * F.col("n")).alias("n2"))
     g = per_item.groupBy(*keys).agg(F.max("ni").alias("r"), F.count(F.lit(1)).alias("items"),
                                     F.sum("ni").alias("total"), F.sum("n2").alias("sn2"))
-    pj = c.groupBy(*keys, "score").agg(F.sum("n").alias("nj"))
-    pj = pj.join(g.select(*keys, "total") if keys else g.select("total"), keys) if keys \
-        else pj.crossJoin(g.select("total"))
+    pj = c.groupBy(*keys, "score").agg(F.sum("n").alias("nj")).join(g.select(*keys, "total"), keys)
     pe = pj.groupBy(*keys).agg(F.sum(F.pow(F.col("nj") / F.col("total"), 2)).alias("pe"))
-    j = g.join(pe, keys) if keys else g.crossJoin(pe)
     # mean_i (sum_j n_ij^2 - r) / (r (r - 1))
     pbar = (F.col("sn2") - F.col("items") * F.col("r")) / (F.col("items") * F.col("r") * (F.col("r") - 1))
-    return j.select(*keys, ((pbar - F.col("pe")) / (1 - F.col("pe"))).alias("kappa"))
+    return g.join(pe, keys).select(*keys, ((pbar - F.col("pe")) / (1 - F.col("pe"))).alias("kappa")).drop(*extra)
 
 
 # ------------------------------------------------------------- group/pool

@@ -101,10 +101,8 @@ def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int =
     ``stratify_col`` is given)."""
     keyed = df.withColumn("_hk", hash_key(id_col, seed))
     if stratify_col is None:
-        total = keyed.agg(F.count(F.lit(1)).alias("_n"))
-        pos = global_position(keyed, ["_hk", id_col], "_pos")
-        lim = total.select(F.floor((1 - F.lit(val_fraction)) * F.col("_n")).alias("_ntrain"))
-        out = pos.crossJoin(F.broadcast(lim))
+        n_train = int((1 - val_fraction) * keyed.count())  # one scalar to the driver
+        out = global_position(keyed, ["_hk", id_col], "_pos").withColumn("_ntrain", F.lit(n_train))
     else:
         sizes = keyed.groupBy(stratify_col).agg(F.count(F.lit(1)).alias("_n"))
         # Class start offsets in the (class, hash) order; one row per class.
@@ -132,13 +130,12 @@ def biased_sample(df: DataFrame, n: int, bias: float, id_col: str, labels_col: s
             | (F.array_contains(labels_col, maybe) & (hash_uniform(id_col, seed) <= bias)))
     base = base.withColumn("_keep", keep)
     chosen = base.filter("_keep")
-    n_chosen = chosen.agg(F.count(F.lit(1)).alias("_c"))
+    n_chosen = chosen.count()  # one scalar to the driver
     # At most n top-up candidates, so the window below ranks <= n rows.
     cand = (base.filter(~F.col("_keep")).withColumn("_hk", hash_key(id_col, topup_seed))
             .orderBy("_hk", id_col).limit(n))
     cand = (cand.withColumn("_r", F.row_number().over(Window.orderBy("_hk", id_col)))
-            .crossJoin(F.broadcast(n_chosen))
-            .filter(F.col("_r") <= F.lit(n) - F.col("_c"))
-            .drop("_hk", "_r", "_c"))
+            .filter(F.col("_r") <= F.lit(n - n_chosen))
+            .drop("_hk", "_r"))
     out = chosen.unionByName(cand).drop("_keep")
     return global_position(out.withColumn("_sk", hash_key(id_col, seed)), ["_sk", id_col]).drop("_sk")
