@@ -72,6 +72,11 @@ def _batched(factory: ModelFactory, out_type: T.DataType, batch_size: int):
     return run
 
 
+def model_udf(factory: ModelFactory, batch_size: int = 32):
+    """The regression model as a column function (double output)."""
+    return _batched(factory, T.DoubleType(), batch_size)
+
+
 def classify(df: DataFrame, text_col: str = "text", factory: ModelFactory | None = None,
              batch_size: int = 32) -> DataFrame:
     """Add ``score`` (model output) and ``int_score`` (clamp 0..5, half-even);

@@ -36,15 +36,20 @@ def contingency(long: DataFrame) -> DataFrame:
 
 def per_class(cm: DataFrame) -> DataFrame:
     """Per (model, label): support, predicted, tp, precision, recall, f1 over
-    the observed label union."""
+    the observed label union. Each contingency cell is counted once on its
+    true label, so the error sums ride along and every model-level figure
+    is one more aggregate of this frame (no join back to the cells)."""
     zero = F.lit(0).cast("long")
     a = cm.select(M, F.col(T).alias("label"), F.col("n").alias("support"),
-                  zero.alias("predicted"), F.when(F.col(T) == F.col(P), F.col("n")).otherwise(0).alias("tp"))
+                  zero.alias("predicted"), F.when(F.col(T) == F.col(P), F.col("n")).otherwise(0).alias("tp"),
+                  "se_raw", "n_raw", "se_pred")
     b = cm.select(M, F.col(P).alias("label"), zero.alias("support"), F.col("n").alias("predicted"),
-                  zero.alias("tp"))
+                  zero.alias("tp"), F.lit(None).cast("double").alias("se_raw"), zero.alias("n_raw"),
+                  F.lit(None).cast("double").alias("se_pred"))
     g = a.unionByName(b).groupBy(M, "label").agg(
-        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"))
-    return g.select(M, "label", "support", "predicted", "tp",
+        F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"),
+        F.sum("se_raw").alias("se_raw"), F.sum("n_raw").alias("n_raw"), F.sum("se_pred").alias("se_pred"))
+    return g.select(M, "label", "support", "predicted", "tp", "se_raw", "n_raw", "se_pred",
                     _safe_div(F.col("tp"), F.col("predicted")).alias("precision"),
                     _safe_div(F.col("tp"), F.col("support")).alias("recall"),
                     _safe_div(2 * F.col("tp"), F.col("support") + F.col("predicted")).alias("f1"))
@@ -57,17 +62,15 @@ def summary(long: DataFrame, digits: int | None = 4) -> DataFrame:
     MSE uses the raw predictions when the model has any, else the discrete
     ones (rows without a raw value are left out of the raw MSE).
     """
-    cm = contingency(long)
-    pc = per_class(cm)
-    f = pc.groupBy(M).agg(
+    pc = per_class(contingency(long))
+    g = pc.groupBy(M).agg(
+        F.sum("support").alias("n"), F.sum("tp").alias("correct"),
+        F.sum("se_raw").alias("se_raw"), F.sum("n_raw").alias("n_raw"), F.sum("se_pred").alias("se_pred"),
         F.avg("f1").alias("f1_macro"),
         (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"),
         F.avg("precision").alias("precision_macro"),
         F.avg("recall").alias("recall_macro"))
-    base = cm.groupBy(M).agg(
-        F.sum("n").alias("n"), F.sum(F.when(F.col(T) == F.col(P), F.col("n")).otherwise(0)).alias("correct"),
-        F.sum("se_raw").alias("se_raw"), F.sum("n_raw").alias("n_raw"), F.sum("se_pred").alias("se_pred"))
-    out = base.join(f, M).select(
+    out = g.select(
         M,
         F.when(F.col("n_raw") > 0, F.col("se_raw") / F.col("n_raw"))
         .otherwise(F.col("se_pred") / F.col("n")).alias("mse"),

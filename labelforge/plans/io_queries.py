@@ -132,16 +132,15 @@ EVAL_MODELS = {"len_k1": 1, "len_k3": 3, "len_k7": 7}
       FROM (SELECT raw_score, (length(text) * {k} % 601) / 100.0 - 0.5 AS s FROM v_scored WHERE length(text) > 0))"""
     for m, k in EVAL_MODELS.items()), ("v_scored",))
 def evaluate_models(spark, sf):
-    """Several models over one table: predictions -> long -> metric rows."""
+    """Several models over one scan: one score column per model (the model
+    UDFs share one Arrow pass), stacked long, then one contingency aggregate."""
     from ..functions.scores import discretize
+    from ..operators.reshape import wide_to_long
     base = I.spread(V.v_scored(spark, sf).select("doc_id", "text", discretize("raw_score").alias("true_label")))
-    parts = []
+    base = base.filter(F.length("text") > 0)
     for m, k in EVAL_MODELS.items():
-        p = I.classify(base, factory=I.length_regressor(k))
-        parts.append(p.select(F.lit(m).alias("model_name"), "true_label",
-                              discretize("score").alias("final_prediction"),
-                              F.col("score").alias("raw_prediction")))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
+        base = base.withColumn(f"raw_prediction_{m}", I.model_udf(I.length_regressor(k))(F.col("text")))
+    for m in EVAL_MODELS:
+        base = base.withColumn(f"predicted_label_{m}", discretize(f"raw_prediction_{m}"))
+    long = wide_to_long(base, ["true_label"])
     return MT.summary(long).select("model_name", "mse", "accuracy")
