@@ -11,8 +11,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Unicode whitespace as Python's str.isspace() sees it.
-WS = r"\s\p{Z}\x0b\x1c-\x1f\x85"
+# Unicode whitespace exactly as Python's str.isspace() defines it (derived
+# from the running interpreter, not listed by hand).
+WS_CHARS = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
+# The same set as a regex character-class body (Java and RE2 both accept \x{h}).
+WS = "".join(f"\\x{{{ord(c):x}}}" for c in WS_CHARS)
 # Python's \w for str patterns.
 WORD = r"\p{L}\p{N}_"
 
@@ -27,8 +30,13 @@ def col_of(c) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``."""
-    return F.regexp_replace(col_of(c), STRIP_RE, "")
+    """``str.strip()`` — a character-set trim, no regex."""
+    return F.btrim(col_of(c), F.lit(WS_CHARS))
+
+
+def sql_ws_chars() -> str:
+    """The whitespace set as a DuckDB string expression."""
+    return " || ".join(f"chr({ord(c)})" for c in WS_CHARS)
 
 
 def py_split(c) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCT_RE, SPLIT_RE, STRIP_RE, TOKEN_RE
+from ..functions.text import PUNCT_RE, SPLIT_RE, TOKEN_RE, sql_ws_chars
 from ..operators import quality as Q
 from ..sources.fixtures import TEST_LEXICON, _sql_list
 from ..sources.tables import documents
@@ -20,7 +20,7 @@ def _annotated(spark, sf):
 # The same signals in DuckDB (RE2 accepts the same character classes).
 _SIG = f"""sig AS (
   SELECT {DOC_COLS},
-    length(regexp_replace(t, '{STRIP_RE}', '', 'g')) AS sl,
+    length(trim(t, {sql_ws_chars()})) AS sl,
     length(t) AS tl,
     (length(t) - length(replace(t, '||', ''))) // 2 AS p2,
     length(t) - length(replace(t, '|', '')) AS p1,
