@@ -33,8 +33,9 @@ def stream_score(spark, sf):
 
 @register("stream_quality", f"WITH {_SIG} SELECT {DOC_COLS} FROM ann WHERE filter_reason = 'Clean content'")
 def stream_quality(spark, sf):
-    plan = ST.quality_clean(_docs_stream(spark, sf), lexicon=TEST_LEXICON)
-    return ST.materialise(spark, plan, "stream-quality")
+    clean, _ = ST.quality_split(spark, _docs_stream(spark, sf), "stream-quality", lexicon=TEST_LEXICON,
+                                spread_to=spark.sparkContext.defaultParallelism)
+    return clean
 
 
 @register("stream_progress", """SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,

@@ -22,12 +22,15 @@ def spread(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer partitions than the cluster has
     task slots (e.g. one large row group), so per-row work uses every core.
 
-    The check is planning-time only (no job). At corpus scale the scan
-    already has thousands of splits and this is a no-op.
+    The spread rows are checkpointed into the shared checkpoint folder: that
+    keeps Catalyst from pushing expensive filters back below the exchange
+    (into the single scan task) and cuts lineage. The check is planning-time
+    only; at corpus scale the scan has thousands of splits and this is a
+    no-op.
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
+        return df.repartition(slots).checkpoint(eager=True)
     return df
 
 

@@ -28,11 +28,12 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType,
 
 
 def run_to_files(df: DataFrame, out_path: str, checkpoint: str, mode: str = "append",
-                 fmt: str = "parquet") -> None:
+                 fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
     """Run the streaming plan over all available input into ``out_path``."""
-    q = (df.writeStream.format(fmt).option("path", out_path)
-         .option("checkpointLocation", checkpoint).outputMode(mode)
-         .trigger(availableNow=True).start())
+    w = df.writeStream.format(fmt).option("path", out_path).option("checkpointLocation", checkpoint)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    q = w.outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
@@ -65,6 +66,23 @@ def quality_clean(stream: DataFrame, text_col: str = "text", lexicon=Q.DANISH_BL
     return ann.filter(~F.col("is_problematic")).drop(*Q.HELPER_COLUMNS)
 
 
+def quality_split(spark: SparkSession, stream: DataFrame, name: str, text_col: str = "text",
+                  lexicon=Q.DANISH_BLOCKED_WORDS, threshold: int = Q.DEFAULT_THRESHOLD,
+                  spread_to: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Annotate arriving records once and write them partitioned by verdict
+    (one pass, both outputs, no filter in the streaming plan); returns the
+    (clean, problematic) batch frames read back with partition pruning.
+    ``spread_to`` round-robins micro-batches that arrive as few partitions."""
+    if spread_to:
+        stream = stream.repartition(spread_to)
+    ann = Q.annotate_quality(stream, text_col, lexicon, threshold)
+    out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
+    run_to_files(ann, out, ckpt, partition_by=["is_problematic"])
+    back = spark.read.schema(ann.schema).parquet(out)
+    clean = back.filter(~F.col("is_problematic")).drop(*Q.HELPER_COLUMNS)
+    return clean, back.filter(F.col("is_problematic"))
+
+
 def progress(annotations: DataFrame, id_col: str, label_col: str) -> DataFrame:
     """Running label distribution where each item counts once (state: the
     set of annotated ids, bounded by the annotation effort)."""
