@@ -90,16 +90,12 @@ def msd(ratings: DataFrame, by=None) -> DataFrame:
 
 def item_entropy(ratings: DataFrame, by=None) -> DataFrame:
     """Shannon entropy (bits) per item and entropy / log2(#distinct)."""
-    c = item_counts(ratings, by)
-    w = Window.partitionBy(*_keys(by), "item")
-    # Per-item frame of <= K rows: a small windowed sum, no data-sized sort.
-    p = c.withColumn("p", F.col("n") / F.sum("n").over(w))
-    h = p.groupBy(*_keys(by), "item").agg(
-        (-F.sum(F.col("p") * F.log2("p"))).alias("entropy"),
-        F.count(F.lit(1)).alias("k"))
-    return h.select(*_keys(by), "item", "entropy",
-                    F.when(F.col("k") > 1, F.col("entropy") / F.log2("k"))
-                    .otherwise(F.lit(0.0)).alias("norm_entropy"))
+    keys = _keys(by)
+    pi = per_item_counts(ratings, keys)
+    h = F.aggregate("c", F.lit(0.0), lambda acc, x: acc - (x["n"] / F.col("m")) * F.log2(x["n"] / F.col("m")))
+    k = F.size("c")
+    return pi.select(*keys, "item", h.alias("entropy"),
+                     F.when(k > 1, h / F.log2(k)).otherwise(F.lit(0.0)).alias("norm_entropy"))
 
 
 def mean_entropy(ratings: DataFrame, by=None) -> DataFrame:
@@ -124,35 +120,43 @@ def _delta2(level: str) -> Column:
     raise ValueError(f"unknown level {level!r}")
 
 
+def per_item_counts(ratings: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys..., item, c, m)``: ``c`` lists the item's (value, count) pairs
+    (at most K entries, however many raters a hot item has: the counts are
+    pre-aggregated per (item, value) with a map-side combine first), ``m`` is
+    the item's number of ratings."""
+    u = item_counts(ratings, keys)
+    return u.groupBy(*keys, "item").agg(
+        F.collect_list(F.struct(F.col("score").alias("v"), F.col("n").alias("n"))).alias("c"),
+        F.sum("n").alias("m"))
+
+
 def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> DataFrame:
     """Krippendorff's alpha (nominal / ordinal / interval), missing ratings
     allowed; units with fewer than two ratings are not pairable and dropped.
 
     alpha = 1 - (N - 1) * sum_ck o_ck d2_ck / sum_ck n_c n_k d2_ck, with the
-    coincidences o_ck = sum_u n_uc (n_uk - [c=k]) / (m_u - 1).
+    coincidences o_ck = sum_u n_uc (n_uk - [c=k]) / (m_u - 1). Each item's
+    <= K value counts are paired in place (<= K^2 rows per item): no join.
     """
     ratings, keys, extra = _with_group(ratings, by)
-    u = item_counts(ratings, keys)
-    m = u.groupBy(*keys, "item").agg(F.sum("n").alias("m")).filter(F.col("m") >= 2)
-    u = u.join(m, keys + ["item"])
+    pi = per_item_counts(ratings, keys).filter(F.col("m") >= 2)
+    one = pi.select(*keys, "m", "c", F.explode("c").alias("x"))
     # Pairable marginals n_c and their running sums (K rows per group).
-    nv = u.groupBy(*keys, "score").agg(F.sum("n").alias("nc"))
+    nv = one.groupBy(*keys, F.col("x.v").alias("score")).agg(F.sum("x.n").alias("nc"))
     wv = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
     nv = nv.withColumn("cn", F.sum("nc").over(wv)).withColumn(
         "ntot", F.sum("nc").over(Window.partitionBy(*keys)))
-    # Observed coincidences: per item <= K^2 (score, score) pairs.
-    ua = u.select(*keys, "item", F.col("score").alias("a"), F.col("n").alias("n_a"), "m")
-    ub = u.select(*keys, "item", F.col("score").alias("b"), F.col("n").alias("n_b"))
-    o = (ua.join(ub, keys + ["item"])
-         .select(*keys, "a", "b",
-                 (F.col("n_a") * (F.col("n_b") - F.when(F.col("a") == F.col("b"), 1).otherwise(0))
-                  / (F.col("m") - 1)).alias("o"))
+    same = F.when(F.col("x.v") == F.col("y.v"), 1).otherwise(0)
+    o = (one.select(*keys, "m", "x", F.explode("c").alias("y"))
+         .select(*keys, F.col("x.v").alias("a"), F.col("y.v").alias("b"),
+                 (F.col("x.n") * (F.col("y.n") - same) / (F.col("m") - 1)).alias("o"))
          .groupBy(*keys, "a", "b").agg(F.sum("o").alias("o")))
     va = nv.select(*keys, F.col("score").alias("a"), F.col("nc").alias("nc_a"),
                    F.col("cn").alias("cn_a"), "ntot")
     vb = nv.select(*keys, F.col("score").alias("b"), F.col("nc").alias("nc_b"),
                    F.col("cn").alias("cn_b"))
-    # Both sides are K rows per group: K x K pairs.
+    # Both sides are K rows per group: K x K value pairs.
     pairs = va.join(vb, keys).select(
         *keys, "a", "b", (F.col("nc_a") * F.col("nc_b")).cast("double").alias("e"), "ntot",
         _delta2(level).alias("d2"))
@@ -227,14 +231,15 @@ def wilcoxon_signed_rank(diffs: DataFrame, col: str = "d", digits: int = 9) -> D
     """W+, W-, W = min, n (non-zero pairs) and the tie-corrected normal z.
 
     Ranks of |d| with ties averaged come from the distinct |d| values and
-    their counts (running sum over distinct values), never a row-level sort.
+    their counts: rank = (#values below) + (t + 1) / 2, where the counts
+    below are a distributed prefix sum over the distinct values (range
+    partitions + per-partition offsets), never a row-level sort.
     """
+    from .sampling import prefix_sum
     d = diffs.select(F.round(F.col(col), digits).alias("d")).filter(F.col("d") != 0)
     byv = d.groupBy(F.abs("d").alias("v")).agg(
         F.count(F.lit(1)).alias("t"), F.count_if(F.col("d") > 0).alias("tp"))
-    w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    r = byv.withColumn("below", F.coalesce(F.sum("t").over(w), F.lit(0))).withColumn(
-        "rank", F.col("below") + (F.col("t") + 1) / 2.0)
+    r = prefix_sum(byv, "v", "t", "below").withColumn("rank", F.col("below") + (F.col("t") + 1) / 2.0)
     agg = r.agg(F.sum(F.col("rank") * F.col("tp")).alias("w_plus"),
                 F.sum(F.col("rank") * (F.col("t") - F.col("tp"))).alias("w_minus"),
                 F.sum("t").alias("n"),

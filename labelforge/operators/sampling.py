@@ -94,6 +94,30 @@ def global_position(df: DataFrame, order_cols: list, name: str = "pos",
             .drop("_pid", "_mid", "_off"))
 
 
+def prefix_sum(df: DataFrame, order_col: str, value_col: str, name: str,
+               num_partitions: int | None = None) -> DataFrame:
+    """Exclusive running total of ``value_col`` in ``order_col`` order
+    (distinct keys), distributed: range partitions, a per-partition running
+    sum, and per-partition offsets (one row per partition to the driver,
+    broadcast back)."""
+    spark = df.sparkSession
+    n = num_partitions or max(spark.sparkContext.defaultParallelism, 1)
+    ranged = (df.repartitionByRange(n, order_col)
+              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
+    totals = sorted((r["_pid"], r["s"] or 0) for r in
+                    ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect())
+    offs, acc = [], 0
+    for pid, s in totals:
+        offs.append((pid, acc))
+        acc += s
+    off_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off long")
+    # Per-partition window: each window partition is one range partition.
+    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    return (ranged.withColumn("_in", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
+            .join(F.broadcast(off_df), "_pid")
+            .withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
+
+
 def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int = 42,
                     stratify_col: str | None = None) -> DataFrame:
     """Add ``split`` in {'train', 'validation'}: the first
