@@ -20,6 +20,12 @@ TARGET_NAMES = ["None", "Minimal", "Basic", "Good", "Excellent"]
 M, T, P, RAW = "model_name", "true_label", "final_prediction", "raw_prediction"
 
 
+def materialise_small(df: DataFrame) -> DataFrame:
+    """Checkpoint a small aggregated frame (<= models x K^2 rows) that feeds
+    several branches, so the data-sized plan under it runs once."""
+    return df.checkpoint(eager=True)
+
+
 def _safe_div(a, b) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
@@ -89,15 +95,16 @@ def _grid(models: DataFrame, labels: list[int]) -> DataFrame:
 
 def confusion_matrix(long: DataFrame, labels=REPORT_LABELS) -> DataFrame:
     """Fixed-label confusion counts (others dropped, zero cells present)."""
-    cm = contingency(long).filter(F.col(T).isin(labels) & F.col(P).isin(labels))
-    counts = cm.select(M, T, F.col(P).alias("pred_label"), "n")
-    return (_grid(contingency(long), list(labels)).join(counts, [M, T, "pred_label"], "left")
+    cm = materialise_small(contingency(long))
+    counts = cm.filter(F.col(T).isin(labels) & F.col(P).isin(labels)).select(
+        M, T, F.col(P).alias("pred_label"), "n")
+    return (_grid(cm, list(labels)).join(counts, [M, T, "pred_label"], "left")
             .select(M, T, "pred_label", F.coalesce("n", F.lit(0)).alias("n")))
 
 
 def confusion_observed(long: DataFrame) -> DataFrame:
     """Confusion counts over the observed label union of each model."""
-    cm = contingency(long)
+    cm = materialise_small(contingency(long))
     labels = per_class(cm).groupBy(M).agg(F.collect_set("label").alias("ls"))  # <= K per model
     grid = (labels.withColumn(T, F.explode("ls")).withColumn("pred_label", F.explode("ls"))
             .drop("ls"))
@@ -110,7 +117,7 @@ def classification_report(long: DataFrame, labels=REPORT_LABELS, names=TARGET_NA
     """Per-class precision/recall/f1/support on fixed labels, then
     'accuracy' (or 'micro avg' when other labels occur), 'macro avg' and
     'weighted avg' rows."""
-    pc = per_class(contingency(long))
+    pc = materialise_small(per_class(contingency(long)))
     name_of = F.element_at(F.create_map(*[x for i, n in zip(labels, names)
                                           for x in (F.lit(i), F.lit(n))]), F.col("label"))
     seq = F.array(*[F.lit(v) for v in labels])

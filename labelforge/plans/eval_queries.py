@@ -177,7 +177,7 @@ def classification_report(spark, sf):
       WHERE contains(lower(model_name), 'full') AND contains(lower(model_name), 'finetune')), 'N/A')""".replace(
     "\n  , fam AS", ", fam AS", 1)), VIEWS)
 def rank_models(spark, sf):
-    s = MT.summary(master(spark, sf))
+    s = MT.materialise_small(MT.summary(master(spark, sf)))
     fam = MT.rank_in_family(s, "fewshot", "zero")
     roles = spark.createDataFrame([("best_fewshot", 1), ("second_fewshot", 2)], "role string, rank int")
     ranked = roles.join(F.broadcast(fam.select("rank", "model_name")), "rank", "left").select(
