@@ -13,6 +13,8 @@ from .registry import register
 
 
 def _split(spark, sf):
+    """Seeded exact 80/20 split; its positions are checkpointed, so the
+    several fits below re-read stored rows instead of recomputing them."""
     e = embeddings(spark, sf)
     return R.train_val_split(e, 0.2, "vec_id", 42)
 
@@ -24,7 +26,7 @@ def _mse(pred, label_col="label"):
 
 @register("embedding_regressor")
 def embedding_regressor(spark, sf):
-    s = _split(spark, sf).persist()
+    s = _split(spark, sf)
     model = ML.fit_regressor(s.filter(F.col("split") == "train"), "embedding", "label")
     return ML.predict(model, s, "embedding").groupBy("split").agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.pow(F.col("prediction") - F.col("label"), 2)).alias("mse"))
@@ -32,7 +34,7 @@ def embedding_regressor(spark, sf):
 
 @register("weighted_classifier")
 def weighted_classifier(spark, sf):
-    s = _split(spark, sf).persist()
+    s = _split(spark, sf)
     train = s.filter(F.col("split") == "train")
     w = ML.class_weights(train, "label")
     model = ML.fit_weighted_classifier(train, "embedding", "label", w)
@@ -45,7 +47,7 @@ def weighted_classifier(spark, sf):
 
 @register("learning_curve")
 def learning_curve(spark, sf):
-    s = _split(spark, sf).persist()
+    s = _split(spark, sf)
     train, val = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "validation")
     rows = None
     for n in (100, 250, 400):

@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -20,7 +21,13 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # checkpoint()/streaming sinks use the session's shared folder
+            ensure_checkpoint_dir(spark)
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql, *views)
         return fn
