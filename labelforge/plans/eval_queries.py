@@ -2,8 +2,10 @@
 
 The evaluation table ("master") is the long union of every model's
 predictions (from the wide prediction table) and of the annotators' labels
-left-joined to the gold rows on ``text`` (duplicate texts fan out, as a join
-does), with null predictions dropped.
+left-joined to the gold rows, with null predictions dropped. Annotations are
+keyed by the document id, so a text that occurs many times (a hot group of
+copies) joins one-to-one instead of emitting every pair of copies;
+``joins.text_join`` covers sources that only share the text.
 """
 
 from __future__ import annotations
@@ -35,12 +37,12 @@ def human_labels(spark, sf):
 def master(spark, sf):
     wide = V.v_preds_wide(spark, sf)
     long = X.wide_to_long(wide, ["doc_id", "text", "true_label"])
-    gold = wide.select("text", "true_label")
-    llm = V.v_llm(spark, sf).select("text", F.col("gemini_prediction").alias("final_prediction"))
-    human = human_labels(spark, sf).select("text", S.encode_label("our_label").alias("final_prediction"))
+    gold = wide.select("doc_id", "true_label")
+    llm = V.v_llm(spark, sf).select("doc_id", F.col("gemini_prediction").alias("final_prediction"))
+    human = human_labels(spark, sf).select("doc_id", S.encode_label("our_label").alias("final_prediction"))
     parts = [long.select("model_name", "true_label", "final_prediction", "raw_prediction")]
     for name, ann in ((LLM_NAME, llm), (HUMAN_NAME, human)):
-        parts.append(J.text_join(gold, ann, "text", "left").select(
+        parts.append(gold.join(ann, "doc_id", "left").select(
             F.lit(name).alias("model_name"), "true_label", "final_prediction",
             F.lit(None).cast("double").alias("raw_prediction")))
     out = parts[0]
@@ -60,14 +62,14 @@ def _long_sql():
 
 
 MASTER_SQL = f"""models_long AS ({_long_sql()}),
-  gold AS (SELECT text, true_label FROM v_preds_wide),
+  gold AS (SELECT doc_id, true_label FROM v_preds_wide),
   ann AS (
     SELECT g.true_label, '{LLM_NAME}' AS model_name, l.gemini_prediction AS final_prediction
-      FROM gold g LEFT JOIN v_llm l ON g.text = l.text
+      FROM gold g LEFT JOIN v_llm l ON g.doc_id = l.doc_id
     UNION ALL
     SELECT g.true_label, '{HUMAN_NAME}', list_position({NAMES}, h.our_label) - 1
-      FROM gold g LEFT JOIN (SELECT text, CASE WHEN doc_id % 37 = 0 THEN '{V.PROBLEMATIC_LABEL}'
-                                  ELSE own_label_1 END AS our_label FROM v_panel_text) h ON g.text = h.text),
+      FROM gold g LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 37 = 0 THEN '{V.PROBLEMATIC_LABEL}'
+                                  ELSE own_label_1 END AS our_label FROM v_panel_text) h ON g.doc_id = h.doc_id),
   master AS (
     SELECT model_name, true_label, CAST(final_prediction AS INTEGER) AS final_prediction, raw_prediction
       FROM models_long
@@ -234,13 +236,14 @@ def expand_scores(spark, sf):
 
 def merged_predictions(spark, sf):
     """Outer-merge the prediction table with the LLM scores on their common
-    columns, drop label / int_score columns, attach the expanded panel
-    scores by id."""
+    columns (id, text: one-to-one, null keys match null keys), drop label /
+    int_score columns, attach the expanded panel scores by id."""
     wide = V.v_preds_wide(spark, sf)
     df1 = wide.select(F.col("doc_id").alias("id"), "text", F.col("true_label").alias("int_score"),
                       F.col("true_label").alias("real_label"),
                       *[c for c in wide.columns if c.startswith(("predicted_label_", "raw_prediction_"))])
-    df2 = V.v_llm(spark, sf).select("text", F.col("gemini_prediction").alias("int_score"))
+    df2 = V.v_llm(spark, sf).select(F.col("doc_id").alias("id"), "text",
+                                    F.col("gemini_prediction").alias("int_score"))
     df2 = df2.withColumnRenamed("int_score", "llm_score")
     merged = J.natural_outer_merge([df1, df2]).drop("real_label")
     merged = J.drop_matching(J.drop_matching(merged, "label"), "int_score")
@@ -250,17 +253,18 @@ def merged_predictions(spark, sf):
 
 
 @register("merge_predictions", f"""WITH e AS ({_expand_sql()}),
-    m AS (SELECT a.id, coalesce(a.text, b.text) AS text, {", ".join(f"a.raw_prediction_{m}" for m in V.MODEL_KEYS)},
+    m AS (SELECT coalesce(a.id, b.doc_id) AS id, coalesce(a.text, b.text) AS text, {", ".join(f"a.raw_prediction_{m}" for m in V.MODEL_KEYS)},
           b.gemini_prediction AS llm_score
-          FROM (SELECT doc_id AS id, * FROM v_preds_wide) a FULL JOIN v_llm b ON a.text IS NOT DISTINCT FROM b.text)
+          FROM (SELECT doc_id AS id, * FROM v_preds_wide) a FULL JOIN v_llm b ON a.id IS NOT DISTINCT FROM b.doc_id AND a.text IS NOT DISTINCT FROM b.text)
     SELECT m.*, {", ".join(RENAME.values())} FROM m LEFT JOIN e USING (id)""", ("v_preds_wide", "v_llm", "v_panel_json"))
 def merge_predictions(spark, sf):
     return merged_predictions(spark, sf)
 
 
 @register("column_averages", f"""WITH e AS ({_expand_sql()}),
-    m AS (SELECT a.id, {", ".join(f"a.raw_prediction_{m}" for m in V.MODEL_KEYS)}, b.gemini_prediction AS llm_score
-          FROM (SELECT doc_id AS id, * FROM v_preds_wide) a FULL JOIN v_llm b ON a.text IS NOT DISTINCT FROM b.text),
+    m AS (SELECT coalesce(a.id, b.doc_id) AS id, {", ".join(f"a.raw_prediction_{m}" for m in V.MODEL_KEYS)}, b.gemini_prediction AS llm_score
+          FROM (SELECT doc_id AS id, * FROM v_preds_wide) a FULL JOIN v_llm b
+          ON a.id IS NOT DISTINCT FROM b.doc_id AND a.text IS NOT DISTINCT FROM b.text),
     j AS (SELECT m.*, {", ".join(RENAME.values())} FROM m LEFT JOIN e USING (id))
     SELECT "column", round(mean, 6) AS mean FROM (UNPIVOT (SELECT {", ".join(
         f"avg({c}) AS {c}" for c in [f"raw_prediction_{m}" for m in V.MODEL_KEYS] + ["llm_score"] + list(RENAME.values()))}

@@ -8,7 +8,7 @@ import re
 from labelforge.operators import quality as Q
 
 LEX = ["sæd", "odds", "åop", "cam"]
-ALPHABET = (list("abcæøåÅÆØxyz_0123456789") + ["sæd", "odds", "ÅOP", "cam", "é", "٣"]
+ALPHABET = (list("abcæøåÅÆØxyz_0123456789") + ["sæd", "odds", "ÅOP", "cam", "e\u0301", "\u00df", "\u0130", "é", "٣"]
             + list(".,!?;:-'\"()[]{}") + ["|", "||"]
             + [" ", " ", "\t", "\n", " ", " ", "\u001c", "\u000b", "\u0085", "　"])
 
