@@ -188,6 +188,17 @@ def interval_alpha_simple(ratings: DataFrame, by=None) -> DataFrame:
 
 
 # ------------------------------------------------------------ Fleiss kappa
+def category_table(ratings: DataFrame, categories=range(5), by=None) -> DataFrame:
+    """Items x categories count table (one column per category, zeros
+    filled); explicit pivot values, so no extra distinct job."""
+    cats = list(categories)
+    c = item_counts(ratings.filter(F.col("score").isin(cats)), by)
+    t = c.groupBy(*_keys(by), "item").pivot("score", cats).agg(F.sum("n"))
+    return t.fillna(0, [str(v) for v in cats]).select(
+        *_keys(by), "item", *[F.col(str(v)).cast("long").alias(f"n_{v}") for v in cats])
+
+
+
 def fleiss_kappa(ratings: DataFrame, categories=range(5), by=None) -> DataFrame:
     """Fleiss' kappa over the items x categories count table (ratings outside
     ``categories`` are ignored); raters per item = the maximum observed."""

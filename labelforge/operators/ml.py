@@ -43,3 +43,18 @@ def fit_weighted_classifier(train: DataFrame, array_col: str, label_col: str, we
     lr = LogisticRegression(featuresCol="features", labelCol=label_col, weightCol="weight",
                             family="multinomial", maxIter=100)
     return lr.fit(t.select("features", F.col(label_col).cast("double").alias(label_col), "weight"))
+
+
+def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 16,
+                       reg: float = 0.01):
+    """Regression head on hashed whole-text token counts: native tokenizer
+    (whitespace runs, as ``str.split``), HashingTF, least squares."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import HashingTF, RegexTokenizer
+    from pyspark.ml.regression import LinearRegression
+    from ..functions.text import SPLIT_RE
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=SPLIT_RE, gaps=True,
+                         toLowercase=True, minTokenLength=1)
+    tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=num_features)
+    lr = LinearRegression(featuresCol="features", labelCol=label_col, regParam=reg, maxIter=30)
+    return Pipeline(stages=[tok, tf, lr]).fit(train.select(text_col, F.col(label_col).cast("double")))

@@ -231,3 +231,10 @@ def panel_eligible(spark, sf):
     p = V.v_panel_text(spark, sf).select("doc_id", S.parse_list_text("educational_value_labels").alias("l"))
     return p.filter((F.size("l") > 2) & F.arrays_overlap("l", F.array(F.lit("Excellent")))).select("doc_id")
 
+
+
+@register("category_table", f"""SELECT item, {", ".join(
+    f"count(*) FILTER (WHERE score = {v}) AS n_{v}" for v in range(5))}
+    FROM ({R_PANEL}) WHERE score BETWEEN 0 AND 4 GROUP BY item""", PANEL_VIEWS)
+def category_table(spark, sf):
+    return G.category_table(ratings_panel(spark, sf).drop("group"))

@@ -55,3 +55,15 @@ def learning_curve(spark, sf):
         r = _mse(ML.predict(model, val, "embedding")).withColumn("n_samples", F.lit(n))
         rows = r if rows is None else rows.unionByName(r)
     return rows
+
+
+@register("text_regressor")
+def text_regressor(spark, sf):
+    """Score regressor on whole texts (hashed tokens), fitted on the train
+    split of the scored corpus, MSE per split."""
+    from ..sources import fixtures as V
+    s = R.train_val_split(V.v_scored(spark, sf).select("doc_id", "text", "raw_score"), 0.2, "doc_id", 42)
+    model = ML.fit_text_regressor(s.filter(F.col("split") == "train"), "text", "raw_score")
+    return (model.transform(s).groupBy("split")
+            .agg(F.count(F.lit(1)).alias("n"),
+                 F.avg(F.pow(F.col("prediction") - F.col("raw_score"), 2)).alias("mse")))

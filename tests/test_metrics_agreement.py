@@ -118,3 +118,24 @@ def test_wilcoxon_ties_and_p(spark):
     # |d| ranks: 1,1,1 -> 2 ; 2,2 -> 4.5 ; 3,3 -> 6.5 ; 4 -> 8 ; 5 -> 9
     assert r["n"] == 9 and r["w_minus"] == pytest.approx(2 + 4.5 + 6.5)
     assert 0 < G.wilcoxon_p_value(r["z"]) < 1
+
+
+def test_ordered_pair_normalised_variant_equals_simple_alpha(spark):
+    # ordered pairs with distances scaled by (R-1): the scale cancels in D_o/D_e
+    rnd = random.Random(9)
+    data = [[rnd.randint(0, 4) for _ in range(4)] for _ in range(30)]
+    R = 5
+    do = sum(((a - b) / (R - 1)) ** 2 for s in data for i, a in enumerate(s) for j, b in enumerate(s) if i != j)
+    do /= sum(len(s) * (len(s) - 1) for s in data)
+    pooled = [x for s in data for x in s]
+    n = len(pooled)
+    de = sum(((a - b) / (R - 1)) ** 2 for i, a in enumerate(pooled) for j, b in enumerate(pooled) if i != j)
+    de /= n * (n - 1)
+    g4 = 1 - do / de
+    g3 = G.interval_alpha_simple(ratings(spark, data)).first()["alpha"]
+    assert g3 == pytest.approx(g4)
+
+
+def test_category_table_counts(spark):
+    t = G.category_table(ratings(spark, [[0, 0, 4], [1, 2, 2]])).orderBy("item").collect()
+    assert [tuple(r)[1:] for r in t] == [(2, 0, 0, 0, 1), (0, 1, 2, 0, 0)]
