@@ -315,3 +315,20 @@ def regression_eval(spark, sf):
     w = V.v_preds_wide(spark, sf)
     r = MT.regression_eval(w, "raw_prediction_full_finetune", "true_label")
     return r.select(*[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_macro", "accuracy", "mse")])
+
+
+@register("annotator_by_text", f"""SELECT g.doc_id, g.true_label,
+    list_position({NAMES}, h.our_label) - 1 AS final_prediction
+    FROM (SELECT doc_id, text, true_label FROM v_preds_wide) g
+    LEFT JOIN (SELECT text, arg_min(CASE WHEN doc_id % 37 = 0 THEN '{V.PROBLEMATIC_LABEL}' ELSE own_label_1 END,
+                                    doc_id) AS our_label
+               FROM v_panel_text GROUP BY text) h ON g.text = h.text""", VIEWS)
+def annotator_by_text(spark, sf):
+    """Gold rows left-joined to a text-keyed annotation file. The labelling
+    tool annotates each distinct text once (earliest copy), so the right
+    side is unique per text and repeated gold texts each get that label."""
+    ann = (human_labels(spark, sf).groupBy("text")
+           .agg(F.min_by("our_label", "doc_id").alias("our_label")))
+    gold = V.v_preds_wide(spark, sf).select("doc_id", "text", "true_label")
+    return J.text_join(gold, ann, "text", "left").select(
+        "doc_id", "true_label", S.encode_label("our_label").alias("final_prediction"))
