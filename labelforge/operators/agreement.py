@@ -140,7 +140,12 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
     <= K value counts are paired in place (<= K^2 rows per item): no join.
     """
     ratings, keys, extra = _with_group(ratings, by)
-    pi = per_item_counts(ratings, keys).filter(F.col("m") >= 2)
+    return alpha_from_counts(per_item_counts(ratings, keys), level, keys).drop(*extra)
+
+
+def alpha_from_counts(pi: DataFrame, level: str, keys: list[str]) -> DataFrame:
+    """Alpha per group from per-item (value, count) lists ``(keys, item, c, m)``."""
+    pi = pi.filter(F.col("m") >= 2)
     one = pi.select(*keys, "m", "c", F.explode("c").alias("x"))
     # Pairable marginals n_c and their running sums (K rows per group).
     nv = one.groupBy(*keys, F.col("x.v").alias("score")).agg(F.sum("x.n").alias("nc"))
@@ -166,7 +171,7 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
         F.sum(F.col("e") * F.col("d2")).alias("de"),
         F.max("ntot").alias("ntot"))
     return agg.select(*keys, (1.0 - (F.col("ntot") - 1) * F.try_divide(F.col("do"), F.col("de")))
-                      .alias("alpha")).drop(*extra)
+                      .alias("alpha"))
 
 
 def interval_alpha_simple(ratings: DataFrame, by=None) -> DataFrame:
@@ -223,12 +228,32 @@ def with_all_group(ratings: DataFrame, group_col: str = "group") -> DataFrame:
 
 
 def class_pools(ratings: DataFrame, categories=range(5)) -> DataFrame:
-    """Ratings of every item in which class ``pool`` was given at least once."""
+    """Ratings of every item in which class ``pool`` was given at least once
+    (row form; the statistics below use :func:`pool_counts` instead)."""
     present = (ratings.filter(F.col("score").isin(list(categories)))
                .select("item", F.col("score").alias("pool")).distinct())
     return ratings.join(present, "item")
 
 
+def pool_counts(ratings: DataFrame, categories=range(5)) -> DataFrame:
+    """Per-item value counts tagged with each pool the item belongs to:
+    ``(pool, item, c, m)``. Built from the <= K-entry count lists, so a hot
+    item never meets a join on raw ratings."""
+    cats = [int(v) for v in categories]
+    pi = per_item_counts(ratings, [])
+    present = F.transform(F.filter("c", lambda x: x["v"].isin(cats)), lambda x: x["v"])
+    return pi.select(F.explode(present).alias("pool"), "item", "c", "m")
+
+
+def msd_from_counts(pi: DataFrame, keys: list[str]) -> DataFrame:
+    """MSD from per-item (value, count) lists."""
+    s1 = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"] * x["v"])
+    s2 = F.aggregate("c", F.lit(0.0), lambda a, x: a + x["n"] * x["v"] * x["v"])
+    m = F.col("m")
+    per = pi.filter(m >= 2).select(*keys, (2.0 * (m * s2 - s1 * s1) / (m * (m - 1))).alias("msd"))
+    return per.groupBy(*keys).agg(F.avg("msd").alias("msd"))
+
+
 # --------------------------------------------------------------- Wilcoxon
 def paired_item_msd(ratings: DataFrame, first: str, second: str, group_col: str = "group") -> DataFrame:
     """Per item ``d = msd(first group) - msd(second group)``."""

@@ -25,23 +25,33 @@ def hash_uniform(id_col, seed) -> Column:
     return F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
+# Largest n served by a top-k (each partition ships <= n rows to one task);
+# beyond it, exact selections use the distributed global position.
+TOPK_MAX = 200_000
+
+
+def _head(df: DataFrame, n: int, order_cols: list) -> DataFrame:
+    if n <= TOPK_MAX:
+        return df.orderBy(*order_cols).limit(n)
+    return global_position(df, order_cols, "_gp").filter(F.col("_gp") <= n).drop("_gp")
+
+
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """The first ``n`` rows by an explicit key (a bounded head)."""
-    return df.orderBy(order_col).limit(n)
+    """The first ``n`` rows by an explicit key."""
+    return _head(df, n, [order_col])
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, count)`` rows chosen uniformly by seeded hash.
 
-    ``n == -1`` keeps all rows, ``n == 0`` none. Implemented as a top-k on
-    the hash key: each partition keeps at most ``n`` candidates.
+    ``n == -1`` keeps all rows, ``n == 0`` none. A top-k on the hash key for
+    sample sizes up to ``TOPK_MAX``; a global position beyond.
     """
     if n < 0:
         return df
     if n == 0:
         return df.limit(0)
-    return (df.withColumn("_hk", hash_key(id_col, seed))
-            .orderBy("_hk", id_col).limit(n).drop("_hk"))
+    return _head(df.withColumn("_hk", hash_key(id_col, seed)), n, ["_hk", id_col]).drop("_hk")
 
 
 def cap_per_class(df: DataFrame, class_col: str, quotas: dict[int, int], order_col: str,
@@ -57,16 +67,34 @@ def cap_per_class(df: DataFrame, class_col: str, quotas: dict[int, int], order_c
     if not quotas:
         return df.filter(F.col(class_col).isin(list(unlimited)))
     qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    w = Window.partitionBy(class_col).orderBy(order_col)
-    capped = (df.filter(F.col(class_col).isin(list(quotas)))
-              .withColumn("_rn", F.row_number().over(w))
-              .filter((F.col("_rn") <= max(quotas.values()))
-                      & (F.col("_rn") <= F.element_at(qmap, F.col(class_col))))
-              .drop("_rn"))
+    quota = F.element_at(qmap, F.col(class_col))
+    sub = df.filter(F.col(class_col).isin(list(quotas)))
+    if max(quotas.values()) <= TOPK_MAX:
+        w = Window.partitionBy(class_col).orderBy(order_col)
+        capped = (sub.withColumn("_rn", F.row_number().over(w))
+                  .filter((F.col("_rn") <= max(quotas.values())) & (F.col("_rn") <= quota))
+                  .drop("_rn"))
+    else:
+        # Large quotas: positions within each class from one range-partitioned
+        # order over (class, key), so a hot class is spread over many tasks.
+        capped = positions_within(sub, class_col, [order_col], "_rn").filter(
+            F.col("_rn") <= quota).drop("_rn")
     rest = df.filter(F.col(class_col).isin(list(unlimited)))
     return rest.unionByName(capped)
 
 
+def positions_within(df: DataFrame, group_col: str, order_cols: list, name: str) -> DataFrame:
+    """1-based position of each row inside its group (``group_col``) in
+    ``order_cols`` order, without a per-group window: a global position over
+    (group, order...) minus the group's start offset (one row per group)."""
+    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
+    starts = sizes.select(group_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    pos = global_position(df, [group_col] + list(order_cols), "_gpos")
+    return (pos.join(F.broadcast(starts), group_col, "left")
+            .withColumn(name, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start"))
+
+
 def global_position(df: DataFrame, order_cols: list, name: str = "pos",
                     num_partitions: int | None = None) -> DataFrame:
     """1-based position of each row in the total order ``order_cols``.

@@ -189,10 +189,10 @@ R_POOLS = f"""SELECT r.item, r.rater, r.score, p.pool FROM ({R_PANEL}) r
     FROM {msd_sql(R_POOLS, ['pool'])} m JOIN {alpha_sql(R_POOLS, 'ordinal', ['pool'])} a USING (pool)
     JOIN {alpha_sql(R_POOLS, 'nominal', ['pool'])} n USING (pool)""", PANEL_VIEWS)
 def agreement_by_pool(spark, sf):
-    r = G.class_pools(ratings_panel(spark, sf).drop("group"))
-    m = G.msd(r, ["pool"])
-    a = G.krippendorff_alpha(r, "ordinal", ["pool"]).withColumnRenamed("alpha", "alpha_ordinal")
-    n = G.krippendorff_alpha(r, "nominal", ["pool"]).withColumnRenamed("alpha", "alpha_nominal")
+    pc = G.pool_counts(ratings_panel(spark, sf).drop("group"))
+    m = G.msd_from_counts(pc, ["pool"])
+    a = G.alpha_from_counts(pc, "ordinal", ["pool"]).withColumnRenamed("alpha", "alpha_ordinal")
+    n = G.alpha_from_counts(pc, "nominal", ["pool"]).withColumnRenamed("alpha", "alpha_nominal")
     return m.join(a, "pool").join(n, "pool").select(
         F.col("pool").cast("long"), *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "alpha_nominal")])
 

@@ -30,3 +30,28 @@ def test_split_sizes_and_positions(spark):
     pos = R.global_position(s.repartition(5), ["doc_id"]).collect()
     assert sorted(r["pos"] for r in pos) == list(range(1, n + 1))
     assert all(r["pos"] == i + 1 for i, r in enumerate(sorted(pos, key=lambda r: r["doc_id"])))
+
+
+def test_large_n_paths_match_topk_paths(spark, monkeypatch):
+    s = V.v_scored(spark, SMALL).select("doc_id", "int_score")
+    quotas = {0: 5, 1: 3, 3: 7, 4: 2}
+    small_sample = {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()}
+    small_head = {r[0] for r in R.first_n(s, 23, "doc_id").collect()}
+    small_cap = {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()}
+    monkeypatch.setattr(R, "TOPK_MAX", 1)
+    assert {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()} == small_sample
+    assert {r[0] for r in R.first_n(s, 23, "doc_id").collect()} == small_head
+    assert {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()} == small_cap
+
+
+def test_pool_stats_from_counts_match_row_form(spark):
+    import random
+    from labelforge.operators import agreement as G
+    rnd = random.Random(1)
+    rows = [(i, f"r{j}", rnd.randint(0, 4)) for i in range(40) for j in range(rnd.randint(1, 6))]
+    r = spark.createDataFrame(rows, "item long, rater string, score int")
+    a = {x["pool"]: round(x["alpha"], 9) for x in G.krippendorff_alpha(G.class_pools(r), "ordinal", ["pool"]).collect()}
+    b = {x["pool"]: round(x["alpha"], 9) for x in G.alpha_from_counts(G.pool_counts(r), "ordinal", ["pool"]).collect()}
+    m1 = {x["pool"]: round(x["msd"], 9) for x in G.msd(G.class_pools(r), ["pool"]).collect()}
+    m2 = {x["pool"]: round(x["msd"], 9) for x in G.msd_from_counts(G.pool_counts(r), ["pool"]).collect()}
+    assert a == b and m1 == m2
