@@ -291,3 +291,11 @@ def wilcoxon_signed_rank(diffs: DataFrame, col: str = "d", digits: int = 9) -> D
 def wilcoxon_p_value(z: float) -> float:
     """Two-sided normal p-value for the (single) aggregated z."""
     return math.erfc(abs(z) / math.sqrt(2.0))
+
+
+def wilcoxon_test(ratings: DataFrame, first: str, second: str, group_col: str = "group") -> dict:
+    """Paired signed-rank test of per-item MSD between two rater groups:
+    the one aggregated row plus its two-sided normal p-value."""
+    r = wilcoxon_signed_rank(paired_item_msd(ratings, first, second, group_col)).first().asDict()
+    r["p_value"] = wilcoxon_p_value(r["z"]) if r["z"] is not None else None
+    return r

@@ -81,9 +81,11 @@ def summary(long: DataFrame, digits: int | None = 4) -> DataFrame:
         F.when(F.col("n_raw") > 0, F.col("se_raw") / F.col("n_raw"))
         .otherwise(F.col("se_pred") / F.col("n")).alias("mse"),
         (F.col("correct") / F.col("n")).alias("accuracy"),
-        "f1_macro", "f1_weighted", "precision_macro", "recall_macro")
+        "f1_macro", "f1_weighted", "precision_macro", "recall_macro",
+        F.col("n").cast("long").alias("n"), F.col("n_raw").cast("long").alias("n_raw"))
     if digits is not None:
-        out = out.select(M, *[F.bround(c, digits).alias(c) for c in out.columns if c != M])
+        out = out.select(M, *[F.bround(c, digits).alias(c) for c in out.columns
+                              if c not in (M, "n", "n_raw")], "n", "n_raw")
     return out.orderBy(F.desc("f1_macro"), M)
 
 

@@ -55,7 +55,7 @@ def gold_from_labels(spark, sf):
     return p.select("doc_id", "text", S.mean_round(codes).alias("int_score"))
 
 
-@register("gold_panel", f"""SELECT a1.doc_id, 6 AS n_labels,
+@register("gold_panel", f"""SELECT a1.doc_id, CAST(6 AS BIGINT) AS n_labels,
     CAST(round_even((list_position({NAMES}, a1.our_label) + list_position({NAMES}, a2.our_label)
         + list_position({NAMES}, a3.our_label) - 3 + s3 + s4 + s5) / 6.0, 0) AS INTEGER) AS int_score
     FROM (SELECT doc_id, own_label_1 AS our_label FROM v_panel_text) a1

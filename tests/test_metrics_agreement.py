@@ -139,3 +139,15 @@ def test_ordered_pair_normalised_variant_equals_simple_alpha(spark):
 def test_category_table_counts(spark):
     t = G.category_table(ratings(spark, [[0, 0, 4], [1, 2, 2]])).orderBy("item").collect()
     assert [tuple(r)[1:] for r in t] == [(2, 0, 0, 0, 1), (0, 1, 2, 0, 0)]
+
+
+def test_wilcoxon_test_dict(spark):
+    rows = []
+    rnd = random.Random(4)
+    for i in range(60):
+        for j in range(3):
+            rows.append((i, f"o{j}", rnd.randint(0, 4), "own"))
+            rows.append((i, f"e{j}", rnd.choice([0, 4]), "external"))
+    r = spark.createDataFrame(rows, "item long, rater string, score int, group string")
+    out = G.wilcoxon_test(r, "own", "external")
+    assert out["n"] > 0 and 0 <= out["p_value"] <= 1 and out["w"] == min(out["w_plus"], out["w_minus"])
