@@ -157,14 +157,18 @@ def alpha_from_counts(pi: DataFrame, level: str, keys: list[str]) -> DataFrame:
          .select(*keys, F.col("x.v").alias("a"), F.col("y.v").alias("b"),
                  (F.col("x.n") * (F.col("y.n") - same) / (F.col("m") - 1)).alias("o"))
          .groupBy(*keys, "a", "b").agg(F.sum("o").alias("o")))
-    va = nv.select(*keys, F.col("score").alias("a"), F.col("nc").alias("nc_a"),
-                   F.col("cn").alias("cn_a"), "ntot")
-    vb = nv.select(*keys, F.col("score").alias("b"), F.col("nc").alias("nc_b"),
-                   F.col("cn").alias("cn_b"))
-    # Both sides are K rows per group: K x K value pairs.
-    pairs = va.join(vb, keys).select(
-        *keys, "a", "b", (F.col("nc_a") * F.col("nc_b")).cast("double").alias("e"), "ntot",
-        _delta2(level).alias("d2"))
+    # The <= K pairable values of each group, paired by exploding the list
+    # twice (K x K rows per group; no join on the group key).
+    vals = nv.groupBy(*keys).agg(
+        F.collect_list(F.struct(F.col("score").alias("v"), "nc", "cn")).alias("vs"),
+        F.max("ntot").alias("ntot"))
+    pairs = (vals.select(*keys, "ntot", "vs", F.explode("vs").alias("A"))
+             .select(*keys, "ntot", "A", F.explode("vs").alias("B"))
+             .select(*keys, "ntot", F.col("A.v").alias("a"), F.col("B.v").alias("b"),
+                     F.col("A.nc").alias("nc_a"), F.col("A.cn").alias("cn_a"),
+                     F.col("B.nc").alias("nc_b"), F.col("B.cn").alias("cn_b")))
+    pairs = pairs.select(*keys, "a", "b", (F.col("nc_a") * F.col("nc_b")).cast("double").alias("e"),
+                         "ntot", _delta2(level).alias("d2"))
     joined = pairs.join(o, keys + ["a", "b"], "left").fillna(0.0, ["o"])
     agg = joined.groupBy(*keys).agg(
         F.sum(F.col("o") * F.col("d2")).alias("do"),
@@ -176,20 +180,20 @@ def alpha_from_counts(pi: DataFrame, level: str, keys: list[str]) -> DataFrame:
 
 def interval_alpha_simple(ratings: DataFrame, by=None) -> DataFrame:
     """alpha = 1 - MSD / D_e with D_e = 2 sum_{a<b} n_a n_b (a-b)^2 / (n (n-1))
-    over pooled values (equals interval alpha when every item has equal c)."""
+    over pooled values (equals interval alpha when every item has equal c).
+    D_e uses the identity sum_{a<b} n_a n_b (a-b)^2 = n sum n_v v^2 - (sum n_v v)^2,
+    so it is one more aggregate; the per-group figures are combined by a
+    union + group-by instead of a join."""
     ratings, keys, extra = _with_group(ratings, by)
-    d_o = msd(ratings, keys)
-    pooled = ratings.groupBy(*keys, "score").agg(F.count(F.lit(1)).alias("n"))
-    pa = pooled.select(*keys, F.col("score").alias("a"), F.col("n").alias("na"))
-    pb = pooled.select(*keys, F.col("score").alias("b"), F.col("n").alias("nb"))
-    w = (pa.join(pb, keys).filter(F.col("a") < F.col("b"))
-         .groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb") * F.pow((F.col("a") - F.col("b")).cast("double"), 2))
-                             .alias("w")))
-    tot = pooled.groupBy(*keys).agg(F.sum("n").alias("ntot"))
-    de = tot.join(w, keys, "left").select(
-        *keys, (2.0 * F.col("w") / (F.col("ntot") * (F.col("ntot") - 1))).alias("de"))
-    return d_o.join(de, keys).select(
-        *keys, (1.0 - F.try_divide(F.col("msd"), F.col("de"))).alias("alpha")).drop(*extra)
+    d_o = item_msd(ratings, keys).select(*keys, F.col("msd"), F.lit(None).cast("double").alias("de"))
+    x = F.col("score").cast("double")
+    pooled = ratings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("s1"),
+                                        F.sum(x * x).alias("s2"))
+    de = pooled.select(*keys, F.lit(None).cast("double").alias("msd"),
+                       (2.0 * (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1"))
+                        / (F.col("n") * (F.col("n") - 1))).alias("de"))
+    g = d_o.unionByName(de).groupBy(*keys).agg(F.avg("msd").alias("msd"), F.max("de").alias("de"))
+    return g.select(*keys, (1.0 - F.try_divide(F.col("msd"), F.col("de"))).alias("alpha")).drop(*extra)
 
 
 # ------------------------------------------------------------ Fleiss kappa
@@ -206,19 +210,27 @@ def category_table(ratings: DataFrame, categories=range(5), by=None) -> DataFram
 
 def fleiss_kappa(ratings: DataFrame, categories=range(5), by=None) -> DataFrame:
     """Fleiss' kappa over the items x categories count table (ratings outside
-    ``categories`` are ignored); raters per item = the maximum observed."""
+    ``categories`` are ignored); raters per item = the maximum observed.
+    P_e = sum_j (n_j / N)^2 = (sum_j n_j^2) / N^2, so every figure is a
+    per-group aggregate; they are combined by union + group-by (no join)."""
     ratings, keys, extra = _with_group(ratings, by)
     cats = list(categories)
     c = item_counts(ratings.filter(F.col("score").isin(cats)), keys)
     per_item = c.groupBy(*keys, "item").agg(F.sum("n").alias("ni"),
                                              F.sum(F.col("n") * F.col("n")).alias("n2"))
-    g = per_item.groupBy(*keys).agg(F.max("ni").alias("r"), F.count(F.lit(1)).alias("items"),
-                                    F.sum("ni").alias("total"), F.sum("n2").alias("sn2"))
-    pj = c.groupBy(*keys, "score").agg(F.sum("n").alias("nj")).join(g.select(*keys, "total"), keys)
-    pe = pj.groupBy(*keys).agg(F.sum(F.pow(F.col("nj") / F.col("total"), 2)).alias("pe"))
+    null = F.lit(None).cast("double")
+    g = per_item.groupBy(*keys).agg(F.max("ni").cast("double").alias("r"),
+                                    F.count(F.lit(1)).cast("double").alias("items"),
+                                    F.sum("ni").cast("double").alias("total"),
+                                    F.sum("n2").cast("double").alias("sn2")).withColumn("snj2", null)
+    pj = (c.groupBy(*keys, "score").agg(F.sum("n").alias("nj")).groupBy(*keys)
+          .agg(F.sum(F.col("nj") * F.col("nj")).cast("double").alias("snj2"))
+          .select(*keys, null.alias("r"), null.alias("items"), null.alias("total"), null.alias("sn2"), "snj2"))
+    t = g.unionByName(pj).groupBy(*keys).agg(*[F.max(k).alias(k) for k in ("r", "items", "total", "sn2", "snj2")])
+    pe = F.col("snj2") / (F.col("total") * F.col("total"))
     # mean_i (sum_j n_ij^2 - r) / (r (r - 1))
     pbar = (F.col("sn2") - F.col("items") * F.col("r")) / (F.col("items") * F.col("r") * (F.col("r") - 1))
-    return g.join(pe, keys).select(*keys, ((pbar - F.col("pe")) / (1 - F.col("pe"))).alias("kappa")).drop(*extra)
+    return t.select(*keys, ((pbar - pe) / (1 - pe)).alias("kappa")).drop(*extra)
 
 
 # ------------------------------------------------------------- group/pool

@@ -179,9 +179,10 @@ def regression_eval(preds: DataFrame, pred_col: str, label_col: str, lo: int = 0
     long = preds.select(F.lit("model").alias(M), discretize(label_col, lo, hi).alias(T),
                         discretize(pred_col, lo, hi).alias(P),
                         F.col(pred_col).cast("double").alias("_p"), F.col(label_col).cast("double").alias("_l"))
-    mse = long.agg(F.avg(F.pow(F.col("_l") - F.col("_p"), 2)).alias("mse"))
-    s = summary(long.drop("_p", "_l").withColumn(RAW, F.lit(None).cast("double")), digits=None)
-    s = s.select(F.col("precision_macro").alias("precision"), F.col("recall_macro").alias("recall"),
-                 "f1_macro", "accuracy", F.lit(0).alias("_k"))
-    return s.join(mse.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    # MSE on the real values rides in the contingency as the "raw" error:
+    # squared error of (label - prediction) summed per cell.
+    long = long.withColumn(RAW, F.col(T).cast("double") - (F.col("_l") - F.col("_p")))
+    s = summary(long.drop("_p", "_l"), digits=None)
+    return s.select(F.col("precision_macro").alias("precision"), F.col("recall_macro").alias("recall"),
+                    "f1_macro", "accuracy", "mse")
 
