@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from ..functions.text import PUNCT_RE, SPLIT_RE, TOKEN_RE, sql_ws_chars
 from ..operators import quality as Q
 from ..sources.fixtures import TEST_LEXICON, _sql_list
-from ..sources.tables import documents
+from ..sources.tables import documents, spread
 from .registry import register
 
 DOC_COLS = "doc_id, text, lang, source, n_chars"
 
 
-def _annotated(spark, sf):
-    return Q.annotate_quality(documents(spark, sf, spread_narrow=True), lexicon=TEST_LEXICON)
+def _docs(spark, sf, *cols):
+    """Project first, then spread a narrow scan over all task slots."""
+    d = documents(spark, sf)
+    return spread(d.select(*cols) if cols else d)
+
+
+def _annotated(spark, sf, *cols):
+    return Q.annotate_quality(_docs(spark, sf, *cols), lexicon=TEST_LEXICON)
 
 
 # The same signals in DuckDB (RE2 accepts the same character classes).
@@ -43,7 +49,7 @@ ann AS (
 
 @register("badword_count", f"WITH {_SIG} SELECT doc_id, bad_word_count FROM sig")
 def badword_count(spark, sf):
-    d = documents(spark, sf, spread_narrow=True).select("doc_id", "text")
+    d = _docs(spark, sf, "doc_id", "text")
     return Q.quality_signals(d, lexicon=TEST_LEXICON).select(
         "doc_id", F.col("bad_word_count").cast("long"))
 
@@ -53,7 +59,7 @@ def badword_count(spark, sf):
     CAST(repetitive AS BIGINT) AS repetitive,
     CAST(table_like OR punct_heavy OR repetitive AS BIGINT) AS spam_like, bad_word_count FROM flg""")
 def quality_flags(spark, sf):
-    d = documents(spark, sf, spread_narrow=True).select("doc_id", "text")
+    d = _docs(spark, sf, "doc_id", "text")
     f = Q.quality_flags(d, lexicon=TEST_LEXICON)
     return f.select("doc_id", *[F.col(c).cast("long").alias(c) for c in
                                 ("too_short", "table_like", "punct_heavy", "repetitive",
@@ -64,21 +70,21 @@ def quality_flags(spark, sf):
     CAST(filter_reason <> 'Clean content' AS BIGINT) AS is_problematic, filter_reason, bad_word_count
     FROM ann""")
 def quality_reason(spark, sf):
-    a = Q.annotate_quality(documents(spark, sf, spread_narrow=True).select("doc_id", "text"), lexicon=TEST_LEXICON)
+    a = _annotated(spark, sf, "doc_id", "text")
     return a.select("doc_id", F.col("is_problematic").cast("long").alias("is_problematic"),
                     "filter_reason", F.col("bad_word_count").cast("long"))
 
 
 @register("quality_clean", f"WITH {_SIG} SELECT {DOC_COLS} FROM ann WHERE filter_reason = 'Clean content'")
 def quality_clean(spark, sf):
-    clean, _ = Q.filter_dataset(documents(spark, sf, spread_narrow=True), lexicon=TEST_LEXICON)
+    clean, _ = Q.filter_dataset(_docs(spark, sf), lexicon=TEST_LEXICON)
     return clean
 
 
 @register("quality_problematic", f"""WITH {_SIG} SELECT {DOC_COLS}, TRUE AS is_problematic, filter_reason,
     bad_word_count FROM ann WHERE filter_reason <> 'Clean content'""")
 def quality_problematic(spark, sf):
-    _, prob = Q.filter_dataset(documents(spark, sf, spread_narrow=True), lexicon=TEST_LEXICON)
+    _, prob = Q.filter_dataset(_docs(spark, sf), lexicon=TEST_LEXICON)
     return prob.withColumn("bad_word_count", F.col("bad_word_count").cast("long"))
 
 
@@ -86,14 +92,14 @@ def quality_problematic(spark, sf):
     round(avg(bad_word_count), 6) AS avg_bad_words, CAST(max(bad_word_count) AS BIGINT) AS max_bad_words
     FROM ann WHERE filter_reason <> 'Clean content'""")
 def quality_stats(spark, sf):
-    _, prob = Q.filter_dataset(documents(spark, sf, spread_narrow=True).select("doc_id", "text"), lexicon=TEST_LEXICON)
+    _, prob = Q.filter_dataset(_docs(spark, sf, "doc_id", "text"), lexicon=TEST_LEXICON)
     s = Q.filter_stats(prob)
     return s.withColumn("avg_bad_words", F.round("avg_bad_words", 6))
 
 
 @register("quality_reasons", f"WITH {_SIG} SELECT filter_reason, count(*) AS n FROM ann GROUP BY filter_reason")
 def quality_reasons(spark, sf):
-    return Q.reason_counts(_annotated(spark, sf))
+    return Q.reason_counts(_annotated(spark, sf, "text"))
 
 
 @register("quality_retention", f"""WITH {_SIG} SELECT count(*) AS total,
@@ -103,4 +109,4 @@ def quality_reasons(spark, sf):
     round(100.0 * count(*) FILTER (WHERE filter_reason <> 'Clean content') / count(*), 1) AS filtered_pct
     FROM ann""")
 def quality_retention(spark, sf):
-    return Q.retention(_annotated(spark, sf).select("is_problematic"))
+    return Q.retention(_annotated(spark, sf, "text").select("is_problematic"))
