@@ -156,14 +156,11 @@ def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int =
         n_train = int((1 - val_fraction) * keyed.count())  # one scalar to the driver
         out = global_position(keyed, ["_hk", id_col], "_pos").withColumn("_ntrain", F.lit(n_train))
     else:
-        sizes = keyed.groupBy(stratify_col).agg(F.count(F.lit(1)).alias("_n"))
-        # Class start offsets in the (class, hash) order; one row per class.
-        w = Window.orderBy(stratify_col).rowsBetween(Window.unboundedPreceding, -1)
-        starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(w), F.lit(0))).withColumn(
-            "_ntrain", F.floor((1 - F.lit(val_fraction)) * F.col("_n")))
-        pos = global_position(keyed, [stratify_col, "_hk", id_col], "_gpos")
-        out = (pos.join(F.broadcast(starts.drop("_n")), stratify_col, "left")
-               .withColumn("_pos", F.col("_gpos") - F.col("_start")).drop("_gpos", "_start"))
+        # per-stratum floor; stratum sizes are one row per class
+        sizes = keyed.groupBy(stratify_col).agg(
+            F.floor((1 - F.lit(val_fraction)) * F.count(F.lit(1))).alias("_ntrain"))
+        out = (positions_within(keyed, stratify_col, ["_hk", id_col], "_pos")
+               .join(F.broadcast(sizes), stratify_col, "left"))
     return (out.withColumn("split", F.when(F.col("_pos") <= F.col("_ntrain"), F.lit("train"))
                            .otherwise(F.lit("validation")))
             .drop("_hk", "_pos", "_ntrain", "_n"))

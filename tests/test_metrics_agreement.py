@@ -151,3 +151,14 @@ def test_wilcoxon_test_dict(spark):
     r = spark.createDataFrame(rows, "item long, rater string, score int, group string")
     out = G.wilcoxon_test(r, "own", "external")
     assert out["n"] > 0 and 0 <= out["p_value"] <= 1 and out["w"] == min(out["w_plus"], out["w_minus"])
+
+
+def test_hot_item_holding_a_third_of_ratings(spark):
+    # one item carries a third of all ratings; results must equal the pair loop
+    rnd = random.Random(21)
+    data = [[rnd.randint(0, 4) for _ in range(rnd.randint(2, 5))] for _ in range(150)]
+    data.append([rnd.randint(0, 4) for _ in range(sum(len(s) for s in data) // 2)])
+    r = ratings(spark, data).repartition(6)
+    assert G.krippendorff_alpha(r, "ordinal").first()["alpha"] == pytest.approx(_alpha_pairs(data, "ordinal"))
+    per = [2 / (len(s) * (len(s) - 1)) * sum((a - b) ** 2 for a, b in itertools.combinations(s, 2)) for s in data]
+    assert G.msd(r).first()["msd"] == pytest.approx(sum(per) / len(per))
