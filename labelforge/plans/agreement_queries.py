@@ -238,3 +238,11 @@ def panel_eligible(spark, sf):
     FROM ({R_PANEL}) WHERE score BETWEEN 0 AND 4 GROUP BY item""", PANEL_VIEWS)
 def category_table(spark, sf):
     return G.category_table(ratings_panel(spark, sf).drop("group"))
+
+
+@register("pooled_score_histogram", f"""SELECT CAST(d.v AS INTEGER) AS score, coalesce(c.n, 0) AS n FROM range(5) d(v)
+    LEFT JOIN (SELECT score, count(*) AS n FROM ({R_PANEL}) GROUP BY score) c ON c.score = d.v""", PANEL_VIEWS)
+def pooled_score_histogram(spark, sf):
+    """All panel annotations pooled into unit bins 0..4 (zeros kept)."""
+    from ..operators.corpus import score_distribution
+    return score_distribution(spark, ratings_panel(spark, sf), "score", range(5))
