@@ -45,14 +45,18 @@ def per_class(cm: DataFrame) -> DataFrame:
     the observed label union. Each contingency cell is counted once on its
     true label, so the error sums ride along and every model-level figure
     is one more aggregate of this frame (no join back to the cells)."""
-    zero = F.lit(0).cast("long")
-    a = cm.select(M, F.col(T).alias("label"), F.col("n").alias("support"),
-                  zero.alias("predicted"), F.when(F.col(T) == F.col(P), F.col("n")).otherwise(0).alias("tp"),
-                  "se_raw", "n_raw", "se_pred")
-    b = cm.select(M, F.col(P).alias("label"), zero.alias("support"), F.col("n").alias("predicted"),
-                  zero.alias("tp"), F.lit(None).cast("double").alias("se_raw"), zero.alias("n_raw"),
-                  F.lit(None).cast("double").alias("se_pred"))
-    g = a.unionByName(b).groupBy(M, "label").agg(
+    zero, nul = F.lit(0).cast("long"), F.lit(None).cast("double")
+    # One pass over the cells: each cell yields a "true side" and a
+    # "predicted side" struct (a Generate, so the contingency is computed once).
+    as_true = F.struct(F.col(T).cast("int").alias("label"), F.col("n").alias("support"),
+                       zero.alias("predicted"),
+                       F.when(F.col(T) == F.col(P), F.col("n")).otherwise(zero).alias("tp"),
+                       F.col("se_raw").alias("se_raw"), F.col("n_raw").alias("n_raw"),
+                       F.col("se_pred").alias("se_pred"))
+    as_pred = F.struct(F.col(P).cast("int").alias("label"), zero.alias("support"), F.col("n").alias("predicted"),
+                       zero.alias("tp"), nul.alias("se_raw"), zero.alias("n_raw"), nul.alias("se_pred"))
+    sides = cm.select(M, F.inline(F.array(as_true, as_pred)))
+    g = sides.groupBy(M, "label").agg(
         F.sum("support").alias("support"), F.sum("predicted").alias("predicted"), F.sum("tp").alias("tp"),
         F.sum("se_raw").alias("se_raw"), F.sum("n_raw").alias("n_raw"), F.sum("se_pred").alias("se_pred"))
     return g.select(M, "label", "support", "predicted", "tp", "se_raw", "n_raw", "se_pred",
