@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
+from .common import materialise
 
 
 # ------------------------------------------------------------------ shaping
@@ -98,6 +99,14 @@ def item_entropy(ratings: DataFrame, by=None) -> DataFrame:
                      F.when(k > 1, h / F.log2(k)).otherwise(F.lit(0.0)).alias("norm_entropy"))
 
 
+def entropy_from_counts(pi: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean entropy / normalised entropy per group from per-item count lists."""
+    h = F.aggregate("c", F.lit(0.0), lambda acc, x: acc - (x["n"] / F.col("m")) * F.log2(x["n"] / F.col("m")))
+    k = F.size("c")
+    per = pi.select(*keys, h.alias("entropy"), F.when(k > 1, h / F.log2(k)).otherwise(F.lit(0.0)).alias("ne"))
+    return per.groupBy(*keys).agg(F.avg("entropy").alias("entropy"), F.avg("ne").alias("norm_entropy"))
+
+
 def mean_entropy(ratings: DataFrame, by=None) -> DataFrame:
     return item_entropy(ratings, by).groupBy(*_keys(by)).agg(
         F.avg("entropy").alias("entropy"), F.avg("norm_entropy").alias("norm_entropy"))
@@ -144,19 +153,24 @@ def krippendorff_alpha(ratings: DataFrame, level: str = "ordinal", by=None) -> D
 
 
 def alpha_from_counts(pi: DataFrame, level: str, keys: list[str]) -> DataFrame:
-    """Alpha per group from per-item (value, count) lists ``(keys, item, c, m)``."""
+    """Alpha per group from per-item (value, count) lists ``(keys, item, c, m)``.
+
+    One data pass builds the coincidence matrix o_ab; the pairable marginals
+    are its row sums (sum_b o_ab = n_a, an integer, so it is rounded back
+    exactly), which keeps every later step on <= K^2 rows per group.
+    """
     pi = pi.filter(F.col("m") >= 2)
-    one = pi.select(*keys, "m", "c", F.explode("c").alias("x"))
-    # Pairable marginals n_c and their running sums (K rows per group).
-    nv = one.groupBy(*keys, F.col("x.v").alias("score")).agg(F.sum("x.n").alias("nc"))
-    wv = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    nv = nv.withColumn("cn", F.sum("nc").over(wv)).withColumn(
-        "ntot", F.sum("nc").over(Window.partitionBy(*keys)))
     same = F.when(F.col("x.v") == F.col("y.v"), 1).otherwise(0)
-    o = (one.select(*keys, "m", "x", F.explode("c").alias("y"))
+    o = (pi.select(*keys, "m", "c", F.explode("c").alias("x"))
+         .select(*keys, "m", "x", F.explode("c").alias("y"))
          .select(*keys, F.col("x.v").alias("a"), F.col("y.v").alias("b"),
                  (F.col("x.n") * (F.col("y.n") - same) / (F.col("m") - 1)).alias("o"))
          .groupBy(*keys, "a", "b").agg(F.sum("o").alias("o")))
+    o = materialise(o)  # <= K^2 rows per group, read by both branches below
+    nv = o.groupBy(*keys, F.col("a").alias("score")).agg(F.round(F.sum("o")).cast("long").alias("nc"))
+    wv = Window.partitionBy(*keys).orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
+    nv = nv.withColumn("cn", F.sum("nc").over(wv)).withColumn(
+        "ntot", F.sum("nc").over(Window.partitionBy(*keys)))
     # The <= K pairable values of each group, paired by exploding the list
     # twice (K x K rows per group; no join on the group key).
     vals = nv.groupBy(*keys).agg(

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 # --- fixed values -----------------------------------------------------------
 REPORT_LABELS = [0, 1, 2, 3, 4]
 TARGET_NAMES = ["None", "Minimal", "Basic", "Good", "Excellent"]
@@ -23,7 +25,7 @@ M, T, P, RAW = "model_name", "true_label", "final_prediction", "raw_prediction"
 def materialise_small(df: DataFrame) -> DataFrame:
     """Checkpoint a small aggregated frame (<= models x K^2 rows) that feeds
     several branches, so the data-sized plan under it runs once."""
-    return df.checkpoint(eager=True)
+    return materialise(df)
 
 
 def _safe_div(a, b) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import agreement as G
+from ..operators.common import materialise
 from ..sources import fixtures as V
 from .registry import register
 
@@ -173,9 +174,11 @@ R_GROUPED = f"SELECT item, rater, score, grp FROM ({R_PANEL}) UNION ALL SELECT i
     JOIN {entropy_sql(R_GROUPED, ['grp'])} e USING (grp)""", PANEL_VIEWS)
 def agreement_by_group(spark, sf):
     r = G.with_all_group(ratings_panel(spark, sf)).withColumnRenamed("group", "grp")
-    m = G.msd(r, ["grp"])
-    a = G.krippendorff_alpha(r, "ordinal", ["grp"]).withColumnRenamed("alpha", "alpha_ordinal")
-    e = G.mean_entropy(r, ["grp"]).drop("entropy")
+    # the per-item count table is written once and feeds all three figures
+    pi = materialise(G.per_item_counts(r, ["grp"]))
+    m = G.msd_from_counts(pi, ["grp"])
+    a = G.alpha_from_counts(pi, "ordinal", ["grp"]).withColumnRenamed("alpha", "alpha_ordinal")
+    e = G.entropy_from_counts(pi, ["grp"]).drop("entropy")
     return m.join(a, "grp").join(e, "grp").select(
         "grp", *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "norm_entropy")])
 
@@ -189,7 +192,7 @@ R_POOLS = f"""SELECT r.item, r.rater, r.score, p.pool FROM ({R_PANEL}) r
     FROM {msd_sql(R_POOLS, ['pool'])} m JOIN {alpha_sql(R_POOLS, 'ordinal', ['pool'])} a USING (pool)
     JOIN {alpha_sql(R_POOLS, 'nominal', ['pool'])} n USING (pool)""", PANEL_VIEWS)
 def agreement_by_pool(spark, sf):
-    pc = G.pool_counts(ratings_panel(spark, sf).drop("group"))
+    pc = materialise(G.pool_counts(ratings_panel(spark, sf).drop("group")))
     m = G.msd_from_counts(pc, ["pool"])
     a = G.alpha_from_counts(pc, "ordinal", ["pool"]).withColumnRenamed("alpha", "alpha_ordinal")
     n = G.alpha_from_counts(pc, "nominal", ["pool"]).withColumnRenamed("alpha", "alpha_nominal")
