@@ -104,8 +104,11 @@ def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
     blank = F.col(text_col).isNull() | (F.length(F.trim(F.col(text_col))) == 0)
     prompt = render_prompt(text_col, head, tail)
     resp = F.when(blank, F.lit(None).cast("string")).otherwise(udf(prompt))
-    return df.withColumn("response", resp).withColumn(
+    out = df.withColumn("response", resp).withColumn(
         "score", F.when(blank, F.lit(S.LLM_FAILED)).otherwise(S.parse_llm_score("response")))
+    # the raw integer is kept; whether it lies on the rubric's scale is a
+    # separate quality column
+    return out.withColumn("score_in_range", F.col("score").between(0, 5))
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -32,6 +32,13 @@ def _safe_div(a, b) -> Column:
     return F.coalesce(F.try_divide(a, b), F.lit(0.0))
 
 
+def drop_sentinels(long: DataFrame, lo: int = 0, hi: int = 4) -> DataFrame:
+    """Optional: leave out predictions outside the label domain (an LLM's
+    -1 "failed" or a 0-5 scale's 5). By default they are kept and count as
+    classes, as in the reference's evaluation."""
+    return long.filter(F.col(P).between(lo, hi))
+
+
 def contingency(long: DataFrame) -> DataFrame:
     """(model, true, pred) -> n, sum (t - raw)^2, count(raw), sum (t - pred)^2."""
     t, p = F.col(T).cast("double"), F.col(P).cast("double")

@@ -162,3 +162,10 @@ def test_hot_item_holding_a_third_of_ratings(spark):
     assert G.krippendorff_alpha(r, "ordinal").first()["alpha"] == pytest.approx(_alpha_pairs(data, "ordinal"))
     per = [2 / (len(s) * (len(s) - 1)) * sum((a - b) ** 2 for a, b in itertools.combinations(s, 2)) for s in data]
     assert G.msd(r).first()["msd"] == pytest.approx(sum(per) / len(per))
+
+
+def test_drop_sentinels_option(spark):
+    long = long_frame(spark, [0, 1, 2, 3], [0, 1, -1, 5])
+    kept = MT.summary(long, digits=None).first()
+    dropped = MT.summary(MT.drop_sentinels(long), digits=None).first()
+    assert kept["accuracy"] == pytest.approx(0.5) and dropped["accuracy"] == pytest.approx(1.0)

@@ -48,3 +48,15 @@ def test_json_list_and_display_name(spark):
     n = spark.range(1).select(S.human_display_name(F.lit("a/b/annotations_mikkel.json"))).first()[0]
     assert n == "Human (Mikkel)"
     assert math.isfinite(1.0)
+
+
+def test_llm_score_keeps_raw_and_flags_range(spark):
+    from labelforge.operators import inference as I
+    df = spark.createDataFrame([(1, "some text"), (2, "   "), (3, None)], "id int, text string")
+
+    def factory():
+        import pandas as pd
+        return lambda prompts: pd.Series(["Educational score: 7"] * len(prompts), index=prompts.index)
+    out = {r["id"]: (r["score"], r["score_in_range"]) for r in
+           I.llm_score(df, "text", "head ", " tail", factory).collect()}
+    assert out == {1: (7, False), 2: (-1, False), 3: (-1, False)}
