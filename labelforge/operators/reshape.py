@@ -65,16 +65,27 @@ def column_averages(df: DataFrame, exclude=()) -> DataFrame:
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
-    """Equal-width histogram over [min, max] (last bin closed) — numpy's
-    ``hist(bins=n)`` table. min/max are one tiny aggregate."""
+    """Equal-width histogram over [min, max] with numpy's binning rule:
+    edges ``lo + i * (hi - lo) / bins`` (last edge = hi), index
+    ``floor((x - lo) * (bins / (hi - lo)))`` corrected by one when x falls
+    below its edge or on the next one, last bin closed. min/max are one tiny
+    aggregate; the counts are one partial/final aggregate on the bin."""
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
     lo, hi = float(r["lo"]), float(r["hi"])
-    width = (hi - lo) or 1.0
+    if hi == lo:  # numpy widens a zero range to +-0.5
+        lo, hi = lo - 0.5, hi + 0.5
+    step = (hi - lo) / bins
     x = F.col(col).cast("double")
-    b = F.least(F.floor((x - F.lit(lo)) * F.lit(bins / width)), F.lit(bins - 1)).cast("int")
-    counts = df.filter(F.col(col).isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+    def edge(i):
+        return F.when(i == bins, F.lit(hi)).otherwise(i.cast("double") * F.lit(step) + F.lit(lo))
+    i0 = F.floor((x - F.lit(lo)) * F.lit(bins / (hi - lo))).cast("int")
+    i1 = F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0)
+    i2 = F.when(x < edge(i1), i1 - 1).otherwise(i1)
+    i3 = F.when((x >= edge(i2 + 1)) & (i2 != bins - 1), i2 + 1).otherwise(i2)
+    counts = df.filter(F.col(col).isNotNull()).groupBy(i3.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = df.sparkSession.createDataFrame(
-        [(i, lo + i * width / bins, lo + (i + 1) * width / bins) for i in range(bins)],
+        [(i, i * step + lo, hi if i + 1 == bins else (i + 1) * step + lo) for i in range(bins)],
         "bin int, bin_lo double, bin_hi double")
-    return edges.join(F.broadcast(counts), "bin", "left").select(
+    return edges.join(F.broadcast(counts), "bin", "left").select(  # <= bins rows
         "bin", "bin_lo", "bin_hi", F.coalesce("n", F.lit(0)).alias("n"))

@@ -275,10 +275,15 @@ def column_averages(spark, sf):
 
 
 @register("score_histogram", """WITH mm AS (SELECT min(raw_score) AS lo, max(raw_score) AS hi FROM v_scored),
-    b AS (SELECT CAST(least(floor((raw_score - lo) * (30 / (hi - lo))), 29) AS INTEGER) AS bin FROM v_scored, mm)
-    SELECT CAST(r.v AS INTEGER) AS bin, round(lo + r.v * (hi - lo) / 30, 6) AS bin_lo,
-      round(lo + (r.v + 1) * (hi - lo) / 30, 6) AS bin_hi, coalesce(c.n, 0) AS n
-    FROM range(30) r(v) CROSS JOIN mm LEFT JOIN (SELECT bin, count(*) AS n FROM b GROUP BY bin) c ON c.bin = r.v""",
+    i0 AS (SELECT raw_score AS x, lo, hi, (hi - lo) / 30 AS step,
+             CAST(floor((raw_score - lo) * (30 / (hi - lo))) AS INTEGER) AS b0 FROM v_scored, mm),
+    i1 AS (SELECT *, CASE WHEN b0 = 30 THEN 29 ELSE b0 END AS b1 FROM i0),
+    i2 AS (SELECT *, CASE WHEN x < (CASE WHEN b1 = 30 THEN hi ELSE b1 * step + lo END) THEN b1 - 1 ELSE b1 END AS b2 FROM i1),
+    i3 AS (SELECT CASE WHEN x >= (CASE WHEN b2 + 1 = 30 THEN hi ELSE (b2 + 1) * step + lo END) AND b2 <> 29
+             THEN b2 + 1 ELSE b2 END AS bin FROM i2)
+    SELECT CAST(r.v AS INTEGER) AS bin, round(r.v * ((hi - lo) / 30) + lo, 6) AS bin_lo,
+      round(CASE WHEN r.v = 29 THEN hi ELSE (r.v + 1) * ((hi - lo) / 30) + lo END, 6) AS bin_hi, coalesce(c.n, 0) AS n
+    FROM range(30) r(v) CROSS JOIN mm LEFT JOIN (SELECT bin, count(*) AS n FROM i3 GROUP BY bin) c ON c.bin = r.v""",
           ("v_scored",))
 def score_histogram(spark, sf):
     h = X.histogram(V.v_scored(spark, sf), "raw_score", 30)
