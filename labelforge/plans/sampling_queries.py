@@ -146,3 +146,26 @@ def subset_load(spark, sf):
 def limit_then_filter(spark, sf):
     d = documents(spark, sf).select("doc_id", "text")
     return R.first_n(d, 1000, "doc_id").filter(F.col("text").contains("license"))
+
+
+@register("training_corpus_distribution", f"""WITH m AS (
+      SELECT * FROM (SELECT doc_id, int_score FROM v_corpus WHERE snapshot = 'src0' ORDER BY doc_id LIMIT 25)
+      UNION ALL SELECT * FROM (SELECT doc_id, int_score FROM v_corpus WHERE snapshot = 'src1' ORDER BY doc_id LIMIT 15)
+      UNION ALL SELECT doc_id, int_score FROM v_corpus WHERE snapshot = 'src2'),
+    capped AS (SELECT doc_id, int_score FROM m WHERE int_score = 5
+      UNION ALL SELECT doc_id, int_score FROM (SELECT doc_id, int_score,
+        row_number() OVER (PARTITION BY int_score ORDER BY doc_id) AS rn FROM m WHERE int_score BETWEEN 0 AND 4)
+      WHERE rn <= 10)
+    SELECT CAST(d.v AS INTEGER) AS score, coalesce(c.n, 0) AS n FROM range(6) d(v)
+    LEFT JOIN (SELECT int_score AS score, count(*) AS n FROM capped GROUP BY 1) c ON c.score = d.v""", ("v_corpus",))
+def training_corpus_distribution(spark, sf):
+    """Bounded ingest of three sources into the common schema, merged,
+    capped per class (first rows by key; class 5 unlimited), then the score
+    distribution over 0..5 with zeros."""
+    parts = []
+    for name, n in (("src0", 25), ("src1", 15), ("src2", -1)):
+        src = _src(spark, sf, name).select("doc_id", "int_score")
+        parts.append(src if n < 0 else R.first_n(src, n, "doc_id"))
+    merged = C.union_all(parts, spark)
+    capped = R.cap_per_class(merged, "int_score", {k: 10 for k in range(5)}, "doc_id")
+    return C.score_distribution(spark, capped)
