@@ -16,7 +16,8 @@ CSV_OPTS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true",
 CSV_WRITE_OPTS = {"header": "true", "escape": '"', "quote": '"',
                   "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                   "encoding": "UTF-8"}
-CORRUPT = "_corrupt_record"
+EXTRA = "_extra_fields"
+NO_NULL = "\u0000"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -29,15 +30,21 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Rows with *more* fields than the schema are dropped; rows with fewer
-    are kept and padded with nulls (pandas ``on_bad_lines='skip'``)."""
-    s = T.StructType(list(schema.fields) + [T.StructField(CORRUPT, T.StringType())])
-    df = (spark.read.options(**CSV_OPTS).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", CORRUPT).schema(s).csv(path))
-    # A row is "too long" when its raw line holds more separators than the
-    # schema allows; short rows are also flagged corrupt by Spark but kept.
-    n_sep = F.length(F.col(CORRUPT)) - F.length(F.regexp_replace(F.col(CORRUPT), ",", ""))
-    too_long = F.col(CORRUPT).isNotNull() & (n_sep > len(schema.fields) - 1)
-    return df.filter(~too_long | F.col(CORRUPT).isNull()).drop(CORRUPT)
+    are kept and padded with nulls (pandas ``on_bad_lines='skip'``).
+
+    The file is parsed with one extra string column, so the CSV parser
+    itself (quotes, embedded commas and newlines) decides whether a row has
+    too many fields: exactly then the extra column is filled. Empty fields
+    are told apart from missing ones by a null marker that never occurs.
+    """
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
+                       + [T.StructField(EXTRA, T.StringType())])
+    df = (spark.read.options(**CSV_OPTS).option("mode", "PERMISSIVE").option("nullValue", NO_NULL)
+          .schema(raw).csv(path))
+    df = df.filter(F.col(EXTRA).isNull())
+    # empty -> null as pandas reads it; then the declared types
+    return df.select(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name)
+                       for f in schema.fields])
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

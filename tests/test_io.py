@@ -30,3 +30,11 @@ def test_csv_keeps_whitespace_quotes_newlines_and_none_string(spark):
 def test_read_or_empty(spark):
     schema = T.StructType([T.StructField("text", T.StringType())])
     assert IO.read_or_empty(spark, "/nonexistent/labelforge/x", schema).count() == 0
+
+
+def test_skip_long_rows_is_quote_aware(spark, tmp_path):
+    p = tmp_path / "bad.csv"
+    p.write_text('id,text\n1,"a, b, c"\n2,plain,extra\n3\n4,"multi\nline, with comma"\n5,\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
+    got = sorted(tuple(r) for r in IO.read_csv_skip_long_rows(spark, str(p), schema).collect())
+    assert got == [(1, "a, b, c"), (3, None), (4, "multi\nline, with comma"), (5, None)]
