@@ -25,27 +25,33 @@ def hash_uniform(id_col, seed) -> Column:
     return F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-# Largest n served by a top-k (each partition ships <= n rows to one task);
+# A top-k (or a per-partition group limit) sends up to partitions x n rows
+# to a single task. It is used while that product stays under TOPK_MAX rows;
 # beyond it, exact selections use the distributed global position.
-TOPK_MAX = 200_000
+TOPK_MAX = 2_000_000
+
+
+def _small_enough(df: DataFrame, n: int) -> bool:
+    """Planning-time check (partition count of the input; no job)."""
+    return n * max(df.rdd.getNumPartitions(), 1) <= TOPK_MAX
 
 
 def _head(df: DataFrame, n: int, order_cols: list) -> DataFrame:
-    if n <= TOPK_MAX:
+    if _small_enough(df, n):
         return df.orderBy(*order_cols).limit(n)
     return global_position(df, order_cols, "_gp").filter(F.col("_gp") <= n).drop("_gp")
 
 
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """The first ``n`` rows by an explicit key."""
+    """The first ``n`` rows by an explicit key (exact for any n)."""
     return _head(df, n, [order_col])
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, count)`` rows chosen uniformly by seeded hash.
 
-    ``n == -1`` keeps all rows, ``n == 0`` none. A top-k on the hash key for
-    sample sizes up to ``TOPK_MAX``; a global position beyond.
+    ``n == -1`` keeps all rows, ``n == 0`` none. A top-k on the hash key while
+    partitions x n <= ``TOPK_MAX``; a global position beyond.
     """
     if n < 0:
         return df
@@ -60,16 +66,18 @@ def cap_per_class(df: DataFrame, class_col: str, quotas: dict[int, int], order_c
     ``order_col``) and every row of the ``unlimited`` classes; rows of any
     other class (and nulls) are dropped.
 
-    The constant bound ``rn <= max(quota)`` lets Catalyst insert a
-    per-partition group limit before the shuffle, so a hot class never
-    ships more than ``partitions x quota`` rows.
+    While partitions x max(quota) <= ``TOPK_MAX``, the constant bound
+    ``rn <= max(quota)`` lets Catalyst insert a per-partition group limit
+    before the shuffle (a hot class ships at most partitions x quota rows);
+    beyond that, positions within each class come from one range-partitioned
+    global order.
     """
     if not quotas:
         return df.filter(F.col(class_col).isin(list(unlimited)))
     qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
     quota = F.element_at(qmap, F.col(class_col))
     sub = df.filter(F.col(class_col).isin(list(quotas)))
-    if max(quotas.values()) <= TOPK_MAX:
+    if _small_enough(sub, max(quotas.values())):
         w = Window.partitionBy(class_col).orderBy(order_col)
         capped = (sub.withColumn("_rn", F.row_number().over(w))
                   .filter((F.col("_rn") <= max(quotas.values())) & (F.col("_rn") <= quota))
@@ -179,12 +187,9 @@ def biased_sample(df: DataFrame, n: int, bias: float, id_col: str, labels_col: s
             | (F.array_contains(labels_col, maybe) & (hash_uniform(id_col, seed) <= bias)))
     base = base.withColumn("_keep", keep)
     chosen = base.filter("_keep")
-    n_chosen = chosen.count()  # one scalar to the driver
-    # At most n top-up candidates, so the window below ranks <= n rows.
-    cand = (base.filter(~F.col("_keep")).withColumn("_hk", hash_key(id_col, topup_seed))
-            .orderBy("_hk", id_col).limit(n))
-    cand = (cand.withColumn("_r", F.row_number().over(Window.orderBy("_hk", id_col)))
-            .filter(F.col("_r") <= F.lit(n - n_chosen))
-            .drop("_hk", "_r"))
+    need = n - chosen.count()  # one scalar to the driver
+    # top-up: the first `need` other rows by a second seeded hash
+    others = base.filter(~F.col("_keep")).withColumn("_hk", hash_key(id_col, topup_seed))
+    cand = _head(others, max(need, 0), ["_hk", id_col]).drop("_hk") if need > 0 else others.limit(0).drop("_hk")
     out = chosen.unionByName(cand).drop("_keep")
     return global_position(out.withColumn("_sk", hash_key(id_col, seed)), ["_sk", id_col]).drop("_sk")

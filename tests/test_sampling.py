@@ -38,7 +38,7 @@ def test_large_n_paths_match_topk_paths(spark, monkeypatch):
     small_sample = {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()}
     small_head = {r[0] for r in R.first_n(s, 23, "doc_id").collect()}
     small_cap = {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()}
-    monkeypatch.setattr(R, "TOPK_MAX", 1)
+    monkeypatch.setattr(R, "TOPK_MAX", 1)  # forces the global-position paths
     assert {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()} == small_sample
     assert {r[0] for r in R.first_n(s, 23, "doc_id").collect()} == small_head
     assert {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()} == small_cap
@@ -55,3 +55,17 @@ def test_pool_stats_from_counts_match_row_form(spark):
     m1 = {x["pool"]: round(x["msd"], 9) for x in G.msd(G.class_pools(r), ["pool"]).collect()}
     m2 = {x["pool"]: round(x["msd"], 9) for x in G.msd_from_counts(G.pool_counts(r), ["pool"]).collect()}
     assert a == b and m1 == m2
+
+
+def test_biased_sample_topup_reaches_n(spark):
+    from labelforge.functions import scores as S
+    p = V.v_panel_text(spark, SMALL).select(
+        "doc_id", S.parse_list_text("educational_value_labels").alias("labels"),
+        "problematic_content_label_present")
+    base = p.filter((F.col("problematic_content_label_present") == F.lit(False)) & (F.size("labels") > 2))
+    kept = R.biased_sample(p, 1, 0.7, "doc_id", "labels", "problematic_content_label_present").count()
+    n = kept + 7
+    out = R.biased_sample(p, n, 0.7, "doc_id", "labels", "problematic_content_label_present")
+    rows = out.collect()
+    assert len(rows) == min(n, base.count())
+    assert sorted(r["pos"] for r in rows) == list(range(1, len(rows) + 1))
