@@ -90,11 +90,6 @@ def entropy_sql(src, keys=()):
         GROUP BY {k}item) {gb})"""
 
 
-def _two(template):
-    return f"""SELECT 'ratings' AS dataset, {template.format(src=R_EVENTS)}
-      UNION ALL SELECT 'panel' AS dataset, {template.format(src=R_PANEL)}"""
-
-
 # ------------------------------------------------------------- queries
 @register("msd", f"""SELECT 'ratings' AS dataset, round(msd, 6) AS msd FROM {msd_sql(R_EVENTS)}
     UNION ALL SELECT 'panel', round(msd, 6) FROM {msd_sql(R_PANEL)}""", PANEL_VIEWS)

@@ -41,9 +41,11 @@ def master(spark, sf):
     llm = V.v_llm(spark, sf).select("doc_id", F.col("gemini_prediction").alias("final_prediction"))
     human = human_labels(spark, sf).select("doc_id", S.encode_label("our_label").alias("final_prediction"))
     parts = [long.select("model_name", "true_label", "final_prediction", "raw_prediction")]
-    for name, ann in ((LLM_NAME, llm), (HUMAN_NAME, human)):
+    # the annotator's display name comes from its file name, "Human (Panel)"
+    human_name = S.human_display_name(F.lit(HUMAN_PATH))
+    for name, ann in ((F.lit(LLM_NAME), llm), (human_name, human)):
         parts.append(gold.join(ann, "doc_id", "left").select(
-            F.lit(name).alias("model_name"), "true_label", "final_prediction",
+            name.alias("model_name"), "true_label", "final_prediction",
             F.lit(None).cast("double").alias("raw_prediction")))
     out = parts[0]
     for p in parts[1:]:
