@@ -56,6 +56,26 @@ def rubric_client() -> ModelFactory:
     return factory
 
 
+def with_retries(factory: ModelFactory, attempts: int = 3, fallback=None) -> ModelFactory:
+    """Wrap a model/client factory so each batch is retried up to
+    ``attempts`` times; a batch that still fails yields ``fallback`` for its
+    rows (for the LLM scorer an empty response, i.e. score -1) instead of
+    failing the task."""
+    def wrapped():
+        model = factory()
+
+        def call(batch: pd.Series) -> pd.Series:
+            for i in range(attempts):
+                try:
+                    return model(batch)
+                except Exception:  # noqa: BLE001 - remote/model errors are retried
+                    if i == attempts - 1:
+                        return pd.Series([fallback] * len(batch), index=batch.index, dtype=object)
+            raise AssertionError("unreachable")
+        return call
+    return wrapped
+
+
 # ------------------------------------------------------------- UDF glue
 def _batched(factory: ModelFactory, out_type: T.DataType, batch_size: int):
     @F.pandas_udf(out_type)

@@ -60,3 +60,28 @@ def test_llm_score_keeps_raw_and_flags_range(spark):
     out = {r["id"]: (r["score"], r["score_in_range"]) for r in
            I.llm_score(df, "text", "head ", " tail", factory).collect()}
     assert out == {1: (7, False), 2: (-1, False), 3: (-1, False)}
+
+
+def test_with_retries_recovers_and_falls_back(spark):
+    import pandas as pd
+    from labelforge.operators import inference as I
+    calls = {"n": 0}
+
+    def flaky():
+        def ask(prompts):
+            calls["n"] += 1
+            if calls["n"] % 2 == 1:
+                raise RuntimeError("transient")
+            return pd.Series(["Educational score: 2"] * len(prompts), index=prompts.index)
+        return ask
+
+    def broken():
+        def ask(prompts):
+            raise RuntimeError("down")
+        return ask
+    s = pd.Series(["a", "b"])
+    assert list(I.with_retries(flaky, 3)()(s)) == ["Educational score: 2"] * 2
+    assert list(I.with_retries(broken, 2, fallback="")()(s)) == ["", ""]
+    df = spark.createDataFrame([(1, "text")], "id int, text string")
+    out = I.llm_score(df, "text", "h ", " t", I.with_retries(broken, 2, fallback="")).first()
+    assert out["score"] == -1
