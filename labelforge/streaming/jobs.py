@@ -83,11 +83,21 @@ def quality_split(spark: SparkSession, stream: DataFrame, name: str, text_col: s
     return clean, back.filter(F.col("is_problematic"))
 
 
-def progress(annotations: DataFrame, id_col: str, label_col: str) -> DataFrame:
-    """Running label distribution where each item counts once (state: the
-    set of annotated ids, bounded by the annotation effort)."""
-    return (annotations.dropDuplicates([id_col]).groupBy(label_col)
-            .agg(F.count(F.lit(1)).alias("n")))
+def progress(annotations: DataFrame, id_col: str, label_col: str,
+             event_time: str | None = None, watermark: str | None = None) -> DataFrame:
+    """Running label distribution where each item counts once.
+
+    Without an event time the dedup state is the set of annotated ids
+    (bounded by the annotation effort). With ``event_time`` and
+    ``watermark`` (e.g. ``"7 days"``) a repeat of an id is only recognised
+    within the watermark delay, and state older than it is dropped.
+    """
+    if event_time is not None:
+        deduped = (annotations.withWatermark(event_time, watermark or "1 day")
+                   .dropDuplicatesWithinWatermark([id_col]))
+    else:
+        deduped = annotations.dropDuplicates([id_col])
+    return deduped.groupBy(label_col).agg(F.count(F.lit(1)).alias("n"))
 
 
 def annotations_from_scores(stream: DataFrame) -> DataFrame:

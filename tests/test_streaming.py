@@ -36,3 +36,16 @@ def test_progress_stream_counts_each_item_once(spark):
     ST.run_complete_to_table(ST.progress(ST.annotations_from_scores(stream), "doc_id", "our_label"), out, ckpt)
     rows = spark.read.parquet(out).collect()
     assert [(r["our_label"], r["n"]) for r in rows] == [("Good", d.count())]
+
+
+def test_progress_with_watermark_dedups_repeats(spark):
+    out, ckpt, src = (scratch_path(spark, n) for n in ("wout", "wckpt", "wsrc"))
+    d = (documents(spark, SMALL).select("doc_id", F.lit(4).alias("int_score"))
+         .withColumn("ts", F.to_timestamp(F.lit("2024-01-01 00:00:00"))))
+    d.write.parquet(src + "/a")
+    d.write.parquet(src + "/b")
+    stream = spark.readStream.schema("doc_id long, int_score int, ts timestamp").parquet(src + "/*")
+    ann = stream.select("doc_id", "ts", F.lit("Excellent").alias("our_label"))
+    ST.run_complete_to_table(ST.progress(ann, "doc_id", "our_label", "ts", "1 hour"), out, ckpt)
+    rows = spark.read.parquet(out).collect()
+    assert [(r["our_label"], r["n"]) for r in rows] == [("Excellent", d.count())]
