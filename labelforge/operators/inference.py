@@ -122,8 +122,10 @@ def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
     factory = factory or rubric_client()
     udf = _batched(factory, T.StringType(), batch_size)
     blank = F.col(text_col).isNull() | (F.length(F.trim(F.col(text_col))) == 0)
-    prompt = render_prompt(text_col, head, tail)
-    resp = F.when(blank, F.lit(None).cast("string")).otherwise(udf(prompt))
+    # Python UDFs run for every row of the batch, even under CASE WHEN, so
+    # blank texts get a null prompt, which the batch wrapper never sends.
+    prompt = F.when(blank, F.lit(None).cast("string")).otherwise(render_prompt(text_col, head, tail))
+    resp = udf(prompt)
     out = df.withColumn("response", resp).withColumn(
         "score", F.when(blank, F.lit(S.LLM_FAILED)).otherwise(S.parse_llm_score("response")))
     # the raw integer is kept; whether it lies on the rubric's scale is a

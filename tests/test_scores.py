@@ -85,3 +85,18 @@ def test_with_retries_recovers_and_falls_back(spark):
     df = spark.createDataFrame([(1, "text")], "id int, text string")
     out = I.llm_score(df, "text", "h ", " t", I.with_retries(broken, 2, fallback="")).first()
     assert out["score"] == -1
+
+
+def test_blank_texts_never_reach_the_client(spark):
+    import pandas as pd
+    from labelforge.operators import inference as I
+
+    def strict():
+        def ask(prompts):
+            assert prompts.notna().all() and (prompts.str.len() > 0).all()
+            assert not prompts.str.contains("<<BLANK>>").any()
+            return pd.Series(["Educational score: 1"] * len(prompts), index=prompts.index)
+        return ask
+    df = spark.createDataFrame([(1, "fine"), (2, " \t "), (3, None)], "id int, text string")
+    got = {r["id"]: r["score"] for r in I.llm_score(df, "text", "<<", ">>", strict).collect()}
+    assert got == {1: 1, 2: -1, 3: -1}
