@@ -10,14 +10,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import col_of
+from .text import WS, col_of, py_strip
 
 # --- fixed values -----------------------------------------------------------
 LABEL_CODES = {"None": 0, "Minimal": 1, "Basic": 2, "Good": 3, "Excellent": 4}
 PROBLEMATIC_LABEL = "❗ Problematic Content ❗"
-LLM_SCORE_RE = r"(?i)Educational score:\s*(\d+)"
-LLM_FAILED = -1
+LLM_SCORE_PATTERN = r"Educational score:\s*(\d+)"  # searched case-insensitively
 # ---------------------------------------------------------------------------
+# The same pattern for the JVM: Python's \s is Unicode whitespace, Java's is
+# ASCII only, so \s becomes the Python whitespace class.
+LLM_SCORE_RE = "(?i)" + LLM_SCORE_PATTERN.replace(r"\s", f"[{WS}]")
+LLM_FAILED = -1
 
 
 def score_to_int(c, lo: float = 0.0, hi: float = 5.0) -> Column:
@@ -88,10 +91,15 @@ def parse_llm_score(c) -> Column:
     """First ``Educational score: <int>`` (case-insensitive); miss/blank -> -1."""
     x = col_of(c)
     got = F.nullif(F.regexp_extract(x, LLM_SCORE_RE, 1), F.lit("")).try_cast("int")
-    blank = x.isNull() | (F.length(F.trim(x)) == 0)
+    blank = x.isNull() | (F.length(py_strip(x)) == 0)
     return F.when(blank, F.lit(LLM_FAILED)).otherwise(F.coalesce(got, F.lit(LLM_FAILED)))
 
 
+def is_blank(c) -> Column:
+    """Null or only whitespace (``not text or not text.strip()``)."""
+    return col_of(c).isNull() | (F.length(py_strip(c)) == 0)
+
+
 def human_display_name(path_col) -> Column:
     """``…/annotations_mikkel.json`` -> ``Human (Mikkel)``."""
     base = F.regexp_extract(col_of(path_col), r"([^/]+)$", 1)

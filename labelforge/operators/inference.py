@@ -121,7 +121,7 @@ def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
     response and parse the score (blank text -> -1 without a call)."""
     factory = factory or rubric_client()
     udf = _batched(factory, T.StringType(), batch_size)
-    blank = F.col(text_col).isNull() | (F.length(F.trim(F.col(text_col))) == 0)
+    blank = S.is_blank(text_col)
     # Python UDFs run for every row of the batch, even under CASE WHEN, so
     # blank texts get a null prompt, which the batch wrapper never sends.
     prompt = F.when(blank, F.lit(None).cast("string")).otherwise(render_prompt(text_col, head, tail))

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.text import sql_ws_chars
 from ..operators import corpus as C
 from ..operators import inference as I
 from ..operators import metrics as MT
@@ -113,7 +114,7 @@ def clean_translated(spark, sf):
                                                   T.StructField("int_score", T.IntegerType())]))
 
 
-@register("llm_score_batch", f"""SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) = 0 THEN -1
+@register("llm_score_batch", f"""SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text, {sql_ws_chars()})) = 0 THEN -1
     ELSE CAST(length({_sql_str(PROMPT_HEAD)} || text || {_sql_str(PROMPT_TAIL)}) % 6 AS INTEGER) END AS score
     FROM documents""")
 def llm_score_batch(spark, sf):

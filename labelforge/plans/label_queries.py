@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import agreement as G
 from ..sources import fixtures as V
+from ..functions.text import WS, sql_ws_chars
 from ..sources.tables import documents
 from .registry import register
 
@@ -79,9 +80,9 @@ def parse_labels(spark, sf):
                     F.concat_ws("|", "l").alias("labels"))
 
 
-@register("parse_llm_score", r"""SELECT doc_id, CASE WHEN response IS NULL OR length(trim(response)) = 0 THEN -1
-    ELSE coalesce(TRY_CAST(nullif(regexp_extract(response, 'Educational score:\s*(\d+)', 1, 'i'), '') AS INTEGER), -1)
-    END AS score FROM v_llm_response""", ("v_llm_response",))
+@register("parse_llm_score", f"""SELECT doc_id, CASE WHEN response IS NULL OR length(trim(response, {sql_ws_chars()})) = 0
+    THEN -1 ELSE coalesce(TRY_CAST(nullif(regexp_extract(response, 'Educational score:[{WS}]*(\\d+)', 1, 'i'), '')
+    AS INTEGER), -1) END AS score FROM v_llm_response""", ("v_llm_response",))
 def parse_llm_score(spark, sf):
     r = V.v_llm_response(spark, sf)
     return r.select("doc_id", S.parse_llm_score("response").alias("score"))
