@@ -16,11 +16,11 @@ from .text import WS, col_of, py_strip
 LABEL_CODES = {"None": 0, "Minimal": 1, "Basic": 2, "Good": 3, "Excellent": 4}
 PROBLEMATIC_LABEL = "❗ Problematic Content ❗"
 LLM_SCORE_PATTERN = r"Educational score:\s*(\d+)"  # searched case-insensitively
+LLM_FAILED = -1
 # ---------------------------------------------------------------------------
 # The same pattern for the JVM: Python's \s is Unicode whitespace, Java's is
 # ASCII only, so \s becomes the Python whitespace class.
 LLM_SCORE_RE = "(?i)" + LLM_SCORE_PATTERN.replace(r"\s", f"[{WS}]")
-LLM_FAILED = -1
 
 
 def score_to_int(c, lo: float = 0.0, hi: float = 5.0) -> Column:
