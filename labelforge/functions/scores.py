@@ -17,6 +17,7 @@ LABEL_CODES = {"None": 0, "Minimal": 1, "Basic": 2, "Good": 3, "Excellent": 4}
 PROBLEMATIC_LABEL = "❗ Problematic Content ❗"
 LLM_SCORE_PATTERN = r"Educational score:\s*(\d+)"  # searched case-insensitively
 LLM_FAILED = -1
+LIST_ITEM_PATTERN = r"'(.*?)'"
 # ---------------------------------------------------------------------------
 # The same pattern for the JVM: Python's \s is Unicode whitespace, Java's is
 # ASCII only, so \s becomes the Python whitespace class.
@@ -82,9 +83,13 @@ def mean_round(arr) -> Column:
     return F.when(F.size(a) > 0, F.rint(s / F.size(a)).cast("int"))
 
 
+# Python's "." excludes only "\n"; Java's also excludes other line breaks.
+LIST_ITEM_RE = LIST_ITEM_PATTERN.replace(".", "[^\n]")
+
+
 def parse_list_text(c) -> Column:
     """``"['None' 'Good']"`` -> ["None", "Good"]."""
-    return F.regexp_extract_all(col_of(c), F.lit("'(.*?)'"), 1)
+    return F.regexp_extract_all(col_of(c), F.lit(LIST_ITEM_RE), 1)
 
 
 def parse_llm_score(c) -> Column:

@@ -38,3 +38,11 @@ def test_skip_long_rows_is_quote_aware(spark, tmp_path):
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("text", T.StringType())])
     got = sorted(tuple(r) for r in IO.read_csv_skip_long_rows(spark, str(p), schema).collect())
     assert got == [(1, "a, b, c"), (3, None), (4, "multi\nline, with comma"), (5, None)]
+
+
+def test_natural_outer_merge_matches_null_keys(spark):
+    from labelforge.operators.joins import natural_outer_merge
+    a = spark.createDataFrame([(1, "x", 10), (None, "y", 20), (3, None, 30)], "id int, text string, a int")
+    b = spark.createDataFrame([(1, "x", 1.5), (None, "y", 2.5), (4, "w", 3.5)], "id int, text string, b double")
+    got = sorted((tuple(r) for r in natural_outer_merge([a, b]).collect()), key=repr)
+    assert got == sorted([(1, "x", 10, 1.5), (None, "y", 20, 2.5), (3, None, 30, None), (4, "w", None, 3.5)], key=repr)

@@ -100,3 +100,12 @@ def test_blank_texts_never_reach_the_client(spark):
     df = spark.createDataFrame([(1, "fine"), (2, " \t "), (3, None)], "id int, text string")
     got = {r["id"]: r["score"] for r in I.llm_score(df, "text", "<<", ">>", strict).collect()}
     assert got == {1: 1, 2: -1, 3: -1}
+
+
+def test_parse_list_text_line_breaks_like_python(spark):
+    import re
+    texts = ["['a\\u2028b' 'c']", "['x\\ny' 'z']", "['None' 'Good']"]
+    texts = [t.encode().decode("unicode_escape") for t in texts]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    got = [r[0] for r in df.select(S.parse_list_text("s")).collect()]
+    assert got == [re.findall(r"'(.*?)'", t) for t in texts]
