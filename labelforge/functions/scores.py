@@ -114,6 +114,14 @@ def human_display_name(path_col) -> Column:
     return F.concat(F.lit("Human ("), cap, F.lit(")"))
 
 
+def py_format_round(c, digits: int) -> Column:
+    """``float(f"{x:.{digits}f}")``: Java's DecimalFormat (behind
+    ``format_number``) rounds the exact binary value half-even, as Python's
+    formatting does; ``round``/``bround`` round the shortest decimal string."""
+    s = F.regexp_replace(F.format_number(col_of(c).cast("double"), digits), ",", "")
+    return s.cast("double")
+
+
 def json_list(c) -> Column:
     """JSON list text -> array<string>; malformed / non-list -> empty array."""
     return F.coalesce(F.from_json(col_of(c), "array<string>"), F.array().cast("array<string>"))

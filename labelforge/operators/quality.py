@@ -139,12 +139,14 @@ def reason_counts(annotated: DataFrame) -> DataFrame:
 
 
 def retention(annotated: DataFrame) -> DataFrame:
-    """Totals and percentages (one decimal) of clean and filtered rows."""
+    """Totals and percentages of clean and filtered rows, computed as
+    ``part / total * 100`` and shown with one decimal as Python formats it."""
+    from ..functions.scores import py_format_round
     total = F.count(F.lit(1))
     clean = F.count_if(~F.col("is_problematic"))
     filtered = F.count_if(F.col("is_problematic"))
     return annotated.agg(total.alias("total"), clean.alias("clean"),
                          filtered.alias("filtered")).select(
         "total", "clean", "filtered",
-        F.round(F.try_divide(F.col("clean") * 100.0, F.col("total")), 1).alias("clean_pct"),
-        F.round(F.try_divide(F.col("filtered") * 100.0, F.col("total")), 1).alias("filtered_pct"))
+        py_format_round(F.try_divide(F.col("clean"), F.col("total")) * 100, 1).alias("clean_pct"),
+        py_format_round(F.try_divide(F.col("filtered"), F.col("total")) * 100, 1).alias("filtered_pct"))

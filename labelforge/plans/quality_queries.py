@@ -105,8 +105,10 @@ def quality_reasons(spark, sf):
 @register("quality_retention", f"""WITH {_SIG} SELECT count(*) AS total,
     count(*) FILTER (WHERE filter_reason = 'Clean content') AS clean,
     count(*) FILTER (WHERE filter_reason <> 'Clean content') AS filtered,
-    round(100.0 * count(*) FILTER (WHERE filter_reason = 'Clean content') / count(*), 1) AS clean_pct,
-    round(100.0 * count(*) FILTER (WHERE filter_reason <> 'Clean content') / count(*), 1) AS filtered_pct
+    CAST(format('{{:.1f}}', count(*) FILTER (WHERE filter_reason = 'Clean content') / count(*) * 100) AS DOUBLE)
+      AS clean_pct,
+    CAST(format('{{:.1f}}', count(*) FILTER (WHERE filter_reason <> 'Clean content') / count(*) * 100) AS DOUBLE)
+      AS filtered_pct
     FROM ann""")
 def quality_retention(spark, sf):
     return Q.retention(_annotated(spark, sf, "text").select("is_problematic"))

@@ -109,3 +109,10 @@ def test_parse_list_text_line_breaks_like_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "s string")
     got = [r[0] for r in df.select(S.parse_list_text("s")).collect()]
     assert got == [re.findall(r"'(.*?)'", t) for t in texts]
+
+
+def test_py_format_round_matches_python(spark):
+    vals = [0.35, 6.25, 82.15, 2.675, 0.05, 0.15, 1 / 3 * 100, 99.95, 1234.55]
+    df = spark.createDataFrame([(v,) for v in vals], "x double")
+    got = [r[0] for r in df.select(S.py_format_round("x", 1)).collect()]
+    assert got == [float(f"{v:.1f}") for v in vals]
