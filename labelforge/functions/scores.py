@@ -114,6 +114,13 @@ def human_display_name(path_col) -> Column:
     return F.concat(F.lit("Human ("), cap, F.lit(")"))
 
 
+def np_round(c, digits: int) -> Column:
+    """numpy/pandas ``round(x, digits)``: ``rint(x * 10**d) / 10**d`` in
+    binary floating point (half-even on the scaled value)."""
+    f = float(10 ** digits)
+    return F.rint(col_of(c).cast("double") * F.lit(f)) / F.lit(f)
+
+
 def py_format_round(c, digits: int) -> Column:
     """``float(f"{x:.{digits}f}")``: Java's DecimalFormat (behind
     ``format_number``) rounds the exact binary value half-even, as Python's

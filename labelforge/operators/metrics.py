@@ -76,7 +76,7 @@ def per_class(cm: DataFrame) -> DataFrame:
 
 def summary(long: DataFrame, digits: int | None = 4) -> DataFrame:
     """model_name, mse, accuracy, f1_macro, f1_weighted (+ macro P/R), sorted
-    by f1_macro desc, rounded half-even to ``digits``.
+    by f1_macro desc, rounded to ``digits`` as pandas ``round`` does.
 
     MSE uses the raw predictions when the model has any, else the discrete
     ones (rows without a raw value are left out of the raw MSE).
@@ -97,7 +97,8 @@ def summary(long: DataFrame, digits: int | None = 4) -> DataFrame:
         "f1_macro", "f1_weighted", "precision_macro", "recall_macro",
         F.col("n").cast("long").alias("n"), F.col("n_raw").cast("long").alias("n_raw"))
     if digits is not None:
-        out = out.select(M, *[F.bround(c, digits).alias(c) for c in out.columns
+        from ..functions.scores import np_round
+        out = out.select(M, *[np_round(c, digits).alias(c) for c in out.columns
                               if c not in (M, "n", "n_raw")], "n", "n_raw")
     return out.orderBy(F.desc("f1_macro"), M)
 

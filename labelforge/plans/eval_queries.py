@@ -93,9 +93,8 @@ MASTER_SQL = f"""models_long AS ({_long_sql()}),
            JOIN (SELECT model_name, avg(f1) AS f1_macro, sum(f1 * support) / sum(support) AS f1_weighted,
                    avg(precision) AS precision_macro, avg(recall) AS recall_macro FROM pcm GROUP BY ALL) f
            USING (model_name)),
-  summ4 AS (SELECT model_name, round_even(mse, 4) AS mse, round_even(accuracy, 4) AS accuracy,
-           round_even(f1_macro, 4) AS f1_macro, round_even(f1_weighted, 4) AS f1_weighted,
-           round_even(precision_macro, 4) AS precision_macro, round_even(recall_macro, 4) AS recall_macro FROM summ)"""
+  summ4 AS (SELECT model_name, {", ".join(f"round_even({c} * 10000.0, 0) / 10000.0 AS {c}" for c in
+           ("mse", "accuracy", "f1_macro", "f1_weighted", "precision_macro", "recall_macro"))} FROM summ)"""
 
 
 def _with(sql):

@@ -126,8 +126,8 @@ EVAL_MODELS = {"len_k1": 1, "len_k3": 3, "len_k7": 7}
 
 
 @register("evaluate_models", " UNION ALL ".join(
-    f"""SELECT '{m}' AS model_name, round_even(avg(power(t - s, 2)), 4) AS mse,
-        round_even(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END), 4) AS accuracy FROM (
+    f"""SELECT '{m}' AS model_name, round_even(avg(power(t - s, 2)) * 10000.0, 0) / 10000.0 AS mse,
+        round_even(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) * 10000.0, 0) / 10000.0 AS accuracy FROM (
       SELECT CAST(greatest(0, least(4, round_even(raw_score, 0))) AS INTEGER) AS t, s,
         CAST(greatest(0, least(4, round_even(s, 0))) AS INTEGER) AS p
       FROM (SELECT raw_score, (length(text) * {k} % 601) / 100.0 - 0.5 AS s FROM v_scored WHERE length(text) > 0))"""

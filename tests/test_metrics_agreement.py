@@ -34,7 +34,8 @@ def test_golden_summary_rounding(spark):
             ("fewshot-1000-samples", 0.5658248662948608, 0.48, 0.4426584928229665, 0.4304336124401914),
             ("fewshot-2500-samples", 0.5906309485435486, 0.45, 0.4236866075101369, 0.4054698242933537)]
     df = spark.createDataFrame(rows, "model_name string, mse double, accuracy double, f1_macro double, f1_weighted double")
-    out = df.select("model_name", *[F.bround(c, 4).alias(c) for c in df.columns[1:]]) \
+    from labelforge.functions.scores import np_round
+    out = df.select("model_name", *[np_round(c, 4).alias(c) for c in df.columns[1:]]) \
         .orderBy(F.desc("f1_macro")).collect()
     assert [r["model_name"] for r in out] == ["Full-finetune", "fewshot-1000-samples", "fewshot-2500-samples",
                                               "zeroshot", "fewshot-250-samples"]
