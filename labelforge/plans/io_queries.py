@@ -86,14 +86,14 @@ def annotation_append(spark, sf):
     return back.dropDuplicates(["doc_id"]).groupBy("our_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-CLASSIFY_SQL = """SELECT doc_id, s AS score, CAST(round_even(greatest(0.0, least(5.0, s)), 0) AS INTEGER) AS int_score
+CLASSIFY_SQL = """SELECT doc_id, round(s, 6) AS score, CAST(round_even(greatest(0.0, least(5.0, s)), 0) AS INTEGER) AS int_score
     FROM (SELECT doc_id, (length(text) * {k} % 601) / 100.0 - 0.5 AS s FROM documents WHERE length(text) > 0)"""
 
 
 @register("classify_batch", CLASSIFY_SQL.format(k=1))
 def classify_batch(spark, sf):
     d = I.spread(documents(spark, sf).select("doc_id", "text"))
-    return I.classify(d).select("doc_id", "score", "int_score")
+    return I.classify(d).select("doc_id", F.round("score", 6).alias("score"), "int_score")
 
 
 @register("translate_batch", "SELECT doc_id, '[da] ' || text AS translated_text FROM documents")

@@ -107,9 +107,9 @@ def prompt_render(spark, sf):
     return d.select("doc_id", F.length("p").cast("long").alias("prompt_chars"), F.md5("p").alias("prompt_md5"))
 
 
-@register("rescale_scores", "SELECT doc_id, int_score * 4 / 5.0 AS target FROM v_scored", ("v_scored",))
+@register("rescale_scores", "SELECT doc_id, round(int_score * 4 / 5.0, 6) AS target FROM v_scored", ("v_scored",))
 def rescale_scores(spark, sf):
-    return V.v_scored(spark, sf).select("doc_id", S.rescale("int_score").alias("target"))
+    return V.v_scored(spark, sf).select("doc_id", F.round(S.rescale("int_score"), 6).alias("target"))
 
 
 @register("label_decode", f"""SELECT doc_id, coalesce({NAMES}[gemini_prediction + 1], CAST(gemini_prediction AS VARCHAR))

@@ -11,7 +11,7 @@ from ..sources import fixtures as V
 from ..sources.tables import documents
 from .registry import register
 
-COMMON = "text, language_score, CAST(token_count AS INTEGER) AS token_count, int_score"
+COMMON = "text, round(language_score, 6) AS language_score, CAST(token_count AS INTEGER) AS token_count, int_score"
 QUOTAS = {0: 30, 1: 30, 2: 30, 3: 30, 4: 30}
 
 
@@ -19,10 +19,14 @@ def _src(spark, sf, name):
     return V.v_corpus(spark, sf).filter(F.col("snapshot") == name)
 
 
+def _r6(df):
+    return df.withColumn("language_score", F.round("language_score", 6))
+
+
 @register("bounded_ingest", f"""SELECT {COMMON} FROM v_corpus WHERE snapshot = 'src1'
     ORDER BY doc_id LIMIT 20""", ("v_corpus",))
 def bounded_ingest(spark, sf):
-    return C.bounded_ingest(_src(spark, sf, "src1"), 20, "doc_id")
+    return _r6(C.bounded_ingest(_src(spark, sf, "src1"), 20, "doc_id"))
 
 
 @register("merge_sources", f"""SELECT * FROM (SELECT {COMMON}, 'src0' AS source_name FROM v_corpus
@@ -33,7 +37,7 @@ def bounded_ingest(spark, sf):
 def merge_sources(spark, sf):
     srcs = [("src0", _src(spark, sf, "src0"), 25), ("src1", _src(spark, sf, "src1"), 15),
             ("src2", _src(spark, sf, "src2").drop("int_score").withColumnRenamed("raw_score", "score"), -1)]
-    return C.merge_sources(srcs, "doc_id", spark)
+    return _r6(C.merge_sources(srcs, "doc_id", spark))
 
 
 @register("merge_training_set", """SELECT * FROM (SELECT doc_id, lang, int_score FROM v_scored WHERE lang = 'en'

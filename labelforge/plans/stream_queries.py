@@ -27,7 +27,8 @@ def stream_ingest(spark, sf):
 
 @register("stream_score", CLASSIFY_SQL.format(k=1))
 def stream_score(spark, sf):
-    plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text")).select("doc_id", "score", "int_score")
+    plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text")).select(
+        "doc_id", F.round("score", 6).alias("score"), "int_score")
     return ST.materialise(spark, plan, "stream-score")
 
 
