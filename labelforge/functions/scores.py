@@ -106,7 +106,7 @@ def is_blank(c) -> Column:
 
 
 def human_display_name(path_col) -> Column:
-    """``…/annotations_mikkel.json`` -> ``Human (Mikkel)``."""
+    """``…/annotations_jordan.json`` -> ``Human (Jordan)``."""
     base = F.regexp_extract(col_of(path_col), r"([^/]+)$", 1)
     last = F.element_at(F.split(base, "_"), -1)
     stem = F.split(last, r"\.").getItem(0)
