@@ -35,23 +35,28 @@ def human_labels(spark, sf):
 
 
 def master(spark, sf):
+    """One row per (gold row, model or annotator). Annotator labels are
+    left-joined onto the wide prediction rows by id, then one ``inline``
+    emits every model and annotator for the row in a single pass."""
     wide = V.v_preds_wide(spark, sf)
-    long = X.wide_to_long(wide, ["doc_id", "text", "true_label"])
-    gold = wide.select("doc_id", "true_label")
-    llm = V.v_llm(spark, sf).select("doc_id", F.col("gemini_prediction").alias("final_prediction"))
-    human = human_labels(spark, sf).select("doc_id", S.encode_label("our_label").alias("final_prediction"))
-    parts = [long.select("model_name", "true_label", "final_prediction", "raw_prediction")]
+    llm = V.v_llm(spark, sf).select("doc_id", F.col("gemini_prediction").alias("_p_llm"))
+    human = human_labels(spark, sf).select("doc_id", S.encode_label("our_label").alias("_p_human"))
+    rows = wide.join(llm, "doc_id", "left").join(human, "doc_id", "left")
     # the annotator's display name comes from its file name, "Human (Panel)"
     human_name = S.human_display_name(F.lit(HUMAN_PATH))
-    for name, ann in ((F.lit(LLM_NAME), llm), (human_name, human)):
-        parts.append(gold.join(ann, "doc_id", "left").select(
-            name.alias("model_name"), "true_label", "final_prediction",
-            F.lit(None).cast("double").alias("raw_prediction")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return (out.dropna(subset=["final_prediction"])
-            .withColumn("final_prediction", F.col("final_prediction").cast("int")))
+    no_raw = F.lit(None).cast("double")
+    structs = []
+    for m in X.model_names(wide):
+        raw = F.col(X.RAW_PREFIX + m) if X.RAW_PREFIX + m in wide.columns else no_raw
+        structs.append(F.struct(F.lit(m).alias("model_name"),
+                                F.col(X.PRED_PREFIX + m).cast("int").alias("final_prediction"),
+                                raw.cast("double").alias("raw_prediction")))
+    for name, col in ((F.lit(LLM_NAME), "_p_llm"), (human_name, "_p_human")):
+        structs.append(F.struct(name.alias("model_name"), F.col(col).cast("int").alias("final_prediction"),
+                                no_raw.alias("raw_prediction")))
+    return (rows.select("true_label", F.inline(F.array(*structs)))
+            .dropna(subset=["final_prediction"])
+            .select("model_name", "true_label", "final_prediction", "raw_prediction"))
 
 
 def _long_sql():
