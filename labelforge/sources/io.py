@@ -83,3 +83,19 @@ def jsonl_to_csv(spark: SparkSession, jsonl_path: str, csv_path: str, text_col:
                            T.StructField(score_col, T.LongType())])
     df = read_json_lines(spark, jsonl_path, schema)
     write_csv(df.select(text_col, F.col(score_col).cast("int").alias(out_score)), csv_path)
+
+
+def write_partitioned(df: DataFrame, path: str, by: list[str], mode: str = "overwrite") -> None:
+    """Corpus layout for subset loads: one directory per value of ``by``
+    (e.g. language, snapshot), so ``filter(lang = ...)`` prunes directories
+    instead of reading every file. Rows are clustered by the partition
+    columns first so each task writes few files."""
+    df.repartition(*by).write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def read_subset(spark: SparkSession, path: str, **equals) -> DataFrame:
+    """Read a partitioned corpus restricted to partition values."""
+    df = spark.read.parquet(path)
+    for k, v in equals.items():
+        df = df.filter(F.col(k) == v)
+    return df

@@ -46,3 +46,14 @@ def test_natural_outer_merge_matches_null_keys(spark):
     b = spark.createDataFrame([(1, "x", 1.5), (None, "y", 2.5), (4, "w", 3.5)], "id int, text string, b double")
     got = sorted((tuple(r) for r in natural_outer_merge([a, b]).collect()), key=repr)
     assert got == sorted([(1, "x", 10, 1.5), (None, "y", 20, 2.5), (3, None, 30, None), (4, "w", None, 3.5)], key=repr)
+
+
+def test_partitioned_layout_prunes_directories(spark):
+    from labelforge.sources.tables import documents
+    from tests.conftest import SMALL
+    path = scratch_path(spark, "layout")
+    IO.write_partitioned(documents(spark, SMALL), path, ["lang"])
+    sub = IO.read_subset(spark, path, lang="fr")
+    plan = sub._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(lang" in plan and "(lang" in plan
+    assert sub.count() == documents(spark, SMALL).filter("lang = 'fr'").count()
