@@ -22,6 +22,26 @@ from ..functions.text import col_of
 
 ModelFactory = Callable[[], Callable[[pd.Series], pd.Series]]
 
+# Models built in this Python worker, by the factory's ``cache_key``. Spark
+# reuses Python workers across tasks, so a keyed model (weights, a client)
+# is built once per worker rather than once per task.
+_WORKER_MODELS: dict = {}
+
+
+def keyed(factory: ModelFactory, key: str) -> ModelFactory:
+    """Mark a factory as cacheable per worker under ``key``."""
+    factory.cache_key = key  # type: ignore[attr-defined]
+    return factory
+
+
+def load_model(factory: ModelFactory):
+    key = getattr(factory, "cache_key", None)
+    if key is None:
+        return factory()
+    if key not in _WORKER_MODELS:
+        _WORKER_MODELS[key] = factory()
+    return _WORKER_MODELS[key]
+
 
 def render_prompt(text_col, head: str, tail: str) -> Column:
     """Rubric prompt = head + text + tail (native concat)."""
@@ -35,7 +55,7 @@ def length_regressor(k: int = 1) -> ModelFactory:
         def predict(texts: pd.Series) -> pd.Series:
             return ((texts.str.len() * k) % 601) / 100.0 - 0.5
         return predict
-    return factory
+    return keyed(factory, f"length_regressor:{k}")
 
 
 def tagging_translator(target: str = "da") -> ModelFactory:
@@ -44,7 +64,7 @@ def tagging_translator(target: str = "da") -> ModelFactory:
         def translate(texts: pd.Series) -> pd.Series:
             return f"[{target}] " + texts
         return translate
-    return factory
+    return keyed(factory, f"tagging_translator:{target}")
 
 
 def rubric_client() -> ModelFactory:
@@ -53,7 +73,7 @@ def rubric_client() -> ModelFactory:
         def ask(prompts: pd.Series) -> pd.Series:
             return "Justification: stand-in.\nEducational score: " + (prompts.str.len() % 6).astype(str)
         return ask
-    return factory
+    return keyed(factory, "rubric_client")
 
 
 def with_retries(factory: ModelFactory, attempts: int = 3, fallback=None) -> ModelFactory:
@@ -73,14 +93,15 @@ def with_retries(factory: ModelFactory, attempts: int = 3, fallback=None) -> Mod
                         return pd.Series([fallback] * len(batch), index=batch.index, dtype=object)
             raise AssertionError("unreachable")
         return call
-    return wrapped
+    key = getattr(factory, "cache_key", None)
+    return keyed(wrapped, f"retries:{attempts}:{key}") if key is not None else wrapped
 
 
 # ------------------------------------------------------------- UDF glue
 def _batched(factory: ModelFactory, out_type: T.DataType, batch_size: int):
     @F.pandas_udf(out_type)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = factory()  # once per task
+        model = load_model(factory)  # once per worker when keyed, else per task
         for texts in batches:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
             ok = texts.notna() & (texts.str.len() > 0)

@@ -116,3 +116,15 @@ def test_py_format_round_matches_python(spark):
     df = spark.createDataFrame([(v,) for v in vals], "x double")
     got = [r[0] for r in df.select(S.py_format_round("x", 1)).collect()]
     assert got == [float(f"{v:.1f}") for v in vals]
+
+
+def test_keyed_factories_build_once_per_worker():
+    from labelforge.operators import inference as I
+    built = {"n": 0}
+
+    def factory():
+        built["n"] += 1
+        return lambda s: s
+    f = I.keyed(factory, "test-model-once")
+    assert I.load_model(f) is I.load_model(f) and built["n"] == 1
+    assert I.load_model(lambda: 1) == 1
