@@ -59,3 +59,16 @@ def test_lexicon_rejects_multiword(spark):
     from labelforge.functions.text import lexicon_hits
     with pytest.raises(ValueError):
         lexicon_hits(F.col("text"), ["two words"])
+
+
+def test_write_split_one_pass_both_outputs(spark):
+    from labelforge.session import scratch_path
+    from labelforge.sources.tables import documents
+    from tests.conftest import SMALL
+    d = documents(spark, SMALL)
+    path = scratch_path(spark, "split")
+    Q.write_split(d, path, lexicon=["worthless", "idiot", "license", "licensed"])
+    back = spark.read.parquet(path)
+    clean, prob = Q.filter_dataset(d, lexicon=["worthless", "idiot", "license", "licensed"])
+    assert back.filter("NOT is_problematic").count() == clean.count()
+    assert back.filter("is_problematic").count() == prob.count()
