@@ -126,6 +126,15 @@ def write_split(df: DataFrame, path: str, text_col: str = "text",
      .write.mode("overwrite").partitionBy("is_problematic").format(fmt).save(path))
 
 
+def read_split(spark, path: str, problematic: bool, fmt: str = "parquet") -> DataFrame:
+    """One side of a :func:`write_split` output (partition-pruned); the
+    clean side drops the helper columns like :func:`filter_dataset`."""
+    df = spark.read.format(fmt).load(path).withColumn(
+        "is_problematic", F.col("is_problematic").cast("boolean"))
+    df = df.filter(F.col("is_problematic") == F.lit(problematic))
+    return df if problematic else df.drop(*HELPER_COLUMNS)
+
+
 def filter_stats(problematic: DataFrame) -> DataFrame:
     """total_filtered, avg_bad_words, max_bad_words (nulls when empty)."""
     return problematic.agg(
