@@ -44,11 +44,8 @@ def csv_bad_lines(spark, sf):
             .when(d.doc_id % 11 == 0, F.concat_ws(",", d.doc_id.cast("string"), "lang"))
             .otherwise(F.concat_ws(",", d.doc_id.cast("string"), "lang", "source")))
     path = scratch_path(spark, "badcsv")
-    header = spark.createDataFrame([("doc_id,lang,source",)], "value string")
-    header.write.mode("overwrite").text(path + "/h")
-    d.select(line.alias("value")).write.mode("overwrite").text(path + "/b")
-    s = T.StructType(list(_BAD_SCHEMA.fields))
-    return IO.read_csv_skip_long_rows(spark, path + "/b", s)
+    d.select(line.alias("value")).write.mode("overwrite").text(path)  # header-less line files
+    return IO.read_csv_skip_long_rows(spark, path, _BAD_SCHEMA, header=False)
 
 
 @register("json_roundtrip", "SELECT doc_id, raw_score, int_score, lang FROM v_scored", ("v_scored",))

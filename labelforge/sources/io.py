@@ -28,7 +28,8 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_WRITE_OPTS).csv(path)
 
 
-def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType,
+                            header: bool = True) -> DataFrame:
     """Rows with *more* fields than the schema are dropped; rows with fewer
     are kept and padded with nulls (pandas ``on_bad_lines='skip'``).
 
@@ -39,8 +40,8 @@ def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType
     """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
                        + [T.StructField(EXTRA, T.StringType())])
-    df = (spark.read.options(**CSV_OPTS).option("mode", "PERMISSIVE").option("nullValue", NO_NULL)
-          .schema(raw).csv(path))
+    df = (spark.read.options(**CSV_OPTS).option("header", str(header).lower())
+          .option("mode", "PERMISSIVE").option("nullValue", NO_NULL).schema(raw).csv(path))
     df = df.filter(F.col(EXTRA).isNull())
     # empty -> null as pandas reads it; then the declared types
     return df.select(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name)
