@@ -49,3 +49,14 @@ def test_progress_with_watermark_dedups_repeats(spark):
     ST.run_complete_to_table(ST.progress(ann, "doc_id", "our_label", "ts", "1 hour"), out, ckpt)
     rows = spark.read.parquet(out).collect()
     assert [(r["our_label"], r["n"]) for r in rows] == [("Excellent", d.count())]
+
+
+def test_streaming_quality_split_equals_batch(spark):
+    from labelforge.operators import quality as Q
+    lex = ["worthless", "idiot", "license", "licensed"]
+    stream = ST.read_stream(spark, f"{SMALL}/documents.parque[t]", DOC_SCHEMA)
+    clean_s, prob_s = ST.quality_split(spark, stream, "qs-test", lexicon=lex, spread_to=4)
+    clean_b, prob_b = Q.filter_dataset(documents(spark, SMALL), lexicon=lex)
+    assert sorted(r["doc_id"] for r in clean_s.collect()) == sorted(r["doc_id"] for r in clean_b.collect())
+    assert sorted((r["doc_id"], r["filter_reason"]) for r in prob_s.collect()) == \
+        sorted((r["doc_id"], r["filter_reason"]) for r in prob_b.collect())
