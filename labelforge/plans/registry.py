@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import ensure_checkpoint_dir
+from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.fixtures import with_views
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,7 @@ def register(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             # checkpoint()/streaming sinks use the session's shared folder
             ensure_checkpoint_dir(spark)
+            ship_package(spark)
             return fn(spark, sf_dir)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[name] = run
