@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat
+from . import chat, kdtree, tokencount
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -23,6 +23,12 @@ def query(name: str, sql: str | None = None):
     return deco
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 PROBE = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -56,3 +62,29 @@ def chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.char_length("loss_text").cast("long").alias("loss_chars"),
         F.sha2("loss_text", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query("op8_kdtree_top_k", sql="""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id,
+        list_sum(list_transform(range(1, len(q.e) + 1), i -> q.e[i] * c.e[i])) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+      WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM r WHERE rank <= 10""")
+def kdtree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdtree.top_k(spark, table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
+
+
+@query("op4_token_counts")
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(_documents(spark, sf_dir), vocabulary("word_bpe_49k.json"), 2048)
