@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, decontaminate, kdtree, packing, tokencount
+from . import chat, decontaminate, kdtree, packing, tokencount, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -126,3 +126,12 @@ def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(names, 256).alias("items_sha256"),
                         (F.size("spans") > 0).alias("contaminated"))
+
+
+@query("op1_toxicity")
+def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out())
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
+        (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
