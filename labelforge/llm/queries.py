@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, decontaminate, kdtree, packing, tokencount, toxicity
+from . import chat, classlm, decontaminate, kdtree, packing, tokencount, toxicity
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -135,3 +135,13 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select(
         "doc_id", toxicity.held_out().alias("held_out"), F.col("toxicity").alias("score"),
         (F.col("toxicity") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op6_class_lm")
+def class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    out = toxicity.held_out(7, 2)
+    model = classlm.train(docs, ~out)
+    return classlm.score(docs, model).select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known",
+        F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
