@@ -8,7 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import chat, classlm, decontaminate, kdtree, packing, tokencount, toxicity
+from . import (
+    chat,
+    classlm,
+    decontaminate,
+    kdtree,
+    neardup,
+    packing,
+    tokencount,
+    toxicity,
+)
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLE: dict[str, str] = {}
@@ -145,3 +154,8 @@ def class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classlm.score(docs, model).select(
         "doc_id", out.alias("held_out"), "n_tokens", "n_known",
         F.lit(model["N"]).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+@query("op2_near_duplicates")
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))

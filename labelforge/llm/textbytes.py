@@ -112,3 +112,20 @@ def ngram_hash(words_: np.ndarray, n: int) -> np.ndarray:
     for k in range(n):
         h = h * BASE + words_[k:k + m]
     return mix(h)
+
+
+def packed(part: np.ndarray, records: np.ndarray) -> pa.RecordBatch:
+    """(part, rows): the records of each part as one binary value."""
+    order = np.argsort(part, kind="stable")
+    part, records = part[order], np.ascontiguousarray(records[order])
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(part)), bool), part[1:] != part[:-1])))
+    ends = np.append(first, len(part)) * records.dtype.itemsize
+    rows = pa.Array.from_buffers(pa.large_binary(), len(first),
+                                 [None, pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(records.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(part[first].astype(np.int64)), rows.cast(pa.binary())],
+                                      names=["part", "rows"])
+
+
+def unpacked(column, dtype: np.dtype) -> np.ndarray:
+    """The records of a column of packed rows, null rows left out."""
+    return np.frombuffer(b"".join(column.drop_null().to_pylist()), dtype)
