@@ -15,6 +15,7 @@ from . import (
     kdtree,
     neardup,
     packing,
+    suffixes,
     tokencount,
     toxicity,
 )
@@ -159,3 +160,12 @@ def class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_near_duplicates")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+@query("op10_suffix_repeats")
+def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.find_repeats(_documents(spark, sf_dir).select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", (F.octet_length("kept") + gone).alias("n_bytes"), gone.alias("n_removed"),
+                        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
