@@ -13,6 +13,7 @@ from . import (
     classlm,
     decontaminate,
     kdtree,
+    langid,
     neardup,
     packing,
     suffixes,
@@ -169,3 +170,8 @@ def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return found.select("doc_id", (F.octet_length("kept") + gone).alias("n_bytes"), gone.alias("n_removed"),
                         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_language_id")
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "pages"), _documents(spark, sf_dir))
