@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .textbytes import ALNUM, LOWER, flat, ngram_hash, prefix_hash, slices, span_hash, words
 
@@ -132,21 +133,26 @@ def merge(spans: list) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
+STATE = StructType([
+    StructField("n_words", LongType()),
+    StructField("spans", ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType())]))),
+    StructField("item_ids", ArrayType(LongType()))])
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-SCHEMA = ("doc_id long, text string, n_words long, "
-          "spans array<struct<start:long,end:long>>, item_ids array<long>")
 
 
 def _pass(index):
+    """Add the hits of one block of the benchmark to the last three columns."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idx = index.value
         for batch in batches:
-            _, offsets = flat(batch.column(1))
+            names = batch.schema.names
+            at = names.index("text")
+            _, offsets = flat(batch.column(at))
             for a, b in slices(offsets):
                 part = batch.slice(a, b - a)
-                hashes, first = _word_hashes(part.column(1))
+                hashes, first = _word_hashes(part.column(at))
                 found = idx.hits(hashes, first)
-                spans, items = part.column(3), part.column(4)
+                *rest, _, spans, items = part.columns
                 if found:
                     spans, items = spans.to_pylist(), items.to_pylist()
                     for r, (more, which) in found.items():
@@ -154,26 +160,27 @@ def _pass(index):
                         spans[r] = [{"start": x, "end": y} for x, y in merge(old + more)]
                         items[r] = sorted(set(items[r]) | {idx.ids[i] for i in which})
                     spans, items = pa.array(spans, SPANS), pa.array(items, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(first)), spans, items],
-                    names=["doc_id", "text", "n_words", "spans", "item_ids"])
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(first)), spans, items], names=names)
     return run
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 10) -> DataFrame:
-    """doc_id, text, n_words, spans (disjoint word ranges inside a window's
-    occurrence) and item_ids (sorted, of the items with such windows)."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 10,
+                  block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """All columns of ``docs`` with n_words, spans (disjoint word ranges inside
+    a window's occurrence) and item_ids (sorted, of the items with such
+    windows); columns of these names are replaced."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"),
                              F.col("text").cast("string").alias("text")).where(
         F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-size // BLOCK_BYTES) or 1
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-                      F.lit(0).cast("long").alias("n_words"),
-                      F.array().cast("array<struct<start:long,end:long>>").alias("spans"),
-                      F.array().cast("array<long>").alias("item_ids"))
+    blocks = -(-size // block_bytes) or 1
+    out = docs.drop(*STATE.names)
+    out = out.select("*", F.lit(0).cast("long").alias("n_words"),
+                     F.array().cast(STATE["spans"].dataType).alias("spans"),
+                     F.array().cast(STATE["item_ids"].dataType).alias("item_ids"))
+    schema = StructType([*docs.drop(*STATE.names).schema.fields, *STATE.fields])
     for b in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
         index = Index([(r["item_id"], r["text"]) for r in part.collect()], span)  # a bounded block
-        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), SCHEMA)
+        out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), schema)
     return out

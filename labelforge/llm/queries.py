@@ -130,7 +130,8 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
   coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""")
 def winnowing_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_overlaps(_documents(spark, sf_dir), table(spark, sf_dir, "benchmark"), 10)
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = decontaminate.find_overlaps(docs, table(spark, sf_dir, "benchmark"), 10)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     names = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
     return found.select("doc_id", "n_words", hit.alias("n_hit"),

@@ -37,6 +37,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import (
+    ArrayType,
+    BinaryType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from .stage import stage
 from .textbytes import flat, mix, packed, prefix_hash, slices, span_hash, unpacked
@@ -141,6 +149,14 @@ def _result(doc, tie, start, end, requests=None, r_doc=None, r_tie=None) -> pa.T
     return pa.concat_tables(tables)
 
 
+def _first_rows(records: np.ndarray) -> np.ndarray:
+    """True for a sorted record that differs from the one before: a row that
+    the table holds twice is one document."""
+    new = np.ones(len(records), bool)
+    new[1:] = records[1:] != records[:-1]
+    return new
+
+
 def _sift(most: int):
     """Same bytes: all but the earliest are repeats. Same anchor, different
     bytes: the earliest of each kind is asked for."""
@@ -153,6 +169,7 @@ def _sift(most: int):
         alone = new & np.append(new[1:], True)
         s = s[order[~alone]]
         s = s[np.lexsort((s["start"], s["tie"], s["doc"], s["body"], s["key"]))]
+        s = s[_first_rows(s)]
         key = np.ones(len(s), bool)
         key[1:] = s["key"][1:] != s["key"][:-1]
         kind = key.copy()
@@ -338,6 +355,10 @@ def _search(table: pa.Table) -> pa.Table:
     of a pair, among strings that occur on both."""
     meta = unpacked(table.column(1), PIECE)
     data = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8)
+    order = np.lexsort((meta["start"], meta["tie"], meta["doc"]))
+    keep = np.zeros(len(meta), bool)
+    keep[order] = _first_rows(meta[order])
+    data, meta = data[np.repeat(keep, meta["size"])], meta[keep]
     side = np.repeat(meta["side"], meta["size"])
     array, owner, begin = _pieces(meta[meta["side"] == 0], data[side == 0])
     doc, tie, start = _order_key(meta[meta["side"] == 0], owner, begin, array.order)
@@ -358,37 +379,39 @@ def _search(table: pa.Table) -> pa.Table:
     return _result(doc[late], tie[late], start[late], start[late] + LENGTH).select(["doc", "tie", "spans"])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans per document, and the bytes outside them."""
-    for batch in batches:
-        at = {n: batch.schema.get_field_index(n) for n in ("text", "found")}
-        data, offsets = flat(batch.column(at["text"]))
-        spans, kept = [], []
-        for r, found in enumerate(batch.column(at["found"])):
-            body = data[offsets[r]:offsets[r + 1]]
-            if not found.is_valid:
-                spans.append([])
-                kept.append(body.tobytes())
-                continue
-            s = np.frombuffer(b"".join(x.as_py() for x in found.values), SPAN)
-            s = cover(s["start"].astype(np.int64), s["end"].astype(np.int64))
-            spans.append([{"start": int(x), "end": int(y)} for x, y in s])
-            edge = [0, *s.view("<u4").tolist(), len(body)]
-            kept.append(b"".join(body[x:y].tobytes() for x, y in zip(edge[::2], edge[1::2])))
-        cols = [batch.column(k) for k, n in enumerate(batch.schema.names) if n != "found"]
-        names = [n for n in batch.schema.names if n != "found"]
-        yield pa.RecordBatch.from_arrays(
-            [*cols, pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-             pa.array(kept, pa.binary())], names=[*names, "spans", "kept"])
-
-
-def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataFrame:
+def _cut(as_text: bool):
+    """Spans per document, and what lies outside them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = flat(batch.column(1))
+            spans, kept = [], []
+            for r, found in enumerate(batch.column(2)):
+                body, s = data[offsets[r]:offsets[r + 1]], np.zeros(0, SPAN)
+                if found.is_valid:
+                    s = np.frombuffer(b"".join(x.as_py() for x in found.values), SPAN)
+                    s = cover(s["start"].astype(np.int64), s["end"].astype(np.int64))
+                spans.append([{"start": int(x), "end": int(y)} for x, y in s])
+                edge = [0, *s.view("<u4").tolist(), len(body)]
+                rest = b"".join(body[x:y].tobytes() for x, y in zip(edge[::2], edge[1::2]))
+                kept.append(rest.decode("utf-8", "ignore") if as_text else rest)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
+                 pa.array(kept, pa.string() if as_text else pa.binary())], names=["rest", "spans", "kept"])
+    return run
+
+
+def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` (doc_id and text among them) with spans (byte
-    ranges of the repeats, disjoint, sorted) and kept (the bytes outside)."""
+    ranges of the repeats, disjoint, sorted) and kept: the bytes outside, or
+    with ``as_text`` their characters, those cut in half left out. Columns
+    named spans or kept are replaced."""
+    docs = docs.drop("spans", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    others = [c for c in docs.columns if c.lower() != "text"]
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"),
-                        F.xxhash64(text).alias("tie"), text.alias("text"), rest.alias("rest"))
+                        F.xxhash64(text).alias("tie"), text.alias("text"),
+                        F.struct(F.col("text").isNull().alias("no_text"),
+                                 *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = size * 2 // (LENGTH - GRAM + 2)
     parts = max(1, -(-anchors * SEGMENT.itemsize // PART_BYTES))
@@ -397,12 +420,17 @@ def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS) -> DataF
     asked = sifted.where(F.col("requests").isNotNull()).select("doc", "tie", "requests")
     amount = asked.agg(F.sum(F.octet_length("requests"))).first()[0] or 0
     shards = max(1, -(-(amount // REQUEST.itemsize * (LENGTH + (LENGTH - GRAM) // 2)) // SHARD_BYTES))
-    found = (keyed.dropDuplicates(["doc", "tie"]).join(asked, ["doc", "tie"])
+    found = (keyed.join(asked, ["doc", "tie"])
              .mapInArrow(_deal(shards), "shard long, meta binary, body binary")
              .groupBy("shard").applyInArrow(_search, "doc long, tie long, spans binary"))
     spans = (sifted.where(F.col("spans").isNotNull()).select("doc", "tie", "spans").unionByName(found)
              .groupBy("doc", "tie").agg(F.collect_list("spans").alias("found")))
-    fields = ", ".join(f"`{f.name}`:{f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = keyed.join(spans, ["doc", "tie"], "left").select("rest", "text", "found").mapInArrow(
-        _cut, f"rest struct<{fields}>, text string, spans array<struct<start:long,end:long>>, kept binary")
-    return out.select("rest.*", "spans", "kept")
+    cut = keyed.join(spans, ["doc", "tie"], "left").select(
+        F.struct("rest.*", F.when(F.col("rest.no_text"), F.lit(None)).otherwise(F.col("text")).alias("text"))
+        .alias("rest"), "text", "found")
+    schema = StructType([cut.schema["rest"], StructField("spans", ArrayType(StructType(
+        [StructField("start", LongType()), StructField("end", LongType())]))),
+        StructField("kept", StringType() if as_text else BinaryType())])
+    names = {c: f"c{i}" for i, c in enumerate(others)}
+    return cut.mapInArrow(_cut(as_text), schema).select(
+        *[F.col(f"rest.{names.get(c, 'text')}").alias(c) for c in docs.columns], "spans", "kept")

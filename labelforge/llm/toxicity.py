@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .stage import stage
 from .textbytes import ALNUM, LOWER, flat, mix, prefix_hash, slices, span_hash, words
@@ -223,26 +224,26 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, rows_most: int =
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` and toxicity (0 to 1)."""
+    """All columns of ``docs`` and toxicity (0 to 1; replaces such a column)."""
     block = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("toxicity")
+    schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = block.value
         for batch in batches:
-            at = batch.schema.get_field_index("text")
-            _, offsets = flat(batch.column(at))
-            out = []
+            column = batch.column(batch.schema.get_field_index("text"))
+            _, offsets = flat(column)
+            out = [np.zeros(0)]
             for a, b in slices(offsets):
-                row, col = present(batch.column(at).slice(a, b - a), m["chosen"])
+                row, col = present(column.slice(a, b - a), m["chosen"])
                 z = np.bincount(row, m["weights"][col], b - a)
                 out.append(np.full(b - a, m["rate"]) if m["bias"] is None
                            else 1 / (1 + np.exp(-np.clip(z + m["bias"], -40, 40))))
-            s = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s)],
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))],
                                              names=[*batch.schema.names, "toxicity"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{schema}, toxicity double")
+    return docs.mapInArrow(run, schema)
 
 
 def held_out(parts: int = 4, part: int = 2) -> Column:
