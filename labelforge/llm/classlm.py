@@ -224,12 +224,13 @@ def train(docs: DataFrame, train_on: Column) -> dict:
     class_mass = np.bincount(cls, weight, CLASSES)
     share = class_mass / class_mass.sum()
     follow = (joint + share) / (joint.sum(1, keepdims=True) + 1)
-    more = _frequent(vocab, LOOKUP).toPandas()
-    order = np.argsort(more["word"].to_numpy(np.int64).view(np.uint64))
+    more = _frequent(vocab, LOOKUP).select("word", "n").toArrow()  # at most LOOKUP rows
+    known, often = (more.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(known.view(np.uint64))
     return model | {
         "head": head, "cls": cls, "discount": discount, "class_mass": class_mass, "follow": follow,
         "unseen": discount * (seen + 1), "unseen_share": (seen + 1) / (seen + 1).sum(),
-        "keys": more["word"].to_numpy(np.int64).view(np.uint64)[order], "counts": more["n"].to_numpy(np.int64)[order]}
+        "keys": known.view(np.uint64)[order], "counts": often[order]}
 
 
 LEFT = pa.list_(pa.struct([("word", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())]))

@@ -117,7 +117,7 @@ class Index:
                 runs = runs[runs[:, 1] - runs[:, 0] >= need]
                 if len(runs):
                     spans, which_items = found.setdefault(r, ([], set()))
-                    spans += (runs + a - first[r]).tolist()
+                    spans += map(tuple, (runs + a - first[r]).tolist())
                     which_items.add(item)
         return found
 
