@@ -1,13 +1,14 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit minhash
 signatures, confirmed on the full shingle sets.
 
-A signature has ``SYMBOLS`` minhashes of 8 bits each. Two documents whose
+A signature has ``SYMBOLS`` minhashes of 16 bits each. Two documents whose
 signatures differ in at most ``RADIUS`` symbols must, by the pigeonhole
 principle, differ in at most RADIUS // CHUNKS = 1 symbol of some chunk. Each
 chunk is therefore indexed once for every place where that one error may be
 (the place left out of the key): all pairs within the radius share a key.
 A pair at the similarity threshold of 0.85 is outside the radius with a
-probability below 2e-4.
+probability below 2e-4. Index entries carry 4 bits of each symbol, which can
+only make a pair look closer, never farther.
 
 Documents with one shingle set are one class from the start. Rows of a key are
 compared on their signatures and only a spanning forest of the pairs within
@@ -52,6 +53,7 @@ PART_BYTES = 24 << 20
 ALL_PAIRS = 24
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 COLUMNS = 4096
+BROADCAST_ROWS = 500_000
 
 _rng = np.random.default_rng(20240607)
 XOR = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
@@ -74,15 +76,15 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """rows x SYMBOLS bytes; no row may be empty."""
+    """rows x SYMBOLS symbols; no row may be empty."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), SYMBOLS), np.uint8)
+    out = np.empty((len(starts), SYMBOLS), "<u2")
     for k in range(SYMBOLS):
         y = (x ^ XOR[k]) * MUL[0, k]
         y ^= y >> np.uint32(15)
         y *= MUL[1, k]
         least = np.minimum.reduceat(y, starts).astype(np.uint64)
-        out[:, k] = mix(least + np.uint64(k + 1)) >> np.uint64(56)
+        out[:, k] = mix(least + np.uint64(k + 1)) >> np.uint64(48)
     return out
 
 
@@ -123,26 +125,36 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sig binary")
 
 
-ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "u1", (SYMBOLS,))])
+ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "u1", (SYMBOLS // 2,))])
+
+
+def brief(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each symbol, two symbols a byte."""
+    low = (sig & np.uint16(15)).astype(np.uint8)
+    return low[:, ::2] << np.uint8(4) | low[:, 1::2]
 
 
 def _index(parts: int):
-    """Entries of every key, packed per key range."""
+    """Entries of every key, sorted and packed per key range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 ids = np.asarray(batch.column(0).slice(a, 2048))
-                sig = np.frombuffer(b"".join(batch.column(1).slice(a, 2048).to_pylist()), np.uint8)
-                sig = sig.reshape(-1, SYMBOLS)
+                sig = np.frombuffer(b"".join(batch.column(1).slice(a, 2048).to_pylist()), "<u2").reshape(-1, SYMBOLS)
                 rows = np.empty((len(ids), SYMBOLS), ENTRY)
-                rows["key"], rows["id"], rows["sig"] = keys(sig), ids[:, None], sig[:, None, :]
+                rows["key"], rows["id"], rows["sig"] = keys(sig), ids[:, None], brief(sig)[:, None, :]
                 rows = rows.reshape(-1)
-                yield packed((rows["key"] >> np.uint64(20)) % np.uint64(parts), rows)
+                rows = rows[np.argsort(rows["key"])]
+                yield packed((rows["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), rows)
     return run
 
 
+#: Symbols that differ, by the XOR of two bytes.
+DIFFER = np.array([(b > 15) + ((b & 15) > 0) for b in range(256)], np.uint8)
+
+
 def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return (x != y).sum(-1) <= RADIUS
+    return DIFFER[x ^ y].sum(-1) <= RADIUS
 
 
 def _spread(sig: np.ndarray) -> tuple[list, list]:
@@ -272,14 +284,15 @@ def near_duplicates(docs: DataFrame, words_: int = 5, num: int = 85, den: int =
                     names=["id", "family", "n", "shingles"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    members = (family.join(text, "doc_id")
+    one = family.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
+    ids = F.broadcast(family) if one["rows"] <= BROADCAST_ROWS else family  # else a shuffle join
+    members = (ids.join(text, "doc_id")
                .select(F.col("node").alias("id"), F.col("component").alias("family"), "n", "text")
                .mapInArrow(sets, "id long, family long, n long, shingles binary")
                .where(F.octet_length("shingles") == F.col("n") * 8))
     size = family.groupBy(F.col("component").alias("family")).agg(
         F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.ceil(F.count("*") / BLOCK_ROWS)).alias("blocks"))
-    total = family.agg(F.sum("n").alias("n")).first()["n"] or 0
-    tasks = max(1, -(-total // BLOCK_SHINGLES))
+    tasks = max(1, -(-(one["n"] or 0) // BLOCK_SHINGLES))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))
     work = (members.join(size, "family").withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))

@@ -86,11 +86,12 @@ def test_empty_table(spark, docs):
 def test_radius_guarantee():
     """Any pair within the radius shares a key."""
     rng = np.random.default_rng(0)
-    a = rng.integers(0, 256, (300, neardup.SYMBOLS), dtype=np.uint8)
+    a = rng.integers(0, 1 << 16, (300, neardup.SYMBOLS)).astype("<u2")
     b = a.copy()
     for row in b:
         at = rng.choice(neardup.SYMBOLS, neardup.RADIUS, replace=False)
-        row[at] ^= rng.integers(1, 256, neardup.RADIUS).astype(np.uint8)
+        row[at] ^= rng.integers(1, 1 << 16, neardup.RADIUS).astype("<u2")
+    assert neardup._near(neardup.brief(a), neardup.brief(b)).all()
     assert (neardup.keys(a) == neardup.keys(b)).any(axis=1).all()
 
 
