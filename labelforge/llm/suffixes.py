@@ -35,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import (
@@ -50,8 +51,8 @@ from .stage import stage
 from .textbytes import flat, mix, packed, prefix_hash, slices, span_hash, unpacked
 
 LENGTH, GRAM = 100, 24
-PART_BYTES = 16 << 20
-SHARD_BYTES = 2 << 20
+PART_BYTES = 8 << 20
+SHARD_BYTES = 1 << 20
 SHARD_SEGMENTS = 8192
 FIRST = -(1 << 63)  # order of a null id
 
@@ -194,35 +195,39 @@ def _deal(shards: int):
     shards: (shard, meta, body)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = {n: batch.schema.get_field_index(n) for n in ("doc", "tie", "text", "requests")}
-            shard, meta, body = [], [], []
-            for doc, tie, text, asked in zip(*(batch.column(at[n]) for n in ("doc", "tie", "text", "requests"))):
-                if not asked.is_valid:
-                    continue
-                data = (text.as_py() or "").encode()
-                r = np.frombuffer(asked.as_buffer(), REQUEST)
-                times = r["salts"].astype(np.int64)
-                which = np.repeat(np.arange(len(r)), times)
-                other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-                r = r[which]
-                low, high = np.minimum(r["salt"], other), np.maximum(r["salt"], other)
-                to = np.where(r["salts"] == 1, mix(r["group"]) % np.uint64(shards),
-                              mix(mix(r["group"] + np.uint64(1)) + (low.astype(np.uint64) << np.uint64(20))
-                                  + high.astype(np.uint64)) | np.uint64(1 << 63))
-                m = np.empty(len(r), PIECE)
-                m["doc"], m["tie"], m["start"] = doc.as_py(), tie.as_py(), r["start"]
-                m["side"], m["size"] = (r["salt"] != low) & (low != high), r["starts"] + np.uint8(LENGTH - 1)
-                shard.append(to)
-                meta.append(m)
-                body += [data[s:s + n] for s, n in zip(m["start"].tolist(), m["size"].tolist())]
-            if shard:
-                to, m = np.concatenate(shard), np.concatenate(meta)
-                order = np.argsort(to, kind="stable")
-                p = packed(to[order], m[order])
-                ends = np.append(np.flatnonzero(np.diff(to[order])) + 1, len(to))
-                joined = [b"".join(body[i] for i in o) for o in np.split(order, ends[:-1])]
-                yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(joined, pa.binary())],
-                                                 names=["shard", "meta", "body"])
+            doc, tie, text, asked = (batch.column(batch.schema.get_field_index(n))
+                                     for n in ("doc", "tie", "text", "requests"))
+            data, offsets = flat(text)
+            r = unpacked(asked, REQUEST)
+            counts = np.asarray(pc.fill_null(pc.binary_length(asked), 0), np.int64) // REQUEST.itemsize
+            row = np.repeat(np.arange(len(batch)), counts)
+            times = r["salts"].astype(np.int64)
+            which = np.repeat(np.arange(len(r)), times)
+            other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
+            r, row = r[which], row[which]
+            if not len(r):
+                continue
+            low, high = np.minimum(r["salt"], other), np.maximum(r["salt"], other)
+            to = np.where(r["salts"] == 1, mix(r["group"]) % np.uint64(shards),
+                          mix(mix(r["group"] + np.uint64(1)) + (low.astype(np.uint64) << np.uint64(20))
+                              + high.astype(np.uint64)) | np.uint64(1 << 63))
+            m = np.empty(len(r), PIECE)
+            m["doc"], m["tie"] = np.asarray(doc)[row], np.asarray(tie)[row]
+            m["start"] = r["start"]
+            m["side"], m["size"] = (r["salt"] != low) & (low != high), r["starts"] + np.uint8(LENGTH - 1)
+            order = np.argsort(to, kind="stable")
+            to, m, first = to[order], m[order], (offsets[row] + r["start"])[order]
+            p = packed(to, m)
+            cuts = [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
+            raw = memoryview(data)
+            ends = (first + m["size"]).tolist()
+            pieces = [raw[x:y] for x, y in zip(first.tolist(), ends)]
+            joined, a = [], 0
+            for b in cuts:
+                joined.append(b"".join(pieces[a:b]))
+                a = b
+            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(joined, pa.binary())],
+                                             names=["shard", "meta", "body"])
     return run
 
 
@@ -240,26 +245,28 @@ class SuffixArray:
         key = np.zeros(n, np.int64)
         for k in range(6):
             key = key << 9 | np.where(left > k, symbol[k:k + n], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        key = key[order]
         new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
+        new[1:] = key[1:] != key[:-1]
         rank = np.zeros(n + most, np.int64)  # place of the first suffix that ties with this one
         rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+        tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
         h = 6
-        while h < most:
-            tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
-            if not len(tied):
-                break
+        while h < most and len(tied):
             who = order[tied]
-            second = np.where(left[who] > h, rank[who + h], 0)
-            again = np.lexsort((second, rank[who]))
-            who, second = who[again], second[again]
+            key = rank[who] << 32 | np.where(left[who] > h, rank[who + h], 0)
+            again = np.argsort(key)
+            who, key = who[again], key[again]
             order[tied] = who
-            old = rank[who]
-            split = np.concatenate(([True], (old[1:] != old[:-1]) | (second[1:] != second[:-1])))
-            new[tied] = split
+            split = np.ones(len(who), bool)
+            split[1:] = key[1:] != key[:-1]
             rank[who] = tied[np.flatnonzero(split)[np.cumsum(split) - 1]] + 1
+            new[tied] = split
+            tied = tied[~(split & np.append(split[1:], True))]
             h *= 2
+        who = order[tied]  # equal to their ends
+        order[tied] = who[np.argsort(rank[who] << 32 | who)]
         self.every = order
         self.long = left[order] >= LENGTH
         self.order = order[self.long]
@@ -333,13 +340,14 @@ def _compare(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray) -> np.n
 def _pieces(meta: np.ndarray, data: np.ndarray):
     size = meta["size"].astype(np.int64)
     begin = np.cumsum(size) - size
-    owner = np.repeat(np.arange(len(meta)), size)
-    return SuffixArray(data, begin, size), owner, begin
+    return SuffixArray(data, begin, size), begin
 
 
-def _order_key(meta: np.ndarray, owner: np.ndarray, begin: np.ndarray, at: np.ndarray):
-    m = meta[owner[at]]
-    return m["doc"], m["tie"], m["start"] + (at - begin[owner[at]])
+def _origin(meta: np.ndarray, begin: np.ndarray, at: np.ndarray):
+    """(doc, tie, start) of places in the pieces' bytes."""
+    owner = np.searchsorted(begin, at, "right") - 1
+    m = meta[owner]
+    return m["doc"], m["tie"], m["start"] + (at - begin[owner])
 
 
 def _earliest(group: np.ndarray, doc, tie, start) -> np.ndarray:
@@ -359,22 +367,26 @@ def _search(table: pa.Table) -> pa.Table:
     keep = np.zeros(len(meta), bool)
     keep[order] = _first_rows(meta[order])
     data, meta = data[np.repeat(keep, meta["size"])], meta[keep]
-    side = np.repeat(meta["side"], meta["size"])
-    array, owner, begin = _pieces(meta[meta["side"] == 0], data[side == 0])
-    doc, tie, start = _order_key(meta[meta["side"] == 0], owner, begin, array.order)
+    two = bool((meta["side"] == 1).any())
+    side = np.repeat(meta["side"], meta["size"]) if two else None
+    own = meta[meta["side"] == 0] if two else meta
+    array, begin = _pieces(own, data[side == 0] if two else data)
     group = np.cumsum(array.common() < LENGTH)
-    if (meta["side"] == 1).any():
+    if two:
         theirs = meta[meta["side"] == 1]
-        b_array, b_owner, b_begin = _pieces(theirs, data[side == 1])
+        b_array, b_begin = _pieces(theirs, data[side == 1])
         at = array.find(b_array.data, b_array.order)
-        inside = np.minimum(at, max(len(array.order) - 1, 0))
-        hit = (at < len(array.order)) if len(array.order) else np.zeros(len(at), bool)
-        hit[hit] = _compare(_words8(array.data), array.order[inside[hit]],
-                            _words8(b_array.data), b_array.order[hit]) == 0
-        b_doc, b_tie, b_start = _order_key(theirs, b_owner, b_begin, b_array.order[hit])
-        both = np.isin(group, group[inside[hit]])
-        doc, tie, start = (np.concatenate((x[both], y)) for x, y in ((doc, b_doc), (tie, b_tie), (start, b_start)))
-        group = np.concatenate((group[both], group[inside[hit]]))
+        hit = at < len(array.order)
+        hit[hit] = _compare(_words8(array.data), array.order[at[hit]], _words8(b_array.data), b_array.order[hit]) == 0
+        met = group[at[hit]]
+        keep = np.isin(group, met)
+        origin = [np.concatenate(x) for x in zip(_origin(own, begin, array.order[keep]),
+                                                 _origin(theirs, b_begin, b_array.order[hit]))]
+        group = np.concatenate((group[keep], met))
+    else:
+        keep = np.bincount(group)[group] > 1 if len(group) else np.zeros(0, bool)
+        origin, group = _origin(own, begin, array.order[keep]), group[keep]
+    doc, tie, start = origin
     late = _earliest(group, doc, tie, start)
     return _result(doc[late], tie[late], start[late], start[late] + LENGTH).select(["doc", "tie", "spans"])
 
