@@ -7,8 +7,9 @@ so NaN is mapped to 0 before clamping.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import WS, col_of, py_strip
 
@@ -69,11 +70,19 @@ def encode_labels(arr, codes: dict[str, int] | None = None) -> Column:
 
 
 def decode_code(c, codes: dict[str, int] | None = None) -> Column:
-    """Code -> label name; unmapped values kept as their string form."""
+    """Code -> label name; values that are no code (2.7 among them) are kept
+    as their string form."""
     codes = LABEL_CODES if codes is None else codes
     inv = F.create_map(*[x for k, v in codes.items() for x in (F.lit(v), F.lit(k))])
     x = col_of(c)
-    return F.coalesce(F.try_element_at(inv, x.cast("int")), x.cast("string"))
+    whole = x.try_cast("int")
+    return F.coalesce(F.when(whole == x, F.try_element_at(inv, whole)), x.cast("string"))
+
+
+def decode_frame(df: DataFrame, exclude=(), codes: dict[str, int] | None = None) -> DataFrame:
+    """``decode_code`` on every numeric column that is not excluded."""
+    numeric = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)} - set(exclude)
+    return df.select(*[decode_code(c, codes).alias(c) if c in numeric else F.col(c) for c in df.columns])
 
 
 def mean_round(arr) -> Column:

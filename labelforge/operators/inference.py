@@ -78,32 +78,35 @@ def rubric_client() -> ModelFactory:
 
 def with_retries(factory: ModelFactory, attempts: int = 3, fallback=None) -> ModelFactory:
     """Wrap a model/client factory so each batch is retried up to
-    ``attempts`` times; a batch that still fails yields ``fallback`` for its
-    rows (for the LLM scorer an empty response, i.e. score -1) instead of
-    failing the task."""
+    ``attempts`` times; after that its rows are tried one by one, and only
+    the rows that fail alone yield ``fallback`` (for the LLM scorer an empty
+    response, i.e. score -1) instead of failing the task."""
     def wrapped():
         model = factory()
 
         def call(batch: pd.Series) -> pd.Series:
-            for i in range(attempts):
+            for _ in range(attempts):
                 try:
                     return model(batch)
                 except Exception:  # noqa: BLE001 - remote/model errors are retried
-                    if i == attempts - 1:
-                        return pd.Series([fallback] * len(batch), index=batch.index, dtype=object)
-            raise AssertionError("unreachable")
+                    continue
+            if len(batch) == 1:
+                return pd.Series([fallback], index=batch.index, dtype=object)
+            return pd.concat([call(batch.iloc[i:i + 1]).astype(object) for i in range(len(batch))])
         return call
     key = getattr(factory, "cache_key", None)
     return keyed(wrapped, f"retries:{attempts}:{key}") if key is not None else wrapped
 
 
 # ------------------------------------------------------------- UDF glue
-def _batched(factory: ModelFactory, out_type: T.DataType, batch_size: int):
+def _batched(factory: ModelFactory, out_type: T.DataType, batch_size: int, blank=None):
+    """``blank`` is the result for an empty text; a null text stays null."""
     @F.pandas_udf(out_type)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         model = load_model(factory)  # once per worker when keyed, else per task
         for texts in batches:
             out = pd.Series([None] * len(texts), index=texts.index, dtype=object)
+            out[texts == ""] = blank
             ok = texts.notna() & (texts.str.len() > 0)
             if ok.any():
                 todo = texts[ok]
@@ -133,14 +136,14 @@ def translate(df: DataFrame, input_col: str, output_col: str, factory: ModelFact
               batch_size: int = 32) -> DataFrame:
     """Add ``output_col`` with the translation; nulls stay null."""
     factory = factory or tagging_translator()
-    return df.withColumn(output_col, _batched(factory, T.StringType(), batch_size)(F.col(input_col)))
+    return df.withColumn(output_col, _batched(factory, T.StringType(), batch_size, "")(F.col(input_col)))
 
 
 def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
               factory: ModelFactory | None = None, batch_size: int = 8) -> DataFrame:
     """Render the rubric prompt, ask the client per batch, keep the raw
     response and parse the score (blank text -> -1 without a call)."""
-    factory = factory or rubric_client()
+    factory = with_retries(factory or rubric_client())
     udf = _batched(factory, T.StringType(), batch_size)
     blank = S.is_blank(text_col)
     # Python UDFs run for every row of the batch, even under CASE WHEN, so
@@ -153,8 +156,3 @@ def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
     # separate quality column
     return out.withColumn("score_in_range", F.col("score").between(0, 5))
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """See :func:`labelforge.sources.tables.spread`."""
-    from ..sources.tables import spread as _spread
-    return _spread(df)

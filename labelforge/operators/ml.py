@@ -56,5 +56,16 @@ def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_feat
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=SPLIT_RE, gaps=True,
                          toLowercase=True, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=num_features)
-    lr = LinearRegression(featuresCol="features", labelCol=label_col, regParam=reg, maxIter=30)
+    lr = LinearRegression(featuresCol="features", labelCol=label_col, regParam=reg, solver="l-bfgs", maxIter=30)
     return Pipeline(stages=[tok, tf, lr]).fit(train.select(text_col, F.col(label_col).cast("double")))
+
+
+def score_text(model, df: DataFrame, text_col: str = "text") -> DataFrame:
+    """Add ``score`` (the fitted text model's output) and ``int_score`` (clamp
+    0..5, half-even) to the rows with a non-empty text; works on batch and
+    streaming frames."""
+    from ..functions.scores import score_to_int
+    keep = df.columns
+    return (model.transform(df.where(F.length(F.col(text_col)) > 0))
+            .select(*keep, F.col("prediction").alias("score"))
+            .withColumn("int_score", score_to_int("score")))

@@ -44,77 +44,78 @@ DEFAULT_THRESHOLD = 2
 HELPER_COLUMNS = ["is_problematic", "filter_reason", "bad_word_count"]
 
 
-def quality_signals(df: DataFrame, text_col: str = "text",
-                    lexicon=DANISH_BLOCKED_WORDS) -> DataFrame:
-    """Add the raw signals (one regex pass each) as helper columns ``_q_*``.
-
-    A null text behaves like the string ``"nan"`` (what ``str(nan)`` gives).
-    """
-    t = F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))
-    words = py_split(t)
-    return df.withColumns({
-        "_q_stripped_len": F.length(py_strip(t)),
-        "_q_len": F.length(t),
-        "_q_pipes2": substr_count(t, "||"),
-        "_q_pipes": substr_count(t, "|"),
-        "_q_punct": punct_count(t),
-        "_q_words": F.size(words),
-        "_q_unique": F.size(F.array_distinct(words)),
-        "bad_word_count": lexicon_hits(t, lexicon),
-    })
-
-
-def _flags() -> dict[str, Column]:
-    too_short = F.col("_q_stripped_len") < MIN_STRIPPED_CHARS
-    table_like = ((F.col("_q_pipes2") > MAX_DOUBLE_PIPES)
-                  | (F.col("_q_pipes") > MAX_PIPES))
-    punct_heavy = ((F.col("_q_len") > 0)
-                   & (F.try_divide(F.col("_q_punct"), F.col("_q_len")) > MAX_PUNCT_RATIO))
-    repetitive = ((F.col("_q_words") > MIN_WORDS_FOR_REPEAT)
-                  & (F.try_divide(F.col("_q_unique"), F.col("_q_words")) < MIN_UNIQUE_RATIO))
-    return {"too_short": too_short, "table_like": table_like,
-            "punct_heavy": punct_heavy, "repetitive": repetitive,
-            "spam_like": table_like | punct_heavy | repetitive}
+def _bound(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.get(F.transform(F.array(value), f), 0)
+
+
+def signals(text: Column, lexicon=DANISH_BLOCKED_WORDS) -> Column:
+    """The raw signals of a text as one struct: one word split and one token
+    extraction. A null text behaves like the string ``"nan"`` (what
+    ``str(nan)`` gives)."""
+    raw = _bound(F.coalesce(text.cast("string"), F.lit("nan")), lambda t: F.struct(
+        F.length(py_strip(t)).alias("stripped"), F.length(t).alias("length"),
+        substr_count(t, "||").alias("pipes2"), substr_count(t, "|").alias("pipes"),
+        punct_count(t).alias("punct"), py_split(t).alias("words"),
+        lexicon_hits(t, lexicon).alias("bad")))
+    return _bound(raw, lambda s: F.struct(
+        *[s[k].alias(k) for k in ("stripped", "length", "pipes2", "pipes", "punct", "bad")],
+        F.size(s["words"]).alias("n_words"), F.size(F.array_distinct(s["words"])).alias("n_unique")))
+
+
+def flags(text: Column, lexicon=DANISH_BLOCKED_WORDS) -> Column:
+    """The boolean signals and the blocked-word count as one struct."""
+    def judge(s):
+        table_like = (s["pipes2"] > MAX_DOUBLE_PIPES) | (s["pipes"] > MAX_PIPES)
+        punct_heavy = (s["length"] > 0) & (F.try_divide(s["punct"], s["length"]) > MAX_PUNCT_RATIO)
+        repetitive = ((s["n_words"] > MIN_WORDS_FOR_REPEAT)
+                      & (F.try_divide(s["n_unique"], s["n_words"]) < MIN_UNIQUE_RATIO))
+        return F.struct((s["stripped"] < MIN_STRIPPED_CHARS).alias("too_short"), table_like.alias("table_like"),
+                        punct_heavy.alias("punct_heavy"), repetitive.alias("repetitive"),
+                        (table_like | punct_heavy | repetitive).alias("spam_like"), s["bad"].alias("bad_word_count"))
+    return _bound(signals(text, lexicon), judge)
+
+
+def is_clean(text: Column, lexicon=DANISH_BLOCKED_WORDS, threshold: int = DEFAULT_THRESHOLD) -> Column:
+    return _bound(flags(text, lexicon), lambda f: ~(f["too_short"] | f["spam_like"] | (f["bad_word_count"] >= threshold)))
+
+
+def verdict(text: Column, lexicon=DANISH_BLOCKED_WORDS, threshold: int = DEFAULT_THRESHOLD) -> Column:
+    """is_problematic, filter_reason and bad_word_count as one struct. The
+    count is there for every text, also for short / spam-like ones."""
+    def judge(f):
+        n = f["bad_word_count"]
+        reason = (F.when(f["too_short"], F.lit(REASON_SHORT)).when(f["spam_like"], F.lit(REASON_SPAM))
+                  .when(n >= threshold, F.format_string(REASON_WORDS, n)).otherwise(F.lit(REASON_CLEAN)))
+        return F.struct((f["too_short"] | f["spam_like"] | (n >= threshold)).alias("is_problematic"),
+                        reason.alias("filter_reason"), n.alias("bad_word_count"))
+    return _bound(flags(text, lexicon), judge)
 
 
 def quality_flags(df: DataFrame, text_col: str = "text",
                   lexicon=DANISH_BLOCKED_WORDS) -> DataFrame:
     """Per-row boolean signals + blocked-word count."""
-    s = quality_signals(df, text_col, lexicon)
-    f = _flags()
-    return s.withColumns(f).drop(*[c for c in s.columns if c.startswith("_q_")])
+    return df.withColumn("_q", flags(F.col(text_col), lexicon)).select(*df.columns, "_q.*")
 
 
 def annotate_quality(df: DataFrame, text_col: str = "text",
                      lexicon=DANISH_BLOCKED_WORDS,
                      threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
-    """Add ``is_problematic``, ``filter_reason``, ``bad_word_count``.
-
-    The count is computed for every row, also for short / spam-like ones.
-    """
-    s = quality_signals(df, text_col, lexicon)
-    f = _flags()
-    n = F.col("bad_word_count")
-    reason = (F.when(f["too_short"], F.lit(REASON_SHORT))
-              .when(f["spam_like"], F.lit(REASON_SPAM))
-              .when(n >= threshold, F.format_string(REASON_WORDS, n))
-              .otherwise(F.lit(REASON_CLEAN)))
-    out = s.withColumn("filter_reason", reason)
-    out = out.withColumn("is_problematic", F.col("filter_reason") != F.lit(REASON_CLEAN))
-    cols = [c for c in df.columns if c not in HELPER_COLUMNS] + HELPER_COLUMNS
-    return out.select(*cols)
+    """Add ``is_problematic``, ``filter_reason``, ``bad_word_count``."""
+    cols = [c for c in df.columns if c not in HELPER_COLUMNS]
+    return df.withColumn("_q", verdict(F.col(text_col), lexicon, threshold)).select(
+        *cols, *[F.col(f"_q.{c}").alias(c) for c in HELPER_COLUMNS])
 
 
 def filter_dataset(df: DataFrame, text_col: str = "text", lexicon=DANISH_BLOCKED_WORDS,
                    threshold: int = DEFAULT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(clean, problematic): clean drops the helper columns, problematic keeps them.
 
-    Both come from one annotated plan. To materialise both without scanning
-    twice, use :func:`write_split`.
+    To materialise both without scanning twice, use :func:`write_split`.
     """
-    ann = annotate_quality(df, text_col, lexicon, threshold)
-    clean = ann.filter(~F.col("is_problematic")).drop(*HELPER_COLUMNS)
-    problematic = ann.filter(F.col("is_problematic"))
+    clean = df.filter(is_clean(F.col(text_col), lexicon, threshold)).drop(*HELPER_COLUMNS)
+    problematic = annotate_quality(df.filter(~is_clean(F.col(text_col), lexicon, threshold)),
+                                   text_col, lexicon, threshold)
     return clean, problematic
 
 

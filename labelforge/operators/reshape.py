@@ -69,8 +69,12 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     edges ``lo + i * (hi - lo) / bins`` (last edge = hi), index
     ``floor((x - lo) * (bins / (hi - lo)))`` corrected by one when x falls
     below its edge or on the next one, last bin closed. min/max are one tiny
-    aggregate; the counts are one partial/final aggregate on the bin."""
+    aggregate; the counts are one partial/final aggregate on the bin. Null and
+    NaN values take no part; without any value the result is empty."""
+    df = df.filter(F.col(col).isNotNull() & ~F.isnan(F.col(col).cast("double")))
     r = df.agg(F.min(col).alias("lo"), F.max(col).alias("hi")).first()
+    if r["lo"] is None:
+        return df.sparkSession.createDataFrame([], "bin int, bin_lo double, bin_hi double, n long")
     lo, hi = float(r["lo"]), float(r["hi"])
     if hi == lo:  # numpy widens a zero range to +-0.5
         lo, hi = lo - 0.5, hi + 0.5
@@ -83,7 +87,7 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     i1 = F.when(i0 == bins, F.lit(bins - 1)).otherwise(i0)
     i2 = F.when(x < edge(i1), i1 - 1).otherwise(i1)
     i3 = F.when((x >= edge(i2 + 1)) & (i2 != bins - 1), i2 + 1).otherwise(i2)
-    counts = df.filter(F.col(col).isNotNull()).groupBy(i3.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(i3.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
     edges = df.sparkSession.createDataFrame(
         [(i, i * step + lo, hi if i + 1 == bins else (i + 1) * step + lo) for i in range(bins)],
         "bin int, bin_lo double, bin_hi double")

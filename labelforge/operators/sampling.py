@@ -1,10 +1,10 @@
 """Deterministic, partition-independent sampling, balancing and splitting.
 
 Randomness is a seeded md5 of the row key, so every engine and every
-partitioning picks the same rows. Exact-size selections use top-k
-(``orderBy().limit()``) when the size is a bounded sample size, and a
-distributed global position (range sort + per-partition offsets) when the
-size grows with the data (splits, permutations).
+partitioning picks the same rows. Exact-size selections, quotas and splits
+find the key of the last chosen row by histograms over the key column and are
+then a comparison per row, for any size. A distributed global position (range
+sort + per-partition offsets) serves shuffles only, on the id column.
 """
 
 from __future__ import annotations
@@ -25,82 +25,124 @@ def hash_uniform(id_col, seed) -> Column:
     return F.conv(F.substring(hash_key(id_col, seed), 1, 8), 16, 10).cast("long") / 4294967296.0
 
 
-# A top-k (or a per-partition group limit) sends up to partitions x n rows
-# to a single task. It is used while that product stays under TOPK_MAX rows;
-# beyond it, exact selections use the distributed global position.
-TOPK_MAX = 2_000_000
+BUCKETS = 1 << 16
+HASH_TOP = 1 << 60
 
 
-def _small_enough(df: DataFrame, n: int) -> bool:
-    """Planning-time check (partition count of the input; no job)."""
-    return n * max(df.rdd.getNumPartitions(), 1) <= TOPK_MAX
+def hash_ordinal(id_col, seed) -> Column:
+    """The first 60 bits of the seeded md5 as a number, in the md5's order."""
+    return F.conv(F.substring(hash_key(id_col, seed), 1, 15), 16, 10).cast("long")
 
 
-def _head(df: DataFrame, n: int, order_cols: list) -> DataFrame:
-    if _small_enough(df, n):
-        return df.orderBy(*order_cols).limit(n)
-    return global_position(df, order_cols, "_gp").filter(F.col("_gp") <= n).drop("_gp")
+def mark_first(df: DataFrame, quota, ordinal: Column, ties: list, name: str,
+               by: str | None = None, top: int | None = None) -> DataFrame:
+    """Add the boolean ``name``: the row is among the first ``quota`` rows in
+    the order (ordinal, *ties), per value of ``by`` when given.
+
+    ``quota`` is a number or a function (by column, group size) -> Column. The
+    row in question is found on the key columns alone: a histogram of
+    ``BUCKETS`` equal key ranges, then one of the bucket that holds it, then
+    the few keys of that range, whose cutoff is compared with every row. The
+    rows themselves are never sorted, shuffled or stored. ``top``: ordinals
+    are known to lie in [0, top); else their range is aggregated first.
+    """
+    rule = quota if callable(quota) else (lambda _, __: F.lit(quota))
+    tie = [f"_t{i}" for i in range(len(ties))]
+    keys = df.select(F.col(by).alias("_by") if by else F.lit(0).alias("_by"), ordinal.cast("long").alias("_o"),
+                     *[col_of(t).alias(n) for t, n in zip(ties, tie)])
+    if top is None:
+        ends = keys.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))  # one row
+        keys = keys.crossJoin(F.broadcast(ends))
+        width = F.floor(F.col("_hi") / BUCKETS - F.col("_lo") / BUCKETS).cast("long") + 1
+    else:
+        keys = keys.withColumn("_lo", F.lit(0).cast("long"))
+        width = F.lit(top // BUCKETS).cast("long")
+    keys = (keys.withColumn("_w", width).withColumn("_d", F.col("_o") - F.col("_lo"))
+            .withColumn("_b1", F.floor(F.col("_d") / F.col("_w")))
+            .withColumn("_in", F.col("_d") - F.col("_b1") * F.col("_w"))
+            .withColumn("_b2", F.floor(F.col("_in") / (F.floor(F.col("_w") / BUCKETS) + 1))))
+
+    def bucket(rows: DataFrame, cols: list[str], before: Column, want: Column, keep: list[str]) -> DataFrame:
+        """The bucket in which the wanted row lies, one row per group."""
+        w = Window.partitionBy("_by").orderBy(cols[-1])  # at most BUCKETS + 1 rows of a group
+        h = rows.groupBy("_by", *cols, *keep).agg(F.count(F.lit(1)).alias("_n"))
+        h = h.withColumn("_cum", F.sum("_n").over(w) + before).withColumn(
+            "_size", F.sum("_n").over(Window.partitionBy("_by")))
+        h = h.withColumn("_want", want)
+        return h.where((F.col("_cum") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_cum"))).select(
+            F.col("_by").alias("_g"), *[F.col(c).alias(f"{c}_at") for c in cols],
+            (F.col("_cum") - F.col("_n")).alias("_before"), F.col("_want").alias("_need"))
+
+    def same(cols) -> Column:
+        cond = F.col("_by").eqNullSafe(F.col("_g"))
+        for c in cols:
+            cond &= F.col(c) == F.col(f"{c}_at")
+        return cond
+
+    def narrow(rows: DataFrame, at: DataFrame, cols) -> DataFrame:
+        at = at if by else F.broadcast(at)  # without groups: one row
+        return rows.join(at, same(cols))
+
+    sized = lambda: rule(F.col("_by"), F.col("_size")).cast("long")
+    one = bucket(keys, ["_b1"], F.lit(0), sized(), [])
+    inner = narrow(keys, one, ["_b1"]).withColumnsRenamed({"_before": "_before1", "_need": "_need1"})
+    two = bucket(inner.drop("_g", "_b1_at"), ["_b1", "_b2"], F.col("_before1"), F.col("_need1"),
+                 ["_before1", "_need1"])
+    last = narrow(keys, two, ["_b1", "_b2"])
+    order = Window.partitionBy("_by").orderBy("_o", *tie)  # the keys of one range of the second histogram
+    cut = last.withColumn("_rn", F.row_number().over(order)).where(
+        F.col("_before") + F.col("_rn") == F.col("_need")).select(
+        F.col("_by").alias("_g"), F.col("_o").alias("_co"), *[F.col(t).alias(f"_c{t}") for t in tie])
+    size = keys.groupBy("_by", "_b1").agg(F.count(F.lit(1)).alias("_n")).groupBy("_by").agg(
+        F.sum("_n").alias("_size")).withColumn("_want", sized()).select(  # the first histogram again
+        F.col("_by").alias("_gs"), "_size", "_want")
+    limits = size.join(cut, F.col("_gs").eqNullSafe(F.col("_g")), "left").drop("_g")
+    o = ordinal.cast("long")
+    below, equal = o < F.col("_co"), o == F.col("_co")
+    for t, n in zip(ties, tie):
+        below = below | (equal & (col_of(t) < F.col(f"_c{n}")))
+        equal = equal & (col_of(t) == F.col(f"_c{n}"))
+    chosen = (F.when(F.col("_want") >= F.col("_size"), F.lit(True)).when(F.col("_want") <= 0, F.lit(False))
+              .otherwise(below | equal))
+    if by:
+        out = df.join(limits, F.col(by).eqNullSafe(F.col("_gs")), "left")
+    else:
+        out = df.crossJoin(F.broadcast(limits))  # one row (none if df is empty)
+    return out.select(*[df[c] for c in df.columns], chosen.alias(name))
 
 
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """The first ``n`` rows by an explicit key (exact for any n)."""
-    return _head(df, n, [order_col])
+    """The first ``n`` rows by an explicit integer key (exact for any n; rows
+    without a key come last and are never among them)."""
+    keyed = df.where(F.col(order_col).isNotNull())
+    return mark_first(keyed, n, F.col(order_col), [order_col], "_first").where("_first").drop("_first")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
     """Exactly ``min(n, count)`` rows chosen uniformly by seeded hash.
 
-    ``n == -1`` keeps all rows, ``n == 0`` none. A top-k on the hash key while
-    partitions x n <= ``TOPK_MAX``; a global position beyond.
+    ``n == -1`` keeps all rows, ``n == 0`` none.
     """
     if n < 0:
         return df
     if n == 0:
         return df.limit(0)
-    return _head(df.withColumn("_hk", hash_key(id_col, seed)), n, ["_hk", id_col]).drop("_hk")
+    marked = mark_first(df, n, hash_ordinal(id_col, seed), [hash_key(id_col, seed), id_col], "_first", top=HASH_TOP)
+    return marked.where("_first").drop("_first")
 
 
 def cap_per_class(df: DataFrame, class_col: str, quotas: dict[int, int], order_col: str,
                   unlimited: tuple = (5,)) -> DataFrame:
-    """Keep the first ``quotas[c]`` rows of each capped class ``c`` (by
-    ``order_col``) and every row of the ``unlimited`` classes; rows of any
-    other class (and nulls) are dropped.
-
-    While partitions x max(quota) <= ``TOPK_MAX``, the constant bound
-    ``rn <= max(quota)`` lets Catalyst insert a per-partition group limit
-    before the shuffle (a hot class ships at most partitions x quota rows);
-    beyond that, positions within each class come from one range-partitioned
-    global order.
-    """
+    """Keep the first ``quotas[c]`` rows of each capped class ``c`` (by the
+    integer key ``order_col``) and every row of the ``unlimited`` classes;
+    rows of any other class (and nulls) are dropped."""
+    rest = df.filter(F.col(class_col).isin(list(unlimited)))
     if not quotas:
-        return df.filter(F.col(class_col).isin(list(unlimited)))
+        return rest
     qmap = F.create_map(*[x for k, v in quotas.items() for x in (F.lit(k), F.lit(v))])
-    quota = F.element_at(qmap, F.col(class_col))
     sub = df.filter(F.col(class_col).isin(list(quotas)))
-    if _small_enough(sub, max(quotas.values())):
-        w = Window.partitionBy(class_col).orderBy(order_col)
-        capped = (sub.withColumn("_rn", F.row_number().over(w))
-                  .filter((F.col("_rn") <= max(quotas.values())) & (F.col("_rn") <= quota))
-                  .drop("_rn"))
-    else:
-        # Large quotas: positions within each class from one range-partitioned
-        # order over (class, key), so a hot class is spread over many tasks.
-        capped = positions_within(sub, class_col, [order_col], "_rn").filter(
-            F.col("_rn") <= quota).drop("_rn")
-    rest = df.filter(F.col(class_col).isin(list(unlimited)))
-    return rest.unionByName(capped)
-
-
-def positions_within(df: DataFrame, group_col: str, order_cols: list, name: str) -> DataFrame:
-    """1-based position of each row inside its group (``group_col``) in
-    ``order_cols`` order, without a per-group window: a global position over
-    (group, order...) minus the group's start offset (one row per group)."""
-    sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)  # one row per group
-    starts = sizes.select(group_col, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
-    pos = global_position(df, [group_col] + list(order_cols), "_gpos")
-    return (pos.join(F.broadcast(starts), group_col, "left")
-            .withColumn(name, F.col("_gpos") - F.col("_start")).drop("_gpos", "_start"))
+    marked = mark_first(sub, lambda c, _: F.element_at(qmap, c), F.col(order_col), [order_col], "_first", by=class_col)
+    return rest.unionByName(marked.where("_first").drop("_first"))
 
 
 def global_position(df: DataFrame, order_cols: list, name: str = "pos",
@@ -130,48 +172,16 @@ def global_position(df: DataFrame, order_cols: list, name: str = "pos",
             .drop("_pid", "_mid", "_off"))
 
 
-def prefix_sum(df: DataFrame, order_col: str, value_col: str, name: str,
-               num_partitions: int | None = None) -> DataFrame:
-    """Exclusive running total of ``value_col`` in ``order_col`` order
-    (distinct keys), distributed: range partitions, a per-partition running
-    sum, and per-partition offsets (one row per partition to the driver,
-    broadcast back)."""
-    spark = df.sparkSession
-    n = num_partitions or max(spark.sparkContext.defaultParallelism, 1)
-    ranged = (df.repartitionByRange(n, order_col)
-              .withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True))
-    totals = sorted((r["_pid"], r["s"] or 0) for r in
-                    ranged.groupBy("_pid").agg(F.sum(value_col).alias("s")).collect())
-    offs, acc = [], 0
-    for pid, s in totals:
-        offs.append((pid, acc))
-        acc += s
-    off_df = spark.createDataFrame(offs or [(0, 0)], "_pid int, _off long")
-    # Per-partition window: each window partition is one range partition.
-    w = Window.partitionBy("_pid").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (ranged.withColumn("_in", F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-            .join(F.broadcast(off_df), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_in")).drop("_pid", "_in", "_off"))
-
-
 def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int = 42,
                     stratify_col: str | None = None) -> DataFrame:
     """Add ``split`` in {'train', 'validation'}: the first
     ``floor((1 - v) * n)`` rows by seeded hash are train (per stratum when
     ``stratify_col`` is given)."""
-    keyed = df.withColumn("_hk", hash_key(id_col, seed))
-    if stratify_col is None:
-        n_train = int((1 - val_fraction) * keyed.count())  # one scalar to the driver
-        out = global_position(keyed, ["_hk", id_col], "_pos").withColumn("_ntrain", F.lit(n_train))
-    else:
-        # per-stratum floor; stratum sizes are one row per class
-        sizes = keyed.groupBy(stratify_col).agg(
-            F.floor((1 - F.lit(val_fraction)) * F.count(F.lit(1))).alias("_ntrain"))
-        out = (positions_within(keyed, stratify_col, ["_hk", id_col], "_pos")
-               .join(F.broadcast(sizes), stratify_col, "left"))
-    return (out.withColumn("split", F.when(F.col("_pos") <= F.col("_ntrain"), F.lit("train"))
-                           .otherwise(F.lit("validation")))
-            .drop("_hk", "_pos", "_ntrain", "_n"))
+    part = lambda _, size: F.floor((1 - F.lit(val_fraction)) * size)
+    marked = mark_first(df, part, hash_ordinal(id_col, seed), [hash_key(id_col, seed), id_col], "_first",
+                        by=stratify_col, top=HASH_TOP)
+    return marked.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("validation"))).drop(
+        "_first")
 
 
 def biased_sample(df: DataFrame, n: int, bias: float, id_col: str, labels_col: str,
@@ -186,10 +196,14 @@ def biased_sample(df: DataFrame, n: int, bias: float, id_col: str, labels_col: s
     keep = (F.array_contains(labels_col, must)
             | (F.array_contains(labels_col, maybe) & (hash_uniform(id_col, seed) <= bias)))
     base = base.withColumn("_keep", keep)
-    chosen = base.filter("_keep")
-    need = n - chosen.count()  # one scalar to the driver
-    # top-up: the first `need` other rows by a second seeded hash
-    others = base.filter(~F.col("_keep")).withColumn("_hk", hash_key(id_col, topup_seed))
-    cand = _head(others, max(need, 0), ["_hk", id_col]).drop("_hk") if need > 0 else others.limit(0).drop("_hk")
-    out = chosen.unionByName(cand).drop("_keep")
-    return global_position(out.withColumn("_sk", hash_key(id_col, seed)), ["_sk", id_col]).drop("_sk")
+    # Kept rows first, the others behind them by a second seeded hash: the
+    # first n rows are the kept ones and the top-up, if there is need of one.
+    half = HASH_TOP // 2
+    ordinal = F.when(F.col("_keep"), F.shiftright(hash_ordinal(id_col, seed), 1)).otherwise(
+        half + F.shiftright(hash_ordinal(id_col, topup_seed), 1))
+    second = F.when(F.col("_keep"), hash_key(id_col, seed)).otherwise(hash_key(id_col, topup_seed))
+    marked = mark_first(base, n, ordinal, [second, id_col], "_first", top=HASH_TOP)
+    out = marked.where(F.col("_keep") | F.col("_first")).drop("_keep", "_first")
+    # the shuffle needs positions of the sample's ids only
+    pos = global_position(out.select(F.col(id_col).alias("_id"), hash_key(id_col, seed).alias("_sk")), ["_sk", "_id"])
+    return out.join(pos.select("_id", "pos"), F.col(id_col) == F.col("_id")).drop("_id")

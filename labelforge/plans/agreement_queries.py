@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..operators import agreement as G
-from ..operators.common import materialise
 from ..sources import fixtures as V
 from .registry import register
 
@@ -66,7 +65,7 @@ def alpha_sql(src, level, keys=()):
         d2 = "power(va.score - vb.score, 2)"
     part = f"PARTITION BY {', '.join(keys)}" if keys else ""
     gb = f"GROUP BY {', '.join(keys)}" if keys else ""
-    return f"""(WITH u AS (SELECT {k}item, score, count(*) AS n FROM ({src}) GROUP BY {k}item, score),
+    return f"""(WITH u AS (SELECT {k}item, score, count(*) AS n FROM ({src}) WHERE score IS NOT NULL GROUP BY {k}item, score),
       m AS (SELECT {k}item, sum(n) AS m FROM u GROUP BY {k}item HAVING sum(n) >= 2),
       u2 AS (SELECT u.*, m.m FROM u JOIN m ON {_on(keys, 'u', 'm', ['item'])}),
       nv AS (SELECT {k}score, sum(n) AS nc FROM u2 GROUP BY {k}score),
@@ -86,7 +85,7 @@ def entropy_sql(src, keys=()):
     return f"""(SELECT {k}avg(h) AS entropy, avg(CASE WHEN kk > 1 THEN h / log2(kk) ELSE 0.0 END) AS norm_entropy
       FROM (SELECT {k}item, -sum(p * log2(p)) AS h, count(*) AS kk FROM (
           SELECT {k}item, score, n / sum(n) OVER (PARTITION BY {k}item) AS p
-          FROM (SELECT {k}item, score, count(*) AS n FROM ({src}) GROUP BY {k}item, score))
+          FROM (SELECT {k}item, score, count(*) AS n FROM ({src}) WHERE score IS NOT NULL GROUP BY {k}item, score))
         GROUP BY {k}item) {gb})"""
 
 
@@ -133,7 +132,8 @@ def alpha_interval_simple(spark, sf):
 @register("fleiss_kappa", f"""WITH r AS ({R_PANEL}),
     c AS (SELECT item, score, count(*) AS n FROM r WHERE score BETWEEN 0 AND 4 GROUP BY item, score),
     pi AS (SELECT item, sum(n) AS ni, sum(n * n) AS n2 FROM c GROUP BY item),
-    g AS (SELECT max(ni) AS rr, count(*) AS items, sum(ni) AS total, sum(n2) AS sn2 FROM pi),
+    g AS (SELECT CASE WHEN min(ni) = max(ni) AND count(*) = (SELECT count(DISTINCT item) FROM r) THEN max(ni) END AS rr,
+            count(*) AS items, sum(ni) AS total, sum(n2) AS sn2 FROM pi),
     pe AS (SELECT sum(power(nj / (SELECT total FROM g), 2)) AS pe FROM (SELECT score, sum(n) AS nj FROM c GROUP BY score))
     SELECT round((((sn2 - items * rr) / (items * rr * (rr - 1))) - pe) / (1 - pe), 6) AS kappa FROM g, pe""",
           PANEL_VIEWS)
@@ -169,13 +169,8 @@ R_GROUPED = f"SELECT item, rater, score, grp FROM ({R_PANEL}) UNION ALL SELECT i
     JOIN {entropy_sql(R_GROUPED, ['grp'])} e USING (grp)""", PANEL_VIEWS)
 def agreement_by_group(spark, sf):
     r = G.with_all_group(ratings_panel(spark, sf)).withColumnRenamed("group", "grp")
-    # the per-item count table is written once and feeds all three figures
-    pi = materialise(G.per_item_counts(r, ["grp"]))
-    m = G.msd_from_counts(pi, ["grp"])
-    a = G.alpha_from_counts(pi, "ordinal", ["grp"]).withColumnRenamed("alpha", "alpha_ordinal")
-    e = G.entropy_from_counts(pi, ["grp"]).drop("entropy")
-    return m.join(a, "grp").join(e, "grp").select(
-        "grp", *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "norm_entropy")])
+    t = G.statistics_from_counts(G.per_item_counts(r, ["grp"]), ["grp"])
+    return t.select("grp", *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "norm_entropy")])
 
 
 R_POOLS = f"""SELECT r.item, r.rater, r.score, p.pool FROM ({R_PANEL}) r
@@ -187,12 +182,9 @@ R_POOLS = f"""SELECT r.item, r.rater, r.score, p.pool FROM ({R_PANEL}) r
     FROM {msd_sql(R_POOLS, ['pool'])} m JOIN {alpha_sql(R_POOLS, 'ordinal', ['pool'])} a USING (pool)
     JOIN {alpha_sql(R_POOLS, 'nominal', ['pool'])} n USING (pool)""", PANEL_VIEWS)
 def agreement_by_pool(spark, sf):
-    pc = materialise(G.pool_counts(ratings_panel(spark, sf).drop("group")))
-    m = G.msd_from_counts(pc, ["pool"])
-    a = G.alpha_from_counts(pc, "ordinal", ["pool"]).withColumnRenamed("alpha", "alpha_ordinal")
-    n = G.alpha_from_counts(pc, "nominal", ["pool"]).withColumnRenamed("alpha", "alpha_nominal")
-    return m.join(a, "pool").join(n, "pool").select(
-        F.col("pool").cast("long"), *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "alpha_nominal")])
+    t = G.statistics_from_counts(G.pool_counts(ratings_panel(spark, sf).drop("group")), ["pool"])
+    return t.select(F.col("pool").cast("long"),
+                    *[F.round(c, 6).alias(c) for c in ("msd", "alpha_ordinal", "alpha_nominal")])
 
 
 @register("wilcoxon", f"""WITH r AS ({R_PANEL}),
@@ -201,15 +193,17 @@ def agreement_by_pool(spark, sf):
     d AS (SELECT round(a.msd - b.msd, 9) AS d FROM im a JOIN im b ON a.item = b.item AND a.grp = 'own' AND b.grp = 'external'),
     v AS (SELECT abs(d) AS v, count(*) AS t, count(*) FILTER (WHERE d > 0) AS tp FROM d WHERE d <> 0 GROUP BY abs(d)),
     rk AS (SELECT *, coalesce(sum(t) OVER (ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (t + 1) / 2.0 AS rnk FROM v),
-    ag AS (SELECT sum(rnk * tp) AS wp, sum(rnk * (t - tp)) AS wm, sum(t) AS n, sum(power(t, 3) - t) AS ties FROM rk)
+    ag AS (SELECT sum(rnk * tp) AS wp, sum(rnk * (t - tp)) AS wm, sum(t) AS n, sum(power(t, 3) - t) AS ties FROM rk),
+    zz AS (SELECT *, (least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0) AS z FROM ag)
     SELECT CAST(n AS BIGINT) AS n, round(CAST(wp AS DOUBLE), 6) AS w_plus, round(CAST(wm AS DOUBLE), 6) AS w_minus,
-      round(CAST(least(wp, wm) AS DOUBLE), 6) AS w,
-      round((least(wp, wm) - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - ties / 48.0), 6) AS z
-    FROM ag""", PANEL_VIEWS)
+      round(CAST(least(wp, wm) AS DOUBLE), 6) AS w, round(z, 6) AS z,
+      round(1 - 2 / sqrt(2 * pi()) * (SELECT sum(exp(-power(x, 2) / 2)) * abs(z) / 20000 FROM (
+        SELECT (i + 0.5) / 20000 * abs(z) AS x FROM range(20000) t(i))), 6) AS p_value
+    FROM zz""", PANEL_VIEWS)
 def wilcoxon(spark, sf):
     d = G.paired_item_msd(ratings_panel(spark, sf), "own", "external")
     w = G.wilcoxon_signed_rank(d)
-    return w.select("n", *[F.round(c, 6).alias(c) for c in ("w_plus", "w_minus", "w", "z")])
+    return w.select("n", *[F.round(c, 6).alias(c) for c in ("w_plus", "w_minus", "w", "z", "p_value")])
 
 
 @register("label_counts", """SELECT label, count(*) AS n FROM (
@@ -233,7 +227,7 @@ def panel_eligible(spark, sf):
 
 @register("category_table", f"""SELECT item, {", ".join(
     f"count(*) FILTER (WHERE score = {v}) AS n_{v}" for v in range(5))}
-    FROM ({R_PANEL}) WHERE score BETWEEN 0 AND 4 GROUP BY item""", PANEL_VIEWS)
+    FROM ({R_PANEL}) GROUP BY item""", PANEL_VIEWS)
 def category_table(spark, sf):
     return G.category_table(ratings_panel(spark, sf).drop("group"))
 
@@ -244,3 +238,34 @@ def pooled_score_histogram(spark, sf):
     """All panel annotations pooled into unit bins 0..4 (zeros kept)."""
     from ..operators.corpus import score_distribution
     return score_distribution(spark, ratings_panel(spark, sf), "score", range(5))
+
+
+# Ratings with missing ones: every seventh event keeps its rater but no score.
+R_GAPS = "SELECT item, rater, CASE WHEN rater % 7 = 3 THEN NULL ELSE score END AS score FROM (" + R_EVENTS + ")"
+
+
+@register("agreement_with_gaps", f"""WITH r AS ({R_GAPS}),
+    x AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY rater, score) AS i, score FROM r WHERE score IS NOT NULL),
+    m AS (SELECT item, count(*) AS m FROM x GROUP BY item HAVING count(*) >= 2),
+    pairs AS (SELECT a.item, a.score AS a, b.score AS b, m.m FROM x a JOIN x b ON a.item = b.item AND a.i <> b.i
+              JOIN m ON m.item = a.item),
+    pooled AS (SELECT x.score AS v FROM x JOIN m USING (item)),
+    c AS (SELECT v, count(*) AS n FROM pooled GROUP BY v),
+    obs AS (SELECT sum(CASE WHEN a <> b THEN 1.0 / (m - 1) ELSE 0 END) / (SELECT count(*) FROM pooled) AS d,
+                   sum(power(a - b, 2) / (m - 1)) / (SELECT count(*) FROM pooled) AS e FROM pairs),
+    expd AS (SELECT sum(CASE WHEN p.v <> q.v THEN p.n * q.n ELSE 0 END) / ((SELECT count(*) FROM pooled) * ((SELECT count(*) FROM pooled) - 1.0)) AS d,
+                    sum(power(p.v - q.v, 2) * p.n * q.n) / ((SELECT count(*) FROM pooled) * ((SELECT count(*) FROM pooled) - 1.0)) AS e
+             FROM c p, c q),
+    h AS (SELECT item, -sum(n / t * log2(n / t)) AS h FROM (
+            SELECT item, score, count(*) AS n, sum(count(*)) OVER (PARTITION BY item) AS t FROM x GROUP BY item, score) GROUP BY item)
+    SELECT round(1 - obs.d / expd.d, 6) AS alpha_nominal, round(1 - obs.e / expd.e, 6) AS alpha_interval,
+      (SELECT round(avg(h), 6) FROM h) AS entropy,
+      (SELECT round(avg(d), 6) FROM (SELECT item, avg(power(a - b, 2)) AS d FROM pairs GROUP BY item)) AS msd
+    FROM obs, expd""", PANEL_VIEWS)
+def agreement_with_gaps(spark, sf):
+    """Missing ratings take no part in any figure; the oracle works on pairs
+    of ratings, as the statistics are defined."""
+    r = ratings_events(spark, sf)
+    r = r.withColumn("score", F.when(F.col("rater") % 7 == 3, F.lit(None)).otherwise(F.col("score")))
+    t = G.statistics_from_counts(G.per_item_counts(r.withColumn("g", F.lit(0)), ["g"]), ["g"])
+    return t.select(*[F.round(c, 6).alias(c) for c in ("alpha_nominal", "alpha_interval", "entropy", "msd")])

@@ -343,3 +343,14 @@ def annotator_by_text(spark, sf):
     gold = V.v_preds_wide(spark, sf).select("doc_id", "text", "true_label")
     return J.text_join(gold, ann, "text", "left").select(
         "doc_id", "true_label", S.encode_label("our_label").alias("final_prediction"))
+
+
+@register("annotations_fan_out", """SELECT g.doc_id, count(a.doc_id) AS n_annotations
+    FROM documents g LEFT JOIN v_annotated a ON g.text = a.text GROUP BY g.doc_id""", ("v_annotated",))
+def annotations_fan_out(spark, sf):
+    """Left join by text with duplicates on both sides: every copy of a text
+    meets every annotation of it, as an SQL join does."""
+    from ..sources.tables import documents
+    a = V.v_annotated(spark, sf).select("text", F.col("doc_id").alias("annotated_id"))
+    j = J.text_join(documents(spark, sf).select("doc_id", "text"), a, "text", "left")
+    return j.groupBy("doc_id").agg(F.count("annotated_id").alias("n_annotations"))

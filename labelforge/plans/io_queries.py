@@ -1,4 +1,4 @@
-"""File round trips and batched-inference queries. Files go to a fresh
+"""File round trips and batch scoring queries. Files go to a fresh
 sub-folder of the shared checkpoint folder (``spark.checkpoint.dir``)."""
 
 from __future__ import annotations
@@ -6,15 +6,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.text import sql_ws_chars
+from ..functions.scores import decode_code, discretize
 from ..operators import corpus as C
-from ..operators import inference as I
 from ..operators import metrics as MT
+from ..operators import ml as ML
+from ..operators.reshape import wide_to_long
+from ..operators.sampling import first_n
 from ..session import scratch_path
 from ..sources import fixtures as V
 from ..sources import io as IO
 from ..sources.tables import documents
-from .label_queries import PROMPT_HEAD, PROMPT_TAIL, _sql_str
+from .model_queries import fitted_quality, labelled_quality
 from .registry import register
 
 DOC_SCHEMA = T.StructType([
@@ -37,10 +39,12 @@ _BAD_SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField
 @register("csv_bad_lines", """SELECT doc_id, lang,
     CASE WHEN doc_id % 11 = 0 THEN NULL ELSE source END AS source FROM documents WHERE doc_id % 7 <> 0""")
 def csv_bad_lines(spark, sf):
-    """Lines with an extra field (doc_id % 7 = 0) are skipped, lines missing
-    the last field (doc_id % 11 = 0) are padded with null."""
+    """Lines with an extra field, filled or empty (doc_id % 7 = 0), are
+    skipped, lines missing the last field (doc_id % 11 = 0) are padded with
+    null."""
     d = documents(spark, sf)
-    line = (F.when(d.doc_id % 7 == 0, F.concat_ws(",", d.doc_id.cast("string"), "lang", "source", F.lit("extra")))
+    extra = F.when(d.doc_id % 2 == 0, F.lit("extra")).otherwise(F.lit(""))
+    line = (F.when(d.doc_id % 7 == 0, F.concat_ws(",", d.doc_id.cast("string"), "lang", "source", extra))
             .when(d.doc_id % 11 == 0, F.concat_ws(",", d.doc_id.cast("string"), "lang"))
             .otherwise(F.concat_ws(",", d.doc_id.cast("string"), "lang", "source")))
     path = scratch_path(spark, "badcsv")
@@ -66,43 +70,66 @@ def jsonl_to_csv(spark, sf):
                                                  T.StructField("int_score", T.IntegerType())]))
 
 
+@register("json_array", "SELECT doc_id, lang, source FROM documents")
+def json_array(spark, sf):
+    """JSON array files, one of at most 500 consecutive ids each."""
+    path = scratch_path(spark, "json-array")
+    record = F.to_json(F.struct("doc_id", "lang", "source"), {"ignoreNullFields": "false"})
+    rows = documents(spark, sf).groupBy(F.floor(F.col("doc_id") / 500).alias("chunk")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ","), F.lit("]")).alias("value"))
+    rows.write.partitionBy("chunk").text(path)
+    return IO.read_json_array(spark, path, _BAD_SCHEMA).select("doc_id", "lang", "source")
+
+
+@register("limit_filter_jsonl", """SELECT doc_id, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 1000)
+    WHERE contains(text, 'license')""")
+def limit_filter_jsonl(spark, sf):
+    """Reader, limit, filter and JSON-lines writer as one job."""
+    path = scratch_path(spark, "limited-jsonl")
+    d = first_n(documents(spark, sf).select("doc_id", "text"), 1000, "doc_id")
+    IO.write_json_lines(d.filter(F.col("text").contains("license")), path)
+    return IO.read_json_lines(spark, path, T.StructType([T.StructField("doc_id", T.LongType()),
+                                                         T.StructField("text", T.StringType())]))
+
+
 @register("annotation_append", """SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,
-    ['None', 'Minimal', 'Basic', 'Good', 'Excellent'][int_score + 1] AS our_label FROM v_annotated WHERE int_score <= 4)
-    GROUP BY our_label""", ("v_annotated",))
+    coalesce(['None', 'Minimal', 'Basic', 'Good', 'Excellent'][int_score + 1], CAST(int_score AS VARCHAR)) AS our_label
+    FROM v_annotated) GROUP BY our_label""", ("v_annotated",))
 def annotation_append(spark, sf):
-    """Annotations appended one batch per language to a JSON dataset, then
-    the label distribution of distinct annotated items."""
-    from ..functions.scores import decode_code
+    """All annotations appended to a JSON dataset in one write, whatever their
+    language, then the label distribution of distinct annotated items."""
     path = scratch_path(spark, "annotations")
-    a = V.v_annotated(spark, sf).filter(F.col("int_score") <= 4).select(
-        "doc_id", "lang", decode_code("int_score").alias("our_label"))
-    for lang in ("en", "fr", "de", "es"):
-        IO.append_records(a.filter(F.col("lang") == lang).drop("lang"), path)
+    a = V.v_annotated(spark, sf).select("doc_id", decode_code("int_score").alias("our_label"))
+    IO.append_records(a, path)
     back = IO.read_or_empty(spark, path, T.StructType([T.StructField("doc_id", T.LongType()),
                                                        T.StructField("our_label", T.StringType())]), "json")
     return back.dropDuplicates(["doc_id"]).groupBy("our_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-CLASSIFY_SQL = """SELECT doc_id, round(s, 6) AS score, CAST(round_even(greatest(0.0, least(5.0, s)), 0) AS INTEGER) AS int_score
-    FROM (SELECT doc_id, (length(text) * {k} % 601) / 100.0 - 0.5 AS s FROM documents WHERE length(text) > 0)"""
+SCORED_SQL = "SELECT doc_id, TRUE AS scored, TRUE AS rounded FROM documents WHERE length(text) > 0"
 
 
-@register("classify_batch", CLASSIFY_SQL.format(k=1))
-def classify_batch(spark, sf):
-    d = I.spread(documents(spark, sf).select("doc_id", "text"))
-    return I.classify(d).select("doc_id", F.round("score", 6).alias("score"), "int_score")
+def checked(scored):
+    """What the oracle can know of a fitted model's scores: that each row is
+    there once, has one, and carries its rounding."""
+    rounded = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("score"))))
+    return scored.select("doc_id", F.col("score").isNotNull().alias("scored"),
+                         (F.col("int_score") == rounded).alias("rounded"))
 
 
-@register("translate_batch", "SELECT doc_id, '[da] ' || text AS translated_text FROM documents")
-def translate_batch(spark, sf):
-    d = I.spread(documents(spark, sf).select("doc_id", "text"))
-    return I.translate(d, "text", "translated_text").select("doc_id", "translated_text")
+@register("classify_batch", SCORED_SQL)
+def classify_batch(spark, sf):
+    """Every non-empty document scored by a fitted text regressor."""
+    d = documents(spark, sf).select("doc_id", "text")
+    return checked(ML.score_text(fitted_quality(spark, sf), d))
 
 
-@register("clean_translated", "SELECT '[da] ' || text AS text, int_score FROM v_scored", ("v_scored",))
+@register("clean_translated", "SELECT text, int_score FROM v_scored", ("v_scored",))
 def clean_translated(spark, sf):
-    """Translated corpus -> validate columns -> keep translation as text."""
-    t = I.translate(V.v_scored(spark, sf).select("text", "int_score"), "text", "Translated_text")
+    """A corpus with a translation column -> validate columns -> keep the
+    translation as text. (No translator ships with this library: the column
+    holds the text itself.)"""
+    t = V.v_scored(spark, sf).select("text", F.col("text").alias("Translated_text"), "int_score")
     C.require_columns(t, ["Translated_text", "int_score"])
     out = t.select(F.col("Translated_text"), "int_score").withColumnRenamed("Translated_text", "text")
     path = scratch_path(spark, "translated")
@@ -111,34 +138,20 @@ def clean_translated(spark, sf):
                                                   T.StructField("int_score", T.IntegerType())]))
 
 
-@register("llm_score_batch", f"""SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text, {sql_ws_chars()})) = 0 THEN -1
-    ELSE CAST(length({_sql_str(PROMPT_HEAD)} || text || {_sql_str(PROMPT_TAIL)}) % 6 AS INTEGER) END AS score
-    FROM documents""")
-def llm_score_batch(spark, sf):
-    d = I.spread(documents(spark, sf).select("doc_id", "text"))
-    return I.llm_score(d, "text", PROMPT_HEAD, PROMPT_TAIL).select("doc_id", "score")
-
-
-EVAL_MODELS = {"len_k1": 1, "len_k3": 3, "len_k7": 7}
-
-
-@register("evaluate_models", " UNION ALL ".join(
-    f"""SELECT '{m}' AS model_name, round_even(avg(power(t - s, 2)) * 10000.0, 0) / 10000.0 AS mse,
-        round_even(avg(CASE WHEN t = p THEN 1.0 ELSE 0.0 END) * 10000.0, 0) / 10000.0 AS accuracy FROM (
-      SELECT CAST(greatest(0, least(4, round_even(raw_score, 0))) AS INTEGER) AS t, s,
-        CAST(greatest(0, least(4, round_even(s, 0))) AS INTEGER) AS p
-      FROM (SELECT raw_score, (length(text) * {k} % 601) / 100.0 - 0.5 AS s FROM v_scored WHERE length(text) > 0))"""
-    for m, k in EVAL_MODELS.items()), ("v_scored",))
+@register("evaluate_models", """SELECT m AS model_name, count(*) AS n, TRUE AS in_range
+    FROM documents JOIN labels USING (doc_id), (SELECT unnest(['mean', 'text_small', 'text_wide']) AS m)
+    WHERE length(text) > 0 AND quality IS NOT NULL GROUP BY m""")
 def evaluate_models(spark, sf):
-    """Several models over one scan: one score column per model (the model
-    UDFs share one Arrow pass), stacked long, then one contingency aggregate."""
-    from ..functions.scores import discretize
-    from ..operators.reshape import wide_to_long
-    base = I.spread(V.v_scored(spark, sf).select("doc_id", "text", discretize("raw_score").alias("true_label")))
-    base = base.filter(F.length("text") > 0)
-    for m, k in EVAL_MODELS.items():
-        base = base.withColumn(f"raw_prediction_{m}", I.model_udf(I.length_regressor(k))(F.col("text")))
-    for m in EVAL_MODELS:
-        base = base.withColumn(f"predicted_label_{m}", discretize(f"raw_prediction_{m}"))
-    long = wide_to_long(base, ["true_label"])
-    return MT.summary(long).select("model_name", "mse", "accuracy")
+    """Several fitted models over one scan: one prediction column per model,
+    stacked long, then one contingency aggregate. The oracle checks the counts
+    and that every figure lies in its range."""
+    models = {"text_small": fitted_quality(spark, sf, 1 << 8), "text_wide": fitted_quality(spark, sf)}
+    base = labelled_quality(spark, sf).where(F.length("text") > 0)
+    rows = base.select("text", F.col("quality").alias("true_label"), F.lit(0.5).alias("raw_prediction_mean"))
+    for name, model in models.items():
+        rows = ML.score_text(model, rows).withColumnRenamed("score", f"raw_prediction_{name}").drop("int_score")
+    for name in ("mean", *models):
+        rows = rows.withColumn(f"predicted_label_{name}", discretize(f"raw_prediction_{name}"))
+    s = MT.summary(wide_to_long(rows.drop("text"), ["true_label"]))
+    return s.select("model_name", F.col("n").cast("long").alias("n"),
+                    (F.col("accuracy").between(0, 1) & (F.col("mse") >= 0)).alias("in_range"))

@@ -118,6 +118,20 @@ def label_decode(spark, sf):
     return V.v_llm(spark, sf).select("doc_id", S.decode_code("gemini_prediction").alias("label"))
 
 
+_HALVES = "(doc_id % 11) / 2.0"
+
+
+@register("label_decode_frame", f"""SELECT doc_id, coalesce({NAMES}[gemini_prediction + 1], CAST(gemini_prediction AS VARCHAR)) AS whole,
+    CASE WHEN {_HALVES} = floor({_HALVES}) AND {_HALVES} < 5 THEN {NAMES}[CAST({_HALVES} AS INTEGER) + 1]
+         ELSE CAST({_HALVES} AS VARCHAR) END AS halves FROM v_llm""", ("v_llm",))
+def label_decode_frame(spark, sf):
+    """Every numeric column but the id decoded; a value between two codes, or
+    beyond them, stays as it is."""
+    v = V.v_llm(spark, sf).select("doc_id", F.col("gemini_prediction").alias("whole"),
+                                  ((F.col("doc_id") % 11) / F.lit(2.0)).alias("halves"))
+    return S.decode_frame(v, exclude=["doc_id"])
+
+
 @register("annotator_name", """SELECT doc_id, 'Human (' || upper(substr(source, 1, 1)) || lower(substr(source, 2)) || ')'
     AS annotator FROM documents""")
 def annotator_name(spark, sf):

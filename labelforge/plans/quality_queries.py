@@ -7,16 +7,26 @@ from pyspark.sql import functions as F
 from ..functions.text import PUNCT_RE, SPLIT_RE, TOKEN_RE, sql_ws_chars
 from ..operators import quality as Q
 from ..sources.fixtures import TEST_LEXICON, _sql_list
-from ..sources.tables import documents, spread
+from ..sources.tables import documents
 from .registry import register
 
 DOC_COLS = "doc_id, text, lang, source, n_chars"
 
 
 def _docs(spark, sf, *cols):
-    """Project first, then spread a narrow scan over all task slots."""
     d = documents(spark, sf)
-    return spread(d.select(*cols) if cols else d)
+    return d.select(*cols) if cols else d
+
+
+# Neutral words of the tables that stand for entries of the default lexicon, so
+# that the default list is what is counted.
+PLANTED = {"the": "casino", "and": "rente", "der": "poker", "les": "odds", "que": "kviklån"}
+
+
+def _planted(text):
+    for plain, blocked in PLANTED.items():
+        text = F.regexp_replace(text, rf"\b{plain}\b", blocked)
+    return text
 
 
 def _annotated(spark, sf, *cols):
@@ -47,11 +57,26 @@ ann AS (
       ELSE 'Clean content' END AS filter_reason FROM flg)"""
 
 
+_PLANT_SQL = "text"
+for _plain, _blocked in PLANTED.items():
+    _PLANT_SQL = rf"regexp_replace({_PLANT_SQL}, '\b{_plain}\b', '{_blocked}', 'g')"
+
+
+@register("quality_default_lexicon", f"""SELECT doc_id, CAST(len(list_filter(regexp_extract_all(lower({_PLANT_SQL}), '{TOKEN_RE}'),
+    lambda x: x IN ({_sql_list(Q.DANISH_BLOCKED_WORDS)}))) AS BIGINT) AS bad_word_count FROM documents WHERE text IS NOT NULL""")
+def quality_default_lexicon(spark, sf):
+    """The default blocked-word list over the corpus, in which some common
+    words were replaced by entries of the list."""
+    d = _docs(spark, sf, "doc_id", "text").where(F.col("text").isNotNull())
+    a = Q.annotate_quality(d.withColumn("text", _planted(F.col("text"))))
+    return a.select("doc_id", F.col("bad_word_count").cast("long"))
+
+
 @register("badword_count", f"WITH {_SIG} SELECT doc_id, bad_word_count FROM sig")
 def badword_count(spark, sf):
     d = _docs(spark, sf, "doc_id", "text")
-    return Q.quality_signals(d, lexicon=TEST_LEXICON).select(
-        "doc_id", F.col("bad_word_count").cast("long"))
+    hits = Q.signals(F.col("text"), TEST_LEXICON)["bad"]
+    return d.select("doc_id", hits.cast("long").alias("bad_word_count"))
 
 
 @register("quality_flags", f"""WITH {_SIG} SELECT doc_id, CAST(too_short AS BIGINT) AS too_short,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..operators import corpus as C
 from ..operators import sampling as R
+from ..operators.common import materialise
 from ..sources import fixtures as V
 from ..sources.tables import documents
 from .registry import register
@@ -98,6 +99,29 @@ def biased_sample(spark, sf):
     return out.select("doc_id", "pos")
 
 
+@register("biased_sample_topup", """WITH base AS (
+      SELECT doc_id, regexp_extract_all(educational_value_labels, '''(.*?)''', 1) AS l FROM v_panel_text
+      WHERE problematic_content_label_present = FALSE),
+    b AS (SELECT doc_id, list_contains(l, 'Excellent') OR (list_contains(l, 'Good')
+            AND CAST(('0x' || substr(md5('42:' || CAST(doc_id AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0 <= 0.7) AS keep
+          FROM base WHERE len(l) > 2),
+    chosen AS (SELECT doc_id FROM b WHERE keep),
+    topup AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('43:' || CAST(doc_id AS VARCHAR)), doc_id) AS r
+              FROM b WHERE NOT keep) WHERE r <= (SELECT count(*) * 9 // 10 FROM b) - (SELECT count(*) FROM chosen)),
+    s AS (SELECT doc_id FROM chosen UNION ALL SELECT doc_id FROM topup)
+    SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS pos FROM s""",
+          ("v_panel_text",))
+def biased_sample_topup(spark, sf):
+    """The sample's size is nine tenths of the eligible rows, more than are
+    kept, so the rest is topped up."""
+    p = V.v_panel_text(spark, sf).select(
+        "doc_id", S.parse_list_text("educational_value_labels").alias("labels"),
+        "problematic_content_label_present")
+    eligible = p.where((F.col("problematic_content_label_present") == F.lit(False)) & (F.size("labels") > 2)).count()
+    out = R.biased_sample(p, eligible * 9 // 10, 0.7, "doc_id", "labels", "problematic_content_label_present")
+    return out.select("doc_id", "pos")
+
+
 @register("train_val_split", """SELECT doc_id, CASE WHEN r <= floor(0.8 * n) THEN 'train' ELSE 'validation' END AS split
     FROM (SELECT doc_id, row_number() OVER (ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r,
           count(*) OVER () AS n FROM v_scored)""", ("v_scored",))
@@ -121,7 +145,7 @@ def stratified_split(spark, sf):
 def next_item(spark, sf):
     from ..operators.joins import remaining
     rem = remaining(V.v_scored(spark, sf), V.v_annotated(spark, sf), "text")
-    return R.first_n(rem.select("doc_id"), 1, "doc_id")
+    return rem.agg(F.min("doc_id").alias("doc_id")).where(F.col("doc_id").isNotNull())
 
 
 @register("remaining_items", """SELECT doc_id FROM v_scored s WHERE NOT EXISTS
@@ -170,6 +194,6 @@ def training_corpus_distribution(spark, sf):
     for name, n in (("src0", 25), ("src1", 15), ("src2", -1)):
         src = _src(spark, sf, name).select("doc_id", "int_score")
         parts.append(src if n < 0 else R.first_n(src, n, "doc_id"))
-    merged = C.union_all(parts, spark)
+    merged = materialise(C.union_all(parts, spark))  # keys and scores, read again by each histogram
     capped = R.cap_per_class(merged, "int_score", {k: 10 for k in range(5)}, "doc_id")
     return C.score_distribution(spark, capped)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.joins import digest
 from ..sources import fixtures as V
+from ..sources.tables import documents
 from ..streaming import jobs as ST
-from .io_queries import CLASSIFY_SQL, DOC_SCHEMA
+from .io_queries import DOC_SCHEMA, SCORED_SQL, checked
+from .model_queries import fitted_quality
 from .quality_queries import _SIG, DOC_COLS
 from .registry import register
 from ..sources.fixtures import TEST_LEXICON
@@ -17,25 +20,27 @@ def _docs_stream(spark, sf):
     return ST.read_stream(spark, f"{sf.rstrip('/')}/documents.parque[t]", DOC_SCHEMA)
 
 
-@register("stream_ingest")
+@register("stream_ingest", "SELECT least(count(*), 100) AS n, least(count(*), 100) AS n_known FROM documents")
 def stream_ingest(spark, sf):
-    """Bounded ingest into the common schema; which rows pass the bound is
-    arrival-dependent, so only the row count is checked."""
-    s = V.with_scores(_docs_stream(spark, sf)).drop("int_score").withColumnRenamed("raw_score", "score")
-    return ST.materialise(spark, ST.ingest(s, 100), "stream-ingest")
+    """Bounded ingest into the common schema. Which rows pass the bound
+    depends on their arrival; checked are their number and that each one is a
+    row of the table."""
+    d = V.with_scores(_docs_stream(spark, sf)).drop("int_score").withColumnRenamed("raw_score", "score")
+    got = ST.materialise(spark, ST.ingest(d, 100), "stream-ingest")
+    known = documents(spark, sf).select(digest("text").alias("_d")).distinct().withColumn("_known", F.lit(1))
+    return got.withColumn("_d", digest("text")).join(known, "_d", "left").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_known").alias("n_known"))
 
 
-@register("stream_score", CLASSIFY_SQL.format(k=1))
+@register("stream_score", SCORED_SQL)
 def stream_score(spark, sf):
-    plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text")).select(
-        "doc_id", F.round("score", 6).alias("score"), "int_score")
-    return ST.materialise(spark, plan, "stream-score")
+    plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text"), fitted_quality(spark, sf))
+    return checked(ST.materialise(spark, plan.select("doc_id", "score", "int_score"), "stream-score"))
 
 
 @register("stream_quality", f"WITH {_SIG} SELECT {DOC_COLS} FROM ann WHERE filter_reason = 'Clean content'")
 def stream_quality(spark, sf):
-    clean, _ = ST.quality_split(spark, _docs_stream(spark, sf), "stream-quality", lexicon=TEST_LEXICON,
-                                spread_to=spark.sparkContext.defaultParallelism)
+    clean, _ = ST.quality_split(spark, _docs_stream(spark, sf), "stream-quality", lexicon=TEST_LEXICON)
     return clean
 
 

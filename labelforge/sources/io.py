@@ -16,8 +16,7 @@ CSV_OPTS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true",
 CSV_WRITE_OPTS = {"header": "true", "escape": '"', "quote": '"',
                   "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false",
                   "encoding": "UTF-8"}
-EXTRA = "_extra_fields"
-NO_NULL = "\u0000"
+RECORD = "_record"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -33,16 +32,17 @@ def read_csv_skip_long_rows(spark: SparkSession, path: str, schema: T.StructType
     """Rows with *more* fields than the schema are dropped; rows with fewer
     are kept and padded with nulls (pandas ``on_bad_lines='skip'``).
 
-    The file is parsed with one extra string column, so the CSV parser
-    itself (quotes, embedded commas and newlines) decides whether a row has
-    too many fields: exactly then the extra column is filled. Empty fields
-    are told apart from missing ones by a null marker that never occurs.
+    The CSV parser itself (quotes, embedded commas and newlines) hands over
+    the record of every row whose field count is not the schema's; its commas
+    outside quotes tell whether it has too many, also when the surplus field
+    is empty.
     """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields]
-                       + [T.StructField(EXTRA, T.StringType())])
+                       + [T.StructField(RECORD, T.StringType())])
     df = (spark.read.options(**CSV_OPTS).option("header", str(header).lower())
-          .option("mode", "PERMISSIVE").option("nullValue", NO_NULL).schema(raw).csv(path))
-    df = df.filter(F.col(EXTRA).isNull())
+          .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RECORD).schema(raw).csv(path))
+    commas = F.length(F.regexp_replace(F.regexp_replace(F.col(RECORD), r'"(?:[^"]|"")*"', ""), "[^,]", ""))
+    df = df.filter(F.col(RECORD).isNull() | (commas < len(schema.fields)))
     # empty -> null as pandas reads it; then the declared types
     return df.select(*[F.nullif(F.col(f.name), F.lit("")).try_cast(f.dataType).alias(f.name)
                        for f in schema.fields])

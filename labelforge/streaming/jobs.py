@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.scores import decode_code
 from ..operators import corpus as C
-from ..operators import inference as I
+from ..operators import ml as ML
 from ..operators import quality as Q
 from ..session import scratch_path
 
@@ -38,15 +38,28 @@ def run_to_files(df: DataFrame, out_path: str, checkpoint: str, mode: str = "app
 
 
 def run_complete_to_table(df: DataFrame, out_path: str, checkpoint: str) -> None:
-    """Complete-mode aggregate: each micro-batch rewrites the full (small)
-    result table at ``out_path``."""
-    def write(batch: DataFrame, _id: int) -> None:
-        batch.write.mode("overwrite").parquet(out_path)
+    """Complete-mode aggregate: each micro-batch writes the full (small)
+    result to a folder of its own, ``out_path/batch=<id>``; the last complete
+    one is the result (see :func:`read_last_batch`), so a crash in the middle
+    of a write never costs the result before it."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_path}/batch={number}")
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .outputMode("complete").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
+def read_last_batch(spark: SparkSession, out_path: str, schema: T.StructType) -> DataFrame:
+    """The result of the last batch that was written to its end."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out_path)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    done = [int(s.getPath().getParent().getName().split("=")[1])
+            for s in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{out_path}/batch=*/_SUCCESS"))]
+    if not done:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{out_path}/batch={max(done)}")
+
+
 # ------------------------------------------------------------------ jobs
 def ingest(stream: DataFrame, n: int | None = None) -> DataFrame:
     """Conform arriving records to the common schema (optionally bounded)."""
@@ -54,9 +67,9 @@ def ingest(stream: DataFrame, n: int | None = None) -> DataFrame:
     return out.limit(n) if n is not None else out
 
 
-def score(stream: DataFrame, text_col: str = "text", factory=None) -> DataFrame:
-    """Stateless per-record scoring (pandas UDF in the stream)."""
-    return I.classify(stream, text_col, factory)
+def score(stream: DataFrame, model, text_col: str = "text") -> DataFrame:
+    """Stateless per-record scoring by a fitted Spark ML text model."""
+    return ML.score_text(model, stream, text_col)
 
 
 def quality_clean(stream: DataFrame, text_col: str = "text", lexicon=Q.DANISH_BLOCKED_WORDS,
@@ -67,14 +80,11 @@ def quality_clean(stream: DataFrame, text_col: str = "text", lexicon=Q.DANISH_BL
 
 
 def quality_split(spark: SparkSession, stream: DataFrame, name: str, text_col: str = "text",
-                  lexicon=Q.DANISH_BLOCKED_WORDS, threshold: int = Q.DEFAULT_THRESHOLD,
-                  spread_to: int | None = None) -> tuple[DataFrame, DataFrame]:
+                  lexicon=Q.DANISH_BLOCKED_WORDS,
+                  threshold: int = Q.DEFAULT_THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Annotate arriving records once and write them partitioned by verdict
     (one pass, both outputs, no filter in the streaming plan); returns the
-    (clean, problematic) batch frames read back with partition pruning.
-    ``spread_to`` round-robins micro-batches that arrive as few partitions."""
-    if spread_to:
-        stream = stream.repartition(spread_to)
+    (clean, problematic) batch frames read back with partition pruning."""
     ann = Q.annotate_quality(stream, text_col, lexicon, threshold)
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     run_to_files(ann, out, ckpt, partition_by=["is_problematic"])
@@ -110,6 +120,6 @@ def materialise(spark: SparkSession, plan: DataFrame, name: str, complete: bool
     out, ckpt = scratch_path(spark, f"{name}-out"), scratch_path(spark, f"{name}-ckpt")
     if complete:
         run_complete_to_table(plan, out, ckpt)
-    else:
-        run_to_files(plan, out, ckpt)
+        return read_last_batch(spark, out, plan.schema)
+    run_to_files(plan, out, ckpt)
     return spark.read.schema(plan.schema).parquet(out)

@@ -40,6 +40,15 @@ def test_skip_long_rows_is_quote_aware(spark, tmp_path):
     assert got == [(1, "a, b, c"), (3, None), (4, "multi\nline, with comma"), (5, None)]
 
 
+def test_surplus_field_that_is_empty_drops_the_row(spark, tmp_path):
+    p = tmp_path / "empty.csv"
+    p.write_text('id,a,b\n1,x,y\n2,x,y,\n3,x,y,,\n4,x\n5,"p,q",\n6,"u ""v"", w",z\n', encoding="utf-8")
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("a", T.StringType()),
+                           T.StructField("b", T.StringType())])
+    got = sorted(tuple(r) for r in IO.read_csv_skip_long_rows(spark, str(p), schema).collect())
+    assert got == [(1, "x", "y"), (4, "x", None), (5, "p,q", None), (6, 'u "v", w', "z")]
+
+
 def test_natural_outer_merge_matches_null_keys(spark):
     from labelforge.operators.joins import natural_outer_merge
     a = spark.createDataFrame([(1, "x", 10), (None, "y", 20), (3, None, 30)], "id int, text string, a int")

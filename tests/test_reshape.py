@@ -20,3 +20,18 @@ def test_expand_list_width_and_rename(spark):
     out = X.expand_list(df, "s", "a", rename={"a_0": "first"}).orderBy("id").collect()
     assert [tuple(r) for r in out] == [(1, 1.0, 2.0, 3.0), (2, 4.0, None, None), (3, None, None, None)]
     assert out[0].__fields__ == ["id", "first", "a_1", "a_2"]
+
+
+def test_histogram_without_values_and_with_nan(spark):
+    from labelforge.operators import reshape as X
+    odd = spark.createDataFrame([(1.0,), (float("nan"),), (None,), (3.0,)], "x double")
+    assert [(r["bin_lo"], r["bin_hi"], r["n"]) for r in X.histogram(odd, "x", 2).orderBy("bin").collect()] == [
+        (1.0, 2.0, 1), (2.0, 3.0, 1)]
+    assert X.histogram(odd.where("x > 9 and not isnan(x)"), "x", 2).count() == 0
+
+
+def test_decode_keeps_values_between_codes(spark):
+    from labelforge.functions import scores as S
+    df = spark.createDataFrame([(1, 2.7, 2), (2, 2.0, 7), (3, None, -1)], "id int, a double, b int")
+    got = [tuple(r) for r in S.decode_frame(df, exclude=["id"]).orderBy("id").collect()]
+    assert got == [(1, "2.7", "Basic"), (2, "Basic", "7"), (3, None, "-1")]

@@ -1,3 +1,6 @@
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from labelforge.operators import sampling as R
@@ -32,16 +35,41 @@ def test_split_sizes_and_positions(spark):
     assert all(r["pos"] == i + 1 for i, r in enumerate(sorted(pos, key=lambda r: r["doc_id"])))
 
 
-def test_large_n_paths_match_topk_paths(spark, monkeypatch):
-    s = V.v_scored(spark, SMALL).select("doc_id", "int_score")
-    quotas = {0: 5, 1: 3, 3: 7, 4: 2}
-    small_sample = {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()}
-    small_head = {r[0] for r in R.first_n(s, 23, "doc_id").collect()}
-    small_cap = {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()}
-    monkeypatch.setattr(R, "TOPK_MAX", 1)  # forces the global-position paths
-    assert {r[0] for r in R.sample_n(s, 37, "doc_id", 42).collect()} == small_sample
-    assert {r[0] for r in R.first_n(s, 23, "doc_id").collect()} == small_head
-    assert {tuple(r) for r in R.cap_per_class(s, "int_score", quotas, "doc_id").collect()} == small_cap
+@pytest.mark.parametrize("buckets", [1 << 16, 4])
+def test_selections_match_a_plain_sort(spark, monkeypatch, buckets):
+    """Also with 4 histogram buckets, where the last step sees many keys."""
+    monkeypatch.setattr(R, "BUCKETS", buckets)
+    ids = [3, 5, -9, 10 ** 15, 7, 8, 12, 2 ** 62, -2 ** 61] + list(range(100, 190))
+    rows = [(i, (None, 0, 1, 3, 4, 5)[i % 6], "text") for i in ids]
+    df = spark.createDataFrame(rows, "doc_id long, int_score int, text string").repartition(4)
+    for n in (1, 4, 50, 99, 1000):
+        assert sorted(r[0] for r in R.first_n(df, n, "doc_id").collect()) == sorted(ids)[:n]
+        want = sorted(ids, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))[:n]
+        assert sorted(r[0] for r in R.sample_n(df, n, "doc_id", 42).collect()) == sorted(want)
+    quotas = {0: 5, 1: 3, 3: 0, 4: 1000}
+    want = [i for i in ids if i % 6 == 5]
+    for k, c in ((1, 0), (2, 1), (3, 3), (4, 4)):
+        want += sorted(i for i in ids if i % 6 == k)[:quotas[c]]
+    assert sorted(r[0] for r in R.cap_per_class(df, "int_score", quotas, "doc_id").collect()) == sorted(want)
+    split = R.train_val_split(df, 0.2, "doc_id", 42, stratify_col="int_score")
+    got = {(r["int_score"], r["split"]): r["count"] for r in split.groupBy("int_score", "split").count().collect()}
+    for c in (None, 0, 1, 3, 4, 5):
+        n = sum(r[1] == c for r in rows)
+        assert got.get((c, "train"), 0) == int((1 - 0.2) * n) and sum(v for k, v in got.items() if k[0] == c) == n
+
+
+def test_selection_moves_keys_only(spark):
+    df = V.v_scored(spark, SMALL).select("doc_id", "text")
+    plan = R.first_n(df, 20, "doc_id")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange" in line]
+    assert exchanges and not any("text" in line for line in exchanges)
+
+
+def test_empty_selections(spark):
+    df = spark.createDataFrame([], "doc_id long, int_score int")
+    assert R.first_n(df, 3, "doc_id").count() == R.sample_n(df, 3, "doc_id").count() == 0
+    assert R.cap_per_class(df, "int_score", {0: 2}, "doc_id").count() == 0
+    assert R.train_val_split(df, 0.2, "doc_id").count() == 0
 
 
 def test_pool_stats_from_counts_match_row_form(spark):
@@ -50,11 +78,13 @@ def test_pool_stats_from_counts_match_row_form(spark):
     rnd = random.Random(1)
     rows = [(i, f"r{j}", rnd.randint(0, 4)) for i in range(40) for j in range(rnd.randint(1, 6))]
     r = spark.createDataFrame(rows, "item long, rater string, score int")
-    a = {x["pool"]: round(x["alpha"], 9) for x in G.krippendorff_alpha(G.class_pools(r), "ordinal", ["pool"]).collect()}
-    b = {x["pool"]: round(x["alpha"], 9) for x in G.alpha_from_counts(G.pool_counts(r), "ordinal", ["pool"]).collect()}
-    m1 = {x["pool"]: round(x["msd"], 9) for x in G.msd(G.class_pools(r), ["pool"]).collect()}
-    m2 = {x["pool"]: round(x["msd"], 9) for x in G.msd_from_counts(G.pool_counts(r), ["pool"]).collect()}
-    assert a == b and m1 == m2
+    present = r.select("item", F.col("score").alias("pool")).distinct()
+    pools = r.join(present, "item")
+    a = {x["pool"]: round(x["alpha"], 9) for x in G.krippendorff_alpha(pools, "ordinal", ["pool"]).collect()}
+    m = {x["pool"]: round(x["msd"], 9) for x in G.msd(pools, ["pool"]).collect()}
+    t = G.statistics_from_counts(G.pool_counts(r), ["pool"]).collect()
+    assert a == {x["pool"]: round(x["alpha_ordinal"], 9) for x in t}
+    assert m == {x["pool"]: round(x["msd"], 9) for x in t}
 
 
 def test_biased_sample_topup_reaches_n(spark):

@@ -87,6 +87,28 @@ def test_with_retries_recovers_and_falls_back(spark):
     assert out["score"] == -1
 
 
+def test_one_bad_text_costs_only_its_own_row(spark):
+    import pandas as pd
+    from labelforge.operators import inference as I
+
+    def picky():
+        def ask(prompts):
+            if prompts.str.contains("poison").any():
+                raise RuntimeError("rejected")
+            return pd.Series(["Educational score: 4"] * len(prompts), index=prompts.index)
+        return ask
+    df = spark.createDataFrame([(i, "poison" if i == 3 else "fine") for i in range(8)], "id int, text string").coalesce(1)
+    got = {r["id"]: r["score"] for r in I.llm_score(df, "text", "h ", " t", picky).collect()}
+    assert got == {i: -1 if i == 3 else 4 for i in range(8)}
+
+
+def test_translation_keeps_empty_texts(spark):
+    from labelforge.operators import inference as I
+    df = spark.createDataFrame([(1, ""), (2, None), (3, "x")], "id int, text string")
+    got = {r["id"]: r["out"] for r in I.translate(df, "text", "out").collect()}
+    assert got == {1: "", 2: None, 3: "[da] x"}
+
+
 def test_blank_texts_never_reach_the_client(spark):
     import pandas as pd
     from labelforge.operators import inference as I

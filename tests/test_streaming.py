@@ -11,15 +11,17 @@ from tests.conftest import SMALL
 
 
 def test_score_stream_resumes_from_checkpoint(spark):
+    from labelforge.plans.model_queries import fitted_quality
     src, out, ckpt = (scratch_path(spark, n) for n in ("src", "out", "ckpt"))
+    model = fitted_quality(spark, SMALL, 1 << 8)
     d = documents(spark, SMALL)
     d.filter(F.col("lang").isin("en", "fr")).write.parquet(src + "/batch1")
     stream = ST.read_stream(spark, src + "/*", DOC_SCHEMA)
-    ST.run_to_files(ST.score(stream.select("doc_id", "text")), out, ckpt)
+    ST.run_to_files(ST.score(stream.select("doc_id", "text"), model), out, ckpt)
     first = spark.read.parquet(out).count()
     d.filter(~F.col("lang").isin("en", "fr")).write.parquet(src + "/batch2")
     stream = ST.read_stream(spark, src + "/*", DOC_SCHEMA)
-    ST.run_to_files(ST.score(stream.select("doc_id", "text")), out, ckpt)
+    ST.run_to_files(ST.score(stream.select("doc_id", "text"), model), out, ckpt)
     back = spark.read.parquet(out)
     n_text = d.filter(F.length("text") > 0).count()
     assert 0 < first < n_text
@@ -34,7 +36,7 @@ def test_progress_stream_counts_each_item_once(spark):
     d.write.parquet(src + "/b")  # the same annotations arrive twice
     stream = spark.readStream.schema("doc_id long, int_score int").parquet(src + "/*")
     ST.run_complete_to_table(ST.progress(ST.annotations_from_scores(stream), "doc_id", "our_label"), out, ckpt)
-    rows = spark.read.parquet(out).collect()
+    rows = ST.read_last_batch(spark, out, "our_label string, n long").collect()
     assert [(r["our_label"], r["n"]) for r in rows] == [("Good", d.count())]
 
 
@@ -47,7 +49,7 @@ def test_progress_with_watermark_dedups_repeats(spark):
     stream = spark.readStream.schema("doc_id long, int_score int, ts timestamp").parquet(src + "/*")
     ann = stream.select("doc_id", "ts", F.lit("Excellent").alias("our_label"))
     ST.run_complete_to_table(ST.progress(ann, "doc_id", "our_label", "ts", "1 hour"), out, ckpt)
-    rows = spark.read.parquet(out).collect()
+    rows = ST.read_last_batch(spark, out, "our_label string, n long").collect()
     assert [(r["our_label"], r["n"]) for r in rows] == [("Excellent", d.count())]
 
 
@@ -55,7 +57,7 @@ def test_streaming_quality_split_equals_batch(spark):
     from labelforge.operators import quality as Q
     lex = ["worthless", "idiot", "license", "licensed"]
     stream = ST.read_stream(spark, f"{SMALL}/documents.parque[t]", DOC_SCHEMA)
-    clean_s, prob_s = ST.quality_split(spark, stream, "qs-test", lexicon=lex, spread_to=4)
+    clean_s, prob_s = ST.quality_split(spark, stream, "qs-test", lexicon=lex)
     clean_b, prob_b = Q.filter_dataset(documents(spark, SMALL), lexicon=lex)
     assert sorted(r["doc_id"] for r in clean_s.collect()) == sorted(r["doc_id"] for r in clean_b.collect())
     assert sorted((r["doc_id"], r["filter_reason"]) for r in prob_s.collect()) == \
