@@ -9,8 +9,8 @@ ratio test against the label passes, and minimises
     weighted log loss + l2 |w|^2 / 2 + cf * mean (w . (x' - x))^2 / 2
 
 where x' are the features of a training sentence after each identity term was
-replaced by another of its group, or by the neutral term that leads the group.
-The last term makes the score indifferent to which group a sentence mentions.
+replaced by the next one of its group, or left out. The last term makes the
+score indifferent to which group a sentence mentions, and to whether it does.
 
 Defined results: null or empty texts get the score of a text without features;
 documents with a null id are scored and not held out; a document labelled
@@ -38,18 +38,18 @@ FEATURES = 16384
 LEAST_RATIO = 24.0
 STEMS = (4, 5, 6)
 
-#: Groups of interchangeable identity terms, each led by its neutral term.
+#: Groups of interchangeable identity terms.
 IDENTITY = (
-    ("people", "women", "men", "girls", "boys"),
-    ("person", "woman", "man", "girl", "boy"),
-    ("people", "christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
-    ("religious", "christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
-    ("people", "blacks", "whites", "asians", "latinos", "africans", "europeans"),
-    ("human", "black", "white", "asian", "latino", "african", "european"),
-    ("human", "gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
-    ("people", "immigrants", "refugees", "foreigners", "locals"),
-    ("person", "immigrant", "refugee", "foreigner", "local"),
-    ("human", "disabled", "deaf", "blind", "autistic", "elderly", "young"),
+    ("women", "men", "girls", "boys"),
+    ("woman", "man", "girl", "boy"),
+    ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+    ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
+    ("blacks", "whites", "asians", "latinos", "africans", "europeans"),
+    ("black", "white", "asian", "latino", "african", "european"),
+    ("gay", "straight", "lesbian", "bisexual", "transgender", "queer"),
+    ("immigrants", "refugees", "foreigners", "locals"),
+    ("immigrant", "refugee", "foreigner", "local"),
+    ("disabled", "deaf", "blind", "autistic", "elderly", "young"),
 )
 
 
@@ -80,17 +80,14 @@ def present(column: pa.Array, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def swaps(text: str, groups=IDENTITY) -> list[tuple[str, str]]:
     """(sentence, counterfactual) for each sentence with an identity term: one
-    with the next term of its group, one with the neutral term."""
-    nxt, neutral = {}, {}
-    for g in groups:
-        for i, term in enumerate(g[1:], 1):
-            nxt.setdefault(term, g[i % (len(g) - 1) + 1])
-            neutral.setdefault(term, g[0])
+    with the next term of its group, one without the term."""
+    after = {term: g[(i + 1) % len(g)] for g in groups for i, term in enumerate(g)}
+    gone = dict.fromkeys(after, "")
     out = []
     for sentence in re.split(r"[.!?\n]+", text):
         low = sentence.lower()
-        if any(w in nxt for w in re.findall(r"[a-z]+", low)):
-            for table in (nxt, neutral):
+        if any(w in after for w in re.findall(r"[a-z]+", low)):
+            for table in (after, gone):
                 out.append((low, re.sub(r"[a-z]+", lambda m: table.get(m[0], m[0]), low)))
     return out
 
@@ -119,7 +116,7 @@ def _entropy(n: Column, of: Column) -> Column:
 
 
 def _fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, weight: np.ndarray, deltas, k: int,
-         l2: float, cf: float, steps: int = 400) -> tuple[np.ndarray, float]:
+         l2: float, cf: float, steps: int = 800) -> tuple[np.ndarray, float]:
     """Accelerated gradient descent on the loss above; bounded by the sample."""
     d_row, d_col, d_val = deltas
     n_d = max(1, int(d_row.max()) + 1 if len(d_row) else 1)
@@ -133,7 +130,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, weight: np.ndarr
     for step in range(steps):
         look, look_b = m, m_b
         z = np.bincount(rows, look[cols], len(label)) + look_b
-        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         moved = np.bincount(d_row, d_val * look[d_col], n_d)
         loss = -float((weight * np.where(label > 0, np.log(p), np.log1p(-p))).sum()) \
             + l2 / 2 * float(look @ look) + cf / 2 * float((moved ** 2).mean())
@@ -153,7 +150,7 @@ def _fit(rows: np.ndarray, cols: np.ndarray, label: np.ndarray, weight: np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, train_on: Column, rows_most: int = TRAIN_ROWS,
-          l2: float = 2e-4, cf: float = 1.0, groups=IDENTITY) -> dict:
+          l2: float = 1e-5, cf: float = 1.0, groups=IDENTITY) -> dict:
     """Model for ``score``: chosen features, weights, bias. ``train_on`` is a
     condition on doc_id; labels: doc_id, toxic."""
     known = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))

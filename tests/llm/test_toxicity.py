@@ -49,18 +49,23 @@ def test_held_out_accuracy_and_unseen_inflections(spark, docs):
 
 
 def test_counterfactual_penalty_clears_neutral_mentions(spark, docs):
+    """Half of the toxic texts hold no stem: there, only the mention of the
+    group tells them from clean ones, and the penalty keeps the model from
+    using it."""
     rows, marks = corpus(1200, seed=4, biased=True)
-    probe = [(1, "the muslim w7 w8"), (2, "the human w7 w8")]
-    gap = {}
-    for cf in (0.0, 50.0):
+    rows = [(i, " ".join(w for w in t.split() if i % 2 or not w.startswith(("grumpf", "blaster")))) for i, t in rows]
+    probe = [(1, "the muslim w7 w8"), (2, "the human w7 w8"), (3, "grumpf w7")]
+    gap, hit = {}, {}
+    for cf in (0.0, 10.0):
         s = scored(docs, probe, fitted(spark, docs, rows, marks, cf=cf))
-        gap[cf] = abs(s[probe[0]] - s[probe[1]])
-    assert gap[50.0] < 0.25 * gap[0.0]
+        logit = [np.log(s[p] / (1 - s[p])) for p in probe]
+        gap[cf], hit[cf] = abs(logit[0] - logit[1]), s[probe[2]]
+    assert gap[0.0] > 1 and gap[10.0] < 0.25 * gap[0.0] and hit[10.0] > 0.3
 
 
 def test_swaps_use_terms_of_the_same_group():
     pairs = toxicity.swaps("A Muslim woman. Nothing here! The deaf and blind")
-    assert ("a muslim woman", "a jewish man") in pairs and ("a muslim woman", "a religious person") in pairs
+    assert ("a muslim woman", "a jewish man") in pairs and ("a muslim woman", "a  ") in pairs
     assert len(pairs) == 4 and toxicity.swaps("nothing") == []
 
 
