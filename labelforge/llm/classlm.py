@@ -2,16 +2,16 @@
 
     P(w | previous) = m * P(class(w) | class(previous)) * P(w | class(w)) + (1 - m) * P0(w)
 
-Every word has a type: the most frequent words (at most ``HEAD``) are types of
+Every word has a type: the most frequent words (at most ``head``) are types of
 their own, all others share the type of their ending, so that any word, seen or
 not, has a class without a lookup. Exchange clustering assigns the types to
 classes: each round counts, over the whole training corpus, what classes stand
 before and after each type, and then moves every second type to the class that
-raises the class-bigram likelihood most. The counts are types x classes
+raises the class-bigram likelihood most; the best round's classes are kept. The counts are types x classes
 numbers, whatever the corpus; the corpus itself is never gathered.
 
 Word counts cover all training tokens. Those of the more frequent words (at
-most ``LOOKUP``) are broadcast; tokens of all other words are joined with the
+most ``lookup``) are broadcast; tokens of all other words are joined with the
 count table. Inside a shared type, seen words give up an absolute discount,
 which is what an unseen word of that ending gets. P0 is the add-one unigram.
 
@@ -24,6 +24,7 @@ empty input gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,15 +35,22 @@ from pyspark.sql import functions as F
 from .stage import stage
 from .textbytes import LOWER, NOT_SPACE, flat, prefix_hash, slices, span_hash, words
 
-HEAD, ENDINGS, CLASSES, ROUNDS = 4096, 1024, 64, 8
-LOOKUP = 1 << 19
 MIXTURE = 0.98
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 HELD = 1 << 20  # distinct words that a task holds before it passes them on
 CHUNK = 256
 
 
-def tokens(column: pa.Array):
+class Size(NamedTuple):
+    """What bounds the model, whatever the corpus."""
+    head: int = 4096  # words that are types of their own
+    endings: int = 1024  # types of all other words
+    classes: int = 64
+    rounds: int = 8
+    lookup: int = 1 << 19  # words whose counts are broadcast
+
+
+def tokens(column: pa.Array, endings: int):
     """Word and ending hashes of the rows' tokens, each row closed by the end
     token, and the index of each row's first token."""
     data, offsets = flat(column)
@@ -50,16 +58,16 @@ def tokens(column: pa.Array):
     starts, ends, first = words(data, offsets, NOT_SPACE)
     prefix = prefix_hash(data)
     word = span_hash(prefix, starts, ends)
-    ending = (span_hash(prefix, np.maximum(starts, ends - 3), ends) % np.uint64(ENDINGS)).astype(np.int64)
+    ending = (span_hash(prefix, np.maximum(starts, ends - 3), ends) % np.uint64(endings)).astype(np.int64)
     n = len(column)
     at = np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(first))
     out_w = np.full(len(starts) + n, END_WORD)
-    out_e = np.full(len(starts) + n, ENDINGS, np.int64)
+    out_e = np.full(len(starts) + n, endings, np.int64)
     out_w[at], out_e[at] = word, ending
     return out_w, out_e, first + np.arange(n + 1)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _count_words(endings: int):
     def merged(parts):
         w, e, n = (np.concatenate(x) for x in zip(*parts))
         kinds, first, at = np.unique(w, return_index=True, return_inverse=True)
@@ -70,19 +78,21 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(n)],
                                           names=["word", "ending", "n"])
 
-    held = []
-    for batch in batches:
-        _, offsets = flat(batch.column(0))
-        for a, b in slices(offsets):
-            w, e, _ = tokens(batch.column(0).slice(a, b - a))
-            held.append(merged([(w, e, np.ones(len(w), np.int64))]))
-            if sum(len(x[0]) for x in held) > HELD:
-                held = [merged(held)]
-                if len(held[0][0]) > HELD // 2:
-                    yield out(held[0])
-                    held = []
-    if held:
-        yield out(merged(held))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            _, offsets = flat(batch.column(0))
+            for a, b in slices(offsets):
+                w, e, _ = tokens(batch.column(0).slice(a, b - a), endings)
+                held.append(merged([(w, e, np.ones(len(w), np.int64))]))
+                if sum(len(x[0]) for x in held) > HELD:
+                    held = [merged(held)]
+                    if len(held[0][0]) > HELD // 2:
+                        yield out(held[0])
+                        held = []
+        if held:
+            yield out(merged(held))
+    return run
 
 
 def _frequent(vocab: DataFrame, most: int) -> DataFrame:
@@ -113,39 +123,47 @@ def _types(word: np.ndarray, ending: np.ndarray, head: np.ndarray) -> np.ndarray
     return np.where(word == END_WORD, 0, t)
 
 
+def likelihood(after: np.ndarray, cls: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, up to a constant of the words."""
+    k = after.shape[1]
+    joint = np.zeros((k, k))
+    np.add.at(joint, cls, after)  # joint[c, d]: class c before class d
+    f = lambda x: float((x * np.log(np.maximum(x, 1))).sum())
+    return f(joint) - f(joint.sum(0)) - f(joint.sum(1))
+
+
 def _exchange(before: np.ndarray, after: np.ndarray, cls: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """One round: before[v, c] and after[v, c] count the classes next to type
     v; each movable type goes to the class of greatest likelihood, all other
     types held where they are. Class 0 is the end token's alone."""
     k = before.shape[1]
-    log = lambda x: np.log(np.maximum(x, 1))
-    xlogx = lambda x: x * log(x)
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
     joint = np.zeros((k, k))
-    np.add.at(joint, cls, after)  # joint[c, d]: class c before class d
-    size = np.zeros(k)
-    np.add.at(size, cls, after.sum(1))
+    np.add.at(joint, cls, after)
+    first, second = joint.sum(1), joint.sum(0)
     out = cls.copy()
     for v in movable:
-        a = cls[v]
-        left, right, n = before[v], after[v], after[v].sum()
-        if not n:
+        a, left, right = cls[v], before[v], after[v]
+        n, m = right.sum(), left.sum()
+        if not n and not m:
             continue
-        j, s = joint.copy(), size.copy()
+        j, f, s = joint.copy(), first.copy(), second.copy()
         j[:, a] -= left
         j[a, :] -= right
-        s[a] -= n
+        f[a] -= n
+        s[a] -= m
         j = np.maximum(j, 0)
         gain = (xlogx(j + left[:, None]) - xlogx(j)).sum(0) + (xlogx(j + right[None, :]) - xlogx(j)).sum(1) \
-            - 2 * (xlogx(s + n) - xlogx(s))
+            - (xlogx(f + n) - xlogx(f)) - (xlogx(s + m) - xlogx(s))
         gain[0] = -np.inf
         out[v] = int(gain.argmax())
     return out
 
 
-def _neighbours(streams: DataFrame, cls: np.ndarray):
-    """before, after (types x classes): class counts next to each type."""
+def _neighbours(streams: DataFrame, cls: np.ndarray, k: int):
+    """before, after (types x k classes): class counts next to each type."""
     n_types, block = len(cls), streams.sparkSession.sparkContext.broadcast(cls)
-    width = CHUNK * CLASSES
+    width = CHUNK * k
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = block.value
@@ -153,8 +171,8 @@ def _neighbours(streams: DataFrame, cls: np.ndarray):
         for batch in batches:
             for blob in batch.column(0):
                 x = np.concatenate(([0], np.frombuffer(blob.as_buffer(), "<u2"))).astype(np.int64)
-                total[0] += np.bincount(x[1:] * CLASSES + c[x[:-1]], minlength=total.shape[1])
-                total[1] += np.bincount(x[:-1] * CLASSES + c[x[1:]], minlength=total.shape[1])
+                total[0] += np.bincount(x[1:] * k + c[x[:-1]], minlength=total.shape[1])
+                total[1] += np.bincount(x[:-1] * k + c[x[1:]], minlength=total.shape[1])
         parts = total.reshape(-1, width)
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(len(parts), dtype=np.int32)), pa.array([p.tobytes() for p in parts])],
@@ -169,24 +187,24 @@ def _neighbours(streams: DataFrame, cls: np.ndarray):
     total = np.zeros((2 * -(-n_types // CHUNK), width), np.int64)
     for r in rows:
         total[r["chunk"]] = np.frombuffer(r["counts"], np.int64)
-    both = total.reshape(2, -1, CLASSES)[:, :n_types]
+    both = total.reshape(2, -1, k)[:, :n_types]
     return both[0], both[1]
 
 
-def train(docs: DataFrame, train_on: Column) -> dict:
+def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
     """The model, with its count table as a staged DataFrame."""
     text = docs.where(train_on).select(F.col("text").cast("string").alias("text"))
-    vocab = stage(text.mapInArrow(_count_words, "word long, ending int, n long").groupBy("word").agg(
+    vocab = stage(text.mapInArrow(_count_words(size.endings), "word long, ending int, n long").groupBy("word").agg(
         F.min("ending").alias("ending"), F.sum("n").alias("n")), "vocabulary")
     one = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
                     F.sum((F.col("n") == 1).cast("long")).alias("n1"),
                     F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
-    total, size = one["n"] or 0, one["v"]
-    model = {"vocab": vocab, "N": total, "V": size}
+    total = one["n"] or 0
+    model = {"vocab": vocab, "N": total, "V": one["v"], "size": size}
     if not total:
         return model
     end = np.uint64(END_WORD).view(np.int64)
-    top = _frequent(vocab.where(F.col("word") != int(end)), HEAD).collect()
+    top = _frequent(vocab.where(F.col("word") != int(end)), size.head).collect()
     head = np.array(sorted(np.array([r["word"] for r in top], np.int64).view(np.uint64)), np.uint64)
     block = docs.sparkSession.sparkContext.broadcast(head)
 
@@ -194,26 +212,29 @@ def train(docs: DataFrame, train_on: Column) -> dict:
         for batch in batches:
             _, offsets = flat(batch.column(0))
             for a, b in slices(offsets):
-                w, e, _ = tokens(batch.column(0).slice(a, b - a))
+                w, e, _ = tokens(batch.column(0).slice(a, b - a), size.endings)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_types(w, e, block.value).astype("<u2").tobytes()], pa.binary())], names=["types"])
 
     streams = stage(text.mapInArrow(stream, "types binary"), "type-streams")
-    n_types = len(head) + 1 + ENDINGS
-    cls = np.arange(n_types) % (CLASSES - 1) + 1
+    n_types = len(head) + 1 + size.endings
+    cls = np.arange(n_types) % (size.classes - 1) + 1
     cls[0] = 0
-    for r in range(ROUNDS):
-        before, after = _neighbours(streams, cls)
-        cls = _exchange(before, after, cls, np.arange(1 + r % 2, n_types, 2))
-    _, after = _neighbours(streams, cls)
-    joint = np.zeros((CLASSES, CLASSES))
+    best = (-np.inf, cls, None)
+    for r in range(size.rounds + 1):
+        before, after = _neighbours(streams, cls, size.classes)
+        best = max(best, (likelihood(after, cls), cls, after), key=lambda x: x[0])
+        if r < size.rounds:
+            cls = _exchange(before, after, cls, np.arange(1 + r % 2, n_types, 2))
+    _, cls, after = best
+    joint = np.zeros((size.classes, size.classes))
     np.add.at(joint, cls, after)
     # Per ending, the seen words that share it (the frequent ones have types of their own).
     n1, n2 = one["n1"], one["n2"]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
     counts = dict(zip(np.array([r["word"] for r in top], np.int64).view(np.uint64).tolist(), [r["n"] for r in top]))
     head_n = np.array([counts[int(w)] for w in head], np.float64)
-    seen, mass = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    seen, mass = np.zeros(size.endings), np.zeros(size.endings)
     for r in vocab.where(F.col("word") != int(end)).groupBy("ending").agg(
             F.count("*").alias("v"), F.sum("n").alias("n")).collect():
         seen[r["ending"]], mass[r["ending"]] = r["v"], r["n"]
@@ -221,10 +242,10 @@ def train(docs: DataFrame, train_on: Column) -> dict:
         seen[r["ending"]] -= 1
         mass[r["ending"]] -= r["n"]
     weight = np.concatenate(([total - head_n.sum() - mass.sum()], head_n, mass + discount))
-    class_mass = np.bincount(cls, weight, CLASSES)
+    class_mass = np.bincount(cls, weight, size.classes)
     share = class_mass / class_mass.sum()
     follow = (joint + share) / (joint.sum(1, keepdims=True) + 1)
-    more = _frequent(vocab, LOOKUP).select("word", "n").toArrow()  # at most LOOKUP rows
+    more = _frequent(vocab, max(size.lookup, size.head + 1)).select("word", "n").toArrow()  # at most size.lookup rows
     known, often = (more.column(k).to_numpy() for k in (0, 1))
     order = np.argsort(known.view(np.uint64))
     return model | {
@@ -239,12 +260,12 @@ LEFT = pa.list_(pa.struct([("word", pa.int64()), ("x", pa.float64()), ("y", pa.f
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) per row."""
     cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    total, size = model["N"], model["V"]
+    total, size, endings = model["N"], model["V"], model["size"].endings
     if not total:
         def only(batches):
             for batch in batches:
                 _, offsets = flat(batch.column(1))
-                n = [len(tokens(batch.column(1).slice(a, b - a))[0]) if b - a == 1 else None
+                n = [len(tokens(batch.column(1).slice(a, b - a), endings)[0]) if b - a == 1 else None
                      for a, b in slices(offsets, 0)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
         return cols.mapInArrow(only, "doc_id long, n_tokens long").select(
@@ -258,7 +279,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         for batch in batches:
             _, offsets = flat(batch.column(1))
             for a, b in slices(offsets):
-                w, e, first = tokens(batch.column(1).slice(a, b - a))
+                w, e, first = tokens(batch.column(1).slice(a, b - a), endings)
                 t = _types(w, e, m["head"])
                 c = m["cls"][t]
                 prev = np.concatenate(([0], c[:-1]))
