@@ -113,7 +113,7 @@ def _evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
                 h, start = grams(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
                 n = np.diff(start)
                 rows = np.repeat(np.arange(b - a), n)
-                ll = np.stack([np.bincount(rows, m[h, i], b - a) for i in range(k)], 1)
+                ll = np.stack([np.bincount(rows, m[h, i], b - a) for i in range(k)], 1).astype(float)
                 ll /= (1 + n / TEMPER)[:, None]
                 out += [x if size else None for x, size in zip(ll.tolist(), n)]
             cols = [batch.column(i) for i in range(batch.num_columns) if i != at]
@@ -175,4 +175,5 @@ def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(
         "page_id", F.element_at(names, F.array_position("log_p", F.col("top")).cast("int")).alias("lang"),
         (1.0 / total(F.transform("log_p", lambda x: F.exp(x - F.col("top"))))).alias("probability"),
-        F.element_at(names, F.col("vote")).alias("text_lang"), "declared_lang", "host")
+        F.when(F.col("evidence").isNotNull(), F.element_at(names, F.col("vote"))).alias("text_lang"),
+        "declared_lang", "host")
