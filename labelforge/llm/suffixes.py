@@ -52,7 +52,7 @@ from .textbytes import flat, mix, packed, prefix_hash, slices, span_hash, unpack
 
 LENGTH, GRAM = 100, 24
 PART_BYTES = 8 << 20
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 SHARD_SEGMENTS = 8192
 FIRST = -(1 << 63)  # order of a null id
 
@@ -190,11 +190,19 @@ def _sift(most: int):
     return run
 
 
+def _by_bytes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few megabytes of ``column``."""
+    for batch in batches:
+        _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
+        for a, b in slices(offsets, 4 << 20):
+            yield batch.slice(a, b - a)
+
+
 def _deal(shards: int):
     """Cut the segments that were asked for out of the texts, to each of their
     shards: (shard, meta, body)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_bytes(batches, "text"):
             doc, tie, text, asked = (batch.column(batch.schema.get_field_index(n))
                                      for n in ("doc", "tie", "text", "requests"))
             data, offsets = flat(text)
@@ -394,7 +402,7 @@ def _search(table: pa.Table) -> pa.Table:
 def _cut(as_text: bool):
     """Spans per document, and what lies outside them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _by_bytes(batches, "text"):
             data, offsets = flat(batch.column(1))
             spans, kept = [], []
             for r, found in enumerate(batch.column(2)):
