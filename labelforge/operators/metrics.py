@@ -12,12 +12,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scores import LABEL_CODES
 from .common import materialise
 
-# --- fixed values -----------------------------------------------------------
-REPORT_LABELS = [0, 1, 2, 3, 4]
-TARGET_NAMES = ["None", "Minimal", "Basic", "Good", "Excellent"]
-# ---------------------------------------------------------------------------
+REPORT_LABELS = list(LABEL_CODES.values())
+TARGET_NAMES = list(LABEL_CODES)
 
 M, T, P, RAW = "model_name", "true_label", "final_prediction", "raw_prediction"
 

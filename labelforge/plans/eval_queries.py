@@ -23,7 +23,7 @@ from .registry import register
 LLM_NAME = "llm_rubric"
 HUMAN_PATH = "annotations/annotations_panel.json"
 HUMAN_NAME = "Human (Panel)"
-NAMES = "['None', 'Minimal', 'Basic', 'Good', 'Excellent']"
+NAMES = V.LABELS_SQL
 MODELS = list(V.MODEL_KEYS) + [V.NO_RAW_MODEL]
 VIEWS = ("v_preds_wide", "v_llm", "v_panel_text")
 

@@ -92,8 +92,8 @@ def limit_filter_jsonl(spark, sf):
                                                          T.StructField("text", T.StringType())]))
 
 
-@register("annotation_append", """SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,
-    coalesce(['None', 'Minimal', 'Basic', 'Good', 'Excellent'][int_score + 1], CAST(int_score AS VARCHAR)) AS our_label
+@register("annotation_append", f"""SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,
+    coalesce({V.LABELS_SQL}[int_score + 1], CAST(int_score AS VARCHAR)) AS our_label
     FROM v_annotated) GROUP BY our_label""", ("v_annotated",))
 def annotation_append(spark, sf):
     """All annotations appended to a JSON dataset in one write, whatever their

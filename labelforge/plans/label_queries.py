@@ -11,7 +11,7 @@ from ..functions.text import WS, sql_ws_chars
 from ..sources.tables import documents
 from .registry import register
 
-NAMES = "['None', 'Minimal', 'Basic', 'Good', 'Excellent']"
+NAMES = V.LABELS_SQL
 PROB = V.PROBLEMATIC_LABEL
 
 

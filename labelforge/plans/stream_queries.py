@@ -44,8 +44,8 @@ def stream_quality(spark, sf):
     return clean
 
 
-@register("stream_progress", """SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,
-    coalesce(['None', 'Minimal', 'Basic', 'Good', 'Excellent'][int_score + 1], CAST(int_score AS VARCHAR)) AS our_label
+@register("stream_progress", f"""SELECT our_label, count(*) AS n FROM (SELECT DISTINCT doc_id,
+    coalesce({V.LABELS_SQL}[int_score + 1], CAST(int_score AS VARCHAR)) AS our_label
     FROM v_annotated) GROUP BY our_label""", ("v_annotated",))
 def stream_progress(spark, sf):
     ann = V.with_scores(_docs_stream(spark, sf)).filter(F.col("doc_id") % 3 == 0)

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from .tables import documents, events
 
+LABEL_NAMES = list(S.LABEL_CODES)
+PROBLEMATIC_LABEL = S.PROBLEMATIC_LABEL
+
 # --- fixed values -----------------------------------------------------------
-LABEL_NAMES = ["None", "Minimal", "Basic", "Good", "Excellent"]
-PROBLEMATIC_LABEL = "❗ Problematic Content ❗"
 EVENT_SCORE = {"signup": 0, "view": 1, "click": 2, "purchase": 3, "error": 4}
 MODEL_KEYS = {"fewshot_250": 11, "fewshot_1000": 13, "full_finetune": 17}
 NO_RAW_MODEL = "zeroshot"
@@ -29,6 +30,10 @@ def _sql_list(xs) -> str:
     return ", ".join("'" + x.replace("'", "''") + "'" for x in xs)
 
 
+#: The label names as a DuckDB list.
+LABELS_SQL = "[" + _sql_list(LABEL_NAMES) + "]"
+
+
 # ---------------------------------------------------------------- Spark side
 def with_scores(d: DataFrame) -> DataFrame:
     """The ``v_scored`` derivation; works on batch and streaming frames."""
