@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import LOWER, NOT_SPACE, flat, prefix_hash, slices, span_hash, words
 
 MIXTURE = 0.98
@@ -193,7 +193,7 @@ def _neighbours(streams: DataFrame, cls: np.ndarray, k: int):
 
 def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
     """The model, with its count table as a staged DataFrame."""
-    text = docs.where(train_on).select(F.col("text").cast("string").alias("text"))
+    text = small_batches(docs).where(train_on).select(F.col("text").cast("string").alias("text"))
     vocab = stage(text.mapInArrow(_count_words(size.endings), "word long, ending int, n long").groupBy("word").agg(
         F.min("ending").alias("ending"), F.sum("n").alias("n")), "vocabulary")
     one = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
@@ -259,7 +259,7 @@ LEFT = pa.list_(pa.struct([("word", pa.int64()), ("x", pa.float64()), ("y", pa.f
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score (log10) per row."""
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cols = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total, size, endings = model["N"], model["V"], model["size"].endings
     if not total:
         def only(batches):

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from .stage import small_batches
 from .textbytes import ALNUM, LOWER, flat, ngram_hash, prefix_hash, slices, span_hash, words
 
 GRAM = 5
@@ -174,7 +175,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 10,
         F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    out = docs.drop(*STATE.names)
+    out = small_batches(docs).drop(*STATE.names)
     out = out.select("*", F.lit(0).cast("long").alias("n_words"),
                      F.array().cast(STATE["spans"].dataType).alias("spans"),
                      F.array().cast(STATE["item_ids"].dataType).alias("item_ids"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from . import decontaminate, neardup, packing, suffixes, toxicity
+from .stage import stage
 
 TOXIC_FROM = 0.3
 
@@ -23,8 +24,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     goes only if no row of it stays; rows without an id stay."""
     found = neardup.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
-    single = docs.join(ids.where(~F.col("kept") | (F.col("n") > 1)).select("doc_id"), "doc_id", "left_anti")
-    several = docs.join(ids.where(F.col("kept") & (F.col("n") > 1)).select("doc_id"), "doc_id", "left_semi")
+    special = stage(ids.where(~F.col("kept") | (F.col("n") > 1)), "copies")
+    side = F.broadcast if special.count() <= neardup.BROADCAST_ROWS else lambda x: x  # else shuffle joins
+    single = docs.join(side(special.select("doc_id")), "doc_id", "left_anti")
+    several = docs.join(side(special.where("kept").select("doc_id")), "doc_id", "left_semi")
     first = F.row_number().over(Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("doc_id"))
     several = several.withColumn("_first", first).where(F.col("_first") == 1)
     return single.select(*docs.columns).unionByName(several.select(*docs.columns))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import LOWER, flat, slices
 
 BUCKETS, TEMPER, STRENGTH = 1 << 16, 100.0, 4.0
@@ -51,7 +51,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Language codes and log P(bucket | language), buckets x languages."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     number = {l: i for i, l in enumerate(langs)}
@@ -127,7 +127,7 @@ def _evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
 def identify(pages: DataFrame, docs: DataFrame) -> DataFrame:
     """page_id, lang, probability, text_lang, declared_lang, host per page."""
     langs, model = text_model(docs)
-    cols = pages.select(F.col("page_id").cast("long").alias("page_id"),
+    cols = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"),
                         *[c.alias(n) for n, c in address(F.col("url")).items()],
                         declared(F.col("html")).alias("declared_lang"), visible_text(F.col("html")).alias("text"))
     if not langs:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components, edge_batch, forest
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import (
     LOWER,
     NOT_SPACE,
@@ -121,7 +121,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                     [batch.column(0).slice(a, b - a), pa.array(size), pa.array(ids, pa.int64()),
                      pa.array(sig, pa.binary())], names=["doc_id", "n_shingles", "set_id", "sig"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    cols = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sig binary")
 
 

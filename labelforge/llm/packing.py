@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import flat, slices
 from .tokencount import byte_letters
 
@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, path: str, size: int, separator: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), TYPES)], names=NAMES)
 
-    cols = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    cols = small_batches(docs).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, "
                                 "part int, nth long")
 

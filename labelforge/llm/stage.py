@@ -1,4 +1,4 @@
-"""Intermediate tables in the cluster's shared folder."""
+"""Intermediate tables in the cluster's shared folder, and batch sizes."""
 
 from __future__ import annotations
 
@@ -13,3 +13,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch that holds whole texts. A batch is built in full in the
+#: JVM and again in Python, so its size is memory that every running task needs.
+TEXT_ROWS = 1000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's Arrow batch to TEXT_ROWS rows if it
+    is larger; operators call it before they hand texts to Python."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return df

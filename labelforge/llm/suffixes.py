@@ -47,7 +47,7 @@ from pyspark.sql.types import (
     StructType,
 )
 
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import flat, mix, packed, prefix_hash, slices, span_hash, unpacked
 
 LENGTH, GRAM = 100, 24
@@ -425,7 +425,7 @@ def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, as_text:
     ranges of the repeats, disjoint, sorted) and kept: the bytes outside, or
     with ``as_text`` their characters, those cut in half left out. Columns
     named spans or kept are replaced."""
-    docs = docs.drop("spans", "kept")
+    docs = small_batches(docs).drop("spans", "kept")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     others = [c for c in docs.columns if c.lower() != "text"]
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(FIRST)).alias("doc"),

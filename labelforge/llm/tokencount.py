@@ -25,6 +25,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .stage import small_batches
 from .textbytes import flat, slices
 
 KNOWN_MOST = 300_000
@@ -172,5 +173,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int, id_col: str = "doc_id",
                 [batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    cols = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    cols = small_batches(docs).select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return cols.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .stage import stage
+from .stage import small_batches, stage
 from .textbytes import ALNUM, LOWER, flat, mix, prefix_hash, slices, span_hash, words
 
 TRAIN_ROWS = 8192
@@ -163,7 +163,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, rows_most: int =
         return none
     sample = known.where(F.col("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_most).unionByName(
         known.where(~F.col("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows_most))
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = stage(text.join(F.broadcast(sample), "doc_id").select("text", "toxic"), "toxic-sample")
     got = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     m1, m0 = got.get(True, 0), got.get(False, 0)
@@ -223,7 +223,7 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, rows_most: int =
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """All columns of ``docs`` and toxicity (0 to 1; replaces such a column)."""
     block = docs.sparkSession.sparkContext.broadcast(model)
-    docs = docs.drop("toxicity")
+    docs = small_batches(docs).drop("toxicity")
     schema = StructType([*docs.schema.fields, StructField("toxicity", DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
