@@ -49,10 +49,10 @@ from .textbytes import (
 )
 
 SYMBOLS, CHUNKS, RADIUS = 48, 9, 17
-PART_BYTES = 24 << 20
+PART_BYTES = 12 << 20
 ALL_PAIRS = 24
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
-COLUMNS = 4096
+COLUMNS = 2048
 BROADCAST_ROWS = 500_000
 
 _rng = np.random.default_rng(20240607)

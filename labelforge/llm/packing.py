@@ -64,7 +64,7 @@ def pieces(docs: DataFrame, path: str, size: int, separator: int) -> DataFrame:
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             _, offsets = flat(batch.column(1))
-            for a, b in slices(offsets, 8 << 20):
+            for a, b in slices(offsets, 2 << 20):
                 rows = []
                 for doc, text in zip(batch.column(0).slice(a, b - a).to_pylist(),
                                      batch.column(1).slice(a, b - a).to_pylist()):

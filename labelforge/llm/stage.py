@@ -17,7 +17,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows of an Arrow batch that holds whole texts. A batch is built in full in the
 #: JVM and again in Python, so its size is memory that every running task needs.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 
 
 def small_batches(df: DataFrame) -> DataFrame:

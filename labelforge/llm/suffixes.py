@@ -51,7 +51,7 @@ from .stage import small_batches, stage
 from .textbytes import flat, mix, packed, prefix_hash, slices, span_hash, unpacked
 
 LENGTH, GRAM = 100, 24
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 SHARD_BYTES = 1 << 19
 SHARD_SEGMENTS = 8192
 FIRST = -(1 << 63)  # order of a null id
@@ -194,7 +194,7 @@ def _by_bytes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
     """The batches in parts of a few megabytes of ``column``."""
     for batch in batches:
         _, offsets = flat(batch.column(batch.schema.get_field_index(column)))
-        for a, b in slices(offsets, 4 << 20):
+        for a, b in slices(offsets, 2 << 20):
             yield batch.slice(a, b - a)
 
 
