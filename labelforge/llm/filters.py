@@ -10,6 +10,7 @@ from . import decontaminate, neardup, packing, suffixes, toxicity
 from .stage import stage
 
 TOXIC_FROM = 0.3
+NEAR_COPY_WORDS, NEAR_COPY_PERCENT = 5, 80
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,10 +20,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest
-    id. A row that is there several times stays once; an id with several texts
+    """One document of each near-duplicate group (shingle sets with a
+    similarity of NEAR_COPY_PERCENT or more), the one with the smallest id. A row that is there several times stays once; an id with several texts
     goes only if no row of it stays; rows without an id stay."""
-    found = neardup.near_duplicates(docs.select("doc_id", "text")).where(F.col("doc_id").isNotNull())
+    found = neardup.near_duplicates(
+        docs.select("doc_id", "text"), NEAR_COPY_WORDS, NEAR_COPY_PERCENT, 100).where(F.col("doc_id").isNotNull())
     ids = found.groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
     special = stage(ids.where(~F.col("kept") | (F.col("n") > 1)), "copies")
     side = F.broadcast if special.count() <= neardup.BROADCAST_ROWS else lambda x: x  # else shuffle joins

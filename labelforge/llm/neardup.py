@@ -1,14 +1,15 @@
 """Near-duplicate documents by a multi-index Hamming join of b-bit minhash
 signatures, confirmed on the full shingle sets.
 
-A signature has ``SYMBOLS`` minhashes of 16 bits each. Two documents whose
-signatures differ in at most ``RADIUS`` symbols must, by the pigeonhole
-principle, differ in at most RADIUS // CHUNKS = 1 symbol of some chunk. Each
+A signature has some minhashes (symbols) of 16 bits each. Two documents whose
+signatures differ in at most ``radius`` symbols must, by the pigeonhole
+principle, differ in at most radius // chunks = 1 symbol of some chunk. Each
 chunk is therefore indexed once for every place where that one error may be
 (the place left out of the key): all pairs within the radius share a key.
-A pair at the similarity threshold of 0.85 is outside the radius with a
-probability below 2e-4. Index entries carry 4 bits of each symbol, which can
-only make a pair look closer, never farther.
+The three numbers follow from the similarity threshold (``shape``): a pair at
+the threshold is outside the radius with a probability below 2e-4. Index
+entries carry 4 bits of each symbol, which can only make a pair look closer,
+never farther.
 
 Documents with one shingle set are one class from the start. Rows of a key are
 compared on their signatures and only a spanning forest of the pairs within
@@ -26,6 +27,9 @@ repeated rows are copies of each other; empty input gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -48,17 +52,59 @@ from .textbytes import (
     words,
 )
 
-SYMBOLS, CHUNKS, RADIUS = 48, 9, 17
 PART_BYTES = 12 << 20
 ALL_PAIRS = 24
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 COLUMNS = 2048
 BROADCAST_ROWS = 500_000
 
-_rng = np.random.default_rng(20240607)
-XOR = _rng.integers(0, 1 << 32, SYMBOLS, dtype=np.uint32)
-MUL = _rng.integers(0, 1 << 31, (2, SYMBOLS), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-BOUNDS = np.linspace(0, SYMBOLS, CHUNKS + 1).round().astype(int)
+FEWEST_SYMBOLS, CHUNK_SYMBOLS = 48, 4
+MISSED = 2e-4  # most pairs at the threshold that lie outside the radius
+LOWEST = 0.7  # threshold; below it signatures get too long for the index
+
+
+class Shape(NamedTuple):
+    """What a signature consists of, and how far a candidate may be."""
+    symbols: int
+    chunks: int
+    radius: int
+
+    @property
+    def bounds(self) -> list[int]:
+        return np.linspace(0, self.symbols, self.chunks + 1).round().astype(int).tolist()
+
+    @property
+    def entry(self) -> np.dtype:
+        return np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "u1", (self.symbols // 2,))])
+
+
+@lru_cache
+def shape(num: int, den: int) -> Shape:
+    """The shortest signature for a threshold of num / den: a radius that
+    misses fewer than MISSED of the pairs at it, chunks that hold one error
+    each, and enough symbols for keys of CHUNK_SYMBOLS - 1 or more."""
+    if not LOWEST * den <= num <= den:
+        raise ValueError(f"similarity threshold {num}/{den} is not from {LOWEST} to 1")
+    p, symbols = 1 - num / den, FEWEST_SYMBOLS
+    while True:
+        radius, missed = symbols, 0.0
+        while radius and missed + (more := comb(symbols, radius) * p ** radius * (1 - p) ** (symbols - radius)) < MISSED:
+            radius, missed = radius - 1, missed + more
+        chunks = radius // 2 + 1
+        if symbols >= CHUNK_SYMBOLS * chunks:
+            return Shape(symbols, chunks, radius)
+        symbols += 2
+
+
+SHAPE = shape(85, 100)
+SYMBOLS, CHUNKS, RADIUS = SHAPE
+
+
+@lru_cache
+def _hashes(symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(20240607)
+    xor = rng.integers(0, 1 << 32, symbols, dtype=np.uint32)
+    return xor, rng.integers(0, 1 << 31, (2, symbols), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
 def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -75,24 +121,25 @@ def shingle_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(sets) if sets else grams[:0]), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def signatures(shingles: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """rows x SYMBOLS symbols; no row may be empty."""
+def signatures(shingles: np.ndarray, starts: np.ndarray, symbols: int = SYMBOLS) -> np.ndarray:
+    """rows x symbols; no row may be empty."""
     x = (shingles >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(starts), SYMBOLS), "<u2")
-    for k in range(SYMBOLS):
-        y = (x ^ XOR[k]) * MUL[0, k]
+    xor, mul = _hashes(symbols)
+    out = np.empty((len(starts), symbols), "<u2")
+    for k in range(symbols):
+        y = (x ^ xor[k]) * mul[0, k]
         y ^= y >> np.uint32(15)
-        y *= MUL[1, k]
+        y *= mul[1, k]
         least = np.minimum.reduceat(y, starts).astype(np.uint64)
         out[:, k] = mix(least + np.uint64(k + 1)) >> np.uint64(48)
     return out
 
 
-def keys(sig: np.ndarray) -> np.ndarray:
-    """rows x SYMBOLS index keys: one per chunk and left-out place."""
+def keys(sig: np.ndarray, of: Shape = SHAPE) -> np.ndarray:
+    """rows x symbols index keys: one per chunk and left-out place."""
     out = np.empty(sig.shape, np.uint64)
     wide = sig.astype(np.uint64) + np.uint64(1)
-    for a, b in zip(BOUNDS[:-1], BOUNDS[1:]):
+    for a, b in zip(of.bounds[:-1], of.bounds[1:]):
         for k in range(a, b):
             h = np.full(len(sig), np.uint64(k + 1))
             for j in range(a, b):
@@ -102,7 +149,7 @@ def keys(sig: np.ndarray) -> np.ndarray:
     return out
 
 
-def describe(docs: DataFrame, n: int) -> DataFrame:
+def describe(docs: DataFrame, n: int, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, n_shingles, set_id (hash of the shingle set), sig."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,7 +162,7 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
                 if len(full):
                     own = np.add.reduceat(mix(s ^ np.uint64(0xD6E8FEB86659FD93)), at[full])
                     own = mix(own + size[full].astype(np.uint64)).view(np.int64)
-                    for r, i, g in zip(full.tolist(), own.tolist(), signatures(s, at[full])):
+                    for r, i, g in zip(full.tolist(), own.tolist(), signatures(s, at[full], symbols)):
                         ids[r], sig[r] = i, g.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(size), pa.array(ids, pa.int64()),
@@ -125,24 +172,21 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return cols.mapInArrow(run, "doc_id long, n_shingles long, set_id long, sig binary")
 
 
-ENTRY = np.dtype([("key", "<u8"), ("id", "<i8"), ("sig", "u1", (SYMBOLS // 2,))])
-
-
 def brief(sig: np.ndarray) -> np.ndarray:
     """Four bits of each symbol, two symbols a byte."""
     low = (sig & np.uint16(15)).astype(np.uint8)
     return low[:, ::2] << np.uint8(4) | low[:, 1::2]
 
 
-def _index(parts: int):
+def _index(parts: int, of: Shape):
     """Entries of every key, sorted and packed per key range."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 ids = np.asarray(batch.column(0).slice(a, 2048))
-                sig = np.frombuffer(b"".join(batch.column(1).slice(a, 2048).to_pylist()), "<u2").reshape(-1, SYMBOLS)
-                rows = np.empty((len(ids), SYMBOLS), ENTRY)
-                rows["key"], rows["id"], rows["sig"] = keys(sig), ids[:, None], brief(sig)[:, None, :]
+                sig = np.frombuffer(b"".join(batch.column(1).slice(a, 2048).to_pylist()), "<u2").reshape(-1, of.symbols)
+                rows = np.empty((len(ids), of.symbols), of.entry)
+                rows["key"], rows["id"], rows["sig"] = keys(sig, of), ids[:, None], brief(sig)[:, None, :]
                 rows = rows.reshape(-1)
                 rows = rows[np.argsort(rows["key"])]
                 yield packed((rows["key"] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), rows)
@@ -153,11 +197,11 @@ def _index(parts: int):
 DIFFER = np.array([(b > 15) + ((b & 15) > 0) for b in range(256)], np.uint8)
 
 
-def _near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return DIFFER[x ^ y].sum(-1) <= RADIUS
+def _near(x: np.ndarray, y: np.ndarray, radius: int = RADIUS) -> np.ndarray:
+    return DIFFER[x ^ y].sum(-1) <= radius
 
 
-def _spread(sig: np.ndarray) -> tuple[list, list]:
+def _spread(sig: np.ndarray, radius: int) -> tuple[list, list]:
     """Forest of the pairs of one large key that lie within the radius: each
     row reached is compared with the rows not reached yet."""
     a, b = [], []
@@ -166,7 +210,7 @@ def _spread(sig: np.ndarray) -> tuple[list, list]:
         queue, left = [int(left[0])], left[1:]
         while queue and len(left):
             row = queue.pop()
-            hit = _near(sig[left], sig[row])
+            hit = _near(sig[left], sig[row], radius)
             got = left[hit].tolist()
             a += [row] * len(got)
             b += got
@@ -175,33 +219,35 @@ def _spread(sig: np.ndarray) -> tuple[list, list]:
     return a, b
 
 
-def _within_radius(table: pa.Table) -> pa.Table:
+def _within_radius(of: Shape):
     """Forest of the signature pairs within the radius in one key range."""
-    rows = unpacked(table.column(1), ENTRY)
-    order = np.argsort(rows["key"], kind="stable")
-    key = rows["key"][order]
-    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-    size = np.diff(new)
-    a, b = [], []
-    for s in range(2, ALL_PAIRS + 1):
-        at = new[:-1][size == s]
-        if not len(at):
-            continue
-        i, j = np.triu_indices(s, 1)
-        step = max(1, 200_000 // len(i))
-        for c in range(0, len(at), step):
-            x = order[(at[c:c + step, None] + i).reshape(-1)]
-            y = order[(at[c:c + step, None] + j).reshape(-1)]
-            ok = _near(rows["sig"][x], rows["sig"][y])
-            a.append(x[ok])
-            b.append(y[ok])
-    for g in np.flatnonzero(size > ALL_PAIRS):
-        mine = order[new[g]:new[g + 1]]
-        x, y = _spread(rows["sig"][mine])
-        a.append(mine[np.array(x, np.int64)])
-        b.append(mine[np.array(y, np.int64)])
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.Table.from_batches([edge_batch(*forest(rows["id"][a], rows["id"][b]))])
+    def run(table: pa.Table) -> pa.Table:
+        rows = unpacked(table.column(1), of.entry)
+        order = np.argsort(rows["key"], kind="stable")
+        key = rows["key"][order]
+        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
+        size = np.diff(new)
+        a, b = [], []
+        for s in range(2, ALL_PAIRS + 1):
+            at = new[:-1][size == s]
+            if not len(at):
+                continue
+            i, j = np.triu_indices(s, 1)
+            step = max(1, 200_000 // len(i))
+            for c in range(0, len(at), step):
+                x = order[(at[c:c + step, None] + i).reshape(-1)]
+                y = order[(at[c:c + step, None] + j).reshape(-1)]
+                ok = _near(rows["sig"][x], rows["sig"][y], of.radius)
+                a.append(x[ok])
+                b.append(y[ok])
+        for g in np.flatnonzero(size > ALL_PAIRS):
+            mine = order[new[g]:new[g + 1]]
+            x, y = _spread(rows["sig"][mine], of.radius)
+            a.append(mine[np.array(x, np.int64)])
+            b.append(mine[np.array(y, np.int64)])
+        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        return pa.Table.from_batches([edge_batch(*forest(rows["id"][a], rows["id"][b]))])
+    return run
 
 
 def _common(sets: list[np.ndarray], left: int) -> np.ndarray:
@@ -260,15 +306,15 @@ def _confirm(num: int, den: int):
 
 def near_duplicates(docs: DataFrame, words_: int = 5, num: int = 85, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row. Linked are sets with
-    den * common >= num * union; num / den must be 0.85 or more for the
-    radius to hold all such pairs."""
-    each = stage(describe(docs, words_), "signatures")
+    den * common >= num * union; num / den must be LOWEST or more."""
+    of = shape(num, den)
+    each = stage(describe(docs, words_, of.symbols), "signatures")
     classes = stage(each.where(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull()).groupBy("set_id").agg(
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig")), "classes")
     n = classes.count()
-    parts = max(1, -(-n * SYMBOLS * ENTRY.itemsize // PART_BYTES))
-    near = (classes.select("set_id", "sig").mapInArrow(_index(parts), "part long, rows binary")
-            .groupBy("part").applyInArrow(_within_radius, "a long, b long"))
+    parts = max(1, -(-n * of.symbols * of.entry.itemsize // PART_BYTES))
+    near = (classes.select("set_id", "sig").mapInArrow(_index(parts, of), "part long, rows binary")
+            .groupBy("part").applyInArrow(_within_radius(of), "a long, b long"))
     found = components(near)
     family = stage(found.unionByName(found.select(F.col("component").alias("node"), "component").distinct()).join(
         classes.select(F.col("set_id").alias("node"), "doc_id", "n"), "node"), "families")

@@ -176,7 +176,7 @@ c AS (SELECT x AS doc_id, min(y) AS component_id FROM r GROUP BY x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"))
+    return neardup.near_duplicates(_documents(spark, sf_dir).select("doc_id", "text"), 5, 85, 100)
 
 
 @query("op10_suffix_repeats", sql="""

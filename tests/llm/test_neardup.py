@@ -107,3 +107,60 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(n)] + [(1000, 1001), (1001, 1000)], "a long, b long")
     got = dict(map(tuple, graph.components(edges.repartition(8)).collect()))
     assert got == {**{i: 0 for i in range(1, n + 1)}, 1001: 1000}
+
+
+@pytest.mark.parametrize("num", [70, 75, 80, 85, 90, 100])
+def test_shape_of_a_threshold(num):
+    from math import comb
+    of, p = neardup.shape(num, 100), 1 - num / 100
+    missed = sum(comb(of.symbols, k) * p ** k * (1 - p) ** (of.symbols - k) for k in range(of.radius + 1, of.symbols + 1))
+    assert missed < 2e-4 and of.radius // of.chunks <= 1 and min(np.diff(of.bounds)) >= 4 and of.symbols % 2 == 0
+    rng = np.random.default_rng(num)
+    a = rng.integers(0, 1 << 16, (300, of.symbols)).astype("<u2")
+    b = a.copy()
+    for row in b:
+        at = rng.choice(of.symbols, of.radius, replace=False)
+        row[at] ^= rng.integers(1, 1 << 16, of.radius).astype("<u2")
+    assert neardup._near(neardup.brief(a), neardup.brief(b), of.radius).all()
+    assert (neardup.keys(a, of) == neardup.keys(b, of)).any(axis=1).all()
+
+
+def test_no_shape_below_the_lowest_threshold():
+    with pytest.raises(ValueError):
+        neardup.shape(69, 100)
+
+
+def test_pipeline_stage_matches_brute_force_at_80_percent(spark, docs):
+    """Pairs of a text and a copy with one to three words changed, so that
+    many lie from 0.80 to 0.85."""
+    from labelforge.llm import filters
+    r = random.Random(7)
+    rows = []
+    for k in range(400):
+        w = [f"w{k}x{i}" for i in range(104)]
+        rows.append((2 * k, " ".join(w)))
+        for at in r.sample(range(104), r.choice([1, 2, 2, 2, 3])):
+            w[at] = "e"
+        rows.append((2 * k + 1, " ".join(w)))
+    sets = dict((i, sets_of(t)) for i, t in rows)
+    alike = [(len(sets[i] & sets[i + 1]), len(sets[i] | sets[i + 1])) for i in range(0, 800, 2)]
+    assert sum(80 * n <= 100 * c < 85 * n for c, n in alike) > 100 and any(100 * c < 80 * n for c, n in alike)
+    want = sorted([i for i, _ in rows if i % 2 == 0] + [2 * k + 1 for k, (c, n) in enumerate(alike) if 100 * c < 80 * n])
+    kept = filters.drop_near_copies(spark, docs(rows), None).select("doc_id").collect()
+    assert sorted(x["doc_id"] for x in kept) == want
+
+
+def test_pipeline_stage_on_the_small_table(spark):
+    """Documents 145 and 177 have a similarity of 0.83 to an earlier one."""
+    from labelforge.llm import filters
+    from labelforge.sources.tables import table
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    sets = [(r["doc_id"], sets_of(r["text"])) for r in docs.orderBy("doc_id").collect()]
+    group = {i: i for i, _ in sets}
+    for k, (i, x) in enumerate(sets):
+        for j, y in sets[:k]:
+            if x and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = sorted((group[i], group[j]))
+                group = {n: a if g == b else g for n, g in group.items()}
+    kept = [r["doc_id"] for r in filters.drop_near_copies(spark, docs, None).select("doc_id").collect()]
+    assert sorted(kept) == [i for i, g in group.items() if g == i] and not {145, 177} & set(kept)
