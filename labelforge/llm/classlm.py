@@ -265,9 +265,10 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         def only(batches):
             for batch in batches:
                 _, offsets = flat(batch.column(1))
-                n = [len(tokens(batch.column(1).slice(a, b - a), endings)[0]) if b - a == 1 else None
-                     for a, b in slices(offsets, 0)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+                for a, b in slices(offsets):
+                    n = np.diff(tokens(batch.column(1).slice(a, b - a), endings)[2])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64())],
+                                                     names=["doc_id", "n_tokens"])
         return cols.mapInArrow(only, "doc_id long, n_tokens long").select(
             "doc_id", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"),
             F.lit(0.0).alias("score"))

@@ -123,3 +123,10 @@ def test_no_training_rows_and_empty_table(spark, docs):
         (1, 3, 0, 0.0, 0.0), (2, 1, 0, 0.0, 0.0)]
     empty = docs([])
     assert classlm.score(empty, classlm.train(empty, F.lit(True))).count() == 0
+
+
+def test_no_training_rows_and_adjacent_empty_texts(spark, docs):
+    df = docs([(1, "a b"), (2, None), (3, ""), (4, None), (5, "c")], parts=1).coalesce(1).sortWithinPartitions("doc_id")
+    out = classlm.score(df, classlm.train(df, F.lit(False))).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in out) == [
+        (1, 3, 0.0), (2, 1, 0.0), (3, 1, 0.0), (4, 1, 0.0), (5, 2, 0.0)]
