@@ -23,9 +23,11 @@ ignored. The set of language codes is taken to be small.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,18 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def visible_text(html: Column) -> Column:
-    """The page without scripts, styles, navigation, comments and tags."""
+    """The page without scripts, styles, navigation, comments and tags; its
+    character references are still in it (see decoded)."""
     for pattern in (r"(?is)<(script|style|nav|header|footer|aside)\b.*?</\1\s*>", r"(?s)<!--.*?-->", r"(?s)<[^>]*>"):
         html = F.regexp_replace(html, pattern, " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(html, r"&#?\w+;", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(html, r"\s+", " "))
+
+
+def decoded(column: pa.Array) -> pa.Array:
+    """The texts with their character references as the characters they name."""
+    if not pc.any(pc.match_substring(column, "&")).as_py():
+        return column
+    return pa.array([" ".join(unescape(t).split()) if t and "&" in t else t for t in column.to_pylist()], pa.string())
 
 
 def address(url: Column) -> dict[str, Column]:
@@ -107,7 +117,7 @@ def _evidence(pages: DataFrame, model: np.ndarray) -> DataFrame:
         m = block.value
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            data, offsets = flat(batch.column(at))
+            data, offsets = flat(decoded(batch.column(at)))
             out: list = []
             for a, b in slices(offsets):
                 h, start = grams(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])

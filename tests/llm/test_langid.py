@@ -72,3 +72,26 @@ def test_empty_tables(spark, docs, learnt):
 def test_long_page(spark, learnt):
     r = random.Random(5)
     assert run(spark, learnt, [(1, "http://a.b/", page(say("fr", 100000, r)))])[0]["lang"] == "fr"
+
+
+def test_letters_written_as_references(spark, learnt):
+    r = random.Random(4)
+    texts = [(l, say(l, 30, r)) for l in list(WORDS) * 4]
+    ways = [lambda c: f"&#{ord(c)};", lambda c: f"&#x{ord(c):X};", lambda c: {"ü": "&uuml;", "ù": "&ugrave;", "ê": "&ecirc;"}.get(c, c)]
+    rows = []
+    for i, (_, t) in enumerate(texts):
+        rows.append((10 * i, None, page(t)))
+        rows += [(10 * i + k, None, page("".join(map(w, t)))) for k, w in enumerate(ways, 1)]
+    rows += [(900, None, page("&nbsp;&#160; &#32;")), (901, None, page("&lt;p&gt; &amp;uuml;"))]
+    got = {x["page_id"]: x for x in run(spark, learnt, rows)}
+    for i, (l, _) in enumerate(texts):
+        assert [got[10 * i + k]["text_lang"] for k in range(4)] == [l] * 4
+        assert len({round(got[10 * i + k]["probability"], 9) for k in range(4)}) == 1
+    assert got[900]["text_lang"] is None
+
+
+def test_decoded_texts():
+    import pyarrow as pa
+    texts = [None, "", "plain", "a &lt;b&gt; &amp;uuml; c&#1055;", " &nbsp;&#32;", "&#xD800;"]
+    assert langid.decoded(pa.array(texts)).to_pylist() == [None, "", "plain", "a <b> &uuml; cП", "", "�"]
+    assert langid.decoded(pa.array([None], pa.string())).to_pylist() == [None]
