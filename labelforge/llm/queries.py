@@ -16,6 +16,7 @@ from . import (
     langid,
     neardup,
     packing,
+    periodic,
     suffixes,
     tokencount,
     toxicity,
@@ -207,3 +208,57 @@ def suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "pages"), _documents(spark, sf_dir))
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in every tenth document by crc32 the words from some
+    place on are the same few words over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(F.col("h") / 10), F.col("n")
+    split = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all(
+        "text", F.lit(r"([^\x20\x09-\x0D]+)"))).alias("w")).withColumn("n", F.size("w"))
+    placed = split.withColumn("a", g % n).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    turned = F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get("w", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return placed.select("doc_id", F.when(n > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", sql=r"""
+WITH c AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+          lambda s: list_prepend(CAST(ascii(s) AS BIGINT), list_transform(range(8), lambda k: CAST(-1 AS BIGINT)))))),
+        lambda x, y: CASE WHEN y >= 0 THEN xor(x, y) WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END),
+      4294967295) AS h FROM documents),
+n AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS planted, h // 10 AS g,
+        (h // 10) % greatest(len(w), 1) AS a FROM c),
+t AS (SELECT doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1]
+        ELSE w[a + (i - a) % (1 + (n - a) // (3 + g % 8)) + 1] END) ELSE w END AS w FROM n),
+x AS (SELECT doc_id, n, i, w[i + 1] AS u FROM (SELECT doc_id, n, w, unnest(range(n)) AS i FROM t)),
+m AS (SELECT p.doc_id, p.i, s.i - p.i AS q FROM x p JOIN x s ON p.doc_id = s.doc_id AND p.u = s.u
+        AND s.i > p.i AND 4 * (s.i - p.i) <= p.n),
+k AS (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e
+      FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+      GROUP BY doc_id, q, island HAVING max(i) + q + 1 - min(i) >= greatest(6, 4 * q)),
+r AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM k o WHERE o.doc_id = k.doc_id AND o.q < k.q AND k.q % o.q = 0
+        AND o.s <= k.s AND o.e >= k.e)),
+f AS (SELECT doc_id, count(*) AS n_runs, arg_max({'s': s, 'l': e - s, 'q': q}, {'l': e - s, 's': -s, 'q': -q}) AS b,
+        string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM r GROUP BY doc_id),
+y AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM r),
+z AS (SELECT doc_id, string_agg(u, ' ' ORDER BY i) AS kept FROM x ANTI JOIN y USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.l AS length, b.q AS period,
+  1000 * b.l // b.q AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+  sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN z USING (doc_id)""")
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = periodic.find_runs(planted_runs(docs))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
