@@ -17,10 +17,18 @@ earliest of each kind is cut out of its text and put into a suffix array:
   earliest of a group are repeats.
 
 An anchor with more than ``SHARD_SEGMENTS`` different segments is dealt over
-several shards, and each pair of those is merged by binary search of the
-starts of one in the suffix array of the other. No text is ever compared with
-all others, and no shard holds more than a bounded number of bytes, but for
-the segments of one document.
+up to ``MOST_SALTS`` shards, and each pair of those is merged by binary search
+of the starts of one in the suffix array of the other. An anchor with more than
+that is split by context (``_refine``): its segments are cut by the distance of
+their starts from the anchor, and each part gets a new key from all bytes that
+its strings must share, round after round with finer cuts, until the groups are
+small; parts that are alone or equal drop out on the way, and a part of one
+start has its whole string for a key. No text is ever compared with all others,
+and no shard holds more than a bounded number of bytes.
+
+What moves is linear in the text: a segment is one record, at most one packed
+row; of equal segments in one slice of texts only the earliest is sent on; an
+asked segment is one row, or MOST_SALTS.
 
 Defined results: null text counts as empty; a null id counts as smaller than
 any other; rows with one id and one text are the same document and get the
@@ -54,19 +62,23 @@ LENGTH, GRAM = 100, 24
 PART_BYTES = 4 << 20
 SHARD_BYTES = 1 << 19
 SHARD_SEGMENTS = 8192
+MOST_SALTS = 4
+WIDTHS = (32, 16, 8, 4, 2, 1)  # distances from the anchor that stay together, by round
 FIRST = -(1 << 63)  # order of a null id
 
 SEGMENT = np.dtype([("key", "<u4"), ("body", "<u8"), ("doc", "<i8"), ("tie", "<i8"),
-                    ("start", "<u4"), ("starts", "u1")])
-REQUEST = np.dtype([("group", "<u8"), ("start", "<u4"), ("starts", "u1"), ("salts", "<u2"), ("salt", "<u2")])
+                    ("start", "<u4"), ("starts", "u1"), ("lead", "u1")])
+REQUEST = np.dtype([("group", "<u8"), ("start", "<u4"), ("starts", "u1"), ("lead", "u1"),
+                    ("salts", "u1"), ("salt", "u1")])  # salts 0: too many segments, to be split by context
 SPAN = np.dtype([("start", "<u4"), ("end", "<u4")])
 PIECE = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("side", "u1"), ("size", "u1")])
 
 
 def segments(data: np.ndarray, offsets: np.ndarray):
     """Runs of string starts with one anchor: row, first start, number of
-    starts, anchor hash, hash of all bytes the strings cover."""
-    n, none = len(data), (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    starts, distance of the anchor from the first, anchor hash, hash of all
+    bytes the strings cover."""
+    n, none = len(data), (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if n < LENGTH:
         return none
     prefix = prefix_hash(data)
@@ -94,25 +106,67 @@ def segments(data: np.ndarray, offsets: np.ndarray):
         return none
     count = np.add.reduceat(valid, first)
     row = np.searchsorted(offsets, first, "right") - 1
-    return row, first, count, mix(gram[anchor[first]]), span_hash(prefix, first, first + count + LENGTH - 1)
+    return (row, first, count, anchor[first] - first, mix(gram[anchor[first]]),
+            span_hash(prefix, first, first + count + LENGTH - 1))
+
+
+SEGMENTS = "part long, rows binary, doc long, tie long, spans binary"
 
 
 def _scan(parts: int):
+    """Packed segments by part; of equal ones in a slice the earliest, the
+    others are spans (doc, tie, spans) at once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, tie = (np.asarray(batch.column(k)) for k in (0, 1))
             data, offsets = flat(batch.column(2))
             for a, b in slices(offsets):
                 own = offsets[a:b + 1] - offsets[a]
-                row, first, count, key, body = segments(data[offsets[a]:offsets[b]], own)
+                row, first, count, lead, key, body = segments(data[offsets[a]:offsets[b]], own)
                 out = np.empty(len(row), SEGMENT)
                 out["key"], out["body"] = key >> np.uint64(32), body
                 out["doc"], out["tie"] = doc[a:b][row], tie[a:b][row]
-                out["start"], out["starts"] = first - own[row], count
-                yield packed((key & np.uint64(0xFFFFFFFF)) % np.uint64(parts), out)
+                out["start"], out["starts"], out["lead"] = first - own[row], count, lead
+                part = (key & np.uint64(0xFFFFFFFF)) % np.uint64(parts)
+                later, copy = _later(key, out)
+                if later.any():
+                    part, out = part[~later], out[~later]
+                p = packed(part, out)
+                none = len(p)
+                yield pa.RecordBatch.from_arrays(
+                    [*p.columns, pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.nulls(none, pa.binary())],
+                    names=["part", "rows", "doc", "tie", "spans"])
+                if len(copy):
+                    spans = _spans_of(copy)
+                    to = mix(spans.column("doc").to_numpy().view(np.uint64)) % np.uint64(parts)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(to.astype(np.int64)), pa.nulls(len(to), pa.binary()),
+                         *(spans.column(n).combine_chunks() for n in ("doc", "tie", "spans"))],
+                        names=["part", "rows", "doc", "tie", "spans"])
     return run
 
 
+def _later(key: np.ndarray, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks all but the earliest of the records with equal key and body, and
+    lists those of them that are not the earliest one once more."""
+    both = mix(key) ^ records["body"]
+    order = np.argsort(both, kind="stable")
+    twin = both[order[1:]] == both[order[:-1]]
+    later = np.zeros(len(records), bool)
+    if not twin.any():
+        return later, records[:0]
+    some = order[np.append(twin, False) | np.append(False, twin)]
+    r = records[some]
+    some = some[np.lexsort((r["start"], r["tie"], r["doc"], r["body"], key[some]))]
+    r, k = records[some], key[some]
+    new = np.ones(len(r), bool)
+    new[1:] = (k[1:] != k[:-1]) | (r["body"][1:] != r["body"][:-1])
+    later[some[~new]] = True
+    earliest = r[np.maximum.accumulate(np.where(new, np.arange(len(r)), 0))]
+    same = (earliest["doc"] == r["doc"]) & (earliest["tie"] == r["tie"]) & (earliest["start"] == r["start"])
+    return later, r[~new & ~same]
+
+
 def _by_document(doc, tie, records) -> tuple[pa.Array, pa.Array, pa.Array]:
     """The records of each document as one binary value."""
     order = np.lexsort((records["start"], tie, doc))
@@ -135,21 +189,31 @@ def cover(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
-RESULT = "doc long, tie long, spans binary, requests binary"
+RESULT = "doc long, tie long, spans binary, requests binary, hot long"
+NAMES = ["doc", "tie", "spans", "requests", "hot"]
 
 
 def _result(doc, tie, start, end, requests=None, r_doc=None, r_tie=None) -> pa.Table:
+    """Spans, and requests with the number of those that are to be split by
+    context, one row per document and kind."""
     spans = np.empty(len(doc), SPAN)
     spans["start"], spans["end"] = start, end
     d, t, s = _by_document(doc, tie, spans)
-    names = ["doc", "tie", "spans", "requests"]
-    tables = [pa.table([d, t, s, pa.nulls(len(d), pa.binary())], names=names)]
+    nothing = lambda n, kind: pa.nulls(n, kind)
+    tables = [pa.table([d, t, s, nothing(len(d), pa.binary()), nothing(len(d), pa.int64())], names=NAMES)]
     if requests is not None:
-        d, t, r = _by_document(r_doc, r_tie, requests)
-        tables.append(pa.table([d, t, pa.nulls(len(d), pa.binary()), r], names=names))
+        for mine in (requests["salts"] > 0, requests["salts"] == 0):
+            d, t, r = _by_document(r_doc[mine], r_tie[mine], requests[mine])
+            hot = np.asarray(pc.binary_length(r), np.int64) // REQUEST.itemsize * int(not requests["salts"][mine].all())
+            tables.append(pa.table([d, t, nothing(len(d), pa.binary()), r, pa.array(hot)], names=NAMES))
     return pa.concat_tables(tables)
 
 
+def _spans_of(copies: np.ndarray) -> pa.Table:
+    end = copies["start"] + copies["starts"] + (LENGTH - 1)
+    return _result(copies["doc"], copies["tie"], copies["start"], end)
+
+
 def _first_rows(records: np.ndarray) -> np.ndarray:
     """True for a sorted record that differs from the one before: a row that
     the table holds twice is one document."""
@@ -158,12 +222,13 @@ def _first_rows(records: np.ndarray) -> np.ndarray:
     return new
 
 
-def _sift(most: int):
+def _sift(most: int, most_salts: int):
     """Same bytes: all but the earliest are repeats. Same anchor, different
     bytes: the earliest of each kind is asked for."""
     def run(table: pa.Table) -> pa.Table:
-        part = np.uint64(table.column(0)[0].as_py())
-        s = unpacked(table.column(1), SEGMENT)
+        part = np.uint64(table.column("part")[0].as_py())
+        known = table.filter(pc.is_valid(table.column("doc")))
+        s = unpacked(table.column("rows"), SEGMENT)
         order = np.argsort(s["key"], kind="stable")
         key = s["key"][order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
@@ -182,11 +247,15 @@ def _sift(most: int):
         q, n = s[ask], kinds[group[ask]]
         r = np.empty(len(q), REQUEST)
         r["group"] = q["key"].astype(np.uint64) << np.uint64(32) | part
-        r["start"], r["starts"] = q["start"], q["starts"]
-        r["salts"] = np.minimum(-(-n // most), 65535)
-        r["salt"] = mix(q["doc"].view(np.uint64) ^ q["start"].astype(np.uint64)) % r["salts"].astype(np.uint64)
-        return _result(copy["doc"], copy["tie"], copy["start"], copy["start"] + copy["starts"] + (LENGTH - 1),
-                       r, q["doc"], q["tie"])
+        r["start"], r["starts"], r["lead"] = q["start"], q["starts"], q["lead"]
+        salts = -(-n // most)
+        r["salts"] = np.where(salts <= most_salts, salts, 0)
+        r["salt"] = mix(q["doc"].view(np.uint64) ^ q["start"].astype(np.uint64)) % np.maximum(salts, 1).astype(np.uint64)
+        out = _result(copy["doc"], copy["tie"], copy["start"], copy["start"] + copy["starts"] + (LENGTH - 1),
+                      r, q["doc"], q["tie"])
+        known = known.select(["doc", "tie", "spans"])
+        return pa.concat_tables([out, known.append_column("requests", pa.nulls(len(known), pa.binary()))
+                                 .append_column("hot", pa.nulls(len(known), pa.int64()))])
     return run
 
 
@@ -198,47 +267,120 @@ def _by_bytes(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Rec
             yield batch.slice(a, b - a)
 
 
+def _cut_out(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> pa.Array:
+    """data[first:first + size] of each piece as a binary column."""
+    ends = np.cumsum(size)
+    at = np.arange(int(size.sum())) + np.repeat(first - (ends - size), size)
+    offsets = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(size), [
+        None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())]).cast(pa.binary())
+
+
+PIECES = "shard long, doc long, tie long, start long, side int, body binary"
+CONTEXT = "key long, doc long, tie long, start long, lead int, body binary"
+
+
+def _requests(batches: Iterator[pa.RecordBatch]):
+    """Per part of a batch: bytes, text offsets, requests, the row of each, and
+    the rows' documents."""
+    for batch in _by_bytes(batches, "text"):
+        doc, tie, text, asked = (batch.column(batch.schema.get_field_index(n))
+                                 for n in ("doc", "tie", "text", "requests"))
+        data, offsets = flat(text)
+        r = unpacked(asked, REQUEST)
+        counts = np.asarray(pc.fill_null(pc.binary_length(asked), 0), np.int64) // REQUEST.itemsize
+        yield data, offsets, r, np.repeat(np.arange(len(batch)), counts), np.asarray(doc), np.asarray(tie)
+
+
 def _deal(shards: int):
-    """Cut the segments that were asked for out of the texts, to each of their
-    shards: (shard, meta, body)."""
+    """Cut the segments that were asked for out of the texts, one row for each
+    of their shards."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _by_bytes(batches, "text"):
-            doc, tie, text, asked = (batch.column(batch.schema.get_field_index(n))
-                                     for n in ("doc", "tie", "text", "requests"))
-            data, offsets = flat(text)
-            r = unpacked(asked, REQUEST)
-            counts = np.asarray(pc.fill_null(pc.binary_length(asked), 0), np.int64) // REQUEST.itemsize
-            row = np.repeat(np.arange(len(batch)), counts)
+        for data, offsets, r, row, doc, tie in _requests(batches):
             times = r["salts"].astype(np.int64)
             which = np.repeat(np.arange(len(r)), times)
             other = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
             r, row = r[which], row[which]
-            if not len(r):
-                continue
             low, high = np.minimum(r["salt"], other), np.maximum(r["salt"], other)
             to = np.where(r["salts"] == 1, mix(r["group"]) % np.uint64(shards),
                           mix(mix(r["group"] + np.uint64(1)) + (low.astype(np.uint64) << np.uint64(20))
                               + high.astype(np.uint64)) | np.uint64(1 << 63))
-            m = np.empty(len(r), PIECE)
-            m["doc"], m["tie"] = np.asarray(doc)[row], np.asarray(tie)[row]
-            m["start"] = r["start"]
-            m["side"], m["size"] = (r["salt"] != low) & (low != high), r["starts"] + np.uint8(LENGTH - 1)
-            order = np.argsort(to, kind="stable")
-            to, m, first = to[order], m[order], (offsets[row] + r["start"])[order]
-            p = packed(to, m)
-            cuts = [*(np.flatnonzero(np.diff(to)) + 1).tolist(), len(to)]
-            raw = memoryview(data)
-            ends = (first + m["size"]).tolist()
-            pieces = [raw[x:y] for x, y in zip(first.tolist(), ends)]
-            joined, a = [], 0
-            for b in cuts:
-                joined.append(b"".join(pieces[a:b]))
-                a = b
-            yield pa.RecordBatch.from_arrays([p.column(0), p.column(1), pa.array(joined, pa.binary())],
-                                             names=["shard", "meta", "body"])
+            side = (r["salt"] != low) & (low != high)
+            body = _cut_out(data, offsets[row] + r["start"], r["starts"].astype(np.int64) + (LENGTH - 1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(to.astype(np.uint64).view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
+                 pa.array(r["start"].astype(np.int64)), pa.array(side.astype(np.int32)), body],
+                names=["shard", "doc", "tie", "start", "side", "body"])
     return run
 
 
+def _deal_hot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cut out the segments that are to be split by context."""
+    for data, offsets, r, row, doc, tie in _requests(batches):
+        body = _cut_out(data, offsets[row] + r["start"], r["starts"].astype(np.int64) + (LENGTH - 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(r["group"].view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
+             pa.array(r["start"].astype(np.int64)), pa.array(r["lead"].astype(np.int32)), body],
+            names=["key", "doc", "tie", "start", "lead", "body"])
+
+
+def _by_context(width: int):
+    """Parts of the pieces whose starts have a distance from the anchor in one
+    run of ``width``, under a key of the bytes that all such strings share."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, doc, tie, start, lead = (np.asarray(batch.column(k)) for k in range(5))
+            lead = lead.astype(np.int64)
+            data, offsets = flat(batch.column(5))
+            starts = np.diff(offsets) - (LENGTH - 1)
+            least, most = (lead - starts + 1) // width, lead // width
+            row = np.repeat(np.arange(len(batch)), most - least + 1)
+            run_ = np.arange(len(row)) - np.repeat(np.cumsum(most - least + 1) - (most - least + 1), most - least + 1)
+            run_ = least[row] + run_
+            far = np.minimum(lead[row], run_ * width + width - 1)  # the first start's distance
+            near = np.maximum(lead[row] - starts[row] + 1, run_ * width)
+            begin = offsets[row] + lead[row] - far
+            size = far - near + LENGTH
+            anchor = offsets[row] + lead[row]
+            prefix = prefix_hash(data)
+            shared = span_hash(prefix, anchor - run_ * width, anchor - (run_ * width + width - 1) + LENGTH)
+            new = mix(mix(key[row].view(np.uint64) + run_.astype(np.uint64)) ^ shared)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new.view(np.int64)), pa.array(doc[row]), pa.array(tie[row]),
+                 pa.array(start[row] + lead[row] - far), pa.array(far.astype(np.int32)),
+                 _cut_out(data, begin, size)],
+                names=["key", "doc", "tie", "start", "lead", "body"])
+    return run
+
+
+def _refine(pieces: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Split groups of more than ``most`` pieces by context until none is left:
+    pieces of small groups (key, doc, tie, start, body), and spans (doc, tie,
+    start, end) of pieces that equal an earlier one. Each round compares by
+    grouped minima, which Spark combines before it shuffles; the join back is
+    one that AQE splits where a key is hot."""
+    place = F.struct("doc", "tie", "start")
+    small = spans = None
+    for width in WIDTHS:
+        cut = stage(pieces.mapInArrow(_by_context(width), CONTEXT).withColumn("kind", F.xxhash64("body")), "context")
+        kinds = cut.groupBy("key", "kind").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+        kinds = stage(kinds, "kinds")
+        groups = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+        copies = cut.join(kinds.where("n > 1").select("key", "kind", "first"), ["key", "kind"]).where(
+            place != F.col("first")).select(
+            "doc", "tie", "start", (F.col("start") + F.octet_length("body")).alias("end"))
+        firsts = cut.join(kinds.select("key", "kind", "first"), ["key", "kind"]).where(place == F.col("first"))
+        firsts = stage(firsts.join(groups.where("kinds > 1"), "key").select(
+            "key", "doc", "tie", "start", "lead", "body", "kinds"), "refined")
+        done = firsts.where(F.col("kinds") <= most).select("key", "doc", "tie", "start", "body")
+        small = done if small is None else small.unionByName(done)
+        spans = copies if spans is None else spans.unionByName(copies)
+        pieces = firsts.where(F.col("kinds") > most).drop("kinds")
+        if pieces.isEmpty():
+            break
+    return small, spans
+
+
 class SuffixArray:
     """All suffixes of the pieces of ``data`` in order of their bytes, and in
     ``order`` those of LENGTH bytes or more. Piece i is data[begin[i]:begin[i]
@@ -369,8 +511,11 @@ def _earliest(group: np.ndarray, doc, tie, start) -> np.ndarray:
 def _search(table: pa.Table) -> pa.Table:
     """Repeats among the pieces of one shard, or, if the shard holds two sides
     of a pair, among strings that occur on both."""
-    meta = unpacked(table.column(1), PIECE)
-    data = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8)
+    data, offsets = flat(table.column("body").combine_chunks())
+    meta = np.empty(len(table), PIECE)
+    for name in ("doc", "tie", "start", "side"):
+        meta[name] = table.column(name).to_numpy()
+    meta["size"] = np.diff(offsets)
     order = np.lexsort((meta["start"], meta["tie"], meta["doc"]))
     keep = np.zeros(len(meta), bool)
     keep[order] = _first_rows(meta[order])
@@ -399,6 +544,13 @@ def _search(table: pa.Table) -> pa.Table:
     return _result(doc[late], tie[late], start[late], start[late] + LENGTH).select(["doc", "tie", "spans"])
 
 
+def _span_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        doc, tie, start, end = (np.asarray(c) for c in batch.columns)
+        spans = _result(doc, tie, start, end).select(["doc", "tie", "spans"])
+        yield from spans.to_batches()
+
+
 def _cut(as_text: bool):
     """Spans per document, and what lies outside them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +572,8 @@ def _cut(as_text: bool):
     return run
 
 
-def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, as_text: bool = False) -> DataFrame:
+def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, as_text: bool = False,
+                 most_salts: int = MOST_SALTS) -> DataFrame:
     """The columns of ``docs`` (doc_id and text among them) with spans (byte
     ranges of the repeats, disjoint, sorted) and kept: the bytes outside, or
     with ``as_text`` their characters, those cut in half left out. Columns
@@ -435,16 +588,21 @@ def find_repeats(docs: DataFrame, shard_segments: int = SHARD_SEGMENTS, as_text:
     size = keyed.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = size * 2 // (LENGTH - GRAM + 2)
     parts = max(1, -(-anchors * SEGMENT.itemsize // PART_BYTES))
-    sifted = stage(keyed.select("doc", "tie", "text").mapInArrow(_scan(parts), "part long, rows binary")
-                   .groupBy("part").applyInArrow(_sift(shard_segments), RESULT), "repeats")
-    asked = sifted.where(F.col("requests").isNotNull()).select("doc", "tie", "requests")
-    amount = asked.agg(F.sum(F.octet_length("requests"))).first()[0] or 0
-    shards = max(1, -(-(amount // REQUEST.itemsize * (LENGTH + (LENGTH - GRAM) // 2)) // SHARD_BYTES))
-    found = (keyed.join(asked, ["doc", "tie"])
-             .mapInArrow(_deal(shards), "shard long, meta binary, body binary")
-             .groupBy("shard").applyInArrow(_search, "doc long, tie long, spans binary"))
-    spans = (sifted.where(F.col("spans").isNotNull()).select("doc", "tie", "spans").unionByName(found)
-             .groupBy("doc", "tie").agg(F.collect_list("spans").alias("found")))
+    sifted = stage(keyed.select("doc", "tie", "text").mapInArrow(_scan(parts), SEGMENTS)
+                   .groupBy("part").applyInArrow(_sift(shard_segments, most_salts), RESULT), "repeats")
+    asked = sifted.where(F.col("hot") == 0).select("doc", "tie", "requests")
+    marks = sifted.agg(F.sum(F.octet_length("requests")), F.sum("hot")).first()
+    shards = max(1, -(-((marks[0] or 0) // REQUEST.itemsize * (LENGTH + (LENGTH - GRAM) // 2)) // SHARD_BYTES))
+    pieces = keyed.join(asked, ["doc", "tie"]).mapInArrow(_deal(shards), PIECES)
+    known = sifted.where(F.col("spans").isNotNull()).select("doc", "tie", "spans")
+    if marks[1]:
+        hot = sifted.where(F.col("hot") > 0).select("doc", "tie", "requests")
+        small, copies = _refine(keyed.join(hot, ["doc", "tie"]).mapInArrow(_deal_hot, CONTEXT), shard_segments)
+        pieces = pieces.unionByName(small.select(F.pmod("key", F.lit(shards)).alias("shard"), "doc", "tie", "start",
+                                                 F.lit(0).alias("side"), "body"))
+        known = known.unionByName(copies.mapInArrow(_span_rows, "doc long, tie long, spans binary"))
+    found = pieces.groupBy("shard").applyInArrow(_search, "doc long, tie long, spans binary")
+    spans = known.unionByName(found).groupBy("doc", "tie").agg(F.collect_list("spans").alias("found"))
     cut = keyed.join(spans, ["doc", "tie"], "left").select(
         F.struct("rest.*", F.when(F.col("rest.no_text"), F.lit(None)).otherwise(F.col("text")).alias("text"))
         .alias("rest"), "text", "found")

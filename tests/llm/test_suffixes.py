@@ -43,11 +43,39 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("most", [suffixes.SHARD_SEGMENTS, 2])
-def test_matches_brute_force(spark, docs, most):
-    """With 2 segments a shard, anchors are dealt over pairs of shards."""
+@pytest.mark.parametrize("most, salts", [(suffixes.SHARD_SEGMENTS, 4), (2, 100), (2, 2), (1, 0)])
+def test_matches_brute_force(spark, docs, most, salts):
+    """With 2 segments a shard, anchors are dealt over pairs of shards; with
+    few or no pairs allowed, they are split by context."""
     rows = corpus(1)
-    assert run(docs, rows, shard_segments=most) == brute(rows)
+    assert run(docs, rows, shard_segments=most, most_salts=salts) == brute(rows)
+
+
+def test_border_of_a_common_passage(spark, docs):
+    """Every document holds the passage in words of its own, so its borders are
+    anchors with as many different segments as documents."""
+    r = random.Random(8)
+    words = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
+    passage = words(40)
+    rows = [(i, f"{words(30)} {passage} {words(30)}") for i in range(60)]
+    assert run(docs, rows, shard_segments=4, most_salts=2) == brute(rows)
+
+
+def test_rows_are_linear_in_the_text(spark, docs):
+    """Rows dealt to shards: at most ``most_salts`` for each asked segment."""
+    r = random.Random(9)
+    data = np.frombuffer("".join(r.choice("ab") for _ in range(4000)).encode(), np.uint8)
+    row, first, count, lead, key, body = suffixes.segments(data, np.array([0, 4000]))
+    requests = np.zeros(len(first), suffixes.REQUEST)
+    requests["start"], requests["starts"], requests["lead"], requests["salts"] = first, count, lead, 3
+    requests["salt"] = np.arange(len(first)) % 3
+    import pyarrow as pa
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([2]), pa.array([data.tobytes().decode()]),
+                                        pa.array([requests.tobytes()], pa.binary())], names=["doc", "tie", "text", "requests"])
+    out = pa.Table.from_batches(suffixes._deal(5)(iter([batch])))
+    assert len(out) == 3 * len(first)
+    for d in out.to_pylist():
+        assert data[d["start"]:d["start"] + len(d["body"])].tobytes() == d["body"]
 
 
 def test_odd_texts(spark, docs):
