@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import col_of
+from .common import stored
 
 
 def hash_key(id_col, seed) -> Column:
@@ -26,6 +27,7 @@ def hash_uniform(id_col, seed) -> Column:
 
 
 BUCKETS = 1 << 16
+NO_KEY = 1 << 40  # the bucket of null keys, behind all others
 HASH_TOP = 1 << 60
 
 
@@ -37,19 +39,26 @@ def hash_ordinal(id_col, seed) -> Column:
 def mark_first(df: DataFrame, quota, ordinal: Column, ties: list, name: str,
                by: str | None = None, top: int | None = None) -> DataFrame:
     """Add the boolean ``name``: the row is among the first ``quota`` rows in
-    the order (ordinal, *ties), per value of ``by`` when given.
+    the order (ordinal, *ties), per value of ``by`` when given. Exactly
+    ``min(quota, rows)`` rows are marked: rows with a null ordinal come last,
+    and rows that share the key of the last chosen row are told apart by a hash
+    of the whole row (of equal rows any are taken).
 
     ``quota`` is a number or a function (by column, group size) -> Column. The
-    row in question is found on the key columns alone: a histogram of
-    ``BUCKETS`` equal key ranges, then one of the bucket that holds it, then
-    the few keys of that range, whose cutoff is compared with every row. The
-    rows themselves are never sorted, shuffled or stored. ``top``: ordinals
-    are known to lie in [0, top); else their range is aggregated first.
+    row in question is found on the key columns alone, which are stored
+    once: a histogram of ``BUCKETS`` equal key ranges, then one of the bucket
+    that holds it, then the counts of the few keys of that range. Its key, one
+    row per group, is stored as well and compared with every row. Rows are
+    sorted only where the cutoff's key repeats and not all of its rows are
+    chosen, or where the quota reaches into the null keys: those rows alone, one
+    task per group. ``top``: ordinals are known to lie in [0, top); else their
+    range is aggregated first.
     """
     rule = quota if callable(quota) else (lambda _, __: F.lit(quota))
     tie = [f"_t{i}" for i in range(len(ties))]
     keys = df.select(F.col(by).alias("_by") if by else F.lit(0).alias("_by"), ordinal.cast("long").alias("_o"),
                      *[col_of(t).alias(n) for t, n in zip(ties, tie)])
+    keys = stored(keys, "keys")
     if top is None:
         ends = keys.agg(F.min("_o").alias("_lo"), F.max("_o").alias("_hi"))  # one row
         keys = keys.crossJoin(F.broadcast(ends))
@@ -58,20 +67,28 @@ def mark_first(df: DataFrame, quota, ordinal: Column, ties: list, name: str,
         keys = keys.withColumn("_lo", F.lit(0).cast("long"))
         width = F.lit(top // BUCKETS).cast("long")
     keys = (keys.withColumn("_w", width).withColumn("_d", F.col("_o") - F.col("_lo"))
-            .withColumn("_b1", F.floor(F.col("_d") / F.col("_w")))
+            .withColumn("_b1", F.coalesce(F.floor(F.col("_d") / F.col("_w")), F.lit(NO_KEY)))
             .withColumn("_in", F.col("_d") - F.col("_b1") * F.col("_w"))
             .withColumn("_b2", F.floor(F.col("_in") / (F.floor(F.col("_w") / BUCKETS) + 1))))
 
-    def bucket(rows: DataFrame, cols: list[str], before: Column, want: Column, keep: list[str]) -> DataFrame:
+    def sized(h: DataFrame) -> DataFrame:
+        """Rows of a group, those with a key, and how many are wanted."""
+        group = Window.partitionBy("_by")
+        live = F.when(F.col("_b1") < NO_KEY, F.col("_n"))
+        return (h.withColumn("_size", F.sum("_n").over(group))
+                .withColumn("_live", F.coalesce(F.sum(live).over(group), F.lit(0)))
+                .withColumn("_want", rule(F.col("_by"), F.col("_size")).cast("long")))
+
+    def bucket(rows: DataFrame, cols: list[str], before: Column, keep: list[str]) -> DataFrame:
         """The bucket in which the wanted row lies, one row per group."""
         w = Window.partitionBy("_by").orderBy(cols[-1])  # at most BUCKETS + 1 rows of a group
         h = rows.groupBy("_by", *cols, *keep).agg(F.count(F.lit(1)).alias("_n"))
-        h = h.withColumn("_cum", F.sum("_n").over(w) + before).withColumn(
-            "_size", F.sum("_n").over(Window.partitionBy("_by")))
-        h = h.withColumn("_want", want)
-        return h.where((F.col("_cum") - F.col("_n") < F.col("_want")) & (F.col("_want") <= F.col("_cum"))).select(
+        h = h.withColumn("_cum", F.sum("_n").over(w) + before)
+        if "_need" not in keep:
+            h = sized(h).withColumnRenamed("_want", "_need").where(F.col("_b1") < NO_KEY)
+        return h.where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_cum"))).select(
             F.col("_by").alias("_g"), *[F.col(c).alias(f"{c}_at") for c in cols],
-            (F.col("_cum") - F.col("_n")).alias("_before"), F.col("_want").alias("_need"))
+            (F.col("_cum") - F.col("_n")).alias("_before"), "_need")
 
     def same(cols) -> Column:
         cond = F.col("_by").eqNullSafe(F.col("_g"))
@@ -81,45 +98,59 @@ def mark_first(df: DataFrame, quota, ordinal: Column, ties: list, name: str,
 
     def narrow(rows: DataFrame, at: DataFrame, cols) -> DataFrame:
         at = at if by else F.broadcast(at)  # without groups: one row
-        return rows.join(at, same(cols))
+        return rows.join(at, same(cols)).drop("_g", *[f"{c}_at" for c in cols])
 
-    sized = lambda: rule(F.col("_by"), F.col("_size")).cast("long")
-    one = bucket(keys, ["_b1"], F.lit(0), sized(), [])
-    inner = narrow(keys, one, ["_b1"]).withColumnsRenamed({"_before": "_before1", "_need": "_need1"})
-    two = bucket(inner.drop("_g", "_b1_at"), ["_b1", "_b2"], F.col("_before1"), F.col("_need1"),
-                 ["_before1", "_need1"])
+    inner = narrow(keys, bucket(keys, ["_b1"], F.lit(0), []), ["_b1"])
+    two = bucket(inner, ["_b1", "_b2"], F.col("_before"), ["_before", "_need"])
     last = narrow(keys, two, ["_b1", "_b2"])
     order = Window.partitionBy("_by").orderBy("_o", *tie)  # the keys of one range of the second histogram
-    cut = last.withColumn("_rn", F.row_number().over(order)).where(
-        F.col("_before") + F.col("_rn") == F.col("_need")).select(
-        F.col("_by").alias("_g"), F.col("_o").alias("_co"), *[F.col(t).alias(f"_c{t}") for t in tie])
-    size = keys.groupBy("_by", "_b1").agg(F.count(F.lit(1)).alias("_n")).groupBy("_by").agg(
-        F.sum("_n").alias("_size")).withColumn("_want", sized()).select(  # the first histogram again
-        F.col("_by").alias("_gs"), "_size", "_want")
-    limits = size.join(cut, F.col("_gs").eqNullSafe(F.col("_g")), "left").drop("_g")
+    cut = (last.groupBy("_by", "_o", *tie, "_before", "_need").agg(F.count(F.lit(1)).alias("_n"))
+           .withColumn("_cum", F.sum("_n").over(order) + F.col("_before"))
+           .where((F.col("_cum") - F.col("_n") < F.col("_need")) & (F.col("_need") <= F.col("_cum")))
+           .select(F.col("_by").alias("_g"), F.col("_o").alias("_co"), *[F.col(t).alias(f"_c{t}") for t in tie],
+                   (F.col("_need") - F.col("_cum") + F.col("_n")).alias("_take"), "_n"))
+    sizes = (sized(keys.groupBy("_by", "_b1").agg(F.count(F.lit(1)).alias("_n")))  # the first histogram again
+             .groupBy(F.col("_by").alias("_gs")).agg(*[F.max(c).alias(c) for c in ("_size", "_live", "_want")]))
+    limits = sizes.join(cut, F.col("_gs").eqNullSafe(F.col("_g")), "left").drop("_g")
+    some = (F.col("_want") > 0) & (F.col("_want") < F.col("_size"))
+    nulls = some & (F.col("_want") > F.col("_live"))  # all rows with a key, and some without
+    limits = limits.select(
+        "_gs", "_size", "_live", "_want", "_co", *[f"_c{t}" for t in tie], nulls.alias("_nulls"),
+        F.when(nulls, F.col("_want") - F.col("_live")).otherwise(F.col("_take")).alias("_take"),
+        F.coalesce(nulls | (some & (F.col("_take") < F.col("_n"))), F.lit(False)).alias("_part"))
     o = ordinal.cast("long")
     below, equal = o < F.col("_co"), o == F.col("_co")
     for t, n in zip(ties, tie):
-        below = below | (equal & (col_of(t) < F.col(f"_c{n}")))
-        equal = equal & (col_of(t) == F.col(f"_c{n}"))
+        t, c = col_of(t), F.col(f"_c{n}")
+        below = below | (equal & ((t.isNull() & c.isNotNull()) | F.coalesce(t < c, F.lit(False))))
+        equal = equal & t.eqNullSafe(c)
+    tied = F.when(F.col("_nulls"), o.isNull()).otherwise(F.coalesce(equal, F.lit(False)))
     chosen = (F.when(F.col("_want") >= F.col("_size"), F.lit(True)).when(F.col("_want") <= 0, F.lit(False))
-              .otherwise(below | equal))
-    if by:
-        out = df.join(limits, F.col(by).eqNullSafe(F.col("_gs")), "left")
-    else:
-        out = df.crossJoin(F.broadcast(limits))  # one row (none if df is empty)
-    return out.select(*[df[c] for c in df.columns], chosen.alias(name))
+              .when(F.col("_nulls"), o.isNotNull()).otherwise(F.coalesce(below | equal, F.lit(False))))
+    limits = stored(limits, "limits")  # one row per group
+    own = [df[c] for c in df.columns]
+    on = F.col(by).eqNullSafe(F.col("_gs")) if by else F.lit(True)
+    most = limits if by else F.broadcast(limits)  # without groups one row (none if df is empty)
+    plain = df.join(most, on, "left" if by else "inner")
+    if limits.where("_part").isEmpty():
+        return plain.select(*own, chosen.alias(name))
+    plain = plain.where(~(F.col("_part") & tied)).select(*own, chosen.alias(name))
+    some_tied = df.join(limits.where("_part") if by else most, on).where(tied)
+    rank = F.row_number().over(Window.partitionBy("_gs").orderBy(F.xxhash64(*own) if own else F.lit(0)))
+    return plain.unionByName(some_tied.select(*own, (rank <= F.col("_take")).alias(name)))
 
 
 def first_n(df: DataFrame, n: int, order_col: str) -> DataFrame:
-    """The first ``n`` rows by an explicit integer key (exact for any n; rows
-    without a key come last and are never among them)."""
+    """The first ``n`` rows by an explicit integer key, exactly
+    ``min(n, rows with a key)`` (rows without a key are never among them; of
+    rows that share the last key, the first by a hash of the whole row)."""
     keyed = df.where(F.col(order_col).isNotNull())
     return mark_first(keyed, n, F.col(order_col), [order_col], "_first").where("_first").drop("_first")
 
 
 def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, count)`` rows chosen uniformly by seeded hash.
+    """Exactly ``min(n, count)`` rows chosen uniformly by seeded hash of the
+    id; rows without an id come last, rows that share an id stand together.
 
     ``n == -1`` keeps all rows, ``n == 0`` none.
     """
@@ -134,8 +165,8 @@ def sample_n(df: DataFrame, n: int, id_col: str, seed: int = 42) -> DataFrame:
 def cap_per_class(df: DataFrame, class_col: str, quotas: dict[int, int], order_col: str,
                   unlimited: tuple = (5,)) -> DataFrame:
     """Keep the first ``quotas[c]`` rows of each capped class ``c`` (by the
-    integer key ``order_col``) and every row of the ``unlimited`` classes;
-    rows of any other class (and nulls) are dropped."""
+    integer key ``order_col``, rows without a key last) and every row of the
+    ``unlimited`` classes; rows of any other class (and nulls) are dropped."""
     rest = df.filter(F.col(class_col).isin(list(unlimited)))
     if not quotas:
         return rest
@@ -184,12 +215,13 @@ def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int =
         "_first")
 
 
-def biased_sample(df: DataFrame, n: int, bias: float, id_col: str, labels_col: str,
+def biased_sample(df: DataFrame, n, bias: float, id_col: str, labels_col: str,
                   flag_col: str, seed: int = 42, topup_seed: int = 43,
                   min_labels: int = 2, must: str = "Excellent", maybe: str = "Good") -> DataFrame:
     """Evaluation sample: rows with a ``must`` label, plus rows with a
     ``maybe`` label kept with probability ``bias`` (seeded hash), topped up to
-    ``n`` with the lowest-hash other rows; returned with a seeded shuffle
+    ``n`` with the lowest-hash other rows (``n`` is a number or a quota function
+    of :func:`mark_first`); returned with a seeded shuffle
     position ``pos``. When the kept rows already number >= n they are all
     returned (always a frame)."""
     base = df.filter((F.col(flag_col) == F.lit(False)) & (F.size(labels_col) > min_labels))

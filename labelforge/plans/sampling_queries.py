@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scores as S
@@ -117,8 +119,8 @@ def biased_sample_topup(spark, sf):
     p = V.v_panel_text(spark, sf).select(
         "doc_id", S.parse_list_text("educational_value_labels").alias("labels"),
         "problematic_content_label_present")
-    eligible = p.where((F.col("problematic_content_label_present") == F.lit(False)) & (F.size("labels") > 2)).count()
-    out = R.biased_sample(p, eligible * 9 // 10, 0.7, "doc_id", "labels", "problematic_content_label_present")
+    out = R.biased_sample(p, lambda _, eligible: F.floor(eligible * 9 / 10), 0.7, "doc_id", "labels",
+                          "problematic_content_label_present")
     return out.select("doc_id", "pos")
 
 
@@ -197,3 +199,22 @@ def training_corpus_distribution(spark, sf):
     merged = materialise(C.union_all(parts, spark))  # keys and scores, read again by each histogram
     capped = R.cap_per_class(merged, "int_score", {k: 10 for k in range(5)}, "doc_id")
     return C.score_distribution(spark, capped)
+
+
+@register("selections_of_repeated_ids", """WITH t AS (
+      SELECT CASE WHEN doc_id % 50 = 0 THEN NULL ELSE doc_id // 10 END AS id FROM documents),
+    g AS (SELECT id, md5('42:' || CAST(id AS VARCHAR)) AS h, count(*) AS c FROM t GROUP BY id),
+    o AS (SELECT id, c, sum(c) OVER (ORDER BY id IS NULL, h, id) - c AS by_hash,
+            sum(c) OVER (ORDER BY id IS NULL, id) - c AS by_id, sum(c) OVER () AS total FROM g),
+    s AS (SELECT 'sample' AS selection, id, least(c, greatest(0, 333 - by_hash)) AS n FROM o
+      UNION ALL SELECT 'first', id, least(c, greatest(0, 333 - by_id)) FROM o WHERE id IS NOT NULL
+      UNION ALL SELECT 'train', id, least(c, greatest(0, floor(0.8 * total) - by_hash)) FROM o)
+    SELECT selection, id, CAST(n AS BIGINT) AS n FROM s WHERE n > 0""")
+def selections_of_repeated_ids(spark, sf):
+    """Rows per id in three selections over ids that repeat and are null."""
+    t = documents(spark, sf).select(
+        F.when(F.col("doc_id") % 50 != 0, F.floor(F.col("doc_id") / 10)).alias("id"), "doc_id")
+    train = R.train_val_split(t, 0.2, "id", 42).where("split = 'train'")
+    parts = {"sample": R.sample_n(t, 333, "id", 42), "first": R.first_n(t, 333, "id"), "train": train}
+    rows = [df.select(F.lit(name).alias("selection"), "id") for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), rows).groupBy("selection", "id").agg(F.count("*").alias("n"))

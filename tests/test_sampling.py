@@ -99,3 +99,45 @@ def test_biased_sample_topup_reaches_n(spark):
     rows = out.collect()
     assert len(rows) == min(n, base.count())
     assert sorted(r["pos"] for r in rows) == list(range(1, len(rows) + 1))
+
+
+def test_null_and_repeated_keys_keep_the_counts(spark):
+    """1,000 rows of which 20 have no id; quotas that reach into the nulls."""
+    rows = [(None if i % 50 == 0 else i, i % 4, f"text {i}") for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, int_score int, text string").repartition(4)
+    ids = [r[0] for r in rows if r[0] is not None]
+    by_hash = sorted(ids, key=lambda i: (hashlib.md5(f"42:{i}".encode()).hexdigest(), i))
+    for n in (10, 980):
+        assert sorted(r[0] for r in R.sample_n(df, n, "doc_id").collect()) == sorted(by_hash[:n])
+    for n in (981,):
+        got = [r[0] for r in R.sample_n(df, n, "doc_id").collect()]
+        assert len(got) == n and got.count(None) == n - 980
+        assert sorted(R.sample_n(df, n, "doc_id").collect(), key=str) == sorted(
+            R.sample_n(df.repartition(7), n, "doc_id").collect(), key=str)
+    assert R.first_n(df, 990, "doc_id").count() == 980
+    split = R.train_val_split(df, 0.2, "doc_id").groupBy("split").count().collect()
+    assert {r[0]: r[1] for r in split} == {"train": 800, "validation": 200}
+    bare = spark.createDataFrame([(None, i % 2) for i in range(20)] + [(i, i % 2) for i in range(10)],
+                                 "doc_id long, int_score int")
+    for quota in (3, 8):
+        out = R.cap_per_class(bare, "int_score", {0: quota, 1: 30}, "doc_id")
+        assert {r[0]: r[1] for r in out.groupBy("int_score").count().collect()} == {0: quota, 1: 15}
+        kept = [r[0] for r in out.where("int_score = 0").collect()]
+        assert sorted(i for i in kept if i is not None) == [0, 2, 4, 6, 8][:quota]
+
+
+@pytest.mark.parametrize("text", [True, False])
+def test_repeated_ids_are_counted_one_by_one(spark, text):
+    rows = [(i % 10, i % 3, f"text {i}" if text else "text") for i in range(100)]
+    df = spark.createDataFrame(rows, "doc_id long, int_score int, text string").repartition(3)
+    for n in (15, 20, 200):
+        assert R.sample_n(df, n, "doc_id").count() == min(n, 100)
+        first = [r[0] for r in R.first_n(df, n, "doc_id").collect()]
+        assert sorted(first) == sorted(r[0] for r in rows)[:n]
+    if text:
+        assert sorted(R.first_n(df, 15, "doc_id").collect()) == sorted(R.first_n(df.repartition(8), 15, "doc_id").collect())
+    out = R.cap_per_class(df, "int_score", {0: 7, 1: 12}, "doc_id", unlimited=(2,))
+    assert {r[0]: r[1] for r in out.groupBy("int_score").count().collect()} == {0: 7, 1: 12, 2: 33}
+    split = R.train_val_split(df, 0.25, "doc_id", stratify_col="int_score")
+    got = {(r[0], r[1]): r[2] for r in split.groupBy("int_score", "split").count().collect()}
+    assert got[(0, "train")] + got[(1, "train")] + got[(2, "train")] == 25 + 24 + 24
