@@ -81,6 +81,27 @@ def json_array(spark, sf):
     return IO.read_json_array(spark, path, _BAD_SCHEMA).select("doc_id", "lang", "source")
 
 
+@register("csv_by_ranges", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def csv_by_ranges(spark, sf):
+    """CSV files with line ends in quoted texts, read by byte ranges."""
+    path = scratch_path(spark, "csv-ranges")
+    IO.write_csv(documents(spark, sf), path)
+    return IO.read_csv(spark, path, DOC_SCHEMA, by_ranges=True)
+
+
+@register("json_array_by_ranges", "SELECT doc_id, text, lang FROM documents")
+def json_array_by_ranges(spark, sf):
+    """JSON array files of texts, one of at most 500 consecutive ids each, read
+    by byte ranges."""
+    path = scratch_path(spark, "json-ranges")
+    record = F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"})
+    rows = documents(spark, sf).groupBy(F.floor(F.col("doc_id") / 500).alias("chunk")).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(record), ", "), F.lit("]")).alias("value"))
+    rows.write.partitionBy("chunk").text(path)
+    schema = T.StructType([DOC_SCHEMA["doc_id"], DOC_SCHEMA["text"], DOC_SCHEMA["lang"]])
+    return IO.read_json_array(spark, path, schema, by_ranges=True)
+
+
 @register("limit_filter_jsonl", """SELECT doc_id, text FROM (SELECT doc_id, text FROM documents ORDER BY doc_id LIMIT 1000)
     WHERE contains(text, 'license')""")
 def limit_filter_jsonl(spark, sf):

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
+from .ranges import read_csv_ranges, read_json_array_ranges
+
 CSV_OPTS = {"header": "true", "escape": '"', "quote": '"', "multiLine": "true",
             "encoding": "UTF-8"}
 CSV_WRITE_OPTS = {"header": "true", "escape": '"', "quote": '"',
@@ -19,7 +21,12 @@ CSV_WRITE_OPTS = {"header": "true", "escape": '"', "quote": '"',
 RECORD = "_record"
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, by_ranges: bool = False) -> DataFrame:
+    """CSV files, one task each; with ``by_ranges`` a file is read by as many
+    tasks as it has byte ranges (see :mod:`.ranges`), for files too large for
+    one."""
+    if by_ranges:
+        return read_csv_ranges(spark, path, schema, CSV_OPTS)
     return spark.read.options(**CSV_OPTS).schema(schema).csv(path)
 
 
@@ -52,8 +59,11 @@ def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).json(path)
 
 
-def read_json_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A file holding one JSON array of records (one file = one task)."""
+def read_json_array(spark: SparkSession, path: str, schema: T.StructType, by_ranges: bool = False) -> DataFrame:
+    """Files that hold one JSON array of records each, one task a file; with
+    ``by_ranges`` one task a byte range (see :mod:`.ranges`)."""
+    if by_ranges:
+        return read_json_array_ranges(spark, path, schema)
     return spark.read.option("multiLine", "true").schema(schema).json(path)
 
 
