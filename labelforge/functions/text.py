@@ -61,15 +61,35 @@ def substr_count(c, needle: str) -> Column:
                    / F.lit(len(needle))).cast("long")
 
 
-def lexicon_hits(c, lexicon) -> Column:
-    """Occurrences of whole-word lexicon entries in lower-cased text.
+def is_word_char(ch: str) -> bool:
+    """Python's ``\\w`` for one character."""
+    return ch.isalnum() or ch == "_"
+
+
+def bounded_re(entry: str) -> str:
+    """``\\b`` + the literal entry + ``\\b`` with Python's word characters."""
+    before = rf"(?<![{WORD}])" if is_word_char(entry[0]) else rf"(?<=[{WORD}])"
+    behind = rf"(?![{WORD}])" if is_word_char(entry[-1]) else rf"(?=[{WORD}])"
+    quoted = "\\Q" + entry.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    return before + quoted + behind
 
-    All entries are single word-character tokens, so counting ``\\bw\\b``
-    matches for every ``w`` equals counting tokens that belong to the
-    lexicon: one regex pass per text instead of one per word.
+
+def lexicon_hits(c, lexicon) -> Column:
+    """Occurrences of lexicon entries in lower-cased text, with a word boundary
+    at both ends of an entry.
+
+    For entries that are one word, counting ``\\bw\\b`` matches for every ``w``
+    equals counting tokens that belong to the lexicon: one regex pass per text
+    instead of one per word. Phrases and entries with punctuation take a pass
+    each; for a lexicon with many of those, or a table, see
+    :mod:`labelforge.operators.lexicon`.
     """
-    words = sorted({w.lower() for w in lexicon})
-    for w in words:
-        if not w or any(not (ch.isalnum() or ch == "_") for ch in w):
-            raise ValueError(f"lexicon entry {w!r} is not a single word token")
-    return F.size(F.filter(word_tokens(F.lower(col_of(c))), lambda x: x.isin(words)))
+    entries = {w.lower() for w in lexicon}
+    if "" in entries:
+        raise ValueError("an empty lexicon entry")
+    words = sorted(w for w in entries if all(is_word_char(ch) for ch in w))
+    text = F.lower(col_of(c))
+    hits = F.size(F.filter(word_tokens(text), lambda x: x.isin(words))) if words else F.lit(0)
+    for phrase in sorted(entries.difference(words)):
+        hits = hits + F.regexp_count(text, F.lit(bounded_re(phrase)))
+    return hits

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import PUNCT_RE, SPLIT_RE, TOKEN_RE, sql_ws_chars
+from ..functions.text import PUNCT_RE, SPLIT_RE, TOKEN_RE, lexicon_hits, sql_ws_chars
+from ..operators import lexicon as LX
 from ..operators import quality as Q
 from ..sources.fixtures import TEST_LEXICON, _sql_list
-from ..sources.tables import documents
+from ..sources.tables import documents, table
 from .registry import register
 
 DOC_COLS = "doc_id, text, lang, source, n_chars"
@@ -75,7 +76,7 @@ def quality_default_lexicon(spark, sf):
 @register("badword_count", f"WITH {_SIG} SELECT doc_id, bad_word_count FROM sig")
 def badword_count(spark, sf):
     d = _docs(spark, sf, "doc_id", "text")
-    hits = Q.signals(F.col("text"), TEST_LEXICON)["bad"]
+    hits = lexicon_hits(F.coalesce("text", F.lit("nan")), TEST_LEXICON)
     return d.select("doc_id", hits.cast("long").alias("bad_word_count"))
 
 
@@ -137,3 +138,50 @@ def quality_reasons(spark, sf):
     FROM ann""")
 def quality_retention(spark, sf):
     return Q.retention(_annotated(spark, sf, "text").select("is_problematic"))
+
+
+# Entries of more than one word, and with punctuation inside and at the ends (none that can overlap itself, for the oracle).
+PHRASES = ["of the", "in the", "the license", ", and", ". the", "l'", "worthless", "-", " as"]
+# A phrase is found piece by piece: runs of word characters and runs of others.
+_PIECES_SQL = f"""p AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, 'nan')), '{LX.PIECES_RE}') AS w FROM documents),
+g AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], '') AS entry
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM p, (SELECT DISTINCT n FROM e) WHERE len(w) >= n)
+      WHERE (i > 1 OR regexp_matches(w[1], '^[{LX.WORD}]'))
+        AND (i + n - 1 < len(w) OR regexp_matches(w[len(w)], '^[{LX.WORD}]')))"""
+
+
+@register("badword_phrases", f"""WITH e AS (SELECT entry, len(regexp_extract_all(entry, '{LX.PIECES_RE}')) AS n
+    FROM (SELECT unnest([{_sql_list(PHRASES)}]) AS entry)), {_PIECES_SQL},
+    h AS (SELECT doc_id, count(*) AS c FROM g JOIN e USING (entry, n) GROUP BY doc_id)
+    SELECT doc_id, coalesce(c, 0) AS bad_word_count FROM documents LEFT JOIN h USING (doc_id)""")
+def badword_phrases(spark, sf):
+    """A short list of phrases, as literals of the plan."""
+    d = _docs(spark, sf, "doc_id", "text")
+    hits = lexicon_hits(F.coalesce("text", F.lit("nan")), PHRASES)
+    return d.select("doc_id", hits.cast("long").alias("bad_word_count"))
+
+
+_BENCHMARK_SQL = f"""b AS (SELECT regexp_extract_all(lower(text), '{LX.PIECES_RE}') AS w FROM benchmark),
+e AS (SELECT DISTINCT entry, n FROM (
+        SELECT n, w[i:i + n - 1] AS x, array_to_string(w[i:i + n - 1], '') AS entry
+        FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (SELECT unnest([3, 5]) AS n) WHERE len(w) >= n)
+        WHERE regexp_matches(w[i], '^[{LX.WORD}]'))
+      WHERE len(list_distinct(list_filter(x, lambda y: regexp_matches(y, '^[{LX.WORD}]')))) = (n + 1) // 2)"""
+
+
+@register("badword_lexicon_table", f"""WITH {_BENCHMARK_SQL}, {_PIECES_SQL},
+    h AS (SELECT doc_id, count(*) AS c FROM g JOIN e USING (entry, n) GROUP BY doc_id)
+    SELECT doc_id, coalesce(c, 0) AS bad_word_count FROM documents LEFT JOIN h USING (doc_id)""")
+def badword_lexicon_table(spark, sf):
+    """A lexicon that is a table: all phrases of two and three different words
+    in a row of the benchmark."""
+    b = table(spark, sf, "benchmark").select(LX.pieces(F.lower("text")).alias("w"))
+    w = F.col("w")
+
+    def phrases(n):
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.slice(w, i, n))
+        return F.when(F.size(w) >= n, F.filter(runs, lambda x: F.get(x, 0).rlike(f"^[{LX.WORD}]") & (
+            F.size(F.array_distinct(F.filter(x, lambda y: y.rlike(f"^[{LX.WORD}]")))) == (n + 1) // 2)))
+    runs = F.concat(*[F.coalesce(phrases(n), F.array().cast("array<array<string>>")) for n in (3, 5)])
+    entries = b.select(F.explode(runs).alias("run")).select(F.array_join("run", "").alias("entry"))
+    return LX.count_phrases(_docs(spark, sf, "doc_id", "text"), entries, "doc_id").select("doc_id", "bad_word_count")
