@@ -354,3 +354,38 @@ def annotations_fan_out(spark, sf):
     a = V.v_annotated(spark, sf).select("text", F.col("doc_id").alias("annotated_id"))
     j = J.text_join(documents(spark, sf).select("doc_id", "text"), a, "text", "left")
     return j.groupBy("doc_id").agg(F.count("annotated_id").alias("n_annotations"))
+
+
+@register("annotations_hot_text", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'one hot text' ELSE text END AS text FROM documents)
+    SELECT a.doc_id, count(b.doc_id) AS n_annotations, min(b.doc_id) AS first_annotated, CAST(sum(b.doc_id) AS BIGINT) AS checksum
+    FROM d a LEFT JOIN (SELECT * FROM d WHERE doc_id % 2 = 0) b ON a.text = b.text GROUP BY a.doc_id""")
+def annotations_hot_text(spark, sf):
+    """Left join by text where one text holds a third of both sides."""
+    from ..sources.tables import documents
+    text = F.when(F.col("doc_id") % 3 == 0, F.lit("one hot text")).otherwise(F.col("text"))
+    d = documents(spark, sf).select("doc_id", text.alias("text"))
+    annotated = d.where(F.col("doc_id") % 2 == 0).select("text", F.col("doc_id").alias("annotated_id"))
+    j = J.text_join_split(d, annotated, "text", "left", hot_rows=2000)
+    return j.groupBy("doc_id").agg(F.count("annotated_id").alias("n_annotations"),
+                                   F.min("annotated_id").alias("first_annotated"),
+                                   F.sum("annotated_id").alias("checksum"))
+
+
+_SAME = "a.id IS NOT DISTINCT FROM b.id AND a.lang IS NOT DISTINCT FROM b.lang"
+
+
+@register("merge_four_frames", f"""WITH d AS (SELECT *, CASE WHEN doc_id % 500 <> 0 THEN doc_id END AS id FROM documents),
+    x AS (SELECT id, lang, n_chars FROM d WHERE doc_id % 2 = 0), y AS (SELECT id, lang, source FROM d WHERE doc_id % 3 = 0),
+    z AS (SELECT id, lang, unnest([1, 2]) AS copy FROM d WHERE doc_id % 5 = 0),
+    w AS (SELECT id, lang, length(text) AS chars FROM d WHERE doc_id % 7 = 0),
+    xy AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.lang, b.lang) AS lang, n_chars, source FROM x a FULL JOIN y b ON {_SAME}),
+    xyz AS (SELECT coalesce(a.id, b.id) AS id, coalesce(a.lang, b.lang) AS lang, n_chars, source, copy FROM xy a FULL JOIN z b ON {_SAME})
+    SELECT coalesce(a.id, b.id) AS id, coalesce(a.lang, b.lang) AS lang, n_chars, source, copy, chars FROM xyz a FULL JOIN w b ON {_SAME}""")
+def merge_four_frames(spark, sf):
+    """Outer merge of four frames with repeated and null keys, in one shuffle."""
+    from ..sources.tables import documents
+    d = documents(spark, sf).withColumn("id", F.when(F.col("doc_id") % 500 != 0, F.col("doc_id")))
+    part = lambda n, *cols: d.where(F.col("doc_id") % n == 0).select("id", "lang", *cols)
+    return J.outer_merge_once([part(2, "n_chars"), part(3, "source"),
+                               part(5, F.explode(F.array(F.lit(1), F.lit(2))).alias("copy")),
+                               part(7, F.char_length("text").cast("long").alias("chars"))])

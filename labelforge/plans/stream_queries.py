@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.joins import digest
+from ..session import scratch_path
 from ..sources import fixtures as V
 from ..sources.tables import documents
 from ..streaming import jobs as ST
@@ -32,6 +33,22 @@ def stream_ingest(spark, sf):
         F.count(F.lit(1)).alias("n"), F.count("_known").alias("n_known"))
 
 
+@register("stream_ingest_first", """WITH f AS (SELECT doc_id, source, doc_id % 4 AS part FROM documents),
+    p AS (SELECT DISTINCT part FROM f)
+    SELECT source, doc_id FROM f QUALIFY row_number() OVER (PARTITION BY source ORDER BY part, doc_id) <= 20""")
+def stream_ingest_first(spark, sf):
+    """The first 20 records of every source by arrival and id: the table
+    arrives in four files, one a micro-batch, each run from the checkpoint."""
+    src, out, ckpt = (scratch_path(spark, f"ingest-{n}") for n in ("src", "out", "ckpt"))
+    d = documents(spark, sf).select("doc_id", "source")
+    job = ST.BoundedIngest(spark, out, 20, "source", "doc_id")
+    for part in range(4):
+        d.where(F.col("doc_id") % 4 == part).write.parquet(f"{src}/part={part}")
+        stream = ST.read_stream(spark, f"{src}/*", d.schema, max_files_per_trigger=1000)
+        got = job.run(stream, ckpt)
+    return got.select("source", "doc_id")
+
+
 @register("stream_score", SCORED_SQL)
 def stream_score(spark, sf):
     plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text"), fitted_quality(spark, sf))

@@ -8,7 +8,7 @@ stops (incremental batch); a continuous trigger works the same way.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +16,9 @@ from ..functions.scores import decode_code
 from ..operators import corpus as C
 from ..operators import ml as ML
 from ..operators import quality as Q
+from ..operators.sampling import mark_first
 from ..session import scratch_path
+from ..sources.io import read_or_empty
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType,
@@ -62,11 +64,66 @@ def read_last_batch(spark: SparkSession, out_path: str, schema: T.StructType) ->
 
 # ------------------------------------------------------------------ jobs
 def ingest(stream: DataFrame, n: int | None = None) -> DataFrame:
-    """Conform arriving records to the common schema (optionally bounded)."""
+    """Conform arriving records to the common schema (optionally bounded: any
+    ``n`` records; for the first ones of each source see BoundedIngest)."""
     out = C.conform(C.with_int_score(stream))
     return out.limit(n) if n is not None else out
 
 
+class BoundedIngest:
+    """The first ``n`` records of each source, by (arrival batch, key), exactly.
+
+    Each micro-batch knows how many records of a source earlier batches have
+    admitted, marks the first of its own by key up to the rest of the bound (on
+    the key column alone, see :func:`~..operators.sampling.mark_first`) and
+    writes them to ``out_path/records/batch=<id>``, then the numbers admitted to
+    ``out_path/admitted/batch=<id>``. Both are overwritten if Spark runs a batch
+    again, and a batch counts only the numbers of batches before it, so a
+    restart from the checkpoint neither loses nor repeats a record.
+
+    Defined results: records without a key come behind all others of their
+    batch; of records that share the last admitted key those with the smaller
+    row hash are admitted; a null source is a source; an empty batch admits
+    nothing. Sources are data sets: one number each reaches the driver.
+    """
+
+    def __init__(self, spark: SparkSession, out_path: str, n: int, source_col: str, key_col: str):
+        self.spark, self.n, self.source, self.key = spark, n, source_col, key_col
+        self.records, self.admitted = f"{out_path}/records", f"{out_path}/admitted"
+
+    def _before(self, number: int) -> dict:
+        """Admitted so far, by source, in the batches before ``number``."""
+        schema = "source string, admitted long, batch long"
+        known = read_or_empty(self.spark, self.admitted, T.StructType.fromDDL(schema))
+        rows = known.where(F.col("batch") < number).groupBy("source").agg(F.sum("admitted").alias("n")).collect()
+        return {r["source"]: r["n"] for r in rows}
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        left = {s: max(0, self.n - k) for s, k in self._before(number).items()}
+        source = F.coalesce(F.concat(F.lit("="), F.col(self.source).cast("string")), F.lit(""))  # null is a source
+        rest = F.create_map(*[F.lit(x) for s, k in left.items() for x in ("" if s is None else f"={s}", k)]) if left else None
+
+        def quota(by: Column, _) -> Column:
+            return F.lit(self.n) if rest is None else F.coalesce(F.try_element_at(rest, by), F.lit(self.n))
+        batch = batch.withColumn("ingest source", source)
+        marked = mark_first(batch, quota, F.col(self.key), [self.key], "ingest first", by="ingest source")
+        kept = marked.where("`ingest first`").drop("ingest first", "ingest source")
+        path = f"{self.records}/batch={number}"
+        kept.write.mode("overwrite").parquet(path)
+        written = self.spark.read.schema(kept.schema).parquet(path)
+        written.groupBy(F.col(self.source).cast("string").alias("source")).agg(
+            F.count("*").alias("admitted")).write.mode("overwrite").parquet(f"{self.admitted}/batch={number}")
+
+    def run(self, stream: DataFrame, checkpoint: str) -> DataFrame:
+        """Take in all that has arrived; the records admitted up to now, with
+        the batch they came in."""
+        q = (stream.writeStream.foreachBatch(self.write).option("checkpointLocation", checkpoint)
+             .trigger(availableNow=True).start())
+        q.awaitTermination()
+        return read_or_empty(self.spark, self.records, T.StructType(
+            [*stream.schema.fields, T.StructField("batch", T.LongType())]))
+
+
 def score(stream: DataFrame, model, text_col: str = "text") -> DataFrame:
     """Stateless per-record scoring by a fitted Spark ML text model."""
     return ML.score_text(model, stream, text_col)

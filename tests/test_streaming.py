@@ -62,3 +62,31 @@ def test_streaming_quality_split_equals_batch(spark):
     assert sorted(r["doc_id"] for r in clean_s.collect()) == sorted(r["doc_id"] for r in clean_b.collect())
     assert sorted((r["doc_id"], r["filter_reason"]) for r in prob_s.collect()) == \
         sorted((r["doc_id"], r["filter_reason"]) for r in prob_b.collect())
+
+
+def test_bounded_ingest_takes_the_first_of_each_source(spark):
+    """Several sources in several batches, null keys and sources, repeated keys,
+    a batch that is run again after a crash, and a restart of the job."""
+    src, out, ckpt = (scratch_path(spark, n) for n in ("isrc", "iout", "ickpt"))
+    schema = "id long, source string, text string"
+    batches = [
+        [(9, "a", "1"), (3, "a", "2"), (None, "a", "3"), (5, "b", "4"), (5, "b", "5"), (1, None, "6")],
+        [(1, "a", "7"), (2, "a", "8"), (0, "b", "9"), (7, "b", "10"), (6, "b", "11"), (8, "c", "12")],
+        [],
+        [(i, s, f"last {i}") for i in range(6) for s in ("a", "b", "c", None)]]
+    n, taken, want = 5, {}, []
+    for number, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{src}/{number}")
+        job = ST.BoundedIngest(spark, out, n, "source", "id")  # a new driver each time
+        if number == 1:  # the batch runs to its end, then the commit of its offsets is lost
+            job.write(spark.createDataFrame(rows[:2], schema), number)
+        got = job.run(spark.readStream.schema(schema).parquet(f"{src}/*"), ckpt)
+        for r in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
+            if taken.get(r[1], 0) < n:
+                taken[r[1]] = taken.get(r[1], 0) + 1
+                want.append(r)
+        assert sorted(tuple(r)[:3] for r in got.where("text not like 'last%'").collect() if r["source"] and r["id"] is not None) \
+            == sorted(w for w in want if w[1] and w[0] is not None and not w[2].startswith("last"))
+        assert {r["source"]: r["count"] for r in got.groupBy("source").count().collect()} == taken
+    assert taken == {"a": 5, "b": 5, "c": 5, None: 5}
+    assert sorted(map(str, want)) == sorted(str(tuple(r)[:3]) for r in got.collect())

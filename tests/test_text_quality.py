@@ -54,11 +54,11 @@ def test_stats_empty(spark):
     assert r["total_filtered"] == 0 and r["avg_bad_words"] is None
 
 
-def test_lexicon_rejects_multiword(spark):
+def test_lexicon_rejects_empty_entries(spark):
     import pytest
     from labelforge.functions.text import lexicon_hits
     with pytest.raises(ValueError):
-        lexicon_hits(F.col("text"), ["two words"])
+        lexicon_hits(F.col("text"), ["two words", ""])
 
 
 def test_write_split_one_pass_both_outputs(spark):
