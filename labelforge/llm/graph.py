@@ -58,20 +58,30 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edge_batch(*forest(a, b))
 
 
+def _done(edges: DataFrame) -> bool:
+    """Whether (a, b) is what the search ends with: each node points to one
+    other, and no node that is pointed to points on."""
+    split = edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1")
+    on = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi")
+    return split.select("a").unionByName(on.select("a")).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b) that is not the
-    smallest of its component; component is that smallest node."""
-    now, before = stage(edges.select("a", "b").mapInArrow(_contract, "a long, b long"), "edges"), None
-    while True:
-        mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b") % 1_000_003).alias("s")).first()
-        if mark == before or not mark["n"]:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = mark
+    smallest of its component; component is that smallest node. Repeated edges
+    and edges from a node to itself change nothing; no edges give no rows.
+
+    Each node's least neighbour is stored before it is joined to the node's
+    edges, so both sides of that join come straight from a shuffle and AQE can
+    split the edges of a hub over several tasks."""
+    now = stage(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    while not _done(now):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stage(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where(F.col("a") != F.col("b"))
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stage(large.where(F.col("a") != F.col("b")), "large")
+        low = stage(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))).where(F.col("a") != F.col("b")).distinct()
-        now = stage(small.mapInArrow(_contract, "a long, b long"), "edges")
+        now = stage(small.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

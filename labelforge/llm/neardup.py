@@ -56,7 +56,6 @@ PART_BYTES = 12 << 20
 ALL_PAIRS = 24
 BLOCK_SHINGLES, BLOCK_ROWS = 1 << 20, 2048
 COLUMNS = 2048
-BROADCAST_ROWS = 500_000
 
 FEWEST_SYMBOLS, CHUNK_SYMBOLS = 48, 4
 MISSED = 2e-4  # most pairs at the threshold that lie outside the radius
@@ -331,8 +330,7 @@ def near_duplicates(docs: DataFrame, words_: int = 5, num: int = 85, den: int =
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     one = family.agg(F.count("*").alias("rows"), F.sum("n").alias("n")).first()
-    ids = F.broadcast(family) if one["rows"] <= BROADCAST_ROWS else family  # else a shuffle join
-    members = (ids.join(text, "doc_id")
+    members = (text.join(family.hint("merge"), "doc_id")  # one plan at every size: texts are shuffled once
                .select(F.col("node").alias("id"), F.col("component").alias("family"), "n", "text")
                .mapInArrow(sets, "id long, family long, n long, shingles binary")
                .where(F.octet_length("shingles") == F.col("n") * 8))

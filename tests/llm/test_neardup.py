@@ -11,7 +11,7 @@ def sets_of(text, n=5):
     return frozenset(tuple(w[i:i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     s = [(i, sets_of(t)) for i, t in rows]
     p = list(range(len(s)))
 
@@ -23,7 +23,7 @@ def brute(rows):
         for b in range(a):
             if s[a][1] and s[b][1] and s[a][0] is not None and s[b][0] is not None:
                 k = len(s[a][1] & s[b][1])
-                if 100 * k >= 85 * (len(s[a][1]) + len(s[b][1]) - k):
+                if 100 * k >= percent * (len(s[a][1]) + len(s[b][1]) - k):
                     p[find(a)] = find(b)
     least = {}
     for x, (i, _) in enumerate(s):
@@ -164,3 +164,13 @@ def test_pipeline_stage_on_the_small_table(spark):
                 group = {n: a if g == b else g for n, g in group.items()}
     kept = [r["doc_id"] for r in filters.drop_near_copies(spark, docs, None).select("doc_id").collect()]
     assert sorted(kept) == [i for i, g in group.items() if g == i] and not {145, 177} & set(kept)
+
+
+def test_components_of_odd_edges(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "a long, b long").repartition(3)
+    run = lambda rows: sorted(tuple(r) for r in graph.components(edges(rows)).collect())
+    assert run([]) == run([(4, 4)]) == []
+    assert run([(1, 2), (2, 1), (1, 2), (2, 2)]) == [(2, 1)]
+    path = [(i, i + 1) for i in range(100, 160)]  # long path, and the star of a hub
+    star = [(5, i) for i in range(200, 900)] + [(i, 5) for i in range(200, 900)]
+    assert run(path + star) == sorted([(i, 100) for i in range(101, 161)] + [(i, 5) for i in range(200, 900)])
