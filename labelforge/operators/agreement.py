@@ -286,9 +286,25 @@ def _erfc(x: Column) -> Column:
     return t * F.exp(-x * x + poly)
 
 
+EXACT_PAIRS = 50
+
+
+def exact_signed_rank_p(w: Column, n: Column) -> Column:
+    """Two-sided p of the smaller rank sum ``w`` over ``n`` untied pairs: how many
+    of the 2**n signs give a sum of at most ``w``, by adding one rank after the
+    other to the counts per sum."""
+    start = F.concat(F.array(F.lit(1.0)), F.array_repeat(F.lit(0.0), (n * (n + 1) / 2).cast("int")))
+    counts = F.aggregate(F.sequence(F.lit(1), n.cast("int")), start, lambda c, k: F.transform(
+        c, lambda v, i: v + F.when(i >= k, F.get(c, i - k)).otherwise(F.lit(0.0))))
+    below = F.aggregate(F.slice(counts, 1, w.cast("int") + 1), F.lit(0.0), lambda a, v: a + v)
+    return F.least(F.lit(1.0), 2 * below / F.pow(F.lit(2.0), n))
+
+
 def wilcoxon_signed_rank(diffs: DataFrame, col: str = "d", digits: int = 9) -> DataFrame:
-    """W+, W-, W = min, n (non-zero pairs), the tie-corrected normal z and its
-    two-sided p_value.
+    """W+, W-, W = min, n (non-zero pairs), the tie-corrected normal z and a
+    two-sided p_value: exact for 1 to EXACT_PAIRS non-zero pairs without ties
+    among the absolute differences, that of z for all others (null where all
+    differences are zero).
 
     Ranks of |d| with ties averaged come from the distinct |d| values and
     their counts: rank = (#values below) + (t + 1) / 2. The counts below are
@@ -312,10 +328,12 @@ def wilcoxon_signed_rank(diffs: DataFrame, col: str = "d", digits: int = 9) -> D
     n = F.col("n").cast("double")
     wmin = F.least("w_plus", "w_minus")
     z = (wmin - n * (n + 1) / 4) / F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
-    return agg.select(F.col("n").cast("long").alias("n"), F.col("w_plus").cast("double").alias("w_plus"),
+    untied = F.col("n").between(1, EXACT_PAIRS) & (F.col("ties") == 0)
+    exact = F.when(untied, exact_signed_rank_p(wmin, F.col("n"))).alias("exact")
+    return agg.select(exact, F.col("n").cast("long").alias("n"), F.col("w_plus").cast("double").alias("w_plus"),
                       F.col("w_minus").cast("double").alias("w_minus"),
                       wmin.cast("double").alias("w"), z.alias("z")).withColumn(
-        "p_value", _erfc(F.abs("z") / math.sqrt(2.0)))
+        "p_value", F.coalesce("exact", _erfc(F.abs("z") / math.sqrt(2.0)))).drop("exact")
 
 
 def wilcoxon_test(ratings: DataFrame, first: str, second: str, group_col: str = "group") -> dict:

@@ -4,7 +4,8 @@ embeddings; and a class-weighted classifier)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -45,6 +46,60 @@ def fit_weighted_classifier(train: DataFrame, array_col: str, label_col: str, we
     return lr.fit(t.select("features", F.col(label_col).cast("double").alias(label_col), "weight"))
 
 
+def gram_parts(df: DataFrame, array_col: str, label_col: str, dim: int, by: str) -> dict:
+    """Per value of ``by`` the matrix Z'Z of the rows z = (x, 1, y): with it any
+    least-squares head on x, for y's mean and for any union of the parts, whose
+    matrix is the sum of theirs.
+
+    Tasks add up their rows' products; what moves is (dim + 2)^2 sums a task and
+    part, what reaches the driver (dim + 2)^2 sums a part. Rows without a label,
+    with another length than ``dim`` or with a component that is null or not
+    finite take no part."""
+    import numpy as np
+    size = dim + 2
+
+    def products(batches):
+        sums: dict = {}
+        for batch in batches:
+            x = np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(-1, dim)
+            z = np.column_stack((x, np.ones(len(x)), np.asarray(batch.column(2), dtype=np.float64)))
+            parts = np.asarray(batch.column(0))
+            for part in np.unique(parts).tolist():
+                mine = z[parts == part]
+                sums[part] = sums.get(part, 0) + mine.T @ mine
+        at = pa.array(list(range(size * size)), pa.int32())
+        for part, total in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part] * len(at), pa.int64()), at, pa.array(total.reshape(-1))], names=["part", "at", "v"])
+    x = F.col(array_col).cast("array<double>")
+    whole = ~F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    y = F.col(label_col).cast("double")
+    rows = df.where(F.col(by).isNotNull() & y.isNotNull() & (F.size(x) == dim) & whole).select(
+        F.col(by).cast("long"), x.alias("x"), y.alias("y"))
+    found = (rows.mapInArrow(products, "part long, at int, v double")
+             .groupBy("part", "at").agg(F.sum("v").alias("v")).collect())
+    out: dict = {}
+    for r in found:
+        out.setdefault(r["part"], np.zeros(size * size))[r["at"]] = r["v"]
+    return {k: v.reshape(size, size) for k, v in out.items()}
+
+
+def solve_head(gram, reg: float = 1.0) -> list[float]:
+    """Weights and intercept of least squares with ``reg`` times the squared
+    weights (not the intercept) added."""
+    import numpy as np
+    a = np.array(gram[:-1, :-1])
+    a[np.arange(len(a) - 1), np.arange(len(a) - 1)] += reg
+    return np.linalg.solve(a, gram[:-1, -1]).tolist()
+
+
+def apply_head(weights: list[float], array_col: str) -> Column:
+    """The head's output; null for a row whose vector has another length."""
+    x = F.col(array_col).cast("array<double>")
+    terms = F.zip_with(x, F.array(*[F.lit(w) for w in weights[:-1]]), lambda a, b: a * b)
+    return F.when(F.size(x) == len(weights) - 1, F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) + weights[-1])
+
+
 def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 16,
                        reg: float = 0.01):
     """Regression head on hashed whole-text token counts: native tokenizer

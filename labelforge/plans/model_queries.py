@@ -1,7 +1,8 @@
 """Model-fitting jobs (Spark ML) on ``embeddings`` and on document text with
 ``labels``. Fitted coefficients depend on the optimiser, so the oracles check
 exact counts per split and that the model beats the mean (or majority)
-predictor; ``learning_curve`` returns the full metrics, rows only."""
+predictor. Heads in closed form (``embedding_head``, ``learning_curve``) are
+compared number by number with the normal equations solved in SQL."""
 
 from __future__ import annotations
 
@@ -81,20 +82,77 @@ def weighted_classifier(spark, sf):
         F.lit("weighted_logreg").alias("model_name"), "n", (F.col("recall") > 1 / F.col("k")).alias("beats_chance"))
 
 
-@register("learning_curve")
+DIM = 64  # of the embeddings
+REG = 1.0
+
+
+def _heads_sql(sizes: str) -> str:
+    """Heads w per size s, by Gauss-Jordan elimination of the regularised normal
+    equations: m holds one row of (X'X | X'y) per unknown."""
+    return f"""e AS (SELECT vec_id, label / 2.0 AS y, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS r,
+      floor(0.8 * count(*) OVER ()) AS n_train, list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), 1.0) AS x
+      FROM embeddings),
+    sizes AS (SELECT unnest({sizes}) AS s),
+    fit AS (SELECT s, x, list_append(x, y) AS z FROM e, sizes WHERE r <= least(s, n_train)),
+    g AS (SELECT s, i, j, sum(x[i] * z[j]) + CASE WHEN i = j AND i <= {DIM} THEN {REG} ELSE 0 END AS v
+          FROM fit, (SELECT unnest(range(1, {DIM + 2})) AS i), (SELECT unnest(range(1, {DIM + 3})) AS j) GROUP BY s, i, j),
+    rows_ AS (SELECT s, i, list(v ORDER BY j) AS a FROM g GROUP BY s, i),
+    elim AS (SELECT s, 0 AS k, list(a ORDER BY i) AS m FROM rows_ GROUP BY s
+      UNION ALL SELECT s, k + 1, list_transform(m, lambda a, i: CASE WHEN i = k + 1 THEN list_transform(a, lambda v: v / m[k + 1][k + 1])
+        ELSE list_transform(a, lambda v, j: v - a[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM elim WHERE k <= {DIM}),
+    w AS (SELECT s, list_transform(m, lambda a: a[{DIM + 2}]) AS w FROM elim WHERE k = {DIM + 1})"""
+
+
+def _embedded(spark, sf):
+    """Vectors with a label of half steps, in the seeded order of the split."""
+    v = embeddings(spark, sf).select("vec_id", "embedding", (F.col("label") / 2).alias("y"))
+    return R.train_val_split(v, 0.2, "vec_id", 42)
+
+
+@register("embedding_head", f"""WITH RECURSIVE {_heads_sql("[1000000000000]")}
+    SELECT CAST(i AS INTEGER) AS place, round(w[i], 6) + 0.0 AS weight FROM w, (SELECT unnest(range(1, {DIM + 2})) AS i)""")
+def embedding_head(spark, sf):
+    """Weights and intercept of a regularised head on the embeddings of the
+    train split, in closed form."""
+    train = _embedded(spark, sf).where("split = 'train'").withColumn("part", F.lit(0))
+    parts = ML.gram_parts(train, "embedding", "y", DIM, "part")
+    weights = ML.solve_head(parts[0], REG) if parts else []
+    return spark.createDataFrame(list(enumerate(weights, 1)), "place int, weight double").select(
+        "place", (F.round("weight", 6) + 0.0).alias("weight"))
+
+
+@register("learning_curve", f"""WITH RECURSIVE {_heads_sql(str(list(SIZES)))},
+    p AS (SELECT s, y, list_sum(list_transform(x, lambda v, i: v * w[i])) AS q FROM e, w WHERE r > n_train),
+    c AS (SELECT s, y, q, CAST(greatest(0, least(4, round_even(q, 0))) AS INTEGER) AS pc,
+            CAST(greatest(0, least(4, round_even(y, 0))) AS INTEGER) AS lc FROM p),
+    l AS (SELECT s, lc AS label, 1 AS support, 0 AS predicted, CASE WHEN lc = pc THEN 1 ELSE 0 END AS tp FROM c
+      UNION ALL SELECT s, pc, 0, 1, 0 FROM c),
+    k AS (SELECT s, label, sum(support) AS n, sum(predicted) AS pr, sum(tp) AS tp FROM l GROUP BY s, label),
+    f AS (SELECT s, avg(coalesce(tp / nullif(pr, 0), 0)) AS precision, avg(coalesce(tp / nullif(n, 0), 0)) AS recall,
+            avg(coalesce(2 * tp / nullif(n + pr, 0), 0)) AS f1_macro FROM k GROUP BY s),
+    a AS (SELECT s, avg(CASE WHEN lc = pc THEN 1.0 ELSE 0.0 END) AS accuracy, avg(power(y - q, 2)) AS mse FROM c GROUP BY s)
+    SELECT CAST(s AS INTEGER) AS n_samples, round(precision, 6) AS precision, round(recall, 6) AS recall,
+      round(f1_macro, 6) AS f1_macro, round(accuracy, 6) AS accuracy, round(mse, 6) AS mse FROM f JOIN a USING (s)""")
 def learning_curve(spark, sf):
-    """Regressors on seeded samples of the train split; precision, recall, F1,
-    accuracy and MSE of each on the validation split."""
-    s = _split(labelled_quality(spark, sf), "doc_id")
-    train, val = s.filter(F.col("split") == "train"), s.filter(F.col("split") == "validation")
-    rows = None
-    for n in SIZES:
-        sample = materialise(R.sample_n(train, n, "doc_id", 42))
-        model = ML.fit_text_regressor(sample, "text", "quality", num_features=1 << 12, reg=0.1)
-        pred = model.transform(val).withColumn("quality", F.col("quality").cast("double"))
-        r = MT.regression_eval(pred, "prediction", "quality").withColumn("n_samples", F.lit(n))
+    """Heads on nested seeded samples of the train split; precision, recall, F1,
+    accuracy and MSE of each on the validation split. The samples' matrices are
+    sums of those of the bands between them, so all heads come from one pass."""
+    s = _embedded(spark, sf)
+    train = s.where("split = 'train'").drop("split")
+    band = F.lit(None).cast("int")
+    for k, n in reversed(list(enumerate(SIZES))):
+        train = R.mark_first(train, n, R.hash_ordinal("vec_id", 42), [R.hash_key("vec_id", 42), "vec_id"], f"first{k}",
+                             top=R.HASH_TOP)
+        band = F.when(F.col(f"first{k}"), k).otherwise(band)
+    parts = ML.gram_parts(train.withColumn("band", band), "embedding", "y", DIM, "band")
+    rows, total = None, 0
+    held_out = s.where("split = 'validation'")
+    for k, n in enumerate(SIZES):
+        total = total + parts[k] if k in parts else total
+        pred = held_out.withColumn("q", ML.apply_head(ML.solve_head(total, REG), "embedding"))
+        r = MT.regression_eval(pred, "q", "y").withColumn("n_samples", F.lit(n))
         rows = r if rows is None else rows.unionByName(r)
-    return rows.select("n_samples", "precision", "recall", "f1_macro", "accuracy", "mse")
+    return rows.select("n_samples", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_macro", "accuracy", "mse")])
 
 
 @register("regression_confusion", """SELECT CAST(greatest(0, least(4, round_even(true_label, 0))) AS INTEGER) AS true_class,

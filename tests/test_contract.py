@@ -12,7 +12,7 @@ def test_oracle_keys_are_queries():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and set(QUERIES) <= set(q)
     assert len(QUERIES) >= 80
-    assert set(QUERIES) - set(ORACLE) == {"learning_curve"}
+    assert set(QUERIES) == set(ORACLE)
 
 
 def test_query_names_are_descriptive():
