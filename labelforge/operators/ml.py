@@ -100,6 +100,48 @@ def apply_head(weights: list[float], array_col: str) -> Column:
     return F.when(F.size(x) == len(weights) - 1, F.aggregate(terms, F.lit(0.0), lambda s, v: s + v) + weights[-1])
 
 
+MAX_TOKENS = 512
+PROFILE = 16
+
+
+def first_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
+    """The first ``max_tokens`` tokens of a text (whitespace runs, as
+    ``str.split``): truncation for models with a bounded input."""
+    from ..functions.text import py_split
+    return F.slice(py_split(text), 1, max_tokens)
+
+
+def token_profile(text: Column, max_tokens: int = MAX_TOKENS, dim: int = PROFILE) -> Column:
+    """A small vector of a text's first tokens: the share of those with 1, 2, ...
+    characters, the last place for ``dim`` or more. Zeros without tokens."""
+    def shares(tokens: Column) -> Column:
+        lengths = F.transform(tokens, lambda t: F.least(F.length(t), F.lit(dim)))
+        of = lambda n: F.size(F.filter(lengths, lambda k: k == n)) / F.greatest(F.size(tokens), F.lit(1))
+        return F.array(*[of(n) for n in range(1, dim + 1)])
+    return F.get(F.transform(F.array(first_tokens(text, max_tokens)), shares), 0)
+
+
+def fit_token_head(train: DataFrame, text_col: str, label_col: str, reg: float = 1.0,
+                   max_tokens: int = MAX_TOKENS) -> list[float]:
+    """A least-squares head on the token profiles of truncated texts; no rows
+    give a head of zeros."""
+    rows = train.select(token_profile(F.col(text_col), max_tokens).alias("x"), F.col(label_col).alias("y"),
+                        F.lit(0).alias("part"))
+    parts = gram_parts(rows, "x", "y", PROFILE, "part")
+    return solve_head(parts[0], reg) if parts else [0.0] * (PROFILE + 1)
+
+
+def score_tokens(weights: list[float], df: DataFrame, text_col: str = "text", max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """Add ``score`` and ``int_score`` (clamp 0..5, half-even) to the rows with a
+    non-empty text, by a head of :func:`fit_token_head`; a plain projection, for
+    batch and streaming frames."""
+    from ..functions.scores import score_to_int
+    profile = token_profile(F.col(text_col), max_tokens)
+    return (df.where(F.length(F.col(text_col)) > 0).withColumn("token profile", profile)
+            .withColumn("score", apply_head(weights, "`token profile`")).drop("token profile")
+            .withColumn("int_score", score_to_int("score")))
+
+
 def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 16,
                        reg: float = 0.01):
     """Regression head on hashed whole-text token counts: native tokenizer

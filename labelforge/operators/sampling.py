@@ -9,8 +9,11 @@ sort + per-partition offsets) serves shuffles only, on the id column.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import col_of
 from .common import stored
@@ -215,6 +218,41 @@ def train_val_split(df: DataFrame, val_fraction: float, id_col: str, seed: int =
         "_first")
 
 
+def apportion(sizes: dict, total: int) -> dict:
+    """``total`` seats over classes in proportion to their sizes, by largest
+    remainders; equal remainders by the order of ``sizes``."""
+    every = sum(sizes.values())
+    if not every:
+        return {c: 0 for c in sizes}
+    seats = {c: total * n // every for c, n in sizes.items()}
+    by_rest = sorted(sizes, key=lambda c: -(total * sizes[c] % every))  # stable
+    for c in by_rest[:total - sum(seats.values())]:
+        seats[c] += 1
+    return seats
+
+
+def stratified_split(df: DataFrame, val_fraction: float, id_col: str, stratify_col: str, seed: int = 42) -> DataFrame:
+    """Add ``split``: of all n rows exactly ``floor((1 - v) * n)`` are train,
+    shared out over the classes by largest remainders (equal ones by class,
+    nulls last); inside a class the first rows by seeded hash. One row per class
+    reaches the driver."""
+    counts = df.groupBy(stratify_col).agg(F.count(F.lit(1)).alias("n")).orderBy(
+        F.col(stratify_col).asc_nulls_last()).collect()
+    sizes = {r[0]: r["n"] for r in counts}
+    seats = apportion(sizes, math.floor((1 - val_fraction) * sum(sizes.values())))
+    name = F.coalesce(F.concat(F.lit("="), F.col(stratify_col).cast("string")), F.lit(""))  # null is a class
+    if not sizes:
+        return df.withColumn("split", F.lit("train"))
+    texts = df.sparkSession.createDataFrame(
+        [(c, n) for c, n in seats.items()], T.StructType([df.schema[stratify_col], T.StructField("seats", T.LongType())])
+    ).select(name.alias("name"), "seats").collect()
+    quota = F.create_map(*[F.lit(x) for r in texts for x in (r["name"], r["seats"])])
+    marked = mark_first(df.withColumn("split class", name), lambda by, _: F.element_at(quota, by),
+                        hash_ordinal(id_col, seed), [hash_key(id_col, seed), id_col], "_first", by="split class", top=HASH_TOP)
+    return marked.withColumn("split", F.when(F.col("_first"), F.lit("train")).otherwise(F.lit("validation"))).drop(
+        "_first", "split class")
+
+
 def biased_sample(df: DataFrame, n, bias: float, id_col: str, labels_col: str,
                   flag_col: str, seed: int = 42, topup_seed: int = 43,
                   min_labels: int = 2, must: str = "Excellent", maybe: str = "Good") -> DataFrame:

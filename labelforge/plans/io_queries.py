@@ -16,7 +16,7 @@ from ..session import scratch_path
 from ..sources import fixtures as V
 from ..sources import io as IO
 from ..sources.tables import documents
-from .model_queries import fitted_quality, labelled_quality
+from .model_queries import TOKEN_SCORES_SQL, fitted_quality, labelled_quality, token_head
 from .registry import register
 
 DOC_SCHEMA = T.StructType([
@@ -127,22 +127,12 @@ def annotation_append(spark, sf):
     return back.dropDuplicates(["doc_id"]).groupBy("our_label").agg(F.count(F.lit(1)).alias("n"))
 
 
-SCORED_SQL = "SELECT doc_id, TRUE AS scored, TRUE AS rounded FROM documents WHERE length(text) > 0"
-
-
-def checked(scored):
-    """What the oracle can know of a fitted model's scores: that each row is
-    there once, has one, and carries its rounding."""
-    rounded = F.rint(F.greatest(F.lit(0.0), F.least(F.lit(5.0), F.col("score"))))
-    return scored.select("doc_id", F.col("score").isNotNull().alias("scored"),
-                         (F.col("int_score") == rounded).alias("rounded"))
-
-
-@register("classify_batch", SCORED_SQL)
+@register("classify_batch", TOKEN_SCORES_SQL)
 def classify_batch(spark, sf):
-    """Every non-empty document scored by a fitted text regressor."""
-    d = documents(spark, sf).select("doc_id", "text")
-    return checked(ML.score_text(fitted_quality(spark, sf), d))
+    """Every non-empty document scored, on its first 512 tokens, by a head
+    fitted on the labelled ones."""
+    scored = ML.score_tokens(token_head(spark, sf), documents(spark, sf).select("doc_id", "text"))
+    return scored.select("doc_id", (F.round("score", 6) + 0.0).alias("score"), "int_score")
 
 
 @register("clean_translated", "SELECT text, int_score FROM v_scored", ("v_scored",))

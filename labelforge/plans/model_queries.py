@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.scores import discretize
+from ..functions.text import SPLIT_RE
 from ..operators import metrics as MT
 from ..operators import ml as ML
 from ..operators import sampling as R
@@ -86,21 +87,25 @@ DIM = 64  # of the embeddings
 REG = 1.0
 
 
-def _heads_sql(sizes: str) -> str:
-    """Heads w per size s, by Gauss-Jordan elimination of the regularised normal
-    equations: m holds one row of (X'X | X'y) per unknown."""
-    return f"""e AS (SELECT vec_id, label / 2.0 AS y, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS r,
+_EMBEDDED_SQL = """e AS (SELECT vec_id, label / 2.0 AS y, row_number() OVER (ORDER BY md5('42:' || CAST(vec_id AS VARCHAR)), vec_id) AS r,
       floor(0.8 * count(*) OVER ()) AS n_train, list_append(list_transform(embedding, lambda v: CAST(v AS DOUBLE)), 1.0) AS x
-      FROM embeddings),
+      FROM embeddings)"""
+
+
+def _heads_sql(sizes: str, rows: str = _EMBEDDED_SQL, dim: int = DIM) -> str:
+    """Heads w per size s, by Gauss-Jordan elimination of the regularised normal
+    equations: m holds one row of (X'X | X'y) per unknown. ``rows`` names the
+    rows e: x, y, and their number r of n_train."""
+    return f"""{rows},
     sizes AS (SELECT unnest({sizes}) AS s),
     fit AS (SELECT s, x, list_append(x, y) AS z FROM e, sizes WHERE r <= least(s, n_train)),
-    g AS (SELECT s, i, j, sum(x[i] * z[j]) + CASE WHEN i = j AND i <= {DIM} THEN {REG} ELSE 0 END AS v
-          FROM fit, (SELECT unnest(range(1, {DIM + 2})) AS i), (SELECT unnest(range(1, {DIM + 3})) AS j) GROUP BY s, i, j),
+    g AS (SELECT s, i, j, sum(x[i] * z[j]) + CASE WHEN i = j AND i <= {dim} THEN {REG} ELSE 0 END AS v
+          FROM fit, (SELECT unnest(range(1, {dim + 2})) AS i), (SELECT unnest(range(1, {dim + 3})) AS j) GROUP BY s, i, j),
     rows_ AS (SELECT s, i, list(v ORDER BY j) AS a FROM g GROUP BY s, i),
     elim AS (SELECT s, 0 AS k, list(a ORDER BY i) AS m FROM rows_ GROUP BY s
       UNION ALL SELECT s, k + 1, list_transform(m, lambda a, i: CASE WHEN i = k + 1 THEN list_transform(a, lambda v: v / m[k + 1][k + 1])
-        ELSE list_transform(a, lambda v, j: v - a[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM elim WHERE k <= {DIM}),
-    w AS (SELECT s, list_transform(m, lambda a: a[{DIM + 2}]) AS w FROM elim WHERE k = {DIM + 1})"""
+        ELSE list_transform(a, lambda v, j: v - a[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END) FROM elim WHERE k <= {dim}),
+    w AS (SELECT s, list_transform(m, lambda a: a[{dim + 2}]) AS w FROM elim WHERE k = {dim + 1})"""
 
 
 def _embedded(spark, sf):
@@ -155,6 +160,25 @@ def learning_curve(spark, sf):
     return rows.select("n_samples", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_macro", "accuracy", "mse")])
 
 
+_PROFILE_SQL = f"""tok AS (SELECT doc_id, list_slice(list_filter(regexp_split_to_array(text, '{SPLIT_RE}'), lambda t: t <> ''),
+        1, {ML.MAX_TOKENS}) AS t FROM documents WHERE length(text) > 0),
+    prof AS (SELECT doc_id, list_append(list_transform(range(1, {ML.PROFILE + 1}), lambda k:
+        len(list_filter(t, lambda x: least(length(x), {ML.PROFILE}) = k)) / greatest(len(t), 1)), 1.0) AS x FROM tok),
+    e AS (SELECT x, CAST(quality AS DOUBLE) AS y, 0 AS r, 0 AS n_train FROM prof JOIN labels USING (doc_id)
+          WHERE quality IS NOT NULL)"""
+
+#: Scores of all non-empty documents by the head fitted on the labelled ones.
+TOKEN_SCORES_SQL = f"""WITH RECURSIVE {_heads_sql("[0]", _PROFILE_SQL, ML.PROFILE)},
+    q AS (SELECT doc_id, list_sum(list_transform(x, lambda v, i: v * w[i])) AS q FROM prof, w)
+    SELECT doc_id, round(q, 6) + 0.0 AS score, CAST(greatest(0, least(5, round_even(q, 0))) AS INTEGER) AS int_score FROM q"""
+
+
+def token_head(spark, sf):
+    """The head of the quality label on the first tokens of labelled texts."""
+    rows = labelled_quality(spark, sf).where(F.length("text") > 0)
+    return ML.fit_token_head(rows, "text", "quality", REG)
+
+
 @register("regression_confusion", """SELECT CAST(greatest(0, least(4, round_even(true_label, 0))) AS INTEGER) AS true_class,
     CAST(greatest(0, least(4, round_even(raw_prediction_full_finetune, 0))) AS INTEGER) AS predicted_class, count(*) AS n
     FROM v_preds_wide GROUP BY ALL""", ("v_preds_wide",))

@@ -218,3 +218,19 @@ def selections_of_repeated_ids(spark, sf):
     parts = {"sample": R.sample_n(t, 333, "id", 42), "first": R.first_n(t, 333, "id"), "train": train}
     rows = [df.select(F.lit(name).alias("selection"), "id") for name, df in parts.items()]
     return reduce(lambda a, b: a.unionByName(b), rows).groupBy("selection", "id").agg(F.count("*").alias("n"))
+
+
+@register("stratified_split_exact", """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 97 <> 0 THEN (doc_id * doc_id) % 11 END AS label FROM documents),
+    c AS (SELECT label, count(*) AS n, sum(count(*)) OVER () AS every FROM d GROUP BY label),
+    t AS (SELECT *, CAST(floor(0.8 * every) AS BIGINT) AS total FROM c),
+    q AS (SELECT label, total, total * n // every AS seats, row_number() OVER (ORDER BY total * n % every DESC, label NULLS LAST) AS place,
+            total - sum(total * n // every) OVER () AS extra FROM t),
+    r AS (SELECT doc_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id) AS r FROM d)
+    SELECT doc_id, r.label, CASE WHEN r <= seats + CASE WHEN place <= extra THEN 1 ELSE 0 END THEN 'train' ELSE 'validation' END AS split
+    FROM r JOIN q ON r.label IS NOT DISTINCT FROM q.label""")
+def stratified_split_exact(spark, sf):
+    """A split with exactly floor(0.8 n) train rows over classes of awkward
+    sizes, null among them."""
+    label = F.when(F.col("doc_id") % 97 != 0, F.col("doc_id") * F.col("doc_id") % 11)
+    d = documents(spark, sf).select("doc_id", label.alias("label"))
+    return R.stratified_split(d, 0.2, "doc_id", "label", 42).select("doc_id", "label", "split")

@@ -9,8 +9,9 @@ from ..session import scratch_path
 from ..sources import fixtures as V
 from ..sources.tables import documents
 from ..streaming import jobs as ST
-from .io_queries import DOC_SCHEMA, SCORED_SQL, checked
-from .model_queries import fitted_quality
+from ..operators import ml as ML
+from .io_queries import DOC_SCHEMA
+from .model_queries import TOKEN_SCORES_SQL, token_head
 from .quality_queries import _SIG, DOC_COLS
 from .registry import register
 from ..sources.fixtures import TEST_LEXICON
@@ -49,10 +50,12 @@ def stream_ingest_first(spark, sf):
     return got.select("source", "doc_id")
 
 
-@register("stream_score", SCORED_SQL)
+@register("stream_score", TOKEN_SCORES_SQL)
 def stream_score(spark, sf):
-    plan = ST.score(_docs_stream(spark, sf).select("doc_id", "text"), fitted_quality(spark, sf))
-    return checked(ST.materialise(spark, plan.select("doc_id", "score", "int_score"), "stream-score"))
+    """The scores of ``classify_batch`` on arriving documents."""
+    plan = ML.score_tokens(token_head(spark, sf), _docs_stream(spark, sf).select("doc_id", "text"))
+    rounded = (F.round("score", 6) + 0.0).alias("score")
+    return ST.materialise(spark, plan.select("doc_id", rounded, "int_score"), "stream-score")
 
 
 @register("stream_quality", f"WITH {_SIG} SELECT {DOC_COLS} FROM ann WHERE filter_reason = 'Clean content'")

@@ -59,3 +59,22 @@ def test_wilcoxon_switches_to_the_normal_p(spark):
     tied = [1.0, 1.0, -2.0, 3.0, 4.0]
     assert np.isclose(run(tied)["p_value"], normal(run(tied)), rtol=1e-6)
     assert run([0.0, 0.0])["p_value"] is None
+
+
+def test_token_head_sees_the_first_tokens_only(spark):
+    rows = [(i, " ".join(["ab"] * (i % 5) + ["abcd"] * 3 + ["x"] * (2 * i)), float(i % 5)) for i in range(40)]
+    odd = [(98, "", 1.0), (99, None, 1.0), (97, " \t ", 1.0), (96, "y" * 40, None)]
+    df = spark.createDataFrame(rows + odd, "id int, text string, y double")
+    out = df.select("id", ML.token_profile(F.col("text"), 6, 4).alias("p")).collect()
+    for r, (i, text, _) in zip(sorted(out, key=lambda r: r["id"])[:40], rows):
+        t = text.split()[:6]
+        assert r["p"] == [sum(min(len(x), 4) == k for x in t) / len(t) for k in range(1, 5)]
+    assert {r["id"]: r["p"] for r in out}[97] == [0.0] * 4 and {r["id"]: r["p"] for r in out}[96] == [0, 0, 0, 1.0]
+    head = ML.fit_token_head(df.where("length(text) > 0"), "text", "y", 0.001, max_tokens=6)
+    cut = df.withColumn("text", F.array_join(F.slice(F.split("text", " "), 1, 6), " "))
+    assert np.allclose(head, ML.fit_token_head(cut.where("length(text) > 0"), "text", "y", 0.001))
+    scored = {r["id"]: r["score"] for r in ML.score_tokens(head, df, max_tokens=6).collect()}
+    assert sorted(scored) == sorted([r[0] for r in rows] + [96, 97])
+    long_ = {i: s for i, s in scored.items() if i < 40 and i % 5 == 2 and i > 2}
+    assert len(set(np.round(list(long_.values()), 9))) == 1  # what differs lies behind the sixth token
+    assert ML.fit_token_head(df.limit(0), "text", "y") == [0.0] * (ML.PROFILE + 1)

@@ -141,3 +141,15 @@ def test_repeated_ids_are_counted_one_by_one(spark, text):
     split = R.train_val_split(df, 0.25, "doc_id", stratify_col="int_score")
     got = {(r[0], r[1]): r[2] for r in split.groupBy("int_score", "split").count().collect()}
     assert got[(0, "train")] + got[(1, "train")] + got[(2, "train")] == 25 + 24 + 24
+
+
+def test_apportionment(spark):
+    assert R.apportion({"a": 1, "b": 1, "c": 1}, 2) == {"a": 1, "b": 1, "c": 0}
+    assert R.apportion({"a": 7, "b": 2, "c": 1}, 8) == {"a": 6, "b": 1, "c": 1}
+    assert R.apportion({}, 5) == {} and R.apportion({"a": 0}, 0) == {"a": 0}
+    rows = [(i, None if i % 10 == 0 else i % 3 if i % 7 else 5) for i in range(101)]
+    df = spark.createDataFrame(rows, "id long, label int").repartition(3)
+    got = {(r[0], r[1]): r[2] for r in R.stratified_split(df, 0.3, "id", "label").groupBy("label", "split").count().collect()}
+    sizes = {c: sum(r[1] == c for r in rows) for c in (0, 1, 2, 5, None)}
+    assert {c: got[c, "train"] for c in sizes} == R.apportion(sizes, 70) and sum(got.values()) == 101
+    assert R.stratified_split(df.limit(0), 0.3, "id", "label").count() == 0
