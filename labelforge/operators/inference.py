@@ -3,9 +3,8 @@
 A model is supplied as a *factory* ``() -> Callable[[pd.Series], pd.Series]``
 that is called once per Python worker task (iterator UDF), so weights or a
 client are created once and reused for every Arrow batch of the partition.
-Null / blank texts never reach the model. The default factories are small
-deterministic stand-ins (no weights ship with this repository); a real
-encoder or API client plugs in through the same signature.
+Null / blank texts never reach the model. No weights or clients ship with this
+repository: the factory is the caller's.
 """
 
 from __future__ import annotations
@@ -48,34 +47,6 @@ def render_prompt(text_col, head: str, tail: str) -> Column:
     return F.concat(F.lit(head), F.coalesce(col_of(text_col), F.lit("")), F.lit(tail))
 
 
-# ------------------------------------------------------------ stand-ins
-def length_regressor(k: int = 1) -> ModelFactory:
-    """Stand-in regressor: score = ((len(text) * k) mod 601) / 100 - 0.5."""
-    def factory():
-        def predict(texts: pd.Series) -> pd.Series:
-            return ((texts.str.len() * k) % 601) / 100.0 - 0.5
-        return predict
-    return keyed(factory, f"length_regressor:{k}")
-
-
-def tagging_translator(target: str = "da") -> ModelFactory:
-    """Stand-in translator: prefixes the target language tag."""
-    def factory():
-        def translate(texts: pd.Series) -> pd.Series:
-            return f"[{target}] " + texts
-        return translate
-    return keyed(factory, f"tagging_translator:{target}")
-
-
-def rubric_client() -> ModelFactory:
-    """Stand-in LLM client answering in the rubric's response format."""
-    def factory():
-        def ask(prompts: pd.Series) -> pd.Series:
-            return "Justification: stand-in.\nEducational score: " + (prompts.str.len() % 6).astype(str)
-        return ask
-    return keyed(factory, "rubric_client")
-
-
 def with_retries(factory: ModelFactory, attempts: int = 3, fallback=None) -> ModelFactory:
     """Wrap a model/client factory so each batch is retried up to
     ``attempts`` times; after that its rows are tried one by one, and only
@@ -121,29 +92,26 @@ def model_udf(factory: ModelFactory, batch_size: int = 32):
     return _batched(factory, T.DoubleType(), batch_size)
 
 
-def classify(df: DataFrame, text_col: str = "text", factory: ModelFactory | None = None,
-             batch_size: int = 32) -> DataFrame:
+def classify(df: DataFrame, text_col: str, factory: ModelFactory, batch_size: int = 32) -> DataFrame:
     """Add ``score`` (model output) and ``int_score`` (clamp 0..5, half-even);
     rows with null/empty text are skipped, all other columns kept."""
-    factory = factory or length_regressor()
     udf = _batched(factory, T.DoubleType(), batch_size)
     return (df.filter(F.length(F.col(text_col)) > 0)
             .withColumn("score", udf(F.col(text_col)))
             .withColumn("int_score", S.score_to_int("score")))
 
 
-def translate(df: DataFrame, input_col: str, output_col: str, factory: ModelFactory | None = None,
+def translate(df: DataFrame, input_col: str, output_col: str, factory: ModelFactory,
               batch_size: int = 32) -> DataFrame:
     """Add ``output_col`` with the translation; nulls stay null."""
-    factory = factory or tagging_translator()
     return df.withColumn(output_col, _batched(factory, T.StringType(), batch_size, "")(F.col(input_col)))
 
 
 def llm_score(df: DataFrame, text_col: str, head: str, tail: str,
-              factory: ModelFactory | None = None, batch_size: int = 8) -> DataFrame:
+              factory: ModelFactory, batch_size: int = 8) -> DataFrame:
     """Render the rubric prompt, ask the client per batch, keep the raw
     response and parse the score (blank text -> -1 without a call)."""
-    factory = with_retries(factory or rubric_client())
+    factory = with_retries(factory)
     udf = _batched(factory, T.StringType(), batch_size)
     blank = S.is_blank(text_col)
     # Python UDFs run for every row of the batch, even under CASE WHEN, so

@@ -35,7 +35,7 @@ ensure_checkpoint_dir(spark)
 ship_package(spark)
 ship_package(spark)
 df = spark.createDataFrame([(1, "abc"), (2, "")], "id int, text string")
-got = I.classify(df, "text", I.length_regressor()).select("id", "int_score").collect()
+got = I.classify(df, "text", lambda: lambda texts: texts.str.len() / 100.0).select("id", "int_score").collect()
 assert [tuple(r) for r in got] == [(1, 0)], got
 print("shipped")
 """

@@ -105,7 +105,7 @@ def test_one_bad_text_costs_only_its_own_row(spark):
 def test_translation_keeps_empty_texts(spark):
     from labelforge.operators import inference as I
     df = spark.createDataFrame([(1, ""), (2, None), (3, "x")], "id int, text string")
-    got = {r["id"]: r["out"] for r in I.translate(df, "text", "out").collect()}
+    got = {r["id"]: r["out"] for r in I.translate(df, "text", "out", lambda: lambda texts: "[da] " + texts).collect()}
     assert got == {1: "", 2: None, 3: "[da] x"}
 
 
