@@ -99,3 +99,43 @@ def test_features_are_words_and_stems():
     a, b = set(h[row == 0].tolist()), set(h[row == 1].tolist())
     assert len(a) == 4 and len(a & b) == 3 and not (row == 2).any()
     assert np.unique(h).size == 5
+
+
+def test_sample_is_drawn_from_labels_with_a_document(spark, docs):
+    """Labels of documents that are not there leave the sample and the rate alone."""
+    rows = [(i, "vile filth" if i % 4 == 0 else "kind words", None, None, 0) for i in range(200)]
+    there = [(i, 1 if i % 4 == 0 else 0) for i in range(200)]
+    gone = [(i, 1) for i in range(1000, 9000)]
+    make = lambda r: spark.createDataFrame(r, "doc_id long, toxic int")
+    from pyspark.sql import functions as F
+    a, b = (toxicity.train(docs(rows).select("doc_id", "text"), make(labels), F.lit(True), rows_most=100)
+            for labels in (there, there + gone))
+    assert a["rate"] == b["rate"] == 0.25
+    assert (a["chosen"] == b["chosen"]).all() and np.allclose(a["weights"], b["weights"])
+
+
+def test_every_feature_above_the_ratio_is_kept(spark, docs):
+    """Chosen features against a plain recomputation of the ratio test."""
+    from collections import Counter
+    from math import log
+
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 40 if i % 3 else 60, 12)) for i in range(300)]
+    toxic = [int(i % 3 == 0) for i in range(300)]
+    model = toxicity.train(docs([(i, t) for i, t in enumerate(texts)]).select("doc_id", "text"),
+                           spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"), F.lit(True),
+                           groups=(), least_ratio=5.0, l2=0.0)
+    n, yes = 300, sum(toxic)
+    held, bad = Counter(), Counter()
+    for t, y in zip(texts, toxic):
+        for h in set(toxicity.features(pa.array([t]))[1].tolist()):
+            held[h] += 1
+            bad[h] += y
+    part = lambda k, of: k * log(k / of) if k else 0.0
+    ratio = {h: 2 * (part(bad[h], m * yes / n) + part(m - bad[h], m * (n - yes) / n)
+                     + part(yes - bad[h], (n - m) * yes / n) + part(n - yes - m + bad[h], (n - m) * (n - yes) / n))
+             for h, m in held.items()}
+    want = {h for h, r in ratio.items() if r >= 5.0}
+    assert want and set(model["chosen"].tolist()) <= want and len(model["chosen"]) >= 0.9 * len(want)
