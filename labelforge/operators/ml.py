@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 def class_weights(train: DataFrame, label_col: str) -> DataFrame:
     """Inverse-frequency weights ``total / (K * n_c)`` over the observed
@@ -114,11 +116,12 @@ def first_tokens(text: Column, max_tokens: int = MAX_TOKENS) -> Column:
 def token_profile(text: Column, max_tokens: int = MAX_TOKENS, dim: int = PROFILE) -> Column:
     """A small vector of a text's first tokens: the share of those with 1, 2, ...
     characters, the last place for ``dim`` or more. Zeros without tokens."""
-    def shares(tokens: Column) -> Column:
-        lengths = F.transform(tokens, lambda t: F.least(F.length(t), F.lit(dim)))
-        of = lambda n: F.size(F.filter(lengths, lambda k: k == n)) / F.greatest(F.size(tokens), F.lit(1))
+    lengths = F.transform(first_tokens(text, max_tokens), lambda t: F.least(F.length(t), F.lit(dim)))
+
+    def shares(k: Column) -> Column:  # of the lengths, which are taken once
+        of = lambda n: (F.size(k) - F.size(F.array_remove(k, n))) / F.greatest(F.size(k), F.lit(1))
         return F.array(*[of(n) for n in range(1, dim + 1)])
-    return F.get(F.transform(F.array(first_tokens(text, max_tokens)), shares), 0)
+    return F.get(F.transform(F.array(lengths), shares), 0)
 
 
 def fit_token_head(train: DataFrame, text_col: str, label_col: str, reg: float = 1.0,
@@ -127,7 +130,8 @@ def fit_token_head(train: DataFrame, text_col: str, label_col: str, reg: float =
     give a head of zeros."""
     rows = train.select(token_profile(F.col(text_col), max_tokens).alias("x"), F.col(label_col).alias("y"),
                         F.lit(0).alias("part"))
-    parts = gram_parts(rows, "x", "y", PROFILE, "part")
+    # stored, since filters on x would be pushed below it and evaluate it again
+    parts = gram_parts(stored(rows, "profiles"), "x", "y", PROFILE, "part")
     return solve_head(parts[0], reg) if parts else [0.0] * (PROFILE + 1)
 
 
