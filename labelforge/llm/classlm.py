@@ -2,23 +2,30 @@
 
     P(w | previous) = m * P(class(w) | class(previous)) * P(w | class(w)) + (1 - m) * P0(w)
 
-Every word has a type: the most frequent words (at most ``head``) are types of
-their own, all others share the type of their ending, so that any word, seen or
-not, has a class without a lookup. Exchange clustering assigns the types to
-classes: each round counts, over the whole training corpus, what classes stand
-before and after each type, and then moves every second type to the class that
-raises the class-bigram likelihood most; the best round's classes are kept. The counts are types x classes
-numbers, whatever the corpus; the corpus itself is never gathered.
-
-Word counts cover all training tokens. Those of the more frequent words (at
-most ``lookup``) are broadcast; tokens of all other words are joined with the
-count table. Inside a shared type, seen words give up an absolute discount,
-which is what an unseen word of that ending gets. P0 is the add-one unigram.
+Exchange clustering assigns words to classes, by falling frequency. First come
+the most frequent words (``head``), each a type of its own, and the endings
+(hashes of a word's last three bytes), types that stand for all other words:
+each round counts, over the whole training corpus, what classes stand before and
+after each type, and then moves every second type to the class that raises the
+class-bigram likelihood most; the best round's classes are kept. Then every other
+word that occurs at least ``least`` times is exchanged once: the classes before
+and after it are counted in a table of a row per word, and tasks move each word
+from its ending's class to the class of the greatest likelihood. How many words
+have a class of their own so grows with the corpus; only words that occur more
+rarely than that, or never, have the class of their ending. The class bigrams are
+counted anew with the final classes.
+
+Words, counts and classes are a table. The more frequent ones (at most
+``lookup``) are broadcast; tokens of all other words are joined with the table,
+in training and in scoring, and meet their neighbours by row and position. Words
+of an ending's class give up an absolute discount, which is what an unseen word
+of that ending gets. P0 is the add-one unigram.
 
 Defined results: null text counts as empty (one end token); null ids are
 training rows and score as any other; repeated rows count as often as they
-come; without training rows every token is unknown and both scores are 0;
-empty input gives no rows; other columns are ignored.
+come; of classes with the same gain a word takes the first; without training
+rows every token is unknown and both scores are 0; empty input gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +38,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .stage import small_batches, stage
 from .textbytes import LOWER, NOT_SPACE, flat, prefix_hash, slices, span_hash, words
@@ -43,8 +51,9 @@ CHUNK = 256
 
 class Size(NamedTuple):
     """What bounds the model, whatever the corpus."""
-    head: int = 4096  # words that are types of their own
-    endings: int = 1024  # types of all other words
+    head: int = 4096  # words that are exchanged in rounds, before all others
+    endings: int = 1024  # classes of words that occur fewer than ``least`` times
+    least: int = 16  # every word with this count has a class of its own
     classes: int = 64
     rounds: int = 8
     lookup: int = 1 << 19  # words whose counts are broadcast
@@ -132,31 +141,37 @@ def likelihood(after: np.ndarray, cls: np.ndarray) -> float:
     return f(joint) - f(joint.sum(0)) - f(joint.sum(1))
 
 
+def _best_class(joint: np.ndarray, a: int, left: np.ndarray, right: np.ndarray) -> int:
+    """Where a type of class a, with these class counts before and after it,
+    raises the likelihood most. Class 0 is the end token's alone."""
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    n, m = right.sum(), left.sum()
+    j, f, s = joint.copy(), joint.sum(1), joint.sum(0)
+    j[:, a] -= left
+    j[a, :] -= right
+    f[a] -= n
+    s[a] -= m
+    j = np.maximum(j, 0)
+    old = xlogx(j)
+    gain = (xlogx(j + left[:, None]) - old).sum(0) + (xlogx(j + right[None, :]) - old).sum(1) \
+        - (xlogx(f + n) - xlogx(f)) - (xlogx(s + m) - xlogx(s))
+    d = np.diag(j)  # gets both
+    gain += xlogx(d + left + right) - xlogx(d + left) - xlogx(d + right) + xlogx(d)
+    gain[0] = -np.inf
+    return int(gain.argmax())
+
+
 def _exchange(before: np.ndarray, after: np.ndarray, cls: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """One round: before[v, c] and after[v, c] count the classes next to type
     v; each movable type goes to the class of greatest likelihood, all other
     types held where they are. Class 0 is the end token's alone."""
     k = before.shape[1]
-    xlogx = lambda x: x * np.log(np.maximum(x, 1))
     joint = np.zeros((k, k))
     np.add.at(joint, cls, after)
-    first, second = joint.sum(1), joint.sum(0)
     out = cls.copy()
     for v in movable:
-        a, left, right = cls[v], before[v], after[v]
-        n, m = right.sum(), left.sum()
-        if not n and not m:
-            continue
-        j, f, s = joint.copy(), first.copy(), second.copy()
-        j[:, a] -= left
-        j[a, :] -= right
-        f[a] -= n
-        s[a] -= m
-        j = np.maximum(j, 0)
-        gain = (xlogx(j + left[:, None]) - xlogx(j)).sum(0) + (xlogx(j + right[None, :]) - xlogx(j)).sum(1) \
-            - (xlogx(f + n) - xlogx(f)) - (xlogx(s + m) - xlogx(s))
-        gain[0] = -np.inf
-        out[v] = int(gain.argmax())
+        if before[v].any() or after[v].any():
+            out[v] = _best_class(joint, cls[v], before[v], after[v])
     return out
 
 
@@ -191,22 +206,188 @@ def _neighbours(streams: DataFrame, cls: np.ndarray, k: int):
     return both[0], both[1]
 
 
+def _sums(keys: list[np.ndarray], n: np.ndarray):
+    """Distinct rows of the key columns, and their sums of n."""
+    order = np.lexsort(keys[::-1])
+    keys, n = [k[order] for k in keys], n[order]
+    new = np.ones(len(n), bool)
+    if len(n):
+        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    at = np.flatnonzero(new)
+    return [k[at] for k in keys], np.add.reduceat(n, at) if len(at) else n
+
+
+def _contexts(block, k: int, endings: int):
+    """Per word beyond the head: its ending and how often which classes stand
+    around it, as class before x k + class after."""
+    def out(held):
+        (w, e, pair), n = held
+        return pa.RecordBatch.from_arrays(
+            [pa.array(w.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(n)],
+            names=["word", "ending", "pair", "n"])
+
+    def merged(parts):
+        return _sums([np.concatenate([p[0][i] for p in parts]) for i in range(3)], np.concatenate([p[1] for p in parts]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, cls = block.value
+        held, size = [], 0
+        for batch in batches:
+            _, offsets = flat(batch.column(0))
+            for a, b in slices(offsets):
+                w, e, _ = tokens(batch.column(0).slice(a, b - a), endings)
+                t = _types(w, e, head)
+                c = cls[t]
+                at = np.flatnonzero(t > len(head))  # never a row's last token, the end
+                before = np.where(at > 0, c[at - 1], 0)
+                held.append(([w[at], e[at], before * k + c[np.minimum(at + 1, len(c) - 1)]], np.ones(len(at), np.int64)))
+                size += len(at)
+                if size > HELD:
+                    held = [merged(held)]
+                    size = len(held[0][1])
+                    if size > HELD // 2:
+                        yield out(held[0])
+                        held, size = [], 0
+        if size:
+            yield out(merged(held))
+    return run
+
+
+WORDS = "word long, ending int, n long, class int, shared boolean"
+
+
+def _placed(block, k: int, least: int):
+    """From rows sorted by word (word, ending, pair, n): one row per word with
+    its count and class, exchanged if it occurs at least ``least`` times."""
+    def place(rows):
+        joint, ending_class = block.value
+        w, e, pair, n = rows
+        at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        count = np.add.reduceat(n, at)
+        cls = ending_class[e[at]]
+        stops = np.append(at[1:], len(w))
+        for i in np.flatnonzero(count >= least):
+            p, m = pair[at[i]:stops[i]], n[at[i]:stops[i]]
+            cls[i] = _best_class(joint, cls[i], np.bincount(p // k, m, k), np.bincount(p % k, m, k))
+        return pa.RecordBatch.from_arrays(
+            [pa.array(w[at]), pa.array(e[at].astype(np.int32)), pa.array(count), pa.array(cls.astype(np.int32)),
+             pa.array(count < least)], names=["word", "ending", "n", "class", "shared"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([c.to_numpy() for c in batch.columns])
+            size += batch.num_rows
+            if size > 1 << 16:
+                rows = [np.concatenate(x) for x in zip(*held)]
+                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on
+                held, size = [[x[whole:] for x in rows]], len(rows[0]) - whole
+                if whole:
+                    yield place([x[:whole] for x in rows])
+        if size:
+            yield place([np.concatenate(x) for x in zip(*held)])
+    return run
+
+
+def _exchange_others(text: DataFrame, head: np.ndarray, cls: np.ndarray, joint: np.ndarray, size: Size) -> DataFrame:
+    """A row per word beyond the head: its count, and its class after one exchange
+    against ``joint``, the class bigrams under ``cls``, the classes of the types."""
+    spark, k = text.sparkSession, size.classes
+    around = text.mapInArrow(_contexts(spark.sparkContext.broadcast((head, cls)), k, size.endings),
+                             "word long, ending int, pair int, n long")
+    # Summed by word and pair first, so that a word brings at most k x k rows to its task.
+    around = around.groupBy("word", "pair").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")).select(
+        "word", "ending", "pair", "n").repartition("word").sortWithinPartitions("word")
+    return around.mapInArrow(
+        _placed(spark.sparkContext.broadcast((joint, cls[len(head) + 1:])), k, size.least), WORDS)
+
+
+def _known(m: dict, w: np.ndarray, e: np.ndarray):
+    """Count (-1: not in the broadcast part of the table), class (of the ending
+    where the count is -1) and whether the word is of its ending's class."""
+    at = np.minimum(np.searchsorted(m["keys"], w), len(m["keys"]) - 1)
+    found = m["keys"][at] == w
+    return np.where(found, m["counts"][at], -1), np.where(found, m["classes"][at], m["ending_class"][e]), \
+        found & m["shared"][at]
+
+
+def _before(late: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each token's predecessor: its class, and whether that is open. What
+    comes first follows an end."""
+    return np.concatenate(([0], c[:-1])), np.concatenate(([False], late[:-1]))
+
+
+def _follow(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """Open tokens (row, pos, lc, word, c, n, shared and others): where ``word``
+    is set, c, n and shared come from the table, or c stays and n is null; lc, null
+    after a token whose word was set, becomes that token's class."""
+    hit = words.select("word", F.col("class").alias("hc"), F.col("n").alias("hn"), F.col("shared").alias("hs"))
+    late = rows.where("word is not null").drop("n", "shared").join(hit, "word", "left")
+    late = late.withColumn("c", F.coalesce("hc", "c")).withColumnsRenamed({"hn": "n", "hs": "shared"}).drop("hc")
+    both = late.unionByName(rows.where("word is null"))
+    order = Window.partitionBy("row").orderBy("pos")
+    return both.withColumn("lc", F.coalesce("lc", F.lag("c").over(order)))
+
+
+def _class_pairs(text: DataFrame, words: DataFrame, m: dict, block) -> np.ndarray:
+    """Class bigrams of the training rows under the final classes."""
+    k, endings = m["size"].classes, m["size"].endings
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, part, row = block.value, TaskContext.get().partitionId(), 0
+        joint = np.zeros(k * k, np.int64)
+        names = ["row", "pos", "lc", "word", "c", "n", "shared"]
+        for batch in batches:
+            _, offsets = flat(batch.column(0))
+            for a, b in slices(offsets):
+                w, e, first = tokens(batch.column(0).slice(a, b - a), endings)
+                n, c, shared = _known(m, w, e)
+                late = n < 0
+                prev, open_ = _before(late, c)
+                rest = late | open_
+                joint += np.bincount((prev * k + c)[~rest], minlength=k * k)
+                at = np.flatnonzero(rest)
+                rows = np.repeat(np.arange(b - a), np.diff(first))[at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array((np.int64(part) << 40) + row + rows), pa.array((at - first[rows]).astype(np.int32)),
+                     pa.array(prev[at].astype(np.int32), mask=open_[at]),
+                     pa.array(w[at].view(np.int64), mask=~late[at]), pa.array(c[at].astype(np.int32)),
+                     pa.array(np.ones(len(at), np.int64)), pa.array(shared[at])], names=names)
+                row += b - a
+        at = np.flatnonzero(joint)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array((at // k).astype(np.int32)),
+             pa.nulls(len(at), pa.int64()), pa.array((at % k).astype(np.int32)), pa.array(joint[at]),
+             pa.array(np.zeros(len(at), bool))], names=names)
+
+    pairs = stage(text.mapInArrow(run, "row long, pos int, lc int, word long, c int, n long, shared boolean"), "class-pairs")
+    late = _follow(pairs.where("row is not null"), words).select("lc", "c", F.lit(1).cast("long").alias("n"))
+    out = np.zeros((k, k))
+    for r in late.unionByName(pairs.where("row is null").select("lc", "c", "n")).groupBy("lc", "c").agg(
+            F.sum("n").alias("n")).collect():  # at most classes x classes rows
+        out[r["lc"], r["c"]] = r["n"]
+    return out
+
+
 def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
-    """The model, with its count table as a staged DataFrame."""
+    """The model, with its table of words (word, ending, n, class, shared) as a
+    staged DataFrame."""
+    spark = docs.sparkSession
     text = small_batches(docs).where(train_on).select(F.col("text").cast("string").alias("text"))
     vocab = stage(text.mapInArrow(_count_words(size.endings), "word long, ending int, n long").groupBy("word").agg(
         F.min("ending").alias("ending"), F.sum("n").alias("n")), "vocabulary")
     one = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
                     F.sum((F.col("n") == 1).cast("long")).alias("n1"),
                     F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
-    total = one["n"] or 0
-    model = {"vocab": vocab, "N": total, "V": one["v"], "size": size}
+    total, k = one["n"] or 0, size.classes
+    model = {"N": total, "V": one["v"], "size": size}
     if not total:
         return model
-    end = np.uint64(END_WORD).view(np.int64)
-    top = _frequent(vocab.where(F.col("word") != int(end)), size.head).collect()
-    head = np.array(sorted(np.array([r["word"] for r in top], np.int64).view(np.uint64)), np.uint64)
-    block = docs.sparkSession.sparkContext.broadcast(head)
+    end = int(np.uint64(END_WORD).view(np.int64))
+    top = sorted(((int(np.int64(r["word"]).view(np.uint64)), r["ending"], r["n"]) for r in
+                  _frequent(vocab.where(F.col("word") != end), size.head).collect()))  # at most size.head rows
+    head = np.array([t[0] for t in top], np.uint64)
+    block = spark.sparkContext.broadcast(head)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,43 +399,49 @@ def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
 
     streams = stage(text.mapInArrow(stream, "types binary"), "type-streams")
     n_types = len(head) + 1 + size.endings
-    cls = np.arange(n_types) % (size.classes - 1) + 1
+    cls = np.arange(n_types) % (k - 1) + 1
     cls[0] = 0
     best = (-np.inf, cls, None)
     for r in range(size.rounds + 1):
-        before, after = _neighbours(streams, cls, size.classes)
+        before, after = _neighbours(streams, cls, k)
         best = max(best, (likelihood(after, cls), cls, after), key=lambda x: x[0])
         if r < size.rounds:
             cls = _exchange(before, after, cls, np.arange(1 + r % 2, n_types, 2))
     _, cls, after = best
-    joint = np.zeros((size.classes, size.classes))
+    joint = np.zeros((k, k))
     np.add.at(joint, cls, after)
-    # Per ending, the seen words that share it (the frequent ones have types of their own).
+    ending_class = cls[len(head) + 1:]
+    others = stage(_exchange_others(text, head, cls, joint, size), "word-classes")
+    first = [(int(np.uint64(w).view(np.int64)), e, n, int(c), False) for (w, e, n), c in zip(top, cls[1:])]
+    ends = total - sum(t[2] for t in top) - (others.agg(F.sum("n")).first()[0] or 0)
+    first.append((end, size.endings, ends, 0, False))
+    words = others.unionByName(spark.createDataFrame(first, WORDS))
+    # The broadcast part of the table: at most size.lookup rows, and the end.
+    more = _frequent(words.where(F.col("word") != end), size.lookup).unionByName(words.where(F.col("word") == end)).select(
+        "word", "n", "class", "shared").toArrow()
+    known, often, classes, shared = (more.column(i).to_numpy() for i in range(4))
+    order = np.argsort(known.view(np.uint64))
+    model |= {"words": words, "ending_class": np.append(ending_class, 0), "keys": known.view(np.uint64)[order],
+              "counts": often[order], "classes": classes[order].astype(np.int64), "shared": shared[order]}
+    # Mass of a class: its own words, and per ending the words that share it with what they give up.
     n1, n2 = one["n1"], one["n2"]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    counts = dict(zip(np.array([r["word"] for r in top], np.int64).view(np.uint64).tolist(), [r["n"] for r in top]))
-    head_n = np.array([counts[int(w)] for w in head], np.float64)
-    seen, mass = np.zeros(size.endings), np.zeros(size.endings)
-    for r in vocab.where(F.col("word") != int(end)).groupBy("ending").agg(
-            F.count("*").alias("v"), F.sum("n").alias("n")).collect():
-        seen[r["ending"]], mass[r["ending"]] = r["v"], r["n"]
-    for r in top:
-        seen[r["ending"]] -= 1
-        mass[r["ending"]] -= r["n"]
-    weight = np.concatenate(([total - head_n.sum() - mass.sum()], head_n, mass + discount))
-    class_mass = np.bincount(cls, weight, size.classes)
+    class_mass, seen = np.zeros(k), np.zeros(size.endings)
+    for r in words.groupBy("class", F.when(F.col("shared"), F.col("ending")).alias("e")).agg(
+            F.sum("n").alias("n"), F.count("*").alias("v")).collect():  # at most classes + endings rows
+        class_mass[r["class"]] += r["n"]
+        if r["e"] is not None:
+            seen[r["e"]] = r["v"]
+    class_mass += np.bincount(ending_class, np.full(size.endings, discount), k)
+    joint = _class_pairs(text, words, model, spark.sparkContext.broadcast({x: y for x, y in model.items() if x != "words"}))
     share = class_mass / class_mass.sum()
     follow = (joint + share) / (joint.sum(1, keepdims=True) + 1)
-    more = _frequent(vocab, max(size.lookup, size.head + 1)).select("word", "n").toArrow()  # at most size.lookup rows
-    known, often = (more.column(k).to_numpy() for k in (0, 1))
-    order = np.argsort(known.view(np.uint64))
-    return model | {
-        "head": head, "cls": cls, "discount": discount, "class_mass": class_mass, "follow": follow,
-        "unseen": discount * (seen + 1), "unseen_share": (seen + 1) / (seen + 1).sum(),
-        "keys": known.view(np.uint64)[order], "counts": often[order]}
+    return model | {"joint": joint, "discount": discount, "class_mass": class_mass, "follow": follow,
+                    "unseen": np.append(discount * (seen + 1), 0), "unseen_share": np.append((seen + 1) / (seen + 1).sum(), 0)}
 
 
-LEFT = pa.list_(pa.struct([("word", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())]))
+OPEN = pa.struct([("pos", pa.int32()), ("lc", pa.int32()), ("word", pa.int64()), ("c", pa.int32()), ("n", pa.int64()),
+                  ("shared", pa.bool_()), ("y", pa.float64()), ("z", pa.float64())])
 
 
 def score(docs: DataFrame, model: dict) -> DataFrame:
@@ -272,57 +459,56 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
         return cols.mapInArrow(only, "doc_id long, n_tokens long").select(
             "doc_id", "n_tokens", F.lit(0).cast("long").alias("n_known"), F.lit(0.0).alias("base_score"),
             F.lit(0.0).alias("score"))
-    block = docs.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "vocab"})
+    spark, k, unit = docs.sparkSession, model["size"].classes, float(total + size + 1)
+    rate = MIXTURE * model["follow"] / np.maximum(model["class_mass"], 1e-300)
+    block = spark.sparkContext.broadcast({x: y for x, y in model.items() if x != "words"} | {"rate": rate})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, part, row = block.value, TaskContext.get().partitionId(), 0
-        n_head = len(m["head"])
         for batch in batches:
             _, offsets = flat(batch.column(1))
             for a, b in slices(offsets):
                 w, e, first = tokens(batch.column(1).slice(a, b - a), endings)
-                t = _types(w, e, m["head"])
-                c = m["cls"][t]
-                prev = np.concatenate(([0], c[:-1]))
-                x = MIXTURE * m["follow"][prev, c] / m["class_mass"][c]
-                n = np.full(len(w), -1)
-                rare = t > n_head
-                n[~rare] = _lookup(m["keys"], m["counts"], w[~rare], -1)
-                n[rare] = _lookup(m["keys"], m["counts"], w[rare], -1)
-                found = n >= 0
-                own = np.where(rare, n - m["discount"], n)
-                p = x * own + (1 - MIXTURE) * (n + 1) / (total + size + 1)
-                s = np.where(found, np.log10(np.where(found, p, 1)), 0)
-                base = np.where(found, np.log10(np.maximum(n, 0) + 1), 0)
+                n, c, shared = _known(m, w, e)
+                late = n < 0
+                prev, open_ = _before(late, c)
+                rest = late | open_
+                p = m["rate"][prev, c] * (n - m["discount"] * shared) + (1 - MIXTURE) * (n + 1) / unit
+                s = np.where(rest, 0, np.log10(np.where(rest, 1, p)))
+                base = np.log10(np.maximum(n, 0) + 1)
                 rows = np.repeat(np.arange(b - a), np.diff(first))
-                left = np.flatnonzero(~found)
-                late = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(rows[left], np.arange(b - a + 1)).astype(np.int32)),
+                at = np.flatnonzero(rest)
+                left = pa.ListArray.from_arrays(
+                    pa.array(np.searchsorted(rows[at], np.arange(b - a + 1)).astype(np.int32)),
                     pa.StructArray.from_arrays(
-                        [pa.array(w[left].view(np.int64)), pa.array(x[left]),
-                         pa.array(x[left] * m["unseen"][e[left]]), pa.array(m["unseen_share"][e[left]])],
-                        fields=list(LEFT.value_type)))
-                k = b - a
+                        [pa.array((at - first[rows[at]]).astype(np.int32)), pa.array(prev[at].astype(np.int32), mask=open_[at]),
+                         pa.array(w[at].view(np.int64), mask=~late[at]), pa.array(c[at].astype(np.int32)),
+                         pa.array(n[at], mask=late[at]), pa.array(shared[at]),
+                         pa.array(m["unseen"][e[at]]), pa.array(m["unseen_share"][e[at]])], fields=list(OPEN)))
+                j = b - a
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.int64(part) << 40) + row + np.arange(k)), batch.column(0).slice(a, k),
-                     pa.array(np.diff(first)), pa.array(np.bincount(rows, found, k).astype(np.int64)),
-                     pa.array(np.bincount(rows, base, k)), pa.array(np.bincount(rows, s, k)), late],
-                    names=["row", "doc_id", "n_tokens", "n_found", "base", "s", "late"])
-                row += k
+                    [pa.array((np.int64(part) << 40) + row + np.arange(j)), batch.column(0).slice(a, j),
+                     pa.array(np.diff(first)), pa.array(np.bincount(rows, ~late, j).astype(np.int64)),
+                     pa.array(np.bincount(rows, base, j)), pa.array(np.bincount(rows, s, j)), left],
+                    names=["row", "doc_id", "n_tokens", "n_found", "base", "s", "open"])
+                row += j
 
     first = stage(cols.mapInArrow(run, (
         "row long, doc_id long, n_tokens long, n_found long, base double, s double, "
-        "late array<struct<word:long,x:double,y:double,z:double>>")), "partial-scores")
-    late = first.select("row", F.explode("late").alias("t")).select("row", "t.*")
-    unit = float(total + size + 1)
-    n = F.col("n")
-    p = F.when(n.isNull(), F.col("y") + (1 - MIXTURE) / unit * F.col("z")).otherwise(
-        F.col("x") * (n - model["discount"]) + (1 - MIXTURE) * (n + 1) / unit)
-    rest = late.join(model["vocab"].select("word", "n"), "word", "left").groupBy("row").agg(
-        F.count("n").alias("more"), F.sum(F.log10(F.coalesce(n, F.lit(0)) + 1)).alias("base2"),
+        "open array<struct<pos:int,lc:int,word:long,c:int,n:long,shared:boolean,y:double,z:double>>")), "partial-scores")
+    rates = spark.createDataFrame([(i, j, float(rate[i, j])) for i in range(k) for j in range(k)], "lc int, c int, x double")
+    opened = first.select("row", F.explode("open").alias("t")).select("row", "t.*")
+    opened = opened.withColumn("late", F.col("word").isNotNull())
+    done = _follow(opened, model["words"]).join(F.broadcast(rates), ["lc", "c"])  # classes x classes rows
+    n, x = F.col("n"), F.col("x")
+    p = F.when(n.isNull(), x * F.col("y") + (1 - MIXTURE) / unit * F.col("z")).otherwise(
+        x * (n - F.col("shared").cast("int") * model["discount"]) + (1 - MIXTURE) * (n + 1) / unit)
+    rest = done.groupBy("row").agg(
+        F.sum((F.col("late") & n.isNotNull()).cast("long")).alias("more"),
+        F.sum(F.when(F.col("late"), F.log10(F.coalesce(n, F.lit(0)) + 1)).otherwise(0.0)).alias("base2"),
         F.sum(F.log10(p)).alias("s2"))
     zero = F.lit(0)
-    return first.drop("late").join(rest, "row", "left").select(
+    return first.drop("open").join(rest, "row", "left").select(
         "doc_id", "n_tokens", (F.col("n_found") + F.coalesce("more", zero)).alias("n_known"),
         (F.col("base") + F.coalesce("base2", zero) - F.col("n_tokens") * float(np.log10(unit))).alias("base_score"),
         (F.col("s") + F.coalesce("s2", zero)).alias("score"))

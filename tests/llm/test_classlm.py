@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,24 +75,121 @@ def test_probabilities_sum_to_one(spark, docs):
     rows = corpus(150)
     df = docs(rows)
     m = classlm.train(df, F.lit(True), SMALL)
-    n_head, unit = len(m["head"]), m["N"] + m["V"] + 1
-    vocab = [(np.int64(r["word"]).view(np.uint64), r["ending"], r["n"]) for r in m["vocab"].collect()]
-    w = np.array([x[0] for x in vocab], np.uint64)
-    e = np.array([x[1] for x in vocab])
-    n = np.array([x[2] for x in vocab], float)
-    t = classlm._types(w, e, m["head"])
-    cls = m["cls"][t]
-    own = np.where(t > n_head, n - m["discount"], n)
-    unseen = m["cls"][n_head + 1 + np.arange(16)]
+    unit = m["N"] + m["V"] + 1
+    words = m["words"].collect()
+    cls = np.array([r["class"] for r in words])
+    n = np.array([r["n"] for r in words], float)
+    own = n - m["discount"] * np.array([r["shared"] for r in words])
+    unseen = m["ending_class"][:16]
     for prev in range(6):
         x = m["follow"][prev] / m["class_mass"].clip(1e-300)
         mix = classlm.MIXTURE
         total = (mix * x[cls] * own + (1 - mix) * (n + 1) / unit).sum()
-        total += (mix * x[unseen] * m["unseen"] + (1 - mix) / unit * m["unseen_share"]).sum()
+        total += (mix * x[unseen] * m["unseen"][:16] + (1 - mix) / unit * m["unseen_share"][:16]).sum()
         empty = m["class_mass"] <= 0
         assert abs(total + mix * m["follow"][prev][empty].sum() - 1) < 1e-9
 
 
+def word_hash(word):
+    if word is None:
+        return int(classlm.END_WORD), SMALL.endings
+    w, e, _ = classlm.tokens(pa.array([word]), SMALL.endings)
+    return int(w[0]), int(e[0])
+
+
+@pytest.mark.parametrize("lookup", [1 << 19, 60, 0])
+def test_score_equals_a_plain_recomputation(spark, docs, lookup):
+    """Class bigrams, masses and every probability from the texts, given only
+    which class each word has; fewer and fewer words are broadcast."""
+    rows = corpus(250) + [(900, None), (901, "never seen words ba1ba"), (901, "never seen words ba1ba"), (902, "ku7ku " * 300)]
+    size = SMALL._replace(lookup=lookup, least=4)
+    m = classlm.train(docs(rows), F.col("doc_id") % 5 != 3, size)
+    train = [tokens(t) for i, t in rows if i % 5 != 3]
+    count = Counter(w for t in train for w in t)
+    table = {int(np.int64(r["word"]).view(np.uint64)): r for r in m["words"].collect()}
+    assert {h: r["n"] for h, r in table.items()} == {word_hash(w)[0]: c for w, c in count.items()}
+    # Every word of the stated count has a class of its own; the others have their ending's.
+    head = {h for h, r in table.items() if not r["shared"] and r["n"] < size.least}
+    assert len(head) <= size.head and all(not r["shared"] for r in table.values() if r["n"] >= size.least)
+    assert sum(not r["shared"] for r in table.values()) > size.head
+    ending = m["ending_class"]
+    assert all(r["class"] == ending[r["ending"]] for r in table.values() if r["shared"])
+
+    def cls(w):
+        h, e = word_hash(w)
+        return table[h]["class"] if h in table else ending[e]
+    k = SMALL.classes
+    joint = np.zeros((k, k))
+    for t in train:
+        for x, y in zip([None] + t, t):
+            joint[cls(x), cls(y)] += 1
+    assert (joint == m["joint"]).all()
+    once, twice = (sum(c == x for c in count.values()) for x in (1, 2))
+    discount = once / (once + 2 * twice)
+    mass, seen = np.zeros(k), Counter()
+    for w, c in count.items():
+        h, e = word_hash(w)
+        mass[cls(w)] += c
+        seen[e] += table[h]["shared"]
+    for e in range(SMALL.endings):
+        mass[ending[e]] += discount
+    share, unit = mass / mass.sum(), m["N"] + m["V"] + 1
+    spread = sum(seen[e] + 1 for e in range(SMALL.endings))
+
+    def log_p(x, y):
+        (h, e), c, d = word_hash(y), cls(x), cls(y)
+        rate = classlm.MIXTURE * (joint[c, d] + share[d]) / (joint[c].sum() + 1) / mass[d]
+        if h in table:
+            n = table[h]["n"]
+            return math.log10(rate * (n - discount * table[h]["shared"]) + (1 - classlm.MIXTURE) * (n + 1) / unit)
+        return math.log10(rate * discount * (seen[e] + 1) + (1 - classlm.MIXTURE) / unit * (seen[e] + 1) / spread)
+    want = sorted((i, round(sum(log_p(x, y) for x, y in zip([None] + tokens(t), tokens(t))), 6)) for i, t in rows)
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in classlm.score(docs(rows), m).collect()) == want
+
+
+def test_rarer_words_go_to_the_class_of_the_greatest_likelihood(spark, docs):
+    """Against a recount of all class bigrams for every word and class."""
+    r = random.Random(5)
+    texts = []
+    for i in range(120):
+        t = [f"{'ba' if i % 2 else 'ku'}{r.randint(0, 40)}" for _ in range(25)]
+        texts.append(" ".join(x for x, y in zip(t, [None] + t) if x != y))
+    size, rng = classlm.Size(endings=4, classes=5, least=20), np.random.default_rng(3)
+    head = np.array(sorted(word_hash(f"ba{i}")[0] for i in range(10)), np.uint64)
+    cls = np.append(0, rng.integers(1, 5, 14))
+    lists = [tokens(t) for t in texts]
+    count = Counter(w for t in lists for w in t)
+
+    def ending(w):
+        return int(classlm.tokens(pa.array([w]), 4)[1][0])
+    of = {w: 0 if w is None else int(classlm._types(np.array([word_hash(w)[0]], np.uint64), np.array([ending(w)]), head)[0])
+          for w in count}
+    of = {w: int(cls[t]) for w, t in of.items()}
+
+    def bigrams(of):
+        joint = np.zeros((5, 5))
+        for t in lists:
+            for x, y in zip([None] + t, t):
+                joint[of[x], of[y]] += 1
+        return joint
+    text = docs(list(enumerate(texts))).select("text")
+    out = {int(np.int64(x["word"]).view(np.uint64)): x for x in
+           classlm._exchange_others(text, head, cls, bigrams(of), size).collect()}
+    rest = [w for w in count if w is not None and word_hash(w)[0] not in head]
+    assert {word_hash(w)[0]: count[w] for w in rest} == {h: x["n"] for h, x in out.items()}
+    moved = 0
+    for w in rest:
+        x = out[word_hash(w)[0]]
+        assert x["shared"] == (count[w] < 20)
+        if x["shared"]:
+            assert x["class"] == of[w]
+            continue
+        like = [-np.inf] + [classlm.likelihood(bigrams(of | {w: d}), np.arange(5)) for d in range(1, 5)]
+        assert like[x["class"]] > max(like) - 1e-6
+        moved += x["class"] != of[w]
+    assert moved > 10 and any(x["shared"] for x in out.values())
+
+
 def test_exchange_raises_the_likelihood():
     """Two groups of types that follow their own kind, of very different sizes."""
     rng = np.random.default_rng(0)
