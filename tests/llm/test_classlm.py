@@ -153,7 +153,7 @@ def test_rarer_words_go_to_the_class_of_the_greatest_likelihood(spark, docs):
     texts = []
     for i in range(120):
         t = [f"{'ba' if i % 2 else 'ku'}{r.randint(0, 40)}" for _ in range(25)]
-        texts.append(" ".join(x for x, y in zip(t, [None] + t) if x != y))
+        texts.append(" ".join([x for x, y in zip(t, [None] + t) if x != y] + [f"rare{i // 3}"]))
     size, rng = classlm.Size(endings=4, classes=5, least=20), np.random.default_rng(3)
     head = np.array(sorted(word_hash(f"ba{i}")[0] for i in range(10)), np.uint64)
     cls = np.append(0, rng.integers(1, 5, 14))
