@@ -8,9 +8,12 @@ the benchmark; each hit names a diagonal (document word against item word),
 which is extended over equal words, and runs of a window's length or more are
 hits. Items shorter than a window are looked up by the hash of the whole item.
 
-The benchmark index is broadcast in blocks of at most about ``BLOCK_BYTES`` of
-item text; a larger benchmark takes more passes over the same rows, with no
-shuffle in any of them.
+The benchmark index is broadcast in blocks of about ``BLOCK_BYTES`` of item
+text, cut by a hash of text and id, so that also the items of one text, however
+many, are spread over the blocks; inside a block equal texts are one entry. A
+larger benchmark takes more passes over the same rows, with no shuffle in any of
+them; after every ``PASSES_HELD`` of them the rows are stored, so a task never
+holds more indexes than that.
 
 Defined results: words are digits, letters a-z (A-Z lower-cased) and non-ASCII
 characters; null or empty texts have no words; items with a null id or without
@@ -29,11 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .stage import small_batches
+from .stage import small_batches, stage
 from .textbytes import ALNUM, LOWER, flat, ngram_hash, prefix_hash, slices, span_hash, words
 
 GRAM = 5
 BLOCK_BYTES = 16 << 20
+PASSES_HELD = 4
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -77,13 +81,15 @@ def fingerprints(hashes: np.ndarray, first: np.ndarray, k: int, w: int):
 
 
 class Index:
-    """Fingerprints of a block of benchmark items."""
+    """Fingerprints of a block of benchmark items, one entry per text."""
 
     def __init__(self, items: list[tuple[int, str]], span: int):
-        hashes, first = _word_hashes(pa.array([t for _, t in items], pa.string()))
-        self.span = span
-        self.ids = [i for i, _ in items]
-        self.words = [hashes[first[i]:first[i + 1]] for i in range(len(items))]
+        by_text: dict[str, set[int]] = {}
+        for i, t in items:
+            by_text.setdefault(t, set()).add(i)
+        hashes, first = _word_hashes(pa.array(list(by_text), pa.string()))
+        self.ids = list(by_text.values())
+        self.words = [hashes[first[i]:first[i + 1]] for i in range(len(self.ids))]
         self.need = np.minimum(np.diff(first), span)
         self.schemes = []
         for need in np.unique(self.need[self.need > 0]):
@@ -159,7 +165,7 @@ def _pass(index):
                     for r, (more, which) in found.items():
                         old = [(s["start"], s["end"]) for s in spans[r]]
                         spans[r] = [{"start": x, "end": y} for x, y in merge(old + more)]
-                        items[r] = sorted(set(items[r]) | {idx.ids[i] for i in which})
+                        items[r] = sorted(set(items[r]).union(*(idx.ids[i] for i in which)))
                     spans, items = pa.array(spans, SPANS), pa.array(items, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(first)), spans, items], names=names)
     return run
@@ -181,7 +187,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, span: int = 10,
                      F.array().cast(STATE["item_ids"].dataType).alias("item_ids"))
     schema = StructType([*docs.drop(*STATE.names).schema.fields, *STATE.fields])
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(blocks)) == b)
         index = Index([(r["item_id"], r["text"]) for r in part.collect()], span)  # a bounded block
+        if b and b % PASSES_HELD == 0:
+            out = stage(out, "overlaps")
         out = out.mapInArrow(_pass(docs.sparkSession.sparkContext.broadcast(index)), schema)
     return out

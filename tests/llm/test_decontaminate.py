@@ -48,6 +48,24 @@ def test_matches_brute_force(spark, docs, block):
     assert run(spark, docs, rows, items, block_bytes=block) == brute(rows, items)
 
 
+def test_one_text_in_a_third_of_the_items(spark, docs, monkeypatch):
+    """Its items are spread over the blocks, none of which is much larger than
+    asked for; every id is reported."""
+    r = random.Random(2)
+    line = lambda n: " ".join(f"w{r.randint(0, 30)}" for _ in range(n))
+    hot = line(12)
+    items = [(k, hot if k % 3 == 0 else line(12)) for k in range(300)] + [(0, hot), (0, hot)]
+    rows = [(1, "x " + hot + " y"), (2, line(50)), (3, items[4][1]), (4, None)]
+    sizes, make = [], decontaminate.Index.__init__
+
+    def index(self, block, span):
+        sizes.append(sum(len(t.encode()) for _, t in block))
+        make(self, block, span)
+    monkeypatch.setattr(decontaminate.Index, "__init__", index)
+    assert run(spark, docs, rows, items, block_bytes=2000) == brute(rows, items)
+    assert len(sizes) > decontaminate.PASSES_HELD and max(sizes) < 4000
+
+
 def test_planted_passage_and_clean_text(spark, docs):
     passage = " ".join(f"w{i}" for i in range(10))
     rows = [(1, f"before {passage} after"), (2, "before " + passage.replace("w5", "v5")), (3, passage.replace(" ", "-,-"))]
