@@ -7,8 +7,9 @@ runs of word characters and runs of others in turn. Boundaries are exactly where
 pieces meet, so an entry stands in a text where pieces in a row equal its own
 pieces; an entry that begins (ends) with a run of other characters needs a piece
 before (behind) it. So occurrences are found by an equi-join of the texts' piece
-n-grams, for the few n that the lexicon has, with the entries. No entry is a
-literal of the plan, and Spark broadcasts the lexicon only if it is small.
+n-grams, for the few n that the lexicon has, with the entries. One pattern per n
+lists a text's n-grams. No entry is a literal of the plan, and the lexicon is
+broadcast only if it is small.
 
 Defined results: a null text is the string ``nan``, like everywhere in the
 quality rules; entries are lower-cased, null and empty ones are left out,
@@ -39,21 +40,51 @@ def entries_of(lexicon: DataFrame, entry_col: str = "entry") -> DataFrame:
             .withColumn("n_pieces", F.size(pieces("entry"))))
 
 
-def _grams(sizes: list[int]) -> Column:
-    """All runs of n pieces that can be an entry: (n_pieces, at, entry)."""
-    p = F.col("pieces")
-    count = F.size(p)
-    word_first = F.coalesce(F.get(p, 0).rlike(f"^[{WORD}]"), F.lit(False))
-    word_last = (count % 2 == 1) == word_first
-    first = F.when(word_first, 1).otherwise(2)
-    last = F.when(word_last, count).otherwise(count - 1)
-
-    def of(n: int) -> Column:
-        starts = F.when(last - (n - 1) >= first, F.sequence(first, last - (n - 1))).otherwise(
-            F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            F.lit(n).alias("n_pieces"), i.alias("at"), F.array_join(F.slice(p, i, n), "").alias("entry")))
-    return F.concat(*[of(n) for n in sizes])
+def _gram_re(n: int) -> str:
+    """Matches a text piece by piece; group 1 is the run of n pieces that begins
+    with the matched one, or nothing where that run cannot be an entry's end."""
+    word, other, more = f"[{WORD}]++", f"[^{WORD}]++", f"(?=[{WORD}])"
+    runs = []
+    for pair in ((word, other), (other, word)):
+        run = "".join(pair[i % 2] for i in range(n))
+        runs.append(run + more if pair[(n - 1) % 2] == other else run)
+    return f"(?:(?=({'|'.join(runs)}))|)(?:{word}|{other})"
+
+
+LONG = 64  # pieces of an entry that one pattern spans
+
+
+def _grams(rows: DataFrame, sizes: list[int]) -> DataFrame:
+    """(id, tie, n_pieces, at, entry) for all runs of n pieces that can be an
+    entry, from (id, tie, low)."""
+    short = [n for n in sizes if n <= LONG]
+    out = None
+    if short:
+        # One pass of a pattern per n: the i-th match is the i-th piece.
+        runs = rows.select("id", "tie", F.substring("low", 1, 1).rlike(f"[^{WORD}]").alias("other first"), F.inline(F.array(*[
+            F.struct(F.lit(n).alias("n_pieces"), F.regexp_extract_all("low", F.lit(_gram_re(n)), 1).alias("runs"))
+            for n in short])))
+        out = runs.select("id", "tie", "n_pieces", "other first", F.posexplode("runs").alias("at", "entry")).where(
+            (F.col("entry") != "") & ~((F.col("at") == 0) & F.col("other first"))).select(
+            "id", "tie", "n_pieces", (F.col("at") + 1).alias("at"), "entry")
+    if len(short) < len(sizes):
+        p = F.col("pieces")
+        word_first = F.coalesce(F.get(p, 0).rlike(f"^[{WORD}]"), F.lit(False))
+        first = F.when(word_first, 1).otherwise(2)
+        last = F.when((F.size(p) % 2 == 1) == word_first, F.size(p)).otherwise(F.size(p) - 1)
+
+        def of(n: int) -> Column:
+            starts = F.when(last - (n - 1) >= first, F.sequence(first, last - (n - 1))).otherwise(
+                F.array().cast("array<int>"))
+            return F.transform(starts, lambda i: F.struct(
+                F.lit(n).alias("n_pieces"), i.alias("at"), F.array_join(F.slice(p, i, n), "").alias("entry")))
+        long_ = rows.select("id", "tie", pieces("low").alias("pieces")).select(
+            "id", "tie", F.inline(F.concat(*[of(n) for n in sizes if n > LONG])))
+        out = long_ if out is None else out.unionByName(long_)
+    return out
+
+
+BROADCAST = 32 << 20  # bytes of a lexicon that every task gets
 
 
 def phrase_hits(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str = "text",
@@ -61,13 +92,15 @@ def phrase_hits(texts: DataFrame, lexicon: DataFrame, id_col: str, text_col: str
     """(id, tie, entry, hits) of all entries that occur; ``tie`` is a hash of
     the text."""
     entries = entries_of(lexicon, entry_col)
-    sizes = sorted(r[0] for r in entries.select("n_pieces").distinct().collect())  # lengths of phrases, a few numbers
+    found = entries.groupBy("n_pieces").agg(F.sum(F.octet_length("entry") + 64).alias("bytes")).collect()
+    sizes = sorted(r["n_pieces"] for r in found)  # lengths of phrases, a few numbers
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))
-    rows = texts.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), pieces(F.lower(text)).alias("pieces"))
+    rows = texts.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("tie"), F.lower(text).alias("low"))
     if not sizes:
         return rows.select("id", "tie", F.lit("").alias("entry"), F.lit(0).cast("long").alias("hits")).limit(0)
-    grams = rows.select("id", "tie", F.inline(_grams(sizes)))
-    found = grams.join(entries, ["entry", "n_pieces"]).groupBy("id", "tie", "entry", "n_pieces").agg(
+    if sum(r["bytes"] for r in found) <= BROADCAST:
+        entries = F.broadcast(entries)
+    found = _grams(rows, sizes).join(entries, ["entry", "n_pieces"]).groupBy("id", "tie", "entry", "n_pieces").agg(
         F.array_sort(F.collect_set("at")).alias("at"))
     step = F.struct(F.lit(0).alias("next"), F.lit(0).cast("long").alias("n"))
     apart = F.aggregate("at", step, lambda s, at: F.when(at >= s["next"], F.struct(
@@ -80,8 +113,9 @@ def count_phrases(df: DataFrame, lexicon: DataFrame, id_col: str, text_col: str
     """``df`` with the number of occurrences of all entries in each text."""
     hits = phrase_hits(df, lexicon, id_col, text_col, entry_col).groupBy(
         F.col("id").alias("hit id"), F.col("tie").alias("hit tie")).agg(F.sum("hits").alias("hit count"))
-    tie = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("nan")))
-    on = F.col(id_col).eqNullSafe(F.col("hit id")) & (tie == F.col("hit tie"))
+    # The hash is a column of its own, so that the join moves no text that the caller drops.
+    tied = df.withColumn("row tie", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("nan"))))
+    on = F.col(id_col).eqNullSafe(F.col("hit id")) & (F.col("row tie") == F.col("hit tie"))
     kept = [c for c in df.columns if c.lower() != name.lower()]
-    return df.join(hits, on, "left").select(
-        *[df[c] for c in kept], F.coalesce("hit count", F.lit(0).cast("long")).alias(name))
+    return tied.join(hits, on, "left").select(
+        *[tied[c] for c in kept], F.coalesce("hit count", F.lit(0).cast("long")).alias(name))

@@ -56,3 +56,30 @@ def test_odd_rows(spark):
     got = sorted(((r["id"] or 0, r["text"] or "", r["bad_word_count"]) for r in LX.count_phrases(df, one, "id").collect()))
     assert got == [(0, "a b", 1), (1, "a b", 1), (1, "a b", 1), (1, "b", 0), (2, "", 1)]
     assert LX.count_phrases(df.limit(0), one, "id").count() == 0
+
+
+def test_characters_of_two_units_and_long_entries(spark):
+    """Letters and signs beyond the first plane, at entries' ends too, and an entry of more pieces than one pattern spans."""
+    long_ = " ".join(f"w{i}" for i in range(50))
+    entries = ["𝒜", "𝒜 b", "b 𝒜", "😀", "b😀", "😀b", "𝒜😀b", "a b c", "a b c d", long_, long_ + "."]
+    rows = list(enumerate(["𝒜 b 𝒜", "b😀b 😀", "😀 b", "𝒜😀b😀", "a b c d a b c", "a b c d.", f"x {long_} y. {long_}.", f"{long_}. b", "b"]))
+    df = spark.createDataFrame(rows, "id int, text string")
+    lexicon = spark.createDataFrame([(e,) for e in entries], "entry string")
+    got = {r["id"]: r["bad_word_count"] for r in LX.count_phrases(df, lexicon, "id").collect()}
+    assert got == {i: by_rule(t, entries) for i, t in rows} and sum(got.values()) > 15
+
+
+def test_no_expression_per_piece_and_no_text_moved(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a b {i}") for i in range(20)], "id int, text string")
+    lexicon = spark.createDataFrame([("a b",), ("b",)], "entry string")
+    out = LX.count_phrases(df, lexicon, "id").select("id", "bad_word_count")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "lambda" not in plan.split("Join Inner")[-1]
+    assert [r["bad_word_count"] for r in out.orderBy("id").collect()] == [2] * 20
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = LX.count_phrases(df, lexicon, "id").select("id", "bad_word_count")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    left = joined.split("Join LeftOuter")[1].splitlines()[1]
+    assert "text" in left and left.count("AS row tie") == 1 and "text#" not in left.split("xxhash64")[0]
