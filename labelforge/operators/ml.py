@@ -149,8 +149,9 @@ def score_tokens(weights: list[float], df: DataFrame, text_col: str = "text", ma
 def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_features: int = 1 << 16,
                        reg: float = 0.01):
     """Regression head on hashed whole-text token counts: native tokenizer
-    (whitespace runs, as ``str.split``), HashingTF, least squares."""
-    from pyspark.ml import Pipeline
+    (whitespace runs, as ``str.split``), HashingTF, least squares. The counts are
+    stored: the fit reads its rows several times, and the texts once."""
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.feature import HashingTF, RegexTokenizer
     from pyspark.ml.regression import LinearRegression
     from ..functions.text import SPLIT_RE
@@ -158,7 +159,8 @@ def fit_text_regressor(train: DataFrame, text_col: str, label_col: str, num_feat
                          toLowercase=True, minTokenLength=1)
     tf = HashingTF(inputCol="_tokens", outputCol="features", numFeatures=num_features)
     lr = LinearRegression(featuresCol="features", labelCol=label_col, regParam=reg, solver="l-bfgs", maxIter=30)
-    return Pipeline(stages=[tok, tf, lr]).fit(train.select(text_col, F.col(label_col).cast("double")))
+    rows = Pipeline(stages=[tok, tf]).fit(train).transform(train.select(text_col, F.col(label_col).cast("double")))
+    return PipelineModel([tok, tf, lr.fit(stored(rows.select("features", label_col), "features"))])
 
 
 def score_text(model, df: DataFrame, text_col: str = "text") -> DataFrame:

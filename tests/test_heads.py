@@ -78,3 +78,19 @@ def test_token_head_sees_the_first_tokens_only(spark):
     long_ = {i: s for i, s in scored.items() if i < 40 and i % 5 == 2 and i > 2}
     assert len(set(np.round(list(long_.values()), 9))) == 1  # what differs lies behind the sixth token
     assert ML.fit_token_head(df.limit(0), "text", "y") == [0.0] * (ML.PROFILE + 1)
+
+
+def test_text_fit_reads_the_texts_once(spark):
+    """However often the optimiser and the fit's summary read the rows."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(text):
+        read.add(1)
+        return text
+    rows = [(f"a{i % 7} b{i % 3} c" * (1 + i % 4), float(i % 5)) for i in range(200)]
+    df = spark.createDataFrame(rows, "text string, y double").repartition(3).withColumn("text", seen("text"))
+    model = ML.fit_text_regressor(df, "text", "y", num_features=64, reg=0.1)
+    assert read.value == len(rows)
+    got = ML.score_text(model, spark.createDataFrame(rows[:3] + [("", 0.0)], "text string, y double"))
+    assert got.columns == ["text", "y", "score", "int_score"] and got.count() == 3
