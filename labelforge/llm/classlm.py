@@ -45,7 +45,7 @@ from .textbytes import LOWER, NOT_SPACE, flat, prefix_hash, slices, span_hash, w
 
 MIXTURE = 0.98
 END_WORD = np.uint64(0x5851F42D4C957F2D)
-HELD = 1 << 20  # distinct words that a task holds before it passes them on
+HELD = 1 << 18  # rows that a task holds before it merges them, and passes them on
 CHUNK = 256
 
 
@@ -240,7 +240,8 @@ def _contexts(block, k: int, endings: int):
                 c = cls[t]
                 at = np.flatnonzero(t > len(head))  # never a row's last token, the end
                 before = np.where(at > 0, c[at - 1], 0)
-                held.append(([w[at], e[at], before * k + c[np.minimum(at + 1, len(c) - 1)]], np.ones(len(at), np.int64)))
+                pair = before * k + c[np.minimum(at + 1, len(c) - 1)]
+                held.append(([w[at], e[at].astype(np.int32), pair.astype(np.int32)], np.ones(len(at), np.int64)))
                 size += len(at)
                 if size > HELD:
                     held = [merged(held)]
