@@ -389,23 +389,28 @@ class SuffixArray:
     def __init__(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray):
         self.data, self.begin, self.size, n = data, begin, size, len(data)
         most = int(size.max()) if len(size) else 0
-        self.left = left = np.repeat(begin + size, size) - np.arange(n)  # bytes up to the piece's end
-        symbol = np.zeros(n + 6, np.int64)
-        symbol[:n] = data.astype(np.int64) + 1
+        # Places are 32-bit numbers: a shard holds a bounded number of bytes.
+        self.left = left = np.repeat((begin + size).astype(np.int32), size)  # bytes up to the piece's end
+        left -= np.arange(n, dtype=np.int32)
+        symbol = np.zeros(n + 6, np.uint16)
+        symbol[:n] = data
+        symbol[:n] += 1
         key = np.zeros(n, np.int64)
         for k in range(6):
-            key = key << 9 | np.where(left > k, symbol[k:k + n], 0)
-        order = np.argsort(key)
+            key <<= 9
+            key |= np.where(left > k, symbol[k:k + n], 0)
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         new = np.ones(n, bool)
         new[1:] = key[1:] != key[:-1]
-        rank = np.zeros(n + most, np.int64)  # place of the first suffix that ties with this one
-        rank[order] = np.flatnonzero(new)[np.cumsum(new) - 1] + 1
+        del key, symbol
+        rank = np.zeros(n + most, np.int32)  # place of the first suffix that ties with this one
+        rank[order] = np.flatnonzero(new).astype(np.int32)[np.cumsum(new, dtype=np.int32) - 1] + 1
         tied = np.flatnonzero(~(new & np.append(new[1:], True)))  # places in groups of several
         h = 6
         while h < most and len(tied):
             who = order[tied]
-            key = rank[who] << 32 | np.where(left[who] > h, rank[who + h], 0)
+            key = rank[who].astype(np.int64) << 32 | np.where(left[who] > h, rank[who + h], 0)
             again = np.argsort(key)
             who, key = who[again], key[again]
             order[tied] = who
@@ -416,7 +421,7 @@ class SuffixArray:
             tied = tied[~(split & np.append(split[1:], True))]
             h *= 2
         who = order[tied]  # equal to their ends
-        order[tied] = who[np.argsort(rank[who] << 32 | who)]
+        order[tied] = who[np.argsort(rank[who].astype(np.int64) << 32 | who)]
         self.every = order
         self.long = left[order] >= LENGTH
         self.order = order[self.long]
@@ -425,10 +430,10 @@ class SuffixArray:
         """Common prefix of each entry of ``order`` with the one before it, by
         Kasai's rule: all pieces advance by one suffix per round, and what a
         piece's suffix shares with its predecessor shrinks by one at most."""
-        place = np.empty(len(self.data), np.int64)
-        place[self.every] = np.arange(len(self.every))
-        out = np.zeros(len(self.every), np.int64)
-        known = np.zeros(len(self.begin), np.int64)
+        place = np.empty(len(self.data), np.int32)
+        place[self.every] = np.arange(len(self.every), dtype=np.int32)
+        out = np.zeros(len(self.every), np.int32)
+        known = np.zeros(len(self.begin), np.int32)
         for t in range(int(self.size.max()) if len(self.size) else 0):
             live = np.flatnonzero(self.size > t)
             here = self.begin[live] + t
