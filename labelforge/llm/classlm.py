@@ -8,18 +8,20 @@ the most frequent words (``head``), each a type of its own, and the endings
 each round counts, over the whole training corpus, what classes stand before and
 after each type, and then moves every second type to the class that raises the
 class-bigram likelihood most; the best round's classes are kept. Then every other
-word that occurs at least ``least`` times is exchanged once: the classes before
-and after it are counted in a table of a row per word, and tasks move each word
-from its ending's class to the class of the greatest likelihood. How many words
+word that occurs at least ``least`` times is exchanged once: its tokens, each with the
+classes before and after it, meet in one task, which moves the word from its
+ending's class to the class of the greatest likelihood. How many words
 have a class of their own so grows with the corpus; only words that occur more
 rarely than that, or never, have the class of their ending. The class bigrams are
 counted anew with the final classes.
 
 Words, counts and classes are a table. The more frequent ones (at most
-``lookup``) are broadcast; tokens of all other words are joined with the table,
-in training and in scoring, and meet their neighbours by row and position. Words
-of an ending's class give up an absolute discount, which is what an unseen word
-of that ending gets. P0 is the add-one unigram.
+``lookup``) are broadcast. A word beyond them has its ending's class, unless its
+bit is set in a broadcast filter of the others with a class of their own: the
+classes of words with such a bit are joined, in training and in scoring, and in
+scoring the counts of all words beyond the broadcast ones. Words of an ending's
+class give up an absolute discount, which is what an unseen word of that ending
+gets. P0 is the add-one unigram.
 
 Defined results: null text counts as empty (one end token); null ids are
 training rows and score as any other; repeated rows count as often as they
@@ -38,14 +40,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .stage import small_batches, stage
-from .textbytes import LOWER, NOT_SPACE, flat, prefix_hash, slices, span_hash, words
+from .textbytes import LOWER, NOT_SPACE, flat, packed, prefix_hash, slices, span_hash, unpacked, words
 
 MIXTURE = 0.98
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 HELD = 1 << 18  # rows that a task holds before it merges them, and passes them on
+PART_ROWS = 1 << 20  # tokens that meet in one group, about
+MARK_BITS = 25  # leading bits of a word's hash that a filter of words looks at
 CHUNK = 256
 
 
@@ -79,8 +82,10 @@ def tokens(column: pa.Array, endings: int):
 def _count_words(endings: int):
     def merged(parts):
         w, e, n = (np.concatenate(x) for x in zip(*parts))
-        kinds, first, at = np.unique(w, return_index=True, return_inverse=True)
-        return kinds, e[first], np.bincount(at, n, len(kinds)).astype(np.int64)
+        order = np.argsort(w)
+        w = w[order]
+        at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        return w[at], e[order[at]], np.add.reduceat(n[order], at)
 
     def out(held):
         w, e, n = held
@@ -104,8 +109,8 @@ def _count_words(endings: int):
     return run
 
 
-def _frequent(vocab: DataFrame, most: int) -> DataFrame:
-    """The words above a count level, the lowest with at most ``most`` words."""
+def _frequent(vocab: DataFrame, most: int) -> Column:
+    """Whether a word is above a count level, the lowest with at most ``most`` words."""
     level = F.floor(F.log2(F.col("n")) * 16)
     steps = sorted(vocab.groupBy(level.alias("level")).agg(F.count("*").alias("k")).collect(),
                    key=lambda r: -r["level"])
@@ -115,13 +120,47 @@ def _frequent(vocab: DataFrame, most: int) -> DataFrame:
         if total > most:
             break
         least = r["level"]
-    return vocab.where(level >= least)
+    return level >= least
+
+
+def _marks(words: DataFrame) -> np.ndarray:
+    """A filter of words: bytes with a bit for every MARK_BITS leading bits of a
+    hash, set where one of ``words`` has them. Other words can have them too."""
+    at = words.select(F.shiftrightunsigned("word", 64 - MARK_BITS).alias("at"))
+    rows = at.groupBy(F.shiftright("at", 6).alias("slot")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(at & 63 as int)))").alias("bits")).toArrow()  # at most 2^19 rows
+    out = np.zeros(1 << (MARK_BITS - 6), np.int64)
+    out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
+    return out.astype("<i8").view(np.uint8)
+
+
+def _marked(marks: np.ndarray, word: np.ndarray) -> np.ndarray:
+    at = (word >> np.uint64(64 - MARK_BITS)).view(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _index(keys: np.ndarray) -> np.ndarray:
+    """For _find: where, among sorted hashes, those of each leading bits begin."""
+    bits = len(keys).bit_length() + 1
+    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
+    return np.searchsorted(keys, edges).astype(np.int32)
+
+
+def _find(keys: np.ndarray, index: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of the first key that is not below each wanted hash, or the last place."""
+    last = len(keys) - 1
+    at = np.minimum(index[(wanted >> np.uint64(65 - len(index).bit_length())).view(np.int64)], last)
+    below = np.flatnonzero(keys[at] < wanted)
+    while len(below := below[at[below] < last]):
+        at[below] += 1
+        below = below[keys[at[below]] < wanted[below]]
+    return at
 
 
 def _lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, default: int) -> np.ndarray:
     if not len(keys):
         return np.full(len(wanted), default)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    at = _find(keys, _index(keys), wanted)
     return np.where(keys[at] == wanted, values[at], default)
 
 
@@ -161,6 +200,43 @@ def _best_class(joint: np.ndarray, a: int, left: np.ndarray, right: np.ndarray)
     return int(gain.argmax())
 
 
+def _best_classes(joint: np.ndarray, a: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """_best_class of many words at once: classes a, rows of counts left and
+    right. Only classes that stand next to a word add to its likelihood."""
+    xlogx = lambda x: x * np.log(np.maximum(x, 1))
+    each, n, m = np.arange(len(a)), right.sum(1), left.sum(1)
+    row, column = joint[a] - right, joint.T[a] - left  # of class a, without the word
+    row[each, a] -= left[each, a]
+    column[each, a] -= right[each, a]
+    row, column = np.maximum(row, 0), np.maximum(column, 0)
+
+    def next_to(side, joint, row, column):
+        out = np.zeros(side.shape)
+        w, i = np.nonzero(side)
+        if not len(w):
+            return out
+        j, old = joint[i], xlogx(joint)[i]
+        own = np.flatnonzero(i == a[w])
+        j[own] = row[w[own]]
+        old[own] = xlogx(j[own])
+        at = np.arange(len(w)), a[w]
+        j[at] = column[w, i]
+        old[at] = xlogx(j[at])
+        first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+        out[w[first]] = np.add.reduceat(xlogx(j + side[w, i][:, None]) - old, first)
+        return out
+
+    f, s, d = (np.tile(x, (len(a), 1)) for x in (joint.sum(1), joint.sum(0), np.diag(joint)))
+    f[each, a] -= n
+    s[each, a] -= m
+    d[each, a] = row[each, a]
+    gain = next_to(left, joint, row, column) + next_to(right, joint.T, column, row) \
+        - (xlogx(f + n[:, None]) - xlogx(f)) - (xlogx(s + m[:, None]) - xlogx(s))
+    gain += xlogx(d + left + right) - xlogx(d + left) - xlogx(d + right) + xlogx(d)
+    gain[:, 0] = -np.inf
+    return gain.argmax(1)
+
+
 def _exchange(before: np.ndarray, after: np.ndarray, cls: np.ndarray, movable: np.ndarray) -> np.ndarray:
     """One round: before[v, c] and after[v, c] count the classes next to type
     v; each movable type goes to the class of greatest likelihood, all other
@@ -206,51 +282,66 @@ def _neighbours(streams: DataFrame, cls: np.ndarray, k: int):
     return both[0], both[1]
 
 
-def _sums(keys: list[np.ndarray], n: np.ndarray):
-    """Distinct rows of the key columns, and their sums of n."""
-    order = np.lexsort(keys[::-1])
-    keys, n = [k[order] for k in keys], n[order]
-    new = np.ones(len(n), bool)
-    if len(n):
-        new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-    at = np.flatnonzero(new)
-    return [k[at] for k in keys], np.add.reduceat(n, at) if len(at) else n
+def _vocabulary(text: DataFrame, size: Size) -> DataFrame:
+    return stage(text.mapInArrow(_count_words(size.endings), "word long, ending int, n long").groupBy("word").agg(
+        F.min("ending").alias("ending"), F.sum("n").alias("n")), "vocabulary")
 
 
-def _contexts(block, k: int, endings: int):
-    """Per word beyond the head: its ending and how often which classes stand
-    around it, as class before x k + class after."""
-    def out(held):
-        (w, e, pair), n = held
-        return pa.RecordBatch.from_arrays(
-            [pa.array(w.view(np.int64)), pa.array(e.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(n)],
-            names=["word", "ending", "pair", "n"])
-
-    def merged(parts):
-        return _sums([np.concatenate([p[0][i] for p in parts]) for i in range(3)], np.concatenate([p[1] for p in parts]))
+def _streams(text: DataFrame, head: np.ndarray, often: DataFrame, size: Size) -> DataFrame:
+    """A row per slice of texts: the tokens' types, a bit per token that may be
+    one of the words ``often`` (none of the head), and the hashes of these."""
+    block = text.sparkSession.sparkContext.broadcast((head, _marks(often)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, cls = block.value
-        held, size = [], 0
+        head, marks = block.value
         for batch in batches:
             _, offsets = flat(batch.column(0))
             for a, b in slices(offsets):
-                w, e, _ = tokens(batch.column(0).slice(a, b - a), endings)
+                w, e, _ = tokens(batch.column(0).slice(a, b - a), size.endings)
                 t = _types(w, e, head)
-                c = cls[t]
-                at = np.flatnonzero(t > len(head))  # never a row's last token, the end
-                before = np.where(at > 0, c[at - 1], 0)
-                pair = before * k + c[np.minimum(at + 1, len(c) - 1)]
-                held.append(([w[at], e[at].astype(np.int32), pair.astype(np.int32)], np.ones(len(at), np.int64)))
-                size += len(at)
+                own = t > len(head)
+                own[own] = _marked(marks, w[own])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([x.tobytes()], pa.binary()) for x in (t.astype("<u2"), np.packbits(own), w[own])],
+                    names=["types", "own", "words"])
+
+    return stage(text.mapInArrow(run, "types binary, own binary, words binary"), "type-streams")
+
+
+def _slices_of(batch: pa.RecordBatch):
+    """Of each row of _streams: types, places of the words of their own, their hashes."""
+    for types, own, word in zip(*batch.columns):
+        x = np.frombuffer(types.as_buffer(), "<u2").astype(np.int64)
+        at = np.flatnonzero(np.unpackbits(np.frombuffer(own.as_buffer(), np.uint8), count=len(x)))
+        yield x, at, np.frombuffer(word.as_buffer(), np.uint64)
+
+
+CONTEXT = np.dtype([("word", "<u8"), ("ending", "<u2"), ("pair", "<u2")])
+
+
+def _contexts(block, k: int, parts: int):
+    """Words of their own, a record per token: its ending, and the classes that
+    stand around it, as class before x k + class after. Packed by part."""
+    def out(held):
+        rows = np.concatenate(held)
+        return packed((rows["word"] % np.uint64(parts)).astype(np.int64), rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, cls = block.value
+        held, size = [], 0
+        for batch in batches:
+            for x, at, word in _slices_of(batch):
+                c = cls[x]
+                rows = np.empty(len(at), CONTEXT)
+                rows["word"], rows["ending"] = word, x[at] - heads - 1
+                rows["pair"] = np.where(at > 0, c[at - 1], 0) * k + c[at + 1]  # never the last token, an end
+                held.append(rows)
+                size += len(rows)
                 if size > HELD:
-                    held = [merged(held)]
-                    size = len(held[0][1])
-                    if size > HELD // 2:
-                        yield out(held[0])
-                        held, size = [], 0
+                    yield out(held)
+                    held, size = [], 0
         if size:
-            yield out(merged(held))
+            yield out(held)
     return run
 
 
@@ -258,113 +349,113 @@ WORDS = "word long, ending int, n long, class int, shared boolean"
 
 
 def _placed(block, k: int, least: int):
-    """From rows sorted by word (word, ending, pair, n): one row per word with
-    its count and class, exchanged if it occurs at least ``least`` times."""
-    def place(rows):
+    """From the records of a part: a row per word that occurs at least ``least``
+    times, with its count and its class after one exchange."""
+    def run(table: pa.Table) -> pa.Table:
         joint, ending_class = block.value
-        w, e, pair, n = rows
+        rows = unpacked(table.column("rows"), CONTEXT)
+        rows = rows[np.argsort(rows["word"])]
+        w = rows["word"]
         at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        count = np.add.reduceat(n, at)
-        cls = ending_class[e[at]]
-        stops = np.append(at[1:], len(w))
-        for i in np.flatnonzero(count >= least):
-            p, m = pair[at[i]:stops[i]], n[at[i]:stops[i]]
-            cls[i] = _best_class(joint, cls[i], np.bincount(p // k, m, k), np.bincount(p % k, m, k))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(w[at]), pa.array(e[at].astype(np.int32)), pa.array(count), pa.array(cls.astype(np.int32)),
-             pa.array(count < least)], names=["word", "ending", "n", "class", "shared"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            size += batch.num_rows
-            if size > 1 << 16:
-                rows = [np.concatenate(x) for x in zip(*held)]
-                whole = int(np.searchsorted(rows[0], rows[0][-1]))  # the last word may go on
-                held, size = [[x[whole:] for x in rows]], len(rows[0]) - whole
-                if whole:
-                    yield place([x[:whole] for x in rows])
-        if size:
-            yield place([np.concatenate(x) for x in zip(*held)])
+        count = np.diff(np.append(at, len(w)))
+        kept = count >= least
+        rows, at, count = rows[np.repeat(kept, count)], at[kept], count[kept]
+        w, e = w[at], rows["ending"][np.cumsum(count) - count].astype(np.int64)
+        cls, ends = ending_class[e], np.cumsum(count)
+        for i in range(0, len(w), CHUNK):
+            a, b = ends[i] - count[i], ends[min(i + CHUNK, len(w)) - 1]
+            some = count[i:i + CHUNK]
+            of, pair = np.repeat(np.arange(len(some)) * k, some), rows["pair"][a:b].astype(np.int64)
+            left, right = (np.bincount(of + c, minlength=len(some) * k).reshape(-1, k).astype(float)
+                           for c in (pair // k, pair % k))
+            cls[i:i + CHUNK] = _best_classes(joint, cls[i:i + CHUNK], left, right)
+        return pa.table({"word": w.view(np.int64), "ending": e.astype(np.int32), "n": count,
+                         "class": cls.astype(np.int32), "shared": np.zeros(len(w), bool)})
     return run
 
 
-def _exchange_others(text: DataFrame, head: np.ndarray, cls: np.ndarray, joint: np.ndarray, size: Size) -> DataFrame:
+def _exchange_others(text: DataFrame, head: np.ndarray, cls: np.ndarray, joint: np.ndarray, size: Size,
+                     vocab: DataFrame | None = None, streams: DataFrame | None = None) -> DataFrame:
     """A row per word beyond the head: its count, and its class after one exchange
-    against ``joint``, the class bigrams under ``cls``, the classes of the types."""
+    against ``joint``, the class bigrams under ``cls``, the classes of the types.
+    ``vocab`` and ``streams`` are made from the texts where they are not given.
+    Only words of ``least`` tokens are exchanged; all others keep their ending's class."""
     spark, k = text.sparkSession, size.classes
-    around = text.mapInArrow(_contexts(spark.sparkContext.broadcast((head, cls)), k, size.endings),
-                             "word long, ending int, pair int, n long")
-    # Summed by word and pair first, so that a word brings at most k x k rows to its task.
-    around = around.groupBy("word", "pair").agg(F.min("ending").alias("ending"), F.sum("n").alias("n")).select(
-        "word", "ending", "pair", "n").repartition("word").sortWithinPartitions("word")
-    return around.mapInArrow(
+    vocab = _vocabulary(text, size) if vocab is None else vocab
+    others, often = _beyond(vocab, head), F.col("n") >= size.least
+    streams = _streams(text, head, others.where(often), size) if streams is None else streams
+    # A word beyond a full head has fewer than 1 / size.head of all tokens, so a part stays small.
+    parts = -(-(others.where(often).agg(F.sum("n")).first()[0] or 1) // PART_ROWS)
+    around = streams.mapInArrow(_contexts(spark.sparkContext.broadcast((len(head), cls)), k, parts), "part long, rows binary")
+    own = around.groupBy("part").applyInArrow(
         _placed(spark.sparkContext.broadcast((joint, cls[len(head) + 1:])), k, size.least), WORDS)
+    ending = spark.createDataFrame([(e, int(c)) for e, c in enumerate(cls[len(head) + 1:])], "ending int, class int")
+    rare = others.where(~often).join(F.broadcast(ending), "ending")  # size.endings rows
+    return own.unionByName(rare.select("word", "ending", "n", "class", F.lit(True).alias("shared")))
+
+
+def _beyond(vocab: DataFrame, head: np.ndarray) -> DataFrame:
+    """The words that are neither of the head nor the end token."""
+    known = [(int(w),) for w in np.append(head, END_WORD).view(np.int64)]
+    return vocab.join(F.broadcast(vocab.sparkSession.createDataFrame(known, "word long")), "word", "left_anti")
 
 
 def _known(m: dict, w: np.ndarray, e: np.ndarray):
     """Count (-1: not in the broadcast part of the table), class (of the ending
-    where the count is -1) and whether the word is of its ending's class."""
-    at = np.minimum(np.searchsorted(m["keys"], w), len(m["keys"]) - 1)
+    where the count is -1), whether the word is of its ending's class, and
+    whether its class is open."""
+    at = _find(m["keys"], m["index"], w)
     found = m["keys"][at] == w
+    open_ = ~found
+    open_[open_] = _marked(m["marks"], w[open_])
     return np.where(found, m["counts"][at], -1), np.where(found, m["classes"][at], m["ending_class"][e]), \
-        found & m["shared"][at]
+        found & m["shared"][at], open_
 
 
-def _before(late: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each token's predecessor: its class, and whether that is open. What
-    comes first follows an end."""
-    return np.concatenate(([0], c[:-1])), np.concatenate(([False], late[:-1]))
+def _before(x: np.ndarray, first) -> np.ndarray:
+    """What stands before each token; ``first`` before the first, which follows an end."""
+    return np.concatenate(([first], x[:-1]))
 
 
-def _follow(rows: DataFrame, words: DataFrame) -> DataFrame:
-    """Open tokens (row, pos, lc, word, c, n, shared and others): where ``word``
-    is set, c, n and shared come from the table, or c stays and n is null; lc, null
-    after a token whose word was set, becomes that token's class."""
-    hit = words.select("word", F.col("class").alias("hc"), F.col("n").alias("hn"), F.col("shared").alias("hs"))
-    late = rows.where("word is not null").drop("n", "shared").join(hit, "word", "left")
-    late = late.withColumn("c", F.coalesce("hc", "c")).withColumnsRenamed({"hn": "n", "hs": "shared"}).drop("hc")
-    both = late.unionByName(rows.where("word is null"))
-    order = Window.partitionBy("row").orderBy("pos")
-    return both.withColumn("lc", F.coalesce("lc", F.lag("c").over(order)))
+def _classed(rows: DataFrame, words: DataFrame, word: str, cls: str) -> DataFrame:
+    """``rows`` with the class of ``word`` from the table as ``cls``, where word is set and known."""
+    hit = words.select(F.col("word").alias(word), F.col("class").alias("hc"), F.col("n").alias("hn"),
+                       F.col("shared").alias("hs"))
+    late = rows.where(F.col(word).isNotNull()).join(hit, word, "left").withColumn(cls, F.coalesce("hc", cls))
+    return late.unionByName(rows.where(F.col(word).isNull()), allowMissingColumns=True)
 
 
-def _class_pairs(text: DataFrame, words: DataFrame, m: dict, block) -> np.ndarray:
+def _class_pairs(streams: DataFrame, words: DataFrame, m: dict, block) -> np.ndarray:
     """Class bigrams of the training rows under the final classes."""
-    k, endings = m["size"].classes, m["size"].endings
+    k, heads = m["size"].classes, m["heads"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, part, row = block.value, TaskContext.get().partitionId(), 0
+        m = block.value
         joint = np.zeros(k * k, np.int64)
-        names = ["row", "pos", "lc", "word", "c", "n", "shared"]
+        names = ["lw", "lc", "word", "c", "n"]
         for batch in batches:
-            _, offsets = flat(batch.column(0))
-            for a, b in slices(offsets):
-                w, e, first = tokens(batch.column(0).slice(a, b - a), endings)
-                n, c, shared = _known(m, w, e)
-                late = n < 0
-                prev, open_ = _before(late, c)
+            for x, at, word in _slices_of(batch):
+                c, late, w = m["types"][x], np.zeros(len(x), bool), np.zeros(len(x), np.uint64)
+                w[at] = word
+                _, c[at], _, late[at] = _known(m, word, x[at] - heads - 1)
+                prev, open_ = _before(c, 0), _before(late, False)
                 rest = late | open_
                 joint += np.bincount((prev * k + c)[~rest], minlength=k * k)
                 at = np.flatnonzero(rest)
-                rows = np.repeat(np.arange(b - a), np.diff(first))[at]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((np.int64(part) << 40) + row + rows), pa.array((at - first[rows]).astype(np.int32)),
-                     pa.array(prev[at].astype(np.int32), mask=open_[at]),
-                     pa.array(w[at].view(np.int64), mask=~late[at]), pa.array(c[at].astype(np.int32)),
-                     pa.array(np.ones(len(at), np.int64)), pa.array(shared[at])], names=names)
-                row += b - a
+                if len(at):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(_before(w, np.uint64(0))[at].view(np.int64), mask=~open_[at]), pa.array(prev[at].astype(np.int32)),
+                         pa.array(w[at].view(np.int64), mask=~late[at]), pa.array(c[at].astype(np.int32)),
+                         pa.array(np.ones(len(at), np.int64))], names=names)
         at = np.flatnonzero(joint)
         yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array((at // k).astype(np.int32)),
-             pa.nulls(len(at), pa.int64()), pa.array((at % k).astype(np.int32)), pa.array(joint[at]),
-             pa.array(np.zeros(len(at), bool))], names=names)
+            [pa.nulls(len(at), pa.int64()), pa.array((at // k).astype(np.int32)), pa.nulls(len(at), pa.int64()),
+             pa.array((at % k).astype(np.int32)), pa.array(joint[at])], names=names)
 
-    pairs = stage(text.mapInArrow(run, "row long, pos int, lc int, word long, c int, n long, shared boolean"), "class-pairs")
-    late = _follow(pairs.where("row is not null"), words).select("lc", "c", F.lit(1).cast("long").alias("n"))
+    pairs = stage(streams.mapInArrow(run, "lw long, lc int, word long, c int, n long"), "class-pairs")
+    pairs = _classed(pairs, words, "lw", "lc").select("lc", "word", "c", "n")
     out = np.zeros((k, k))
-    for r in late.unionByName(pairs.where("row is null").select("lc", "c", "n")).groupBy("lc", "c").agg(
+    for r in _classed(pairs, words, "word", "c").groupBy("lc", "c").agg(
             F.sum("n").alias("n")).collect():  # at most classes x classes rows
         out[r["lc"], r["c"]] = r["n"]
     return out
@@ -375,8 +466,7 @@ def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
     staged DataFrame."""
     spark = docs.sparkSession
     text = small_batches(docs).where(train_on).select(F.col("text").cast("string").alias("text"))
-    vocab = stage(text.mapInArrow(_count_words(size.endings), "word long, ending int, n long").groupBy("word").agg(
-        F.min("ending").alias("ending"), F.sum("n").alias("n")), "vocabulary")
+    vocab = _vocabulary(text, size)
     one = vocab.agg(F.sum("n").alias("n"), F.count("*").alias("v"),
                     F.sum((F.col("n") == 1).cast("long")).alias("n1"),
                     F.sum((F.col("n") == 2).cast("long")).alias("n2")).first()
@@ -385,26 +475,17 @@ def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
     if not total:
         return model
     end = int(np.uint64(END_WORD).view(np.int64))
+    no_end = vocab.where(F.col("word") != end)
     top = sorted(((int(np.int64(r["word"]).view(np.uint64)), r["ending"], r["n"]) for r in
-                  _frequent(vocab.where(F.col("word") != end), size.head).collect()))  # at most size.head rows
+                  no_end.where(_frequent(no_end, size.head)).collect()))  # at most size.head rows
     head = np.array([t[0] for t in top], np.uint64)
-    block = spark.sparkContext.broadcast(head)
-
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            _, offsets = flat(batch.column(0))
-            for a, b in slices(offsets):
-                w, e, _ = tokens(batch.column(0).slice(a, b - a), size.endings)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([_types(w, e, block.value).astype("<u2").tobytes()], pa.binary())], names=["types"])
-
-    streams = stage(text.mapInArrow(stream, "types binary"), "type-streams")
+    streams = _streams(text, head, _beyond(vocab, head).where(F.col("n") >= size.least), size)
     n_types = len(head) + 1 + size.endings
     cls = np.arange(n_types) % (k - 1) + 1
     cls[0] = 0
     best = (-np.inf, cls, None)
     for r in range(size.rounds + 1):
-        before, after = _neighbours(streams, cls, k)
+        before, after = _neighbours(streams.select("types"), cls, k)
         best = max(best, (likelihood(after, cls), cls, after), key=lambda x: x[0])
         if r < size.rounds:
             cls = _exchange(before, after, cls, np.arange(1 + r % 2, n_types, 2))
@@ -412,18 +493,22 @@ def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
     joint = np.zeros((k, k))
     np.add.at(joint, cls, after)
     ending_class = cls[len(head) + 1:]
-    others = stage(_exchange_others(text, head, cls, joint, size), "word-classes")
+    others = stage(_exchange_others(text, head, cls, joint, size, vocab, streams), "word-classes")
     first = [(int(np.uint64(w).view(np.int64)), e, n, int(c), False) for (w, e, n), c in zip(top, cls[1:])]
     ends = total - sum(t[2] for t in top) - (others.agg(F.sum("n")).first()[0] or 0)
     first.append((end, size.endings, ends, 0, False))
     words = others.unionByName(spark.createDataFrame(first, WORDS))
     # The broadcast part of the table: at most size.lookup rows, and the end.
-    more = _frequent(words.where(F.col("word") != end), size.lookup).unionByName(words.where(F.col("word") == end)).select(
+    no_end = words.where(F.col("word") != end)
+    often = _frequent(no_end, size.lookup)
+    more = no_end.where(often).unionByName(words.where(F.col("word") == end)).select(
         "word", "n", "class", "shared").toArrow()
-    known, often, classes, shared = (more.column(i).to_numpy() for i in range(4))
+    known, count, classes, shared = (more.column(i).to_numpy() for i in range(4))
     order = np.argsort(known.view(np.uint64))
-    model |= {"words": words, "ending_class": np.append(ending_class, 0), "keys": known.view(np.uint64)[order],
-              "counts": often[order], "classes": classes[order].astype(np.int64), "shared": shared[order]}
+    keys = known.view(np.uint64)[order]
+    model |= {"words": words, "heads": len(head), "types": cls, "ending_class": np.append(ending_class, 0), "keys": keys,
+              "index": _index(keys), "counts": count[order], "classes": classes[order].astype(np.int64),
+              "shared": shared[order], "marks": _marks(no_end.where(~often & ~F.col("shared")))}
     # Mass of a class: its own words, and per ending the words that share it with what they give up.
     n1, n2 = one["n1"], one["n2"]
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
@@ -434,14 +519,14 @@ def train(docs: DataFrame, train_on: Column, size: Size = Size()) -> dict:
         if r["e"] is not None:
             seen[r["e"]] = r["v"]
     class_mass += np.bincount(ending_class, np.full(size.endings, discount), k)
-    joint = _class_pairs(text, words, model, spark.sparkContext.broadcast({x: y for x, y in model.items() if x != "words"}))
+    joint = _class_pairs(streams, words, model, spark.sparkContext.broadcast({x: y for x, y in model.items() if x != "words"}))
     share = class_mass / class_mass.sum()
     follow = (joint + share) / (joint.sum(1, keepdims=True) + 1)
     return model | {"joint": joint, "discount": discount, "class_mass": class_mass, "follow": follow,
                     "unseen": np.append(discount * (seen + 1), 0), "unseen_share": np.append((seen + 1) / (seen + 1).sum(), 0)}
 
 
-OPEN = pa.struct([("pos", pa.int32()), ("lc", pa.int32()), ("word", pa.int64()), ("c", pa.int32()), ("n", pa.int64()),
+OPEN = pa.struct([("lw", pa.int64()), ("lc", pa.int32()), ("word", pa.int64()), ("c", pa.int32()), ("n", pa.int64()),
                   ("shared", pa.bool_()), ("y", pa.float64()), ("z", pa.float64())])
 
 
@@ -470,9 +555,9 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             _, offsets = flat(batch.column(1))
             for a, b in slices(offsets):
                 w, e, first = tokens(batch.column(1).slice(a, b - a), endings)
-                n, c, shared = _known(m, w, e)
+                n, c, shared, free = _known(m, w, e)
                 late = n < 0
-                prev, open_ = _before(late, c)
+                prev, open_ = _before(c, 0), _before(free, False)
                 rest = late | open_
                 p = m["rate"][prev, c] * (n - m["discount"] * shared) + (1 - MIXTURE) * (n + 1) / unit
                 s = np.where(rest, 0, np.log10(np.where(rest, 1, p)))
@@ -482,7 +567,7 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
                 left = pa.ListArray.from_arrays(
                     pa.array(np.searchsorted(rows[at], np.arange(b - a + 1)).astype(np.int32)),
                     pa.StructArray.from_arrays(
-                        [pa.array((at - first[rows[at]]).astype(np.int32)), pa.array(prev[at].astype(np.int32), mask=open_[at]),
+                        [pa.array(_before(w, np.uint64(0))[at].view(np.int64), mask=~open_[at]), pa.array(prev[at].astype(np.int32)),
                          pa.array(w[at].view(np.int64), mask=~late[at]), pa.array(c[at].astype(np.int32)),
                          pa.array(n[at], mask=late[at]), pa.array(shared[at]),
                          pa.array(m["unseen"][e[at]]), pa.array(m["unseen_share"][e[at]])], fields=list(OPEN)))
@@ -496,11 +581,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
     first = stage(cols.mapInArrow(run, (
         "row long, doc_id long, n_tokens long, n_found long, base double, s double, "
-        "open array<struct<pos:int,lc:int,word:long,c:int,n:long,shared:boolean,y:double,z:double>>")), "partial-scores")
+        "open array<struct<lw:long,lc:int,word:long,c:int,n:long,shared:boolean,y:double,z:double>>")), "partial-scores")
     rates = spark.createDataFrame([(i, j, float(rate[i, j])) for i in range(k) for j in range(k)], "lc int, c int, x double")
     opened = first.select("row", F.explode("open").alias("t")).select("row", "t.*")
-    opened = opened.withColumn("late", F.col("word").isNotNull())
-    done = _follow(opened, model["words"]).join(F.broadcast(rates), ["lc", "c"])  # classes x classes rows
+    opened = _classed(opened, model["words"], "lw", "lc").drop("hc", "hn", "hs", "lw")
+    # A word in the table is of its ending's class, or its class is the one found.
+    opened = _classed(opened, model["words"], "word", "c").withColumns(
+        {"late": F.col("word").isNotNull(), "n": F.coalesce("n", "hn"), "shared": F.coalesce("hs", "shared")})
+    done = opened.join(F.broadcast(rates), ["lc", "c"])  # classes x classes rows
     n, x = F.col("n"), F.col("x")
     p = F.when(n.isNull(), x * F.col("y") + (1 - MIXTURE) / unit * F.col("z")).otherwise(
         x * (n - F.col("shared").cast("int") * model["discount"]) + (1 - MIXTURE) * (n + 1) / unit)

@@ -228,3 +228,59 @@ def test_no_training_rows_and_adjacent_empty_texts(spark, docs):
     out = classlm.score(df, classlm.train(df, F.lit(False))).collect()
     assert sorted((r["doc_id"], r["n_tokens"], r["score"]) for r in out) == [
         (1, 3, 0.0), (2, 1, 0.0), (3, 1, 0.0), (4, 1, 0.0), (5, 2, 0.0)]
+
+
+def test_only_words_of_a_class_of_their_own_are_exchanged_and_none_is_open_if_all_are_broadcast(spark, docs, monkeypatch):
+    """Rarer words keep their ending's class: no context of theirs is counted, and
+    the token after one needs no join, although the lookup does not hold them."""
+    rows, kept = corpus(300), {}
+
+    def stage(df, name):
+        kept[name] = real(df, name)
+        return kept[name]
+    real = classlm.stage
+    monkeypatch.setattr(classlm, "stage", stage)
+    size = SMALL._replace(least=12, lookup=200)
+    m = classlm.train(docs(rows), F.lit(True), size)
+    table = m["words"].collect()
+    own = [r for r in table if not r["shared"] and r["n"] >= size.least]
+    assert len(own) <= size.lookup < len(table)
+    head = sorted((r["n"] for r in table if not r["shared"] and r["word"] != word_hash(None)[0]), reverse=True)[:m["heads"]]
+    stored = sum(len(r["words"]) // 8 for r in kept["type-streams"].collect())
+    end = sum(r["n"] for r in table if int(np.int64(r["word"]).view(np.uint64)) == int(classlm.END_WORD))
+    assert stored == sum(r["n"] for r in own) - end - sum(n for n in head if n >= size.least)
+    assert kept["class-pairs"].where("word is not null or lw is not null").count() == 0
+    pairs = Counter()
+    cls = {r["word"]: r["class"] for r in table}
+    for _, t in rows:
+        x = [cls[int(np.uint64(word_hash(w)[0]).view(np.int64))] for w in tokens(t)]
+        pairs.update(zip([0] + x, x))
+    assert {(c, d): n for c, r in enumerate(m["joint"].tolist()) for d, n in enumerate(r) if n} == pairs
+
+
+def test_classes_of_many_words_at_once_are_those_of_each():
+    rng = np.random.default_rng(7)
+    k, n = 12, 300
+    joint = rng.poisson(rng.pareto(0.7, (k, k)) * 9).astype(float)
+    a = rng.integers(1, k, n)
+    left, right = (rng.poisson(rng.pareto(1.0, (n, k)) * 0.4).astype(float) for _ in range(2))
+    left[5] = 0
+    right[9] = 0
+    got = classlm._best_classes(joint, a, left, right)
+    assert got.tolist() == [classlm._best_class(joint, *x) for x in zip(a, left, right)]
+    assert (got != a).any()
+
+
+@pytest.mark.parametrize("n", [1, 2, 1000])
+def test_hashes_are_found_by_their_leading_bits(spark, n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(np.append(rng.integers(0, 1 << 64, n, np.uint64), np.uint64(1)))
+    keys = np.unique(np.append(keys, keys[0] + np.arange(n // 100, dtype=np.uint64)))  # many with the same leading bits
+    wanted = np.concatenate([keys, keys + np.uint64(1), rng.integers(0, 1 << 64, 500, np.uint64),
+                             np.array([0, (1 << 64) - 1], np.uint64)])
+    at = classlm._find(keys, classlm._index(keys), wanted)
+    assert at.tolist() == np.minimum(np.searchsorted(keys, wanted), len(keys) - 1).tolist()
+    marks = classlm._marks(spark.createDataFrame([(int(x),) for x in keys.view(np.int64)], "word long"))
+    assert classlm._marked(marks, keys).all()
+    lead = set((keys >> np.uint64(64 - classlm.MARK_BITS)).tolist())
+    assert classlm._marked(marks, wanted).tolist() == [int(x) >> 64 - classlm.MARK_BITS in lead for x in wanted]
